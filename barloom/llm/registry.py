@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import convnet, language, mixing, sharding
 from .common import table
 
 
@@ -20,9 +20,27 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(language.crc_of_id(3) != 1))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (language.crc_of_id(3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    known = labels.where(F.col("label").isNotNull() & (language.crc_of_id(5) != 0)).dropDuplicates(["doc_id"])
+    net = convnet.fit(docs.join(known, "doc_id"))
+    scored = convnet.classify(docs, net)
+    return scored.select("doc_id", (language.crc_of_id(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op4_minimax_shards": op4_minimax_shards,
+    "op9_ppm_language": op9_ppm_language,
+    "op10_byte_convnet": op10_byte_convnet,
 }
 
 ORACLES: dict[str, str] = {}
