@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import convnet, language, mixing, sharding
+from . import convnet, language, mixing, rules, sharding
 from .common import table
 
 
@@ -20,6 +20,15 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = rules.assess(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return rated.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & (F.col("quality") >= 0.5)).alias("kept"), "quality",
+    )
+
+
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(language.crc_of_id(3) != 1))
@@ -39,6 +48,7 @@ def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op4_minimax_shards": op4_minimax_shards,
+    "op6_weak_supervision": op6_weak_supervision,
     "op9_ppm_language": op9_ppm_language,
     "op10_byte_convnet": op10_byte_convnet,
 }
