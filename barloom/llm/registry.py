@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import convnet, language, mixing, rules, sharding
+from . import convnet, language, mixing, rules, secrets, sharding
 from .common import table
 
 
@@ -20,6 +20,18 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = secrets.train(secrets.random_samples(spark).unionByName(secrets.ordinary_samples(docs)))
+    found = secrets.scan(docs, ratios)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.array_sort(F.concat("base", "extra"))).alias("spans"), F.size("extra").cast("long").alias("n_markov"),
+    )
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = rules.assess(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -48,6 +60,7 @@ def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op4_minimax_shards": op4_minimax_shards,
+    "op5_markov_secrets": op5_markov_secrets,
     "op6_weak_supervision": op6_weak_supervision,
     "op9_ppm_language": op9_ppm_language,
     "op10_byte_convnet": op10_byte_convnet,
