@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import convnet, language, mixing, rules, secrets, sharding
+from . import convnet, html_text, language, mixing, rules, secrets, sharding
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,6 +63,7 @@ def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op3_tag_paths": op3_tag_paths,
     "op4_minimax_shards": op4_minimax_shards,
     "op5_markov_secrets": op5_markov_secrets,
     "op6_weak_supervision": op6_weak_supervision,
