@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .tokens import blocks
 
 ORDER = 4  #: bytes of the longest context, and the byte it predicts
@@ -147,6 +148,7 @@ def fit(labelled: DataFrame, sample_docs: int = 2000, max_langs: int = 64, max_g
     max_langs languages the most frequent ones are learned. Of more than max_grams different runs
     of four bytes the most frequent ones are kept. An empty table gives a model without languages.
     """
+    bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not sizes:
@@ -171,6 +173,7 @@ def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
     language. score is the posterior probability of that language, all being equally likely
     before. bits_per_byte is its code length (null with `und`). Texts are coded whole.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "bits_per_byte")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", lang_pred string, score double, bits_per_byte double"
@@ -182,7 +185,7 @@ def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             best, score, rate = np.full(len(texts), len(trees.langs)), np.zeros(len(texts)), np.full(len(texts), np.nan)
-            for first, part in blocks(texts, 1 << 20) if tables else ():
+            for first, part in blocks(texts, 1 << 18) if tables else ():
                 bits = tables.code_lengths(part)
                 own = slice(first, first + len(part))
                 some = np.fromiter((any(map(str.isalpha, t)) if isinstance(t, str) else False for t in texts[own]), bool, len(part))
