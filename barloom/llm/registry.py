@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import convnet, html_text, language, mixing, near_dup, rules, secrets, sharding
+from . import convnet, decontaminate, html_text, language, mixing, near_dup, rules, secrets, sharding
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minimax_shards": op4_minimax_shards,
     "op5_markov_secrets": op5_markov_secrets,
     "op6_weak_supervision": op6_weak_supervision,
+    "op7_cgk_decontamination": op7_cgk_decontamination,
     "op8_odd_sketch_dedup": op8_odd_sketch_dedup,
     "op9_ppm_language": op9_ppm_language,
     "op10_byte_convnet": op10_byte_convnet,
