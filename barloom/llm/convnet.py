@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, cut, join_small
 from .tokens import blocks
 
 WIDTH = 4
@@ -138,22 +139,26 @@ def train(texts: list[bytes], labels: np.ndarray, filters: int = 16, epochs: int
     return net
 
 
-def fit(labelled: DataFrame, sample: int = 4000, sample_bytes: int = 4096, seed: str = "cnn", **training: object) -> Net:
-    """A net from about `sample` rows (text, label 0 or 1), as many of either label as there are up to half of it.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 4096, seed: str = "cnn", **training: object) -> Net:
+    """A net from about `sample` rows of labels (doc_id, label 0 or 1), as many of either label as there are up to half of it.
 
-    Rows are chosen by a hash of doc_id; of texts longer than sample_bytes, a training text is a
-    run of that many bytes at a hashed place. These bounds hold for training alone. Rows with a
-    null text or label are left out; without any label the net answers 0.5.
+    Rows are chosen by a hash of doc_id before their texts are looked up in docs (doc_id, text), so
+    the labels sent to where the texts are number about `sample`. Of texts longer than sample_bytes,
+    a training text is a run of that many bytes at a hashed place. These bounds hold for training
+    alone. Rows with a null doc_id, text or label are left out, the highest label of a doc_id counts,
+    and without any label the net answers 0.5.
     """
-    rows = labelled.where(F.col("text").isNotNull() & F.col("label").isNotNull()).select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in rows.where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not sizes:
         return train([], np.zeros(0))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("label") == 1, min(1.0, sample / 2 / sizes.get(1, 1))).when(F.col("label") == 0, min(1.0, sample / 2 / sizes.get(0, 1)))
+    share = F.when(F.col("label") == 1, min(1.0, sample / 2 / sizes.get(1, 1))).otherwise(min(1.0, sample / 2 / sizes.get(0, 1)))
+    chosen = cut(rows.where(u < share))
     # the substring only bounds what the driver gets; scoring reads whole texts
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.greatest(F.length("text") - sample_bytes, F.lit(0)) + 1) + 1
-    got = rows.where(u < share).select("doc_id", F.substring(F.col("text"), place.cast("int"), F.lit(sample_bytes)).alias("text"), "label").toPandas().sort_values(["doc_id", "text"])
+    found = join_small(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner")
+    got = found.select("doc_id", F.substring(F.col("text"), place.cast("int"), F.lit(sample_bytes)).alias("text"), "label").toPandas().sort_values(["doc_id", "text"])
     texts = [t.encode()[:sample_bytes] for t in got["text"]]
     return train(texts, got["label"].to_numpy(np.float64), **training)
 
@@ -164,6 +169,7 @@ def classify(docs: DataFrame, net: Net) -> DataFrame:
     Needs text; other columns stay. A null text scores as an empty one, which is one chunk of zeros.
     Texts are read whole, in blocks of bounded size.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     keep = [f for f in docs.schema.fields if f.name != "score"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", score double"
