@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import convnet, decontaminate, html_text, language, mixing, near_dup, rules, secrets, sharding
+from . import convnet, decontaminate, html_text, language, line_dedup, mixing, near_dup, rules, secrets, sharding
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_pass_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op3_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -70,6 +74,7 @@ def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_pass_join_lines": op2_pass_join_lines,
     "op3_tag_paths": op3_tag_paths,
     "op4_minimax_shards": op4_minimax_shards,
     "op5_markov_secrets": op5_markov_secrets,
