@@ -1 +1 @@
-
+"""Readers and canonical tables."""
