@@ -16,7 +16,10 @@ are read, so that only links are ever written.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,17 +53,25 @@ def segments(length: int) -> list[tuple[int, int]]:
     return out
 
 
-def line_keys(line: str) -> list[int]:
-    """Keys under which a line is filed and looked for."""
-    length, out = len(line), set()
+@lru_cache(maxsize=4096)
+def probes(length: int) -> list[tuple[int, int, int]]:
+    """Start, end and seed (which length and segment it is looked for under) of each substring of a line that is a key."""
+    out = []
     for partner in range(max(LEAST_CHARS, length - EDITS), length + 1):
         extra = length - partner
         for i, (start, size) in enumerate(segments(partner)):
             low = max(0, start - i, start + extra - (EDITS - i))
             high = min(length - size, start + i, start + extra + (EDITS - i))
-            for at in range(low, high + 1):
-                out.add(xxhash.xxh3_64_intdigest(line[at : at + size].encode("utf-8", "surrogatepass"), partner * (EDITS + 1) + i) - (1 << 63))
-    return list(out)
+            out += [(at, at + size, partner * (EDITS + 1) + i) for at in range(low, high + 1)]
+    return out
+
+
+def line_keys(line: str) -> list[int]:
+    """Keys, without sign, under which a line is filed and looked for."""
+    try:
+        return [xxhash.xxh3_64_intdigest(line[a:b], seed) for a, b, seed in probes(len(line))]
+    except UnicodeEncodeError:
+        return [xxhash.xxh3_64_intdigest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in probes(len(line))]
 
 
 def _common(a: str, b: str) -> int:
@@ -142,8 +153,10 @@ def key_lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = {x for t in batch["text"].tolist() for x in split_lines(t) if len(x) >= LEAST_CHARS}
-            pairs = [(line_id(x), k) for x in seen for k in line_keys(x)]
-            yield pd.DataFrame(pairs, columns=["line", "key"])
+            keys = [line_keys(x) for x in seen]
+            ids = np.array([line_id(x) for x in seen], np.int64)
+            flat = np.fromiter(chain.from_iterable(keys), np.uint64)
+            yield pd.DataFrame({"line": np.repeat(ids, [len(k) for k in keys]), "key": flat.view(np.int64)})
 
     return docs.select("text").mapInPandas(run, "line long, key long")
 
@@ -188,7 +201,8 @@ def across_blocks(members: DataFrame) -> DataFrame:
                             links.append((x["line"], y["line"]))
             yield pd.DataFrame(links, columns=["a", "b"])
 
-    return one.join(two, "key").where("block <= other").repartition("key", "block", "other").select("p", "q").mapInPandas(run, "a long, b long")
+    n_tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.count() // 8)  # blocks cost far more than their bytes tell
+    return one.join(two, "key").where("block <= other").repartition(n_tasks, "key", "block", "other").select("p", "q").mapInPandas(run, "a long, b long")
 
 
 def link_lines(docs: DataFrame) -> DataFrame | None:
@@ -233,13 +247,13 @@ def link_lines(docs: DataFrame) -> DataFrame | None:
 
 
 def classify_lines(docs: DataFrame) -> DataFrame:
-    """A row for each document with lines and, by number of the line, class_of and kept.
+    """doc_id, number (of the line), class_id and kept of each line that isn't blank; row tells rows of docs apart.
 
     Needs doc_id and text; other columns are left out. Lines end at line feeds and are compared
     without white space at their ends. Blank lines have no class and are kept. Equal lines are of
     one class, and so are lines linked by edits. Of a class the line with the least doc_id, then
-    number, is kept, a null doc_id coming last. Null texts have no lines. Of repeated rows all keep
-    the same lines.
+    number, is kept, a null doc_id coming last. A document without such lines, its text being
+    null or not, has one row without number and class. Of repeated rows all keep the same lines.
     """
     filed = cut(file_lines(docs).withColumn("row", F.monotonically_increasing_id()))
     each = filed.select("row", "doc_id", F.posexplode("lines").alias("number", "sid")).where(F.col("sid").isNotNull())
@@ -250,17 +264,17 @@ def classify_lines(docs: DataFrame) -> DataFrame:
     classes = placed.groupBy("c").agg(F.min("first").alias("kept_at"), F.sum("n").alias("size")).where("size > 1")
     moved = cut(placed.join(classes, "c").select("sid", "c", "kept_at"))
     told = join_small(each, moved, ["sid"])
+    blank = filed.where(~F.exists("lines", lambda x: x.isNotNull()))
     kept = F.col("kept_at").isNull() | (F.col("kept_at.doc").eqNullSafe(F.col("doc_id")) & (F.col("kept_at.number") == F.col("number")))
-    return told.select("row", "doc_id", "number", F.coalesce("c", "sid").alias("class_id"), kept.alias("kept"))
+    lines = told.select("row", "doc_id", "number", F.coalesce("c", "sid").alias("class_id"), kept.alias("kept"))
+    return lines.unionByName(blank.select("row", "doc_id", F.lit(None).cast("int").alias("number"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (not blank), n_dropped and dropped (numbers of the dropped lines, from 0) of each document."""
-    filed = docs.select("doc_id", "text")
-    told = classify_lines(filed)
-    by_doc = told.groupBy("row", "doc_id").agg(
-        F.count("*").alias("n_lines"), F.count_if(~F.col("kept")).alias("n_dropped"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("number")))), lambda x: x.cast("string")), ",").alias("dropped"),
+    told = classify_lines(docs)
+    numbers = F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("number"))))
+    return told.groupBy("row", "doc_id").agg(
+        F.count("number").alias("n_lines"), F.count_if(~F.col("kept")).alias("n_dropped"),
+        F.array_join(F.transform(numbers, lambda x: x.cast("string")), ",").alias("dropped"),
     ).drop("row")
-    blank = filed.where(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0)
-    return by_doc.unionByName(blank.select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.lit("").alias("dropped")))
