@@ -38,7 +38,22 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)  # holding the table keeps its id from being given to another
+    return out
+
+
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*cuts: DataFrame | None) -> None:
+    """Deletes what cut() wrote for tables that nothing will read again."""
+    for df in cuts:
+        held = _PATHS.pop(id(df), None)
+        if held is not None:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(held[1])
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bound_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select("v", "m").where("v <> m")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(now) == mark:
             break

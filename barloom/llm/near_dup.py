@@ -1,17 +1,21 @@
 """Near duplicates by MinHash, odd sketches and exact verification.
 
 A text's set is that of its five-word shingles. Texts with the same set are one node. MinHash
-samples are banded: nodes that agree in all samples of a band share a bucket. All samples of a
-node are also folded into an odd sketch, a bitmap of parities; of two nodes, the number of ones in
-the exclusive or of their sketches tells how many samples differ, and drops pairs that are far
-from similar before any set is fetched. What is left is confirmed on the full sets.
+samples are banded: nodes that agree in all samples of a band share a bucket. With BANDS bands of
+ROWS samples a pair with similarity 0.75 shares a bucket with a probability of 1 - 1.3e-6.
+
+For each node, one-permutation MinHash samples (the least hash in each of BINS ranges of the hash)
+are folded into an odd sketch, a bitmap of parities. The ones in the exclusive or of two sketches
+tell how many samples differ, with an error far below that of the banded samples, so that only
+pairs that are nearly similar have their sets fetched. Those are confirmed on the full sets.
 
 Buckets are never expanded into all pairs. Nodes of a bucket are first compared with one of them,
 the one that shares buckets with most others, then with another one, and what turns out to be
 linked becomes one component. After that only nodes of different components are compared: in
-buckets of up to SMALL nodes each with each, in larger ones only those that share a second bucket.
-With BANDS bands of ROWS samples a pair with similarity 0.75 shares a bucket with a probability of
-1 - 1.3e-6, and two of them with 1 - 2.2e-5.
+buckets of up to FEW nodes each with each, by their sketches. A larger bucket is cut into blocks, and
+pairs of blocks are compared where they are read, by their sketches and then by 32 bits of each
+shingle, each pair of nodes in the first band that both share. Only pairs that pass are written,
+which are links but for collisions of those 32 bits.
 """
 
 from __future__ import annotations
@@ -20,23 +24,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, cut, join_small
+from .common import bound_batches, cut, join_small, release
 from .components import components
 from .tokens import blocks, find_words, mix64, window_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 50, 5
-SKETCH_BITS = 512
+BINS = 1024
+SKETCH_BITS = 2048
 #: Least similarity, in hundredths.
 SIMILAR = 75
+#: Standard deviations below the samples expected in common at SIMILAR at which a pair is given up.
+DEVIATIONS = 5.0
+#: Nodes of a block, and the largest set that is compared within blocks; larger ones pass by their sketches.
+BLOCK, SHORT_SET = 256, 4096
 #: Nodes of a bucket up to which those of different components are compared each with each.
-SMALL = 32
-#: A pair whose sketches suggest less is not similar; seven standard deviations below SIMILAR.
-LEAST_ESTIMATE = 0.5
+FEW = 8
+#: Shingles by which a comparison of 32 bits may be off.
+SLACK = 2
 
 _RANDOM = np.random.default_rng(20240229)
 _A = (_RANDOM.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -86,24 +96,47 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Bitmaps in which each sample flips the bit that its place and value hash to."""
-    n, k = samples.shape
-    bit = mix64(samples.astype(np.uint64) + (np.arange(1, k + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    flat = (np.arange(n, dtype=np.int64)[:, None] * SKETCH_BITS + bit.astype(np.int64)).ravel()
-    odd = (np.bincount(flat, minlength=n * SKETCH_BITS) & 1).astype(np.uint8).reshape(n, SKETCH_BITS)
-    return np.packbits(odd, axis=1).view(np.int64)
-
+def odd_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps in which each sample flips the bit that it hashes to, and the number of samples.
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity as two sketches suggest it."""
-    ones = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    free = F.greatest(F.lit(1e-9), 1 - 2 * ones / F.lit(float(SKETCH_BITS)))
-    return 1 + F.log(free) * (SKETCH_BITS / (4.0 * BANDS * ROWS))
+    A set is sorted, so the first hash of each range of BINS is that range's least.
+    """
+    start = np.cumsum([0, *[len(x) for x in sets[:-1]]])
+    members = np.concatenate(sets)
+    place = members >> np.uint64(64 - (BINS.bit_length() - 1))
+    first = np.concatenate([[True], place[1:] != place[:-1]])
+    first[start] = True
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[first]
+    bit = (mix64(members[first] ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = (np.bincount(owner * SKETCH_BITS + bit, minlength=len(sets) * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), SKETCH_BITS), axis=1), np.bincount(owner, minlength=len(sets))
+
+
+def passes(ones: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, s_a: np.ndarray, s_b: np.ndarray) -> np.ndarray:
+    """Whether pairs may be similar: ones in the exclusive or of their sketches, sizes of their sets, numbers of their samples."""
+    j = SIMILAR / 100
+    size = 100 * np.minimum(n_a, n_b) >= SIMILAR * np.maximum(n_a, n_b)
+    load = ones / SKETCH_BITS
+    differ = -SKETCH_BITS / 2 * np.log(np.maximum(1e-9, 1 - 2 * load))
+    common = (s_a + s_b - differ) / 2
+    # at similarity j: union, ranges of BINS that hold some of it, and how many of these hold more than one
+    union = (n_a + n_b) / (1 + j)
+    rate = union / BINS
+    held = BINS * -np.expm1(-rate)
+    shared = 1 - rate * np.exp(-rate) / -np.expm1(-rate)
+    rho = np.maximum(0.0, (s_a + s_b) - 2 * j * held) / SKETCH_BITS
+    p = -np.expm1(-2 * rho) / 2
+    fading = np.exp(-4 * rho)
+    noise = np.maximum(0.0, SKETCH_BITS * (p * (1 - p) - rho * fading)) / fading
+    deviation = np.sqrt(held * j * (1 - j) * shared + noise / 4)
+    return size & (common >= j * held - DEVIATIONS * deviation - 2)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), sid (null of an empty set), bands and odd (null where no other set can be similar)."""
+    """doc_id, n (size of the set), sid (null of an empty set), samples, bands and pack (null where no other set can be similar).
+
+    pack is the odd sketch, then four bytes of each band's key.
+    """
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -112,34 +145,45 @@ def sketch(docs: DataFrame) -> DataFrame:
             for first, part in blocks(batch["text"].tolist(), 1 << 20):
                 sets = shingle_sets(part)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
-                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[first : first + len(part)].to_numpy(), "n": n})
-                sid = set_ids(sets)
-                out["sid"] = pd.array(sid, dtype="Int64")
+                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[first : first + len(part)].to_numpy(), "n": n, "samples": 0})
+                out["sid"] = pd.array(set_ids(sets), dtype="Int64")
                 out.loc[n == 0, "sid"] = pd.NA
                 bands: list = [None] * len(part)
-                odd: list = [None] * len(part)
+                pack: list = [None] * len(part)
                 # three of four shingles in common is the least that can be similar and not equal
                 some = np.flatnonzero(n >= 3)
                 if len(some):
-                    samples = signatures([sets[i] for i in some])
-                    for i, x, y in zip(some, band_keys(samples), odd_sketches(samples)):
-                        bands[i], odd[i] = x, y
-                out["bands"], out["odd"] = bands, odd
-                yield out
+                    own = [sets[i] for i in some]
+                    keys = band_keys(signatures(own))
+                    odd, samples = odd_sketches(own)
+                    short = (keys.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    for i, x, y, z in zip(some, keys, odd, short):
+                        bands[i], pack[i] = x, y.tobytes() + z.tobytes()
+                    out.loc[some, "samples"] = samples
+                out["bands"], out["pack"] = bands, pack
+                yield out[["doc_id", "n", "sid", "samples", "bands", "pack"]]
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, sid long, samples long, bands array<long>, pack binary")
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, sid long, bands array<long>, odd array<long>")
+
+def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as 64-bit words, and the short keys of the bands."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    cut_at = SKETCH_BITS // 8
+    return np.ascontiguousarray(raw[:, :cut_at]).view(np.uint64), np.ascontiguousarray(raw[:, cut_at:]).view(np.uint32)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """sid and its sorted shingle hashes as bytes."""
+    """sid, its sorted shingle hashes as bytes, and the same cut to 32 bits (none of a large set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, part in blocks(batch["text"].tolist(), 1 << 20):
                 sets = shingle_sets(part)
-                yield pd.DataFrame({"sid": set_ids(sets), "members": [s.tobytes() for s in sets]})
+                short = [np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() if len(s) <= SHORT_SET else b"" for s in sets]
+                yield pd.DataFrame({"sid": set_ids(sets), "members": [s.tobytes() for s in sets], "short": short})
 
-    return docs.select("text").mapInPandas(run, "sid long, members binary")
+    return docs.select("text").mapInPandas(run, "sid long, members binary, short binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,13 +205,87 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_y.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs a, b once each, without those whose sizes or sketches rule them out."""
     told = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for side in "ab":
-        told = told.join(nodes.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("odd").alias(f"odd_{side}")), side)
-    size = 100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")
-    return told.where(size & (estimate(F.col("odd_a"), F.col("odd_b")) >= LEAST_ESTIMATE)).select("a", "b")
+        told = told.join(nodes.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "samples", "pack")]), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+                number = {k: col[k].to_numpy(zero_copy_only=False).astype(float) for k in ("n_a", "n_b", "samples_a", "samples_b")}
+                ones = np.bitwise_count(unpack(col["pack_a"])[0] ^ unpack(col["pack_b"])[0]).sum(1)
+                keep = pa.array(passes(ones, number["n_a"], number["n_b"], number["samples_a"], number["samples_b"]))
+                yield pa.RecordBatch.from_arrays([col["a"].filter(keep), col["b"].filter(keep)], schema=PAIR)
+
+    return told.mapInArrow(run, "a long, b long")
+
+
+def across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes of different components that share a key and may be similar.
+
+    mixed: key, sid, c. A key's nodes are dealt over blocks by a hash, and each pair of blocks is
+    one row that some task compares on its own.
+    """
+    spark = mixed.sparkSession
+    n_blocks = F.ceil(F.count("*").over(Window.partitionBy("key")) / F.lit(BLOCK))
+    dealt = mixed.withColumn("m", n_blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("m")))
+    whole = dealt.join(nodes.select("sid", "n", "samples", "pack"), "sid").join(sets.select("sid", "short"), "sid")
+    held = cut(whole.groupBy("key", "block").agg(F.collect_list(F.struct("sid", "c", "n", "samples", "pack", "short")).alias("rows")))
+    one = held.select("key", "block", F.col("rows").alias("p"))
+    two = held.select(F.col("key").alias("key_q"), F.col("block").alias("other"), F.col("rows").alias("q"))
+    met = one.join(two, (F.col("key") == F.col("key_q")) & (F.col("block") <= F.col("other")))
+
+    def similar(x: bytes, y: bytes, n: float) -> bool:
+        if not x or not y:
+            return True
+        both = np.sort(np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)]), kind="stable")
+        common = int((both[1:] == both[:-1]).sum()) + SLACK
+        return 100 * common >= SIMILAR * (n - common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            key = batch.column(names.index("key")).to_numpy()
+            within = (batch.column(names.index("block")).to_numpy() == batch.column(names.index("other")).to_numpy())
+            sides = []
+            for side in "pq":
+                lists = batch.column(names.index(side))
+                flat = lists.flatten()
+                at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+                short = np.empty(len(flat), object)
+                short[:] = flat.field(5).to_pylist()
+                sides.append((at, *fields, *unpack(flat.field(4)), short))
+            a: list[int] = []
+            b: list[int] = []
+            for r in range(batch.num_rows):
+                (sid_p, c_p, n_p, s_p, odd_p, bands_p, short_p), (sid_q, c_q, n_q, s_q, odd_q, bands_q, short_q) = ([x[at[r] : at[r + 1]] for x in rest] for at, *rest in sides)
+                apart = c_p[:, None] != c_q[None, :]
+                i, j = np.nonzero(apart & (sid_p[:, None] < sid_q[None, :]) if within[r] else apart)
+                ones = np.bitwise_count(odd_p[i] ^ odd_q[j]).sum(1)
+                ok = passes(ones, n_p[i].astype(float), n_q[j].astype(float), s_p[i].astype(float), s_q[j].astype(float))
+                i, j = i[ok], j[ok]
+                here = bands_p[i, (bands_p[i] == bands_q[j]).argmax(1)] == np.uint32(int(key[r]) & 0xFFFFFFFF)
+                for x, y in zip(i[here], j[here]):
+                    if similar(short_p[x], short_q[y], float(n_p[x] + n_q[y])):
+                        a.append(int(sid_p[x]))
+                        b.append(int(sid_q[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR)
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16")  # a row here is two blocks
+    try:
+        return cut(met.repartition("key", "block", "other").mapInArrow(run, "a long, b long"))
+    finally:
+        spark.conf.set(key, before)
+        release(held)
 
 
 def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -179,7 +297,7 @@ def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def link_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """node and component of every node linked with another one."""
-    nodes = cut(sketched.where(F.col("bands").isNotNull()).dropDuplicates(["sid"]).select("sid", "n", "odd", "bands"))
+    nodes = cut(sketched.where(F.col("bands").isNotNull()).dropDuplicates(["sid"]).select("sid", "n", "samples", "pack", "bands"))
     keyed = nodes.select("sid", F.explode("bands").alias("key"))
     members = cut(keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
     popular = members.groupBy("sid").agg(F.sum("size").alias("shared"))
@@ -188,10 +306,9 @@ def link_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     holders = sketched.where(F.col("bands").isNotNull()).select("doc_id", "sid")
     links, found, sets = None, None, None
 
-    def test(pairs: DataFrame) -> tuple[DataFrame, int]:
+    def fetch(need: DataFrame) -> None:
+        """Looks up the texts of sets that haven't been fetched yet."""
         nonlocal sets
-        wanted = cut(likely(pairs, nodes))
-        need = wanted.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         if sets is not None:
             need = need.join(sets.select("sid"), "sid", "left_anti")
         who = cut(holders.join(need, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("k")))
@@ -202,6 +319,10 @@ def link_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
                 texts = texts.unionByName(docs.where(F.col("doc_id").isNull()).select("text"))
             more = cut(full_sets(texts).join(who.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
             sets = more if sets is None else sets.unionByName(more)
+
+    def test(pairs: DataFrame) -> tuple[DataFrame, int]:
+        wanted = cut(likely(pairs, nodes))
+        fetch(wanted.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
         if sets is None:
             return wanted, 0
         sure = cut(confirmed(wanted, sets))
@@ -221,18 +342,14 @@ def link_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
         leaders = mixed.groupBy("key").agg(F.max_by("sid", rank).alias("leader"), F.max_by("c", rank).alias("leader_c"))
         add(mixed.join(leaders, "key").where("c <> leader_c").select(F.col("sid").alias("a"), F.col("leader").alias("b")))
     rows = with_component(members, found)
-    mixed = cut(rows.join(mixed_keys(rows), "key", "left_semi").select("key", "sid", "size", "c"))
-    small = mixed.where(F.col("size") <= SMALL)
-    large = mixed.where(F.col("size") > SMALL).select("sid", "c", F.col("key").alias("key_1"))
-    twice = large.join(members.select("sid", F.col("key").alias("key_2")), "sid").where("key_1 <> key_2")
-    second = twice.select(F.xxhash64(F.least("key_1", "key_2"), F.greatest("key_1", "key_2")).alias("key"), "sid", "c").distinct()
-    second = cut(second.join(mixed_keys(second), "key", "left_semi"))
-    pairs = None
-    for part in (small.select("key", "sid", "c"), second):
-        other = part.select("key", F.col("sid").alias("b"), F.col("c").alias("c_b"))
-        these = part.join(other, "key").where("c <> c_b and sid < b").select(F.col("sid").alias("a"), "b")
-        pairs = these if pairs is None else pairs.unionByName(these)
-    add(pairs)
+    mixed = rows.join(mixed_keys(rows), "key", "left_semi").select("key", "sid", "c")
+    mixed = cut(mixed.withColumn("size", F.count("*").over(Window.partitionBy("key"))))
+    few, many = mixed.where(F.col("size") <= FEW), mixed.where(F.col("size") > FEW)
+    other = few.select("key", F.col("sid").alias("b"), F.col("c").alias("c_b"))
+    pairs = few.join(other, "key").where("c <> c_b and sid < b").select(F.col("sid").alias("a"), "b")
+    fetch(many.select("sid").distinct())
+    blocks_told = across(many, nodes, sets) if sets is not None else None
+    add(pairs if blocks_told is None else pairs.unionByName(blocks_told))
     return found if found is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
 
