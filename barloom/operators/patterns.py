@@ -1,0 +1,537 @@
+"""Swing points and chart patterns.
+
+Removing noise swings and choosing among overlapping patterns are sequential, so a symbol's bars go
+to one Arrow-fed function; symbols are independent and bounded by their calendar. Within it every
+pattern is a table of candidates: places of its points as arrays, gates as masks over all
+candidates, and only what passes is looked at bar by bar.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, fields
+from itertools import groupby
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+MATCHES = (
+    "symbol string, pattern string, direction string, status string, scale int, start_idx int, end_idx int, breakout_idx int, score double, level double, target double, stop double, "
+    "points array<struct<idx:int,price:double,label:string>>, metrics map<string,double>"
+)
+PIVOTS = "symbol string, scale int, seq int, idx int, price double, kind int"
+
+#: Patterns, and how specific each is. Fixed values.
+SPECIFIC = {
+    "Cup and Handle": 2, "Inverted Cup and Handle": 2, "Head and Shoulders": 2, "Inverse Head and Shoulders": 2,
+    "Ascending Triangle": 1, "Descending Triangle": 1, "Symmetrical Triangle": 1, "Rising Wedge": 1, "Falling Wedge": 1, "Rectangle": 1,
+    "Double Top": 0, "Double Bottom": 0, "Triple Top": 0, "Triple Bottom": 0, "Bull Flag": 0, "Bear Flag": 0,
+}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Tolerances; fixed values by default."""
+
+    scales: tuple[int, ...] = (3, 5, 8, 13)
+    move_atr: float = 1.0
+    move_pct: float = 0.01
+    confirm: float = 0.002
+    least_score: float = 0.60
+    same_overlap: float = 0.5
+    cross_overlap: float = 0.6
+    hs_prominence: float = 0.015
+    hs_shoulders: float = 0.06
+    hs_neckline: float = 0.05
+    hs_gap: float = 0.005
+    hs_time: float = 2.5
+    level_tolerance: float = 0.035
+    level_depth: float = 0.03
+    level_gap: int = 8
+    cup_bars: tuple[int, int] = (20, 300)
+    cup_rim: float = 0.06
+    cup_depth: tuple[float, float] = (0.10, 0.55)
+    cup_fit: float = 0.65
+    handle_bars: int = 3
+    handle_share: float = 0.5
+    handle_depth: float = 0.18
+    line_height: tuple[float, float] = (0.03, 0.35)
+    line_residual: float = 0.20
+    line_flat: float = 0.25
+    line_apex: float = 2.0
+    pole_bars: int = 20
+    pole_pct: float = 0.08
+    pole_atr: float = 3.0
+    flag_bars: tuple[int, int] = (5, 30)
+    flag_retrace: float = 0.5
+
+    @classmethod
+    def from_json(cls, text: str) -> "Settings":
+        """Overrides from a JSON object; an unknown key is an error."""
+        given = json.loads(text)
+        unknown = set(given) - {f.name for f in fields(cls)}
+        if unknown:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+def resolve(names: Iterable[str] | None) -> list[str]:
+    """Pattern names from names written in any case, with spaces or dashes; all without names or for 'all'."""
+    known = {k.lower().replace(" ", "-"): k for k in SPECIFIC} | {"hs": "Head and Shoulders", "ihs": "Inverse Head and Shoulders", "cup": "Cup and Handle", "inverted-cup": "Inverted Cup and Handle"}
+    out: list[str] = []
+    for n in names or ["all"]:
+        key = n.strip().lower().replace(" ", "-")
+        if key in ("all", "*"):
+            return list(SPECIFIC)
+        if key not in known:
+            raise ValueError(f"unknown pattern {n!r}")
+        out.append(known[key])
+    return list(dict.fromkeys(out))
+
+
+def clip(x: float) -> float:
+    return float(min(1.0, max(0.0, x)))
+
+
+def ramp(x: float, low: float, high: float) -> float:
+    return clip((x - low) / (high - low))
+
+
+class Bars:
+    """A symbol's arrays, and the questions that patterns ask of them."""
+
+    def __init__(self, rows: pd.DataFrame, cfg: Settings) -> None:
+        self.open, self.high, self.low, self.close, self.volume = (rows[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume"))
+        self.n, self.cfg = len(rows), cfg
+        before = np.concatenate([self.close[:1], self.close[:-1]])
+        spread = np.maximum.reduce([self.high - self.low, np.abs(self.high - before), np.abs(self.low - before)])
+        self.atr = pd.Series(spread).rolling(14, min_periods=1).mean().to_numpy()
+
+    def crossing(self, start: int, at: float, slope: float, side: int) -> int | None:
+        """First bar from start on that closes beyond the line with value at(0) = at, on a side."""
+        x = np.arange(start, self.n)
+        beyond = side * (self.close[start:] - (at + slope * x) * (1 + side * self.cfg.confirm)) > 0
+        return int(x[beyond.argmax()]) if beyond.any() else None
+
+    def first(self, start: int, end: int, beyond: Callable[[np.ndarray], np.ndarray]) -> int | None:
+        hit = beyond(self.close[start:end])
+        return start + int(hit.argmax()) if hit.any() else None
+
+    def trend(self, at: int, span: int) -> float:
+        start = max(0, at - span)
+        return float(self.close[at] / self.close[start] - 1) if at > start and self.close[start] > 0 else 0.0
+
+    def volume_score(self, a: int, b: int) -> float:
+        """High where volume falls from the first half to the second."""
+        part = np.nan_to_num(self.volume[a : b + 1])
+        if len(part) < 5 or part[: len(part) // 2].mean() <= 0:
+            return 0.5
+        half = len(part) // 2
+        return clip(0.5 - (part[half:].mean() / part[:half].mean() - 1))
+
+    def breakout_score(self, i: int) -> float:
+        base = self.volume[max(0, i - 20) : i]
+        base = base[np.isfinite(base) & (base > 0)]
+        if not len(base) or not self.volume[i] > 0:
+            return 0.5
+        ratio = self.volume[i] / base.mean()
+        return 1.0 if ratio >= 1.5 else 0.75 if ratio >= 1.1 else 0.35
+
+
+def pivots_of(bars: Bars, scale: int) -> np.ndarray:
+    """Alternating swing points, a row (idx, price, kind) each."""
+    n, cfg = bars.n, bars.cfg
+    if n < 2 * scale + 3:
+        return np.zeros((0, 3))
+    found = []
+    for kind, x in ((1, bars.high), (-1, -bars.low)):
+        around = pd.Series(x).rolling(2 * scale + 1, center=True, min_periods=1).max().to_numpy()
+        last: int | None = None
+        for i in np.flatnonzero(x == around):
+            if last is None or i - last > scale or x[i] != x[last]:
+                last = int(i)
+                found.append((last, -kind, kind * x[i]))
+    merged: list[tuple[float, float, float]] = []
+    for idx, of_kind in groupby(sorted(found), key=lambda p: p[0]):
+        both = [(idx, p[2], -p[1]) for p in of_kind]
+        # of a bar that is both high and low the one stays that goes on from the pivot before
+        second = len(both) > 1 and merged and merged[-1][2] == both[0][2]
+        merged.append(both[1] if second else both[0])
+
+    def alternate(points: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+        return [max(enumerate(run), key=lambda p: (p[1][2] * p[1][1], p[0]))[1] for run in (list(g) for _, g in groupby(points, key=lambda p: p[2]))]
+
+    points = alternate(merged)
+    least = np.maximum(cfg.move_atr * bars.atr, cfg.move_pct * bars.close)
+    while len(points) >= 2:
+        at = np.array(points)
+        need = least[at[1:, 0].astype(int)]
+        share = np.where(need > 0, np.abs(np.diff(at[:, 1])) / np.where(need > 0, need, 1), 1.0)
+        if not (share < 1).any():
+            break
+        del points[int(share.argmin()) + 1]
+        points = alternate(points)
+    return np.array(points).reshape(-1, 3)
+
+
+Row = dict
+
+
+def match(bars: Bars, scale: int, pattern: str, side: int, status: str, start: int, end: int, breakout: int | None, parts: dict[str, tuple[float, float]], level: float, target: float, stop: float, points: list, metrics: dict) -> Row:
+    """A row of MATCHES; parts are scores and weights."""
+    if breakout is not None:
+        parts = parts | {"breakout_volume": (bars.breakout_score(breakout), parts.get("__breakout", (0.0, 0.15))[1])}
+    used = {k: v for k, v in parts.items() if k != "__breakout"}
+    score = sum(v * w for v, w in used.values()) / sum(w for _, w in used.values()) * {"failed": 0.6, "expired": 0.7}.get(status, 1.0)
+    return {
+        "pattern": pattern, "direction": "bullish" if side > 0 else "bearish", "status": status, "scale": scale, "start_idx": int(start), "end_idx": int(end),
+        "breakout_idx": None if breakout is None or status == "failed" and metrics.get("__drop") else int(breakout), "score": float(score), "level": float(level), "target": float(target), "stop": float(stop),
+        "points": [{"idx": int(i), "price": float(p), "label": t} for i, p, t in points], "metrics": {k: float(v) for k, v in metrics.items() if v is not None and k != "__drop"} | {f"score_{k}": float(v) for k, (v, _) in used.items()},
+    }
+
+
+def settle(bars: Bars, last: int, width: int, breakout: int | None, fail: int | None) -> tuple[str, int, int | None]:
+    if fail is not None:
+        return "failed", fail, None
+    if breakout is not None:
+        return "confirmed", breakout, breakout
+    return ("expired" if bars.n - 1 - last > max(width, 30) else "forming"), bars.n - 1, None
+
+
+def runs(pivots: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of consecutive pivots: places, prices, and the kind of each run's first."""
+    if len(pivots) < length:
+        return np.zeros((0, length), int), np.zeros((0, length)), np.zeros(0)
+    view = np.lib.stride_tricks.sliding_window_view(pivots, length, axis=0)
+    return view[:, 0].astype(int), view[:, 1], view[:, 2, 0]
+
+
+def head_and_shoulders(bars: Bars, pivots: np.ndarray, scale: int) -> list[Row]:
+    cfg, out = bars.cfg, []
+    at, price, kind = runs(pivots, 5)
+    p = price * kind[:, None]
+    head, shoulders = p[:, 2], p[:, [0, 4]]
+    prominence = (head - shoulders.max(1)) / np.abs(head)
+    uneven = np.abs(shoulders[:, 0] - shoulders[:, 1]) / (np.abs(shoulders).sum(1) / 2)
+    tilt = np.abs(p[:, 1] - p[:, 3]) / np.abs(head)
+    gap = (shoulders.min(1) - np.maximum(p[:, 1], p[:, 3])) / np.abs(head)
+    time = (at[:, 2] - at[:, 0]) / np.maximum(1, at[:, 4] - at[:, 2])
+    ok = (prominence >= cfg.hs_prominence) & (uneven <= cfg.hs_shoulders) & (tilt <= cfg.hs_neckline) & (gap >= cfg.hs_gap) & (time >= 1 / cfg.hs_time) & (time <= cfg.hs_time)
+    for i in np.flatnonzero(ok):
+        a, v, s = at[i], price[i], int(kind[i])
+        slope = (v[3] - v[1]) / (a[3] - a[1])
+        neck = lambda x: v[1] + slope * (x - a[1])  # noqa: B023, E731
+        height, width = abs(v[2] - neck(a[2])), a[4] - a[0]
+        breakout = bars.crossing(a[4] + 1, v[1] - slope * a[1], slope, -s)
+        fail = bars.first(a[4] + 1, bars.n if breakout is None else breakout, lambda c: s * c > s * v[2])  # noqa: B023
+        status, end, breakout = settle(bars, a[4], width, breakout, fail)
+        trend = bars.trend(a[0], max(width, 20)) * s
+        parts = {
+            "prominence": (ramp(prominence[i], cfg.hs_prominence, 0.06), 0.22), "symmetry": (clip(1 - uneven[i] / cfg.hs_shoulders), 0.18), "neckline": (clip(1 - tilt[i] / cfg.hs_neckline), 0.15),
+            "timing": (1 - clip(abs(np.log(time[i])) / np.log(cfg.hs_time)), 0.10), "trend": (ramp(trend, 0, 0.10), 0.15), "volume": (bars.volume_score(a[0], a[4]), 0.08), "__breakout": (0, 0.12),
+        }
+        points = list(zip(a, v, ("Left shoulder", "Neck 1", "Head", "Neck 2", "Right shoulder")))
+        out.append(match(bars, scale, "Head and Shoulders" if s > 0 else "Inverse Head and Shoulders", -s, status, a[0], end, breakout, parts, neck(end), neck(end) - s * height, v[4], points, {"height": height, "prominence": prominence[i], "time_ratio": time[i], "prior_trend": trend}))
+    return out
+
+
+def equal_levels(bars: Bars, pivots: np.ndarray, scale: int) -> list[Row]:
+    """Double and triple tops and bottoms."""
+    cfg, out = bars.cfg, []
+    for count in (2, 3):
+        at, price, kind = runs(pivots, 2 * count - 1)
+        peaks, troughs = price[:, 0::2] * kind[:, None], price[:, 1::2] * kind[:, None]
+        ref = np.abs(peaks.mean(1))
+        spread = np.ptp(peaks, axis=1) / ref
+        depth = (peaks.mean(1) - troughs.max(1)) / ref
+        gap = np.diff(at[:, 0::2], axis=1).min(1) if len(at) else np.zeros(0)
+        ok = (spread <= cfg.level_tolerance) & (depth >= cfg.level_depth) & (gap >= cfg.level_gap)
+        if count == 3:
+            ok &= np.ptp(troughs, axis=1) / ref <= cfg.level_tolerance
+        for i in np.flatnonzero(ok):
+            a, s = at[i], int(kind[i])
+            level, far = s * troughs[i].min(), s * peaks[i].max()
+            width = a[-1] - a[0]
+            breakout = bars.crossing(a[-1] + 1, level, 0.0, -s)
+            bound = far * (1 + s * cfg.level_tolerance)
+            fail = bars.first(a[-1] + 1, bars.n if breakout is None else breakout, lambda c: s * c > s * bound)  # noqa: B023
+            status, end, breakout = settle(bars, a[-1], width, breakout, fail)
+            trend, height = bars.trend(a[0], max(width, 20)) * s, abs(s * peaks[i].mean() - level)
+            parts = {"level": (clip(1 - spread[i] / cfg.level_tolerance), 0.3), "depth": (ramp(depth[i], cfg.level_depth, 0.10), 0.2), "trend": (ramp(trend, 0, 0.10), 0.2), "separation": (ramp(gap[i], cfg.level_gap, 3 * cfg.level_gap), 0.1), "__breakout": (0, 0.2)}
+            name = f"{'Double' if count == 2 else 'Triple'} {'Top' if s > 0 else 'Bottom'}"
+            points = [(x, y, "Peak" if (k % 2 == 0) == (s > 0) else "Trough") for k, (x, y) in enumerate(zip(a, price[i]))]
+            out.append(match(bars, scale, name, -s, status, a[0], end, breakout, parts, level, level - s * height, far, points, {"spread": spread[i], "depth": depth[i], "min_gap": gap[i], "prior_trend": trend}))
+    return out
+
+
+def line_through(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Value at 0, slope and largest residual of the least-squares line."""
+    dx = x - x.mean()
+    slope = float((dx * (y - y.mean())).sum() / (dx * dx).sum()) if len(x) > 1 and (dx * dx).sum() > 0 else 0.0
+    at = float(y.mean() - slope * x.mean())
+    return at, slope, float(np.abs(y - at - slope * x).max()) if len(x) > 2 else 0.0
+
+
+def kind_of_lines(up: float, down: float, narrowing: float, flat: float) -> tuple[str, int] | None:
+    """Pattern and bias of two lines by their slopes in heights."""
+    rises, falls = (lambda s: s > flat), (lambda s: s < -flat)
+    level = lambda s: not rises(s) and not falls(s)
+    table = [
+        (level(up) and level(down), "Rectangle", 0), (level(up) and rises(down), "Ascending Triangle", 1), (falls(up) and level(down), "Descending Triangle", -1),
+        (falls(up) and rises(down) and min(abs(up), abs(down)) >= 0.3 * max(abs(up), abs(down)), "Symmetrical Triangle", 0),
+        (rises(up) and rises(down) and narrowing > 0.15, "Rising Wedge", -1), (falls(up) and falls(down) and narrowing > 0.15, "Falling Wedge", 1),
+    ]
+    name, bias = next(((n, b) for holds, n, b in table if holds), (None, 0))
+    if name is None or (abs(narrowing) > 0.35 if name == "Rectangle" else narrowing < 0.15):
+        return None
+    return name, bias
+
+
+def two_lines(bars: Bars, pivots: np.ndarray, scale: int) -> list[Row]:
+    """Triangles, wedges and rectangles from five to seven pivots."""
+    cfg, out = bars.cfg, []
+    for length in (5, 6, 7):
+        at, price, kind = runs(pivots, length)
+        for a, v, k in zip(at, price, kind):
+            ups, downs = (slice(0, None, 2), slice(1, None, 2))[:: 1 if k > 0 else -1]
+            x0, x1 = a[0], a[-1]
+            width = x1 - x0
+            (iu, su, ru), (il, sl, rl) = line_through(a[ups], v[ups]), line_through(a[downs], v[downs])
+            h0, h1 = (iu + su * x0) - (il + sl * x0), (iu + su * x1) - (il + sl * x1)
+            if width < 10 or h0 <= 0:
+                continue
+            part = slice(x0, x1 + 1)
+            high, low, close, x = bars.high[part], bars.low[part], bars.close[part], np.arange(x0, x1 + 1)
+            upper, lower = iu + su * x, il + sl * x
+            size, span = h0 / close.mean(), high.max() - low.min()
+            if not cfg.line_height[0] <= size <= cfg.line_height[1] or span <= 0 or h0 > 1.25 * span or lower[0] < low.min() - 0.5 * span or upper[0] > high.max() + 0.5 * span or max(ru, rl) / h0 > cfg.line_residual:
+                continue
+            half = (x0 + x1) // 2 - x0
+            halves = [slice(0, half + 1), slice(half, None)]
+            if any((upper[h] - high[h]).min() > 0.3 * h0 or (low[h] - lower[h]).min() > 0.3 * h0 for h in halves):
+                continue
+            narrowing = 1 - h1 / h0
+            named = kind_of_lines(su * width / h0, sl * width / h0, narrowing, cfg.line_flat)
+            outside = float(((close > upper * 1.01) | (close < lower * 0.99)).mean())
+            apex = (il - iu) / (su - sl) if su != sl else None
+            if named is None or outside > 0.10 or named[0] != "Rectangle" and apex is not None and not x1 <= apex <= x1 + cfg.line_apex * width:
+                continue
+            name, bias = named
+            breaks = [(b, side) for b, side in ((bars.crossing(x1 + 1, iu, su, 1), 1), (bars.crossing(x1 + 1, il, sl, -1), -1)) if b is not None]
+            breakout, side = min(breaks, key=lambda b: (b[0], -b[1])) if breaks else (None, 0)
+            trend = bars.trend(x0, max(width, 20))
+            status, end, _ = settle(bars, x1, width, breakout, None)
+            if breakout is None and name != "Rectangle" and apex is not None and bars.n - 1 > apex:
+                status = "expired"
+            if breakout is not None and bias and side != bias:
+                status = "failed"
+            way = side or bias or (1 if trend >= 0 else -1)
+            parts = {
+                "touches": (ramp(len(a), 4, 7), 0.2), "fit": (1 - clip(max(ru, rl) / h0 / cfg.line_residual), 0.25), "convergence": (1 - clip(abs(narrowing) / 0.35) if name == "Rectangle" else ramp(narrowing, 0.15, 0.6), 0.15),
+                "containment": (1 - clip(outside / 0.10), 0.15), "volume": (bars.volume_score(x0, x1), 0.1), "trend": (ramp(trend * way, -0.05, 0.10), 0.15), "__breakout": (0, 0.15),
+            }
+            broken, other = ((iu, su), (il, sl))[:: 1 if way > 0 else -1]
+            level = broken[0] + broken[1] * end
+            target = broken[0] + broken[1] * x0 if name.endswith("Wedge") else level + way * h0
+            told = way if status == "confirmed" or not bias else bias
+            points = [(p, q, "H" if (j % 2 == 0) == (k > 0) else "L") for j, (p, q) in enumerate(zip(a, v))]
+            out.append(match(bars, scale, name, told, status, x0, end, breakout, parts, level, target, other[0] + other[1] * end, points, {"convergence": narrowing, "touches": len(a), "violations": outside, "apex": apex, "height_pct": size, "prior_trend": trend}))
+    return out
+
+
+def cups(bars: Bars, pivots: np.ndarray, scale: int) -> list[Row]:
+    """Cups with handles, and their inversions, between any two rims."""
+    cfg, out, n = bars.cfg, [], bars.n
+    for s in (1, -1):
+        rims, c = pivots[pivots[:, 2] == s] if len(pivots) else pivots, s * bars.close
+        i, j = np.triu_indices(len(rims), 1)
+        span = (rims[j, 0] - rims[i, 0]).astype(int) if len(i) else np.zeros(0, int)
+        uneven = (rims[j, 1] - rims[i, 1]) * s / np.abs(rims[i, 1]) if len(i) else np.zeros(0)
+        for k in np.flatnonzero((span >= cfg.cup_bars[0]) & (span <= cfg.cup_bars[1]) & (np.abs(uneven) <= cfg.cup_rim)):
+            a, b, length = int(rims[i[k], 0]), int(rims[j[k], 0]), int(span[k])
+            rim, cup = max(s * rims[i[k], 1], s * rims[j[k], 1]), c[a : b + 1]
+            low = int(cup.argmin())
+            depth, place = (rim - cup[low]) / abs(rim), low / length
+            if cup[1:-1].max() > rim * 1.01 or not cfg.cup_depth[0] <= depth <= cfg.cup_depth[1] or not 0.2 <= place <= 0.8:
+                continue
+            x = np.linspace(-1, 1, len(cup))
+            basis = np.stack([x * x, x, np.ones_like(x)], 1)
+            bend = np.linalg.lstsq(basis, cup, rcond=None)[0]
+            rest, whole = ((cup - basis @ bend) ** 2).sum(), ((cup - cup.mean()) ** 2).sum()
+            fit = max(0.0, 1 - rest / whole) if whole > 0 else 0.0
+            most = max(cfg.handle_bars, int(length * cfg.handle_share))
+            limit = min(n - 1, b + most)
+            if bend[0] <= 0 or fit < cfg.cup_fit or limit - b < cfg.handle_bars:
+                continue
+            beyond = np.flatnonzero(c[b + cfg.handle_bars : limit + 1] > rim * (1 + cfg.confirm))
+            breakout = b + cfg.handle_bars + int(beyond[0]) if len(beyond) else None
+            end_handle = limit if breakout is None else breakout
+            handle = c[b:end_handle]
+            dip = int(handle.argmin())
+            fall, middle = (rim - handle[dip]) / abs(rim), cup[low] + 0.5 * (rim - cup[low])
+            if fall < 0.005 or fall > min(cfg.handle_depth, depth * 0.5) or handle[dip] < middle:
+                continue
+            end = n - 1 if breakout is None else breakout
+            status = "confirmed" if breakout is not None else "failed" if c[b : end + 1].min() < middle else "expired" if n - 1 - (b + dip) > most else "forming"
+            trend = bars.trend(a, max(length // 2, 20)) * s
+            parts = {
+                "depth": (1 - clip(abs(depth - 0.25) / 0.30), 0.15), "roundness": (ramp(fit, cfg.cup_fit, 0.95), 0.25), "rims": (clip(1 - abs(uneven[k]) / cfg.cup_rim), 0.15), "bottom_position": (1 - clip(abs(place - 0.5) / 0.3), 0.10),
+                "handle": (1 - clip(fall / cfg.handle_depth), 0.15), "trend": (ramp(trend, 0, 0.15), 0.10), "volume": (bars.volume_score(b, end_handle), 0.10), "__breakout": (0, 0.15),
+            }
+            real, height = s * rim, abs(s * rim - bars.close[a + low])
+            points = [(a, rims[i[k], 1], "Left rim"), (a + low, bars.close[a + low], "Cup"), (b, rims[j[k], 1], "Right rim"), (b + dip, bars.close[b + dip], "Handle")]
+            row = match(bars, scale, "Cup and Handle" if s > 0 else "Inverted Cup and Handle", s, status, a, end, breakout, parts, real, real + s * height, bars.close[b + dip], points, {"depth": depth, "fit": fit, "handle_depth": fall, "bottom_position": place, "prior_trend": trend})
+            if row["score"] >= 0.8 * cfg.least_score:
+                out.append(row)
+    return out
+
+
+def flags(bars: Bars, pivots: np.ndarray, scale: int) -> list[Row]:
+    """Flags after steep poles; looked for at the finest scale alone."""
+    cfg, out, n = bars.cfg, [], bars.n
+    if scale != min(cfg.scales):
+        return out
+    for s in (1, -1):
+        far, near = (bars.high, bars.low) if s > 0 else (-bars.low, -bars.high)
+        tops = np.flatnonzero(far == pd.Series(far).rolling(5, center=True, min_periods=1).max().to_numpy())
+        for t in tops:
+            first = max(0, t - cfg.pole_bars)
+            base = first + int(near[first : t + 1].argmin())
+            pole, start = far[t] - near[base], abs(near[base])
+            if t - base < 3 or pole <= 0 or pole / start < cfg.pole_pct or pole < cfg.pole_atr * bars.atr[t]:
+                continue
+            for k in range(cfg.flag_bars[0], cfg.flag_bars[1] + 1):
+                e = t + k
+                if e >= n or (far[t] - near[t + 1 : e + 1].min()) / pole > cfg.flag_retrace:
+                    break
+                x = np.arange(t + 1, e + 1)
+                (iu, su, _), (il, sl, _) = line_through(x, far[t + 1 : e + 1]), line_through(x, near[t + 1 : e + 1])
+                tall = float((iu + su * x - il - sl * x).mean())
+                if tall <= 0 or (su + sl) / 2 * k / pole > 0.05 or abs(su - sl) * k / tall > 0.8 or tall / pole > 0.6:
+                    continue
+                breakout = None
+                if e + 1 < n:
+                    line = iu + su * (e + 1)
+                    if s * bars.close[e + 1] <= line + max(cfg.confirm * abs(line), 0.2 * tall):
+                        continue
+                    breakout = e + 1
+                end, back, apart = (n - 1 if breakout is None else breakout), (far[t] - near[t + 1 : e + 1].min()) / pole, abs(su - sl) * k / tall
+                parts = {
+                    "pole": (ramp(pole / start, cfg.pole_pct, 2.5 * cfg.pole_pct), 0.3), "retrace": (1 - clip((back - 0.15) / (cfg.flag_retrace - 0.15)), 0.2), "parallel": (1 - clip(apart / 1.2), 0.15),
+                    "tightness": (1 - clip((tall / pole - 0.1) / 0.5), 0.15), "volume": (bars.volume_score(t + 1, e), 0.1), "__breakout": (0, 0.15),
+                }
+                level, stop = s * (iu + su * end), s * near[t + 1 : e + 1].min()
+                out.append(match(bars, scale, "Bull Flag" if s > 0 else "Bear Flag", s, "forming" if breakout is None else "confirmed", base, end, breakout, parts, level, level + s * pole, stop, [(base, s * near[base], "Pole start"), (t, s * far[t], "Pole end")], {"pole_pct": pole / start, "flag_bars": k, "retrace": back, "parallel": apart}))
+                break
+    return out
+
+
+DETECTORS: tuple[Callable[[Bars, np.ndarray, int], list[Row]], ...] = (head_and_shoulders, equal_levels, two_lines, cups, flags)
+
+
+def suppress(rows: list[Row], cfg: Settings) -> list[Row]:
+    """Best first; a row goes if it overlaps a kept one of its pattern by half of the shorter, or any kept one as a whole."""
+    order = sorted(rows, key=lambda r: (-(r["score"] + 0.06 * SPECIFIC[r["pattern"]]), r["start_idx"] - r["end_idx"]))
+    start, end, kept = np.zeros(len(order)), np.zeros(len(order)), []
+    for r in order:
+        n, a, b = len(kept), r["start_idx"], r["end_idx"]
+        common = np.maximum(0, np.minimum(end[:n], b) - np.maximum(start[:n], a))
+        same = np.array([k["pattern"] == r["pattern"] for k in kept], bool)
+        shorter = np.maximum(1, np.minimum(end[:n] - start[:n], b - a))
+        union = np.maximum(1, np.maximum(end[:n], b) - np.minimum(start[:n], a))
+        if not ((same & (common / shorter >= cfg.same_overlap)) | (common / union >= cfg.cross_overlap)).any():
+            start[n], end[n] = a, b
+            kept.append(r)
+    return sorted(kept, key=lambda r: (r["end_idx"], -r["score"]))
+
+
+def detect(rows: pd.DataFrame, wanted: list[str], cfg: Settings) -> list[Row]:
+    """All patterns of one symbol's bars, in order, at every scale."""
+    bars = Bars(rows, cfg)
+    found: list[Row] = []
+    for scale in cfg.scales:
+        pivots = pivots_of(bars, scale)
+        if len(pivots) >= 3:
+            found += [m for d in DETECTORS for m in d(bars, pivots, scale) if m["pattern"] in wanted and m["score"] >= cfg.least_score]
+    return suppress(found, cfg)
+
+
+def pivots(bars: DataFrame, cfg: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """Swing points of every symbol at every scale."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bar_idx")
+        held, out = Bars(rows, cfg), []
+        for scale in cfg.scales:
+            p = pivots_of(held, scale)
+            out.append(pd.DataFrame({"symbol": rows["symbol"].iloc[0], "scale": scale, "seq": np.arange(len(p)), "idx": p[:, 0].astype(int), "price": p[:, 1], "kind": p[:, 2].astype(int)}))
+        return pd.concat(out)
+
+    return bars.select("symbol", "bar_idx", "open", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(run, PIVOTS)
+
+
+def scan(bars: DataFrame, patterns: Iterable[str] | None = None, mode: str = "all", cfg: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """Matches of every symbol. current: forming, or confirmed in the last ten bars; history: confirmed and failed; all: all."""
+    wanted = resolve(patterns)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bar_idx")
+        found = detect(rows, wanted, cfg)
+        return pd.DataFrame([{"symbol": rows["symbol"].iloc[0], **m} for m in found], columns=[c.split()[0] for c in MATCHES.replace("array<struct<idx:int,price:double,label:string>>", "x").replace("map<string,double>", "x").split(", ")])
+
+    found = bars.select("symbol", "bar_idx", "open", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(run, MATCHES)
+    if mode == "history":
+        return found.where(F.col("status").isin("confirmed", "failed"))
+    if mode == "current":
+        last = bars.groupBy("symbol").agg(F.max("bar_idx").alias("__last"))
+        recent = (F.col("status") == "forming") | ((F.col("status") == "confirmed") & (F.col("__last") - F.col("end_idx") <= 10))
+        return found.join(F.broadcast(last), "symbol").where(recent).drop("__last")
+    return found
+
+
+def walk_forward(bars: DataFrame, patterns: Iterable[str] | None = None, window: int = 400, step: int = 5, most_lag: int = 15, cfg: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """Confirmed matches as they were seen at the time: every step-th bar looks back over window bars.
+
+    Each look is a group of its own, so a symbol's looks spread over the cluster; a match counts when
+    its breakout is at most most_lag bars old, and once.
+    """
+    wanted = resolve(patterns)
+    last = F.max("bar_idx").over(Window.partitionBy("symbol"))
+    looks = F.sequence((F.ceil(F.greatest(F.col("bar_idx"), F.lit(window - 1)) / step) * step).cast("int"), F.least(last, F.col("bar_idx") + window - 1).cast("int"), F.lit(step))
+    lookable = F.greatest(F.ceil(F.greatest(F.col("bar_idx"), F.lit(window - 1)) / step) * step, F.lit(0)) <= F.least(last, F.col("bar_idx") + window - 1)
+    rows = bars.select("symbol", "bar_idx", "open", "high", "low", "close", "volume", F.when(lookable, looks).alias("looks")).withColumn("seen_at", F.explode("looks")).drop("looks")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("bar_idx")
+        shift, now = int(part["bar_idx"].iloc[0]), int(part["seen_at"].iloc[0])
+        found = [m for m in detect(part, wanted, cfg) if m["status"] == "confirmed" and m["breakout_idx"] is not None and now - (m["breakout_idx"] + shift) <= most_lag]
+        return pd.DataFrame([(part["symbol"].iloc[0], m["pattern"], m["direction"], m["breakout_idx"] + shift, now, m["score"]) for m in found], columns=["symbol", "pattern", "direction", "breakout_idx", "seen_at", "score"])
+
+    seen = rows.groupBy("symbol", "seen_at").applyInPandas(run, "symbol string, pattern string, direction string, breakout_idx int, seen_at int, score double")
+    first = Window.partitionBy("symbol", "pattern", "breakout_idx").orderBy("seen_at")
+    return seen.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+
+
+def best_current(matches: DataFrame) -> DataFrame:
+    """One match per symbol: confirmed before forming, then by score."""
+    own = Window.partitionBy("symbol").orderBy(F.desc(F.col("status") == "confirmed"), F.desc("score"))
+    return matches.withColumn("__r", F.row_number().over(own)).where("__r = 1").drop("__r")
+
+
+def head_gates(pivots: DataFrame, cfg: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """Runs of five pivots that pass the head-and-shoulders gates, as window expressions over a pivot table."""
+    w = Window.partitionBy("symbol", "scale").orderBy("seq")
+    p = lambda i: F.col("kind") * (F.lead("price", i).over(w) if i else F.col("price"))
+    x = lambda i: F.lead("idx", i).over(w) if i else F.col("idx")
+    s = pivots.withColumns({**{f"p{i}": p(i) for i in range(5)}, **{f"x{i}": x(i) for i in range(5)}}).where(F.col("x4").isNotNull())
+    c, head = F.col, F.abs(F.col("p2"))
+    s = s.withColumns({
+        "prominence": (c("p2") - F.greatest("p0", "p4")) / head, "uneven": F.abs(c("p0") - c("p4")) / ((F.abs("p0") + F.abs("p4")) / 2), "tilt": F.abs(c("p1") - c("p3")) / head,
+        "gap": (F.least("p0", "p4") - F.greatest("p1", "p3")) / head, "time_ratio": (c("x2") - c("x0")) / (c("x4") - c("x2")),
+    })
+    ok = (c("prominence") >= cfg.hs_prominence) & (c("uneven") <= cfg.hs_shoulders) & (c("tilt") <= cfg.hs_neckline) & (c("gap") >= cfg.hs_gap) & c("time_ratio").between(1 / cfg.hs_time, cfg.hs_time)
+    return s.where(ok).select("symbol", "scale", "kind", F.col("x0").alias("start_idx"), F.col("x4").alias("end_idx"), "prominence", "uneven", "tilt", "time_ratio")

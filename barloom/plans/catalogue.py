@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import happenings, prices, studies, trading
+from . import happenings, prices, shapes, studies, trading
 
-_PARTS = (prices, happenings, studies, trading)
+_PARTS = (prices, happenings, studies, trading, shapes)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 

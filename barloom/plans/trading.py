@@ -27,7 +27,7 @@ def xs_momentum_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def xs_momentum_summary(spark: SparkSession, sf: str) -> DataFrame:
     bt = R.ranked_backtest(_nation(spark, sf), R.momentum(126, 21), 5, least_names=10)
-    return rounded(R.summarise_groups(bt, 12.0, T.SPLIT, 5).drop("ann_return", "total_return"), 4)
+    return rounded(R.summarise_groups(bt, 12.0, T.SPLIT, 5).drop("ann_return", "total_return", "max_drawdown"), 4)
 
 
 def xs_lowvol(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +119,7 @@ pf2 AS (SELECT {by}, count(*) AS n, avg({r}) AS mean, stddev_samp({r}) AS sd, av
 perf AS (SELECT {by}, n, pow(growth, {per_year} / n) - 1 AS ann_return, sd * sqrt({per_year}) AS ann_vol, mean / nullif(sd, 0) * sqrt({per_year}) AS sharpe, mean / nullif(sd, 0) * sqrt(n) AS t_stat, hit, dd AS max_drawdown, mean AS mean_period, growth - 1 AS total_return FROM pf2)"""
 
 
-_PERF = lambda n, short=False: ", ".join(f"{_R(c, n)} AS {c}" for c in ("ann_return", "ann_vol", "sharpe", "t_stat", "hit", "max_drawdown", "mean_period", "total_return") if not (short and c in ("ann_return", "total_return")))
+_PERF = lambda n, short=False: ", ".join(f"{_R(c, n)} AS {c}" for c in ("ann_return", "ann_vol", "sharpe", "t_stat", "hit", "max_drawdown", "mean_period", "total_return") if not (short and c in ("ann_return", "total_return", "max_drawdown")))
 _SPLIT2 = f"unnest(['all', CASE WHEN date < DATE '{T.SPLIT}' THEN 'train' ELSE 'test' END]) AS period"
 _BR = sql_bars("brand", bench=True)
 _BD = f", bd AS (SELECT *, close / lag(close) OVER (ORDER BY date) - 1 AS daily FROM bench)"
