@@ -30,6 +30,8 @@ LONG = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = 128
+#: Pairs that the frequencies of single characters count as.
+WEIGHT = 20.0
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -54,14 +56,19 @@ def train(samples: DataFrame) -> Ratios:
     codes = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.ascii(F.substring(F.col("token"), i, F.lit(1))) * SIZE + F.ascii(F.substring(F.col("token"), i + 1, F.lit(1))))
     pairs = samples.where((F.length("token") >= 2) & F.col("token").rlike(f"^[{ALPHABET}]+$")).select("random", F.explode(codes).alias("pair"))
     counts = {(r["random"], r["pair"]): r["count"] for r in pairs.where(F.col("random").isNotNull()).groupBy("random", "pair").count().collect()}
-    table = [0.0] * (SIZE * SIZE)
     letters = [ord(c) for c in ALPHABET]
+    table = [0.0] * (SIZE * SIZE)
+    if not counts:
+        return Ratios(tuple(table))
+    # a pair's probability leans on how frequent its second character is at all, as a rare first one tells little
+    alone = {k: [sum(counts.get((k, a * SIZE + b), 0) for a in letters) for b in letters] for k in (True, False)}
+    share = {k: [(n + 0.5) / (sum(v) + 0.5 * len(letters)) for n in v] for k, v in alone.items()}
     for a in letters:
         rows = {k: [counts.get((k, a * SIZE + b), 0) for b in letters] for k in (True, False)}
         sums = {k: sum(v) for k, v in rows.items()}
         for i, b in enumerate(letters):
-            p, q = ((rows[k][i] + 0.5) / (sums[k] + 0.5 * len(letters)) for k in (True, False))
-            table[a * SIZE + b] = math.log(p / q) if counts else 0.0
+            p, q = ((rows[k][i] + WEIGHT * share[k][i]) / (sums[k] + WEIGHT) for k in (True, False))
+            table[a * SIZE + b] = math.log(p / q)
     return Ratios(tuple(table))
 
 
