@@ -59,7 +59,7 @@ def with_forward(bars: DataFrame, horizons: list[int], how: Convention = NEXT_OP
 
     local_h is the mean over all random entries, the limit of many draws. Needs bench_open and bench_close.
     """
-    w = Window.partitionBy("symbol").orderBy(order)
+    w = Window.partitionBy("symbol").orderBy("date" if order == "bar_idx" and "date" in bars.columns else order)  # one order, one sort
     last = F.max(order).over(Window.partitionBy("symbol"))
     entry = F.lead(how.entry, how.entry_shift).over(w) if how.entry_shift else F.col(how.entry)
     start = F.lead(f"bench_{how.bench_field}", how.bench_shift).over(w) if how.bench_shift else F.col(f"bench_{how.bench_field}")
@@ -77,15 +77,25 @@ def with_forward(bars: DataFrame, horizons: list[int], how: Convention = NEXT_OP
         sound = F.when((place >= 1) & (place <= F.col("__last") + 1 - h - how.margin), F.col(f"ret_{h}"))
         near[f"__c_{h}"] = sound
     out = out.withColumns(near)
-    means = {}
+    # sums over the bars near each bar are differences of running sums, so a bar costs the same whatever the window
+    running, means = {}, {}
+    everything = Window.partitionBy("symbol")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     for h in horizons:
         c = F.col(f"__c_{h}")
-        frames = [w.rowsBetween(-how.window, -h - 1), w.rowsBetween(h + 1, how.window)] if h < how.window else []
-        n = sum((F.count(c).over(f) for f in frames), F.lit(0))
-        total = sum((F.coalesce(F.sum(c).over(f), F.lit(0.0)) for f in frames), F.lit(0.0))
+        running |= {f"__s_{h}": F.sum(F.coalesce(c, F.lit(0.0))).over(so_far), f"__n_{h}": F.count(c).over(so_far), f"__st_{h}": F.sum(F.coalesce(c, F.lit(0.0))).over(everything), f"__nt_{h}": F.count(c).over(everything)}
+    out = out.withColumns(running)
+    for h in horizons:
+
+        def near_sum(x: str) -> Column:
+            before = F.coalesce(F.lag(f"__{x}_{h}", h + 1).over(w), F.lit(0)) - F.coalesce(F.lag(f"__{x}_{h}", how.window + 1).over(w), F.lit(0))
+            after = F.coalesce(F.lead(f"__{x}_{h}", how.window).over(w), F.col(f"__{x}t_{h}")) - F.coalesce(F.lead(f"__{x}_{h}", h).over(w), F.col(f"__{x}t_{h}"))
+            return before + after if h < how.window else F.lit(0)
+
+        n = near_sum("n")
         means[f"n_local_{h}"] = n.cast("int")
-        means[f"local_{h}"] = F.when(n >= 5, F.try_divide(total, n))
-    return out.withColumns(means).drop("__bench", "__last", *near)
+        means[f"local_{h}"] = F.when(n >= 5, F.try_divide(near_sum("s"), n))
+    return out.withColumns(means).drop("__bench", "__last", *near, *running)
 
 
 def narrow(events: DataFrame, horizons: list[int], keep: list[str]) -> DataFrame:
@@ -99,16 +109,20 @@ def narrow(events: DataFrame, horizons: list[int], keep: list[str]) -> DataFrame
 def cooldown(hits: DataFrame, keys: list[str], gap: int, at: str = "bar_idx") -> DataFrame:
     """hits that are at least gap after the last one kept of their key: a hit that is dropped drops no others.
 
-    The positions of a key are folded in order; a key has as many as its symbol has bars.
+    The hits of a key are gathered once and folded in order; a key has no more than its symbol has
+    bars. Hits at the same position stay or go together.
     """
-    kept = F.aggregate(
-        "__all", F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, x: F.when(acc["last"].isNull() | (x - acc["last"] >= gap), F.struct(x.alias("last"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc),
-        lambda acc: acc["out"],
-    )
-    folded = hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(at).cast("long"))).alias("__all"))
-    chosen = folded.select(*keys, F.explode(kept).alias(at)).withColumn(at, F.col(at).cast(hits.schema[at].dataType))
-    return hits.join(chosen, [*keys, at], "left_semi")
+    others = [c for c in hits.columns if c not in keys and c != at]
+    own = F.array_sort(F.collect_list(F.struct(at, *others)))
+    gathered = hits.groupBy(*keys).agg(own.alias("__all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = acc["last"].isNull() | (x[at] - acc["last"] >= gap) | (x[at] == acc["last"])
+        return F.when(fits, F.struct(x[at].cast("long").alias("last"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc)
+
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.filter("__all", lambda x: F.lit(False)).alias("out"))
+    kept = F.aggregate("__all", start, step, lambda acc: acc["out"])
+    return gathered.select(*keys, F.explode(kept).alias("__x")).select(*keys, "__x.*").select(*hits.columns)
 
 
 def room(horizons: list[int], extra: int = 1, order: str = "bar_idx") -> Column:
@@ -222,8 +236,8 @@ def reversals(dense: DataFrame, bench: DataFrame, thresholds: list[float] = [2.0
 def bases(bars: DataFrame, bench: DataFrame, horizons: list[int] = [20, 60], gap: int = 30, state: Column | None = None) -> DataFrame:  # noqa: B006
     """Tight ranges after a fall, gap bars apart, and whether the price later left them upward or downward."""
     rich = with_forward(align_benchmark(I.with_volume_context(bars), bench), horizons).withColumn("__room", room(horizons))
-    later = {f"up_{h}": F.lead("close", h).over(Window.partitionBy("symbol").orderBy("bar_idx")) > F.col("high15") for h in horizons}
-    later |= {f"down_{h}": F.lead("close", h).over(Window.partitionBy("symbol").orderBy("bar_idx")) < F.col("low15") for h in horizons}
+    later = {f"up_{h}": F.lead("close", h).over(Window.partitionBy("symbol").orderBy("date")) > F.col("high15") for h in horizons}
+    later |= {f"down_{h}": F.lead("close", h).over(Window.partitionBy("symbol").orderBy("date")) < F.col("low15") for h in horizons}
     held = F.col("base") if state is None else state
     hits = rich.withColumns(later).where(held & F.col("__room") & (F.col("bar_idx") >= 260) & F.col("base_volume").isNotNull())
     return cooldown(hits, ["symbol"], gap).where(F.col("entry") > 0).drop("__room")

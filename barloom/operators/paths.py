@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 def with_path(bars: DataFrame, length: int, order: str = "bar_idx") -> DataFrame:
     """bars with the path of a trade entered at the next open: k, and open, high, low and close over the entry price less 1."""
+    order = "date" if order == "bar_idx" and "date" in bars.columns else order
     ahead = Window.partitionBy("symbol").orderBy(order).rowsBetween(1, length)
     ahead_bars = F.collect_list(F.struct("open", "high", "low", "close")).over(ahead)
     entry = F.lead("open").over(Window.partitionBy("symbol").orderBy(order))

@@ -14,4 +14,5 @@ ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.OR
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["sma_strict"](spark, sf_dir)
+    """Bars, means, crosses, next-open entries, forward returns and their statistics, end to end."""
+    return studies.sma_cross_study(spark, sf_dir)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scores import welch
+from ..functions.frames import shift
+from ..functions.scores import periods, t_stat, welch, wilson
 from ..operators import events as E
+from ..operators import indicators as I
 from ..operators import stats as S
 from ..sources import bars as B
 from . import tables as T
-from .happenings import SQL_NARROW, _R, rally_narrow
+from .happenings import SQL_NARROW, NEXT_OPEN, _R, rally_narrow, sql_bench, sql_forward
 from .tables import rounded
 
 SPLIT = T.SPLIT
@@ -97,8 +99,22 @@ def year_by_rule(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ev.groupBy("year").pivot("rule", list(E.WINDOW_RULES)).agg(F.avg("xlocal")))
 
 
+def sma_cross_study(spark: SparkSession, sf: str, fast: int = 5, slow: int = 20) -> DataFrame:
+    """Closes of the fast mean above the slow one, entered at the next open: results by horizon in all, train and test."""
+    bars = T.bars_flag(spark, sf)
+    rich = E.with_forward(E.align_benchmark(I.with_sma(bars, fast, slow), B.benchmark(bars)), [5, 10, 20])
+    above = F.col(f"sma{fast}") > F.col(f"sma{slow}")
+    crossed = rich.withColumns({"above": above, "above_before": shift(above)}).where("above AND NOT above_before").withColumn("rule", F.lit("cross"))
+    rows = E.narrow(crossed, [5, 10, 20], ["rule", "symbol", "date"]).where(F.col("ret").isNotNull())
+    out = rows.select("*", F.explode(periods(F.col("date"), SPLIT)).alias("period")).groupBy("period", "h").agg(
+        F.count("*").alias("n"), F.count_if(F.col("ret") > 0).alias("hits"), F.avg("ret").alias("mean"), F.avg("xbench").alias("xbench"), F.avg("xlocal").alias("xlocal"), t_stat(F.col("xlocal")).alias("t")
+    )
+    low, high = wilson(F.col("hits"), F.col("n"))
+    return rounded(out.select("period", "h", "n", "mean", (F.col("hits") / F.col("n")).alias("hit"), low.alias("hit_low"), high.alias("hit_high"), "xbench", "xlocal", "t"))
+
+
 QUERIES = {f.__name__: f for f in (
-    study_summary_rollup, rally_table, rally_verdicts, calibration_bins, spearman_rank, score_thresholds, breakdown_year, permutation_moments, condition_study,
+    sma_cross_study, study_summary_rollup, rally_table, rally_verdicts, calibration_bins, spearman_rank, score_thresholds, breakdown_year, permutation_moments, condition_study,
     condition_verdicts, labelled_groups, feature_terciles, feature_consistency, welch_doji_vs_rest, bootstrap_interval, year_by_rule,
 )}
 
@@ -115,6 +131,10 @@ ed AS (SELECT feature, quantile_cont(value, {1 / 3}) AS e1, quantile_cont(value,
 tc AS MATERIALIZED (SELECT lf.feature, period, CAST(1 + (e1 < value)::INT + (e2 < value)::INT AS INT) AS bin, count(*) AS n, avg(ret) AS ret, avg(xlocal) AS xlocal FROM lf JOIN ed USING (feature) GROUP BY ALL)"""
 
 ORACLES = {
+    "sma_cross_study": T.sql_bars("flag", bench=True) + sql_bench("bars") + sql_forward("al", [5, 10, 20], *NEXT_OPEN) + f""", sm AS (SELECT *, ({T.roll('avg', 'close', 5)}) > ({T.roll('avg', 'close', 20)}) AS ab FROM fw), sx AS (SELECT *, {T.lag('ab')} AS ab1 FROM sm),
+sn AS (SELECT date, x.h, x.r AS ret, x.r - x.b AS xbench, x.r - x.l AS xlocal, unnest(['all', CASE WHEN date < DATE '{SPLIT}' THEN 'train' ELSE 'test' END]) AS period FROM sx, LATERAL (VALUES (5, ret_5, bench_5, local_5), (10, ret_10, bench_10, local_10), (20, ret_20, bench_20, local_20)) x(h, r, b, l) WHERE ab AND NOT ab1 AND x.r IS NOT NULL),
+sg AS (SELECT period, h, count(*) AS n, count(*) FILTER (ret > 0) AS hits, avg(ret) AS mean, avg(xbench) AS xbench, avg(xlocal) AS xlocal, {_T} AS t FROM sn GROUP BY period, h)
+SELECT period, h, n, {_R('mean')} AS mean, {_R('hits / n')} AS hit, {_R('(hits/n + 1.96*1.96/(2*n) - 1.96*sqrt(hits/n*(1-hits/n)/n + 1.96*1.96/(4*n*n))) / (1 + 1.96*1.96/n)')} AS hit_low, {_R('(hits/n + 1.96*1.96/(2*n) + 1.96*sqrt(hits/n*(1-hits/n)/n + 1.96*1.96/(4*n*n))) / (1 + 1.96*1.96/n)')} AS hit_high, {_R('xbench')} AS xbench, {_R('xlocal')} AS xlocal, {_R('t')} AS t FROM sg""",
     "study_summary_rollup": SQL_NARROW + f""", sm AS (SELECT CASE WHEN grouping(rule) = 1 THEN 'ALL' ELSE rule END AS rule, h, count(*) AS n, count(DISTINCT symbol) AS symbols, avg(ret) AS mean, quantile_cont(ret, 0.5) AS median, count(*) FILTER (ret > 0) AS hits, avg(xbench) AS xbench, avg(xlocal) AS xlocal, {_T} AS t, {_PF} AS profit_factor FROM nv WHERE ret IS NOT NULL GROUP BY GROUPING SETS ((rule, h), (h)))
 SELECT rule, h, n, symbols, {_R('mean')} AS mean, {_R('median')} AS median, {_R('hits / n')} AS hit, {_R('(hits/n + 1.96*1.96/(2*n) - 1.96*sqrt(hits/n*(1-hits/n)/n + 1.96*1.96/(4*n*n))) / (1 + 1.96*1.96/n)')} AS hit_low, {_R('(hits/n + 1.96*1.96/(2*n) + 1.96*sqrt(hits/n*(1-hits/n)/n + 1.96*1.96/(4*n*n))) / (1 + 1.96*1.96/n)')} AS hit_high, {_R('xbench')} AS xbench, {_R('xlocal')} AS xlocal, {_R('t')} AS t, {_R('profit_factor')} AS profit_factor FROM sm""",
     "rally_table": SQL_NARROW + _BY_PERIOD + f" SELECT period, rule, h, CAST(n AS BIGINT) AS n, {_R('net')} AS net, {_R('hit')} AS hit, {_R('xbench')} AS xbench, {_R('xlocal')} AS xlocal, years_positive, years, {_R('t')} AS t FROM bt",
