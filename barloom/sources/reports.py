@@ -12,7 +12,7 @@ def markdown_tables(texts: DataFrame) -> DataFrame:
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
     w = Window.partitionBy("id").orderBy("line")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     s = lines.withColumns({"section": F.last(F.when(F.col("value").rlike(r"^##+ "), F.regexp_replace("value", r"^#+\s+", "")), ignorenulls=True).over(so_far), "is_row": F.col("value").rlike(r"^\s*\|"), "rule": F.col("value").rlike(r"^\s*\|[\s:|-]+$")})
     s = s.withColumns({"head": F.when(F.lead("rule").over(w) & F.col("is_row"), cells), "cells": F.when(F.col("is_row"), cells)})
     s = s.withColumn("names", F.last("head", ignorenulls=True).over(so_far)).where(F.col("is_row") & ~F.col("rule") & F.col("head").isNull())
