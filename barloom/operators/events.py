@@ -277,17 +277,17 @@ def as_of(left: DataFrame, right: DataFrame, forward: bool = False, strict: bool
     Both are laid on one line per symbol and the nearest row of the other kind is carried along, so
     a symbol costs a sort of its rows and no pair is ever made. Without a match date is null.
     """
-    keyed = left.withColumn("__id", F.monotonically_increasing_id())
     rank = (0 if strict else 1) if forward else 1
-    line = keyed.select("symbol", F.col("event_date").alias("day"), F.lit(1 - rank if forward else 1).alias("kind"), "__id", F.lit(None).cast("date").alias("date"))
-    bars = right.select("symbol", F.col("date").alias("day"), F.lit(rank if forward else 0).alias("kind"), F.lit(None).cast("long").alias("__id"), "date")
+    asked = left.select("symbol", "event_date").distinct()
+    line = asked.select("symbol", F.col("event_date").alias("day"), F.lit(1 - rank if forward else 1).alias("kind"), F.lit(True).alias("asked"), F.lit(None).cast("date").alias("date"))
+    bars = right.select("symbol", F.col("date").alias("day"), F.lit(rank if forward else 0).alias("kind"), F.lit(False).alias("asked"), "date")
     w = Window.partitionBy("symbol").orderBy("day", "kind")
     if forward:
         found = F.first("date", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     else:
         found = F.last("date", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    told = line.unionByName(bars).withColumn("date", found).where(F.col("__id").isNotNull()).select("__id", "date")
-    return keyed.join(told, "__id").drop("__id")
+    told = line.unionByName(bars).withColumn("date", found).where("asked").select("symbol", F.col("day").alias("event_date"), "date")
+    return left.join(told, ["symbol", "event_date"], "left")
 
 
 def hashed_baseline(events: DataFrame, bars: DataFrame, h: int, draws: int = 10, seed: int = 1, how: Convention = NEXT_OPEN) -> DataFrame:

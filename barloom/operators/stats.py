@@ -101,11 +101,11 @@ def permutation_moments(draws: DataFrame, by: list[str]) -> DataFrame:
 
 
 def bootstrap_ci(rows: DataFrame, x: str, by: list[str], reps: int = 500, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean by Poisson weights: each row counts a hashed number of times in each replicate."""
+    """Percentile interval of the mean by Poisson weights: each row counts a number of times in each replicate that its columns' hash gives."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("__row"), F.col("__rep")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]  # of the Poisson law with mean 1
     weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    held = rows.where(F.col(x).isNotNull()).withColumn("__row", F.monotonically_increasing_id()).select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("__rep")).withColumn("__w", weight)
+    held = rows.where(F.col(x).isNotNull()).withColumn("__row", F.xxhash64(*rows.columns)).select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("__rep")).withColumn("__w", weight)
     means = held.groupBy(*by, "__rep").agg(F.try_divide(F.sum(F.col(x) * F.col("__w")), F.sum("__w")).alias("m"))
     return means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
 
