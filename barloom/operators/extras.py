@@ -106,11 +106,10 @@ def slot_portfolio(dense: DataFrame, target: float, stop: float | None, slots: i
     """date, value and positions of a portfolio with so many slots, filled by eligible stocks in a hashed order.
 
     What is bought depends on which slots are free, so this is one ordered walk over the calendar: one
-    task reads the panel. A day's candidates are ranked before, and only as many as there are slots
-    twice over reach that task.
+    task reads every bar of the panel, for any of them may be an exit of a held stock or an entry of
+    one chosen the day before. A chosen stock without a bar on the day gives way to the next in order.
     """
-    w = Window.partitionBy("symbol").orderBy("t")
-    rows = dense.where(F.col("close").isNotNull()).withColumn("next_open", F.lead("open").over(w))
+    rows = dense.where(F.col("close").isNotNull())
     pick = F.row_number().over(Window.partitionBy("t").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", F.col("t").cast("string")))))
     ranked = rows.where(F.col("t") >= start).withColumn("pick", pick).select("symbol", "t", "date", "open", "high", "low", "close", "pick")
 
@@ -134,11 +133,11 @@ def slot_portfolio(dense: DataFrame, target: float, stop: float | None, slots: i
             for s in closed:
                 del held[s]
             value *= 1 + gains
-            waiting = [s for s in day["symbol"] if s not in held][: slots - len(held)]
+            waiting = [s for s in day["symbol"] if s not in held]
             out.append((day["date"].iloc[0], value, len(held)))
         return pd.DataFrame(out, columns=["date", "value", "positions"])
 
-    return ranked.where(F.col("pick") <= 2 * slots).groupBy(F.lit("all")).applyInPandas(walk, "date date, value double, positions int")
+    return ranked.groupBy(F.lit("all")).applyInPandas(walk, "date date, value double, positions int")
 
 
 def wedge_geometry(matches: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import extras as X
 from ..sources import bars as B
-from ..sources import synthetic as Y
 from . import tables as T
 from .happenings import SQL_RALLY, _R, rally
 from .tables import lag, roll, rounded, sql_bars
@@ -32,8 +31,9 @@ def entry_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def slot_portfolio(spark: SparkSession, sf: str) -> DataFrame:
-    """On made-up walks: the driver's prices would multiply a portfolio beyond any number's reach."""
-    return rounded(X.slot_portfolio(B.densify(Y.random_walk(spark, 30, 500)), 0.03, 0.05, 10, 40))
+    """The value as a logarithm: the tables' prices swing past the stop on most days, and what is left soon rounds to nothing."""
+    rows = X.slot_portfolio(B.densify(T.bars_brand(spark, sf)), 0.03, 0.05, 10, 40)
+    return rounded(rows.select("date", F.log("value").alias("log_value"), "positions"))
 
 
 def price_context(spark: SparkSession, sf: str) -> DataFrame:

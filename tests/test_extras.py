@@ -1,5 +1,8 @@
 """Folds and made-up bars."""
 
+import datetime
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -48,6 +51,42 @@ def test_slots_are_never_overfilled(spark):
     assert len(rows) == 250 and max(r["positions"] for r in rows) <= 3 and rows[-1]["value"] > 0
 
 
+def test_slots_see_every_bar(spark):
+    """Against the walk in plain Python, with many more symbols than slots and days without a bar."""
+    dense = B.densify(Y.random_walk(spark, 15, 120).where("pmod(xxhash64(symbol, bar_idx), 6) > 0"))
+    days: dict[int, dict[str, object]] = {}
+    for r in dense.where("close IS NOT NULL AND t >= 10").collect():
+        days.setdefault(r["t"], {})[r["symbol"]] = r
+    held, value, order, want = {}, 1.0, [], []
+    for t in sorted(days):
+        for s in order:
+            if s in days[t] and len(held) < 2:
+                held[s] = (days[t][s]["open"], t)
+        gain = 0.0
+        for s, (price, since) in list(held.items()):
+            if r := days[t].get(s):
+                out = price * 0.96 if r["low"] <= price * 0.96 else price * 1.03 if r["high"] >= price * 1.03 else r["close"] if t - since >= 8 else None
+                if out is not None:
+                    gain += (out / price - 1 - 0.0005) / 2
+                    del held[s]
+        value *= 1 + gain
+        order = [s for s in sorted(days[t], key=lambda s: hashlib.md5(f"0|{s}|{t}".encode()).hexdigest()) if s not in held]
+        want.append((value, len(held)))
+    got = X.slot_portfolio(dense, 0.03, 0.04, slots=2, hold=9, start=10).orderBy("date").collect()
+    assert [r["positions"] for r in got] == [n for _, n in want] and [r["value"] for r in got] == pytest.approx([v for v, _ in want])
+
+
+def test_slot_query_reads_its_tables(spark, tmp_path):
+    from barloom.plans import more
+
+    day = datetime.date(1995, 1, 2)
+    lines = [(i, 1, i % 4, 1, 1000.0 + i % 7, 1.0, day + datetime.timedelta(i // 4), "N") for i in range(4 * 230)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate date, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"Brand#{k}") for k in range(4)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    rows = more.slot_portfolio(spark, str(tmp_path)).orderBy("date").collect()
+    assert [r["date"] for r in rows] == [day + datetime.timedelta(d) for d in range(200, 230)] and max(r["positions"] for r in rows) == 4
+
+
 def test_price_context(spark):
     bars = Y.random_walk(spark, 1, 300)
     p, r = bars.orderBy("bar_idx").toPandas(), X.price_context(bars).first()
