@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from barloom.llm import decontaminate, language, mixing, near_dup, sharding
 from barloom.llm.common import cut, join_small, table
@@ -27,15 +28,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
-    dropped = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return without(docs, dropped)
+    """One document of each group of near duplicates: the one with the least doc_id, null coming last.
+
+    Documents without a doc_id that have the same text share their key, so one of them is left.
+    """
+    dropped = near_dup.near_duplicates(keyed(docs)).where(~F.col("kept"))
+    left = without(docs, dropped)
+    nameless = left.where(F.col("doc_id").isNull() & F.col("text").isNotNull())
+    one = nameless.groupBy(row_key(docs).alias("__key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return left.where(F.col("doc_id").isNotNull() | F.col("text").isNull()).unionByName(one)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, exactly or with few edits."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, hits.select("doc_id").distinct())
+    return without(docs, decontaminate.contaminated(keyed(docs), table(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +55,26 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A text of doc_id and a hash of the row's text that is never null and sorts like doc_id, nulls last.
+
+    Numbers are padded, so that they sort as text; other kinds sort as their texts do.
+    """
+    own = F.col("doc_id")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        own = F.lpad((own.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("0"), own.cast("string")), F.lit("1")), F.lit("\0"), F.coalesce(F.md5("text"), F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text with the row's key as doc_id, which tells rows with a null or shared doc_id apart."""
+    return docs.select(row_key(docs).alias("doc_id"), "text")
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less those whose doc_id is among dropped; the dropped ids are broadcast only if few."""
-    told = cut(dropped.where(F.col("doc_id").isNotNull()).withColumn("__gone", F.lit(True)))
-    return join_small(docs, told, ["doc_id"]).where(F.col("__gone").isNull()).drop("__gone")
+    """docs less the rows whose key is among the doc_ids of dropped; dropped ones are broadcast only if few."""
+    told = cut(dropped.select(F.col("doc_id").alias("__key")).distinct().withColumn("__gone", F.lit(True)))
+    return join_small(docs.withColumn("__key", row_key(docs)), told, ["__key"]).where(F.col("__gone").isNull()).select(*docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -65,6 +65,29 @@ def docs_schema():
     return "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def test_rows_with_null_and_shared_ids(spark, tables):
+    """Decisions hold for the row that they were made on: not only for rows with an id, and not for all that share one."""
+    sf, _, bench = tables
+    rng = random.Random(8)
+    one, two, three, four, five = (text(rng, 60) for _ in range(5))
+    near = " ".join(changed(rng, one.split(), 1))
+    rows = [(-7, one), (3, one), (None, one), (None, near), (2, near), (2, two), (None, three), (None, three), (None, "  "), (None, None), (None, None), (4, four), (4, bench[0]), (None, five), (None, bench[1]), (12, two)]
+    docs = spark.createDataFrame([(d, t, "xx", "a", 0) for d, t in rows], docs_schema())
+    key = lambda r: (str(r[0]), str(r[1]))
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=key)
+    apart = corpus_pipeline.cut(corpus_pipeline.drop_near_duplicates(spark, docs, sf))
+    assert apart.schema == docs.schema
+    want = [(-7, one), (2, two), (None, three), (None, "  "), (None, None), (None, None), (4, four), (4, bench[0]), (None, five), (None, bench[1])]
+    assert told(apart) == sorted(want, key=key)
+    assert told(corpus_pipeline.decontaminate_benchmark(spark, apart, sf)) == sorted((r for r in want if r[1] not in bench), key=key)
+
+
+def test_keys_sort_like_ids(spark):
+    docs = spark.createDataFrame([(d, "x") for d in (-(1 << 63), -10, -9, 0, 2, 10, (1 << 63) - 1, None)], "doc_id long, text string")
+    keys = [r[0] for r in docs.select(corpus_pipeline.row_key(docs)).collect()]
+    assert None not in keys and keys == sorted(set(keys))
+
+
 def test_run_gives_the_last_stage(spark, tables):
     rows = corpus_pipeline.run(spark, tables[0])
     assert rows.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and rows.count() > 0
