@@ -51,7 +51,7 @@ class Engine:
     def scan(self, patterns: Iterable[str] | None = None, mode: str = "all", settings: C.Settings = C.Settings()) -> DataFrame:  # noqa: B008
         return C.scan(self.bars, patterns, mode, settings)
 
-    def walk_forward(self, patterns: Iterable[str] | None = None, window: int = 400, step: int = 5) -> DataFrame:
+    def walk_forward(self, patterns: Iterable[str] | None = None, window: int = 400, step: int = 1) -> DataFrame:
         return C.walk_forward(self.bars, patterns, window, step)
 
     def events(self, family: str, horizons: list[int] = [5, 10, 20], **options: object) -> DataFrame:  # noqa: B006

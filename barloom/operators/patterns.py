@@ -493,7 +493,7 @@ def scan(bars: DataFrame, patterns: Iterable[str] | None = None, mode: str = "al
     return found
 
 
-def walk_forward(bars: DataFrame, patterns: Iterable[str] | None = None, window: int = 400, step: int = 5, most_lag: int = 15, cfg: Settings = Settings()) -> DataFrame:  # noqa: B008
+def walk_forward(bars: DataFrame, patterns: Iterable[str] | None = None, window: int = 400, step: int = 1, most_lag: int = 15, cfg: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Confirmed matches as they were seen at the time: every step-th bar looks back over window bars.
 
     Each look is a group of its own, so a symbol's looks spread over the cluster; a match counts when

@@ -54,11 +54,8 @@ def patterns_current(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """Point-in-time looks over the last 500 bars."""
-    bars = _smooth(spark, sf)
-    last = F.max("bar_idx").over(Window.partitionBy("symbol"))
-    recent = bars.withColumn("__last", last).where("bar_idx > __last - 500").drop("__last")
-    return rounded(P.walk_forward(recent.withColumn("bar_idx", F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1), window=300, step=20, most_lag=20))
+    """Point-in-time looks at every bar."""
+    return rounded(P.walk_forward(_smooth(spark, sf), window=400, step=1, most_lag=15))
 
 
 QUERIES = {f.__name__: f for f in (extrema_candidates, pivots_by_scale, hs_gates_from_pivots, patterns_scan, patterns_current, walk_forward)}
