@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of our own only where none is set, as in tests."""
+    """The shared folder of the session. Where none is set, a local session gets one of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "barloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -56,6 +61,15 @@ def release(*cuts: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the tables that are cut inside when it ends, but for those put on the list it gives."""
+    before, keep = set(_PATHS), []
+    yield keep
+    held = {id(df) for df in keep}
+    release(*[df for key, (df, _) in list(_PATHS.items()) if key not in before and key not in held])
+
+
 def bound_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts can be long, so Python workers get few at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

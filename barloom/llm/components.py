@@ -19,14 +19,15 @@ def _least(both: DataFrame) -> DataFrame:
     return both.join(least, F.col("u") == F.col("w")).drop("w")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and component (the least node that it reaches) for every node with a link.
 
-    links: a, b. Loops and repeated links do no harm; without links the result is empty.
+    links: a, b. Loops and repeated links do no harm; without links the result is empty. Rounds go
+    on until one changes nothing; their number grows with the logarithm of the number of links.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u keeps its smaller neighbours and itself, all linked to the least

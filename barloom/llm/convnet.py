@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, join_small
+from .common import bound_batches, cut, join_small, release
 from .tokens import blocks
 
 WIDTH = 4
 STEP = 64  #: bytes of a block; a chunk is CHUNK blocks, and starts CHUNK - 1 blocks after the one before
 CHUNK = 4
+#: Chunks of a long text that are scored at once.
+CHUNKS_A_PIECE = 1 << 11
 
 
 @dataclass
@@ -38,7 +40,7 @@ class Net:
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each between at least WIDTH - 1 zeros and filled to whole blocks, and the block at which each starts."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    n_blocks = -(-(sizes + 2 * (WIDTH - 1)) // STEP)
+    n_blocks = blocks_of(sizes)
     start = np.concatenate([[0], np.cumsum(n_blocks)])
     data = np.zeros(start[-1] * STEP + WIDTH, np.uint8)
     for t, at in zip(texts, start[:-1] * STEP + WIDTH - 1):
@@ -46,6 +48,10 @@ def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, start
 
 
+def blocks_of(sizes: np.ndarray) -> np.ndarray:
+    return -(-(sizes + 2 * (WIDTH - 1)) // STEP)
+
+
 def chunks_of(start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last block of each chunk, and the first chunk of each text."""
     n_blocks = np.diff(start)
@@ -93,7 +99,30 @@ def combine(net: Net, chunk: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return 1 / (1 + np.exp(-np.clip(z, -40, 40))), mean, most
 
 
+def long_pooled(net: Net, text: bytes) -> np.ndarray:
+    """Max-pooled outputs by chunk and filter of one text, laid out and read CHUNKS_A_PIECE chunks at a time."""
+    n_blocks = int(blocks_of(np.array([len(text)]))[0])
+    n_chunks, out = max(1, -(-(n_blocks - 1) // (CHUNK - 1))), []
+    for k in range(0, n_chunks, CHUNKS_A_PIECE):
+        low = k * (CHUNK - 1)
+        high = min(n_blocks, (k + CHUNKS_A_PIECE) * (CHUNK - 1) + 1)
+        data = np.zeros((high - low) * STEP + WIDTH, np.uint8)
+        begin = low * STEP - (WIDTH - 1)  # of the piece, in the text
+        piece = np.frombuffer(text[max(0, begin) : begin + len(data)], np.uint8)
+        data[max(0, -begin) : max(0, -begin) + len(piece)] = piece
+        first, last, _ = chunks_of(np.array([0, high - low]))
+        top = []
+        for values in outputs(net, data, (high - low) * STEP):
+            by_block = np.append(values.reshape(-1, STEP).max(1), np.float32(-np.inf))
+            top.append(np.maximum.reduceat(by_block, np.stack([first, last], 1).ravel())[::2])
+        out.append(np.stack(top, 1))
+    return np.concatenate(out)
+
+
 def score_texts(net: Net, texts: list[bytes]) -> np.ndarray:
+    if len(texts) == 1 and len(texts[0]) > CHUNKS_A_PIECE * (CHUNK - 1) * STEP:
+        chunk = long_pooled(net, texts[0])
+        return combine(net, chunk, np.array([0, len(chunk)]))[0]
     chunk, first, _, _ = pooled(net, texts)
     return combine(net, chunk, first)[0]
 
@@ -139,14 +168,15 @@ def train(texts: list[bytes], labels: np.ndarray, filters: int = 16, epochs: int
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 4096, seed: str = "cnn", **training: object) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 1 << 26, seed: str = "cnn", **training: object) -> Net:
     """A net from about `sample` rows of labels (doc_id, label 0 or 1), as many of either label as there are up to half of it.
 
     Rows are chosen by a hash of doc_id before their texts are looked up in docs (doc_id, text), so
-    the labels sent to where the texts are number about `sample`. Of texts longer than sample_bytes,
-    a training text is a run of that many bytes at a hashed place. These bounds hold for training
-    alone. Rows with a null doc_id, text or label are left out, the highest label of a doc_id counts,
-    and without any label the net answers 0.5.
+    the labels sent to where the texts are number about `sample`. Training reads whole texts; rows
+    are taken in the order of the hash while their texts together have sample_bytes or less. These
+    bounds hold for training alone. As either label is drawn at its own rate, the output's offset
+    is moved to the share that label 1 has among all labels. Rows with a null doc_id, text or label
+    are left out, the highest label of a doc_id counts, and without any label the net answers 0.5.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -154,13 +184,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: in
         return train([], np.zeros(0))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("label") == 1, min(1.0, sample / 2 / sizes.get(1, 1))).otherwise(min(1.0, sample / 2 / sizes.get(0, 1)))
-    chosen = cut(rows.where(u < share))
-    # the substring only bounds what the driver gets; scoring reads whole texts
-    place = F.pmod(F.xxhash64(F.col("doc_id")), F.greatest(F.length("text") - sample_bytes, F.lit(0)) + 1) + 1
-    found = join_small(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner")
-    got = found.select("doc_id", F.substring(F.col("text"), place.cast("int"), F.lit(sample_bytes)).alias("text"), "label").toPandas().sort_values(["doc_id", "text"])
-    texts = [t.encode()[:sample_bytes] for t in got["text"]]
-    return train(texts, got["label"].to_numpy(np.float64), **training)
+    chosen = cut(rows.where(u < share).withColumn("u", u))
+    found = cut(join_small(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner"))
+    told = sorted((r["u"], str(r["doc_id"]), r["n"]) for r in found.select("u", "doc_id", F.octet_length("text").alias("n")).collect())
+    held = np.cumsum([n for *_, n in told])
+    most = told[int(np.searchsorted(held, sample_bytes, side="right")) - 1][0] if len(told) and held[0] <= sample_bytes else -1.0
+    got = found.where(F.col("u") <= most).toPandas().sort_values(["u", "doc_id", "text"])
+    release(chosen, found)
+    y = got["label"].to_numpy(np.float64)
+    net = train([t.encode("utf-8", "surrogatepass") for t in got["text"]], y, **training)
+    if len(y) and 0 < y.mean() < 1:
+        net.offset += float(np.log(sizes[1] / sizes[0]) - np.log(y.mean() / (1 - y.mean())))
+    return net
 
 
 def classify(docs: DataFrame, net: Net) -> DataFrame:

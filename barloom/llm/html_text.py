@@ -1,16 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks: runs of text between the boundaries of block elements, each with its
-path of tags from the root and the classes on it. For every path the characters, punctuation
-marks and blocks are counted; characters a block and punctuation a block are the path's ratios.
-Each block takes the ratios of its path, both series are smoothed along the page, fused by
-multiplication with the share of text outside links, and blocks at or above a threshold, a part
-of the series' standard deviation, are content. What names itself as something else (a menu, a
-footer, an advert, a form, a comment) has a ratio of zero from the start.
-
-Short blocks such as headings share no path with long ones. So the element that holds the content
-blocks is found, and if it is a part of the page and not the page itself, all of its text counts
-that isn't named as something else or made of links.
+path of tags from the root. For every path the characters outside links, the punctuation marks and
+the blocks are counted; characters a block and punctuation a block are the path's ratios. Each
+block takes the ratios of its path, both series are smoothed along the page and fused by
+multiplication. A path's score is the mean over its blocks, and paths that score at or above a
+threshold, a part of the deviation of the fused series, are content: all their blocks are. What
+names itself as something else (a menu, a footer, an advert, a form, a comment) counts as empty.
+
+Short blocks such as headings share no path with long ones. The innermost element around most of
+the content tells where they belong: its blocks are kept too, whatever their path, unless they are
+links or named as something else. Content outside that element is kept if its path also is inside.
+
+Everything is linear in the page: paths and elements are numbers, an element holds one run of
+blocks, and open elements are looked up by tag.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 #: Elements without an end tag. Fixed values.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that don't break a line of text. Fixed values.
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "mroot", "msqrt", "msub", "msubsup", "msup", "mtext", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Elements that are never part of an article's text. Fixed values.
-OTHER = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "fieldset", "dialog", "template", "noscript", "svg", "math", "canvas", "object", "audio", "video", "menu", "map", *RAW}
+OTHER = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "fieldset", "dialog", "template", "noscript", "svg", "canvas", "object", "audio", "video", "menu", "map", *RAW}
 #: Words of a class, id or role that name something besides the article. Fixed values.
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|byline-links|captcha|comment|comments|commentlist|consent|cookie|cookies|disclaimer|discussion|disqus|footer|form|gdpr|header|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|paywall|popup|privacy|promo|promoted|promotion|recommended|related|replies|reply|respond|responses|search|share|sharing|sidebar|sidebox|signup|skip|social|sponsor|sponsored|subscribe|subscription|tags|toc|toolbar|tooltip|topbar|widget|widgets|contentinfo|complementary|alert)(?:$|[\s_-]|\d)"
 )
+#: Elements whose id is an anchor into the text and names nothing. Fixed values.
+ANCHORS = {"section", "p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "figure", "table", "blockquote"}
 #: A start tag of the first kind ends an open element of the second. Fixed values.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -47,25 +52,23 @@ ENDS = {
 WALLS = {"table", "ul", "ol", "dl", "article", "section", "main", "div", "body", "html", "td", "th", "li", "blockquote", "form", "nav", "aside", "footer", "header"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: Every repetition is possessive, so that no page is read twice; a quote that isn't closed runs to the page's end.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"?|'[^']*+'?)*+)>?", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ENDS_OF_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 SPACE = re.compile(r"\s+")
 
-
-@dataclass
-class Node:
-    tag: str
-    up: "Node | None"
-    depth: int
-    path: str
-    other: bool  #: it, or what it stands in, is named as something else
-    link: bool
+#: Part of the content's characters that the innermost element around it holds.
+MOST = 0.8
 
 
 @dataclass
 class Block:
-    node: Node
+    path: int
+    node: int
+    tag: str  #: of the innermost element
+    other: bool  #: it, or what it stands in, is named as something else
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -73,92 +76,122 @@ class Block:
         return SPACE.sub(" ", "".join(self.parts)).strip()
 
 
-def named_other(attributes: str) -> bool:
+@dataclass
+class Tree:
+    """Elements by number, the root being 0: their parents, depths, tags, and the blocks closed before each began and ended."""
+
+    up: list[int] = field(default_factory=lambda: [-1])
+    depth: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    begin: list[int] = field(default_factory=lambda: [0])
+    end: list[int] = field(default_factory=lambda: [0])
+
+
+def named_other(tag: str, attributes: str) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role") and NAMES.search(value):
+        if (name in ("class", "role") or name == "id" and tag not in ANCHORS) and NAMES.search(value):
             return True
     return False
 
 
-def read_blocks(page: str) -> list[Block]:
-    """Blocks of a page in page order, those of hidden and raw elements left out."""
-    root = Node("", None, 0, "", False, False)
-    node, at, out, size = root, 0, [], len(page)
-    block = Block(root)
-
-    def close() -> None:
-        nonlocal block
-        if block.parts:
-            out.append(block)
-        block = Block(node)
-
-    def leave(tags: set[str], walls: set[str]) -> None:
-        """Ends the innermost open element among tags, unless a wall is nearer."""
-        nonlocal node
-        x = node
-        while x.up is not None and x.tag not in tags and x.tag not in walls:
-            x = x.up
-        if x.up is not None and x.tag in tags:
-            node = x.up
-
-    while at < size:
-        start = page.find("<", at)
-        start = size if start < 0 else start
-        found = TOKEN.match(page, start) if start < size else None
-        if found is None:
-            end = min(size, start + 1)  # a lone < is text
-            text = page[at:end]
-        else:
-            end, text = found.end(), page[at:start]
-        if text:
-            decoded = html.unescape(text) if "&" in text else text
-            if not block.parts:
-                block.node = node
-            block.parts.append(decoded)
-            if node.link:
-                block.linked += len(decoded.strip())
-        at = end
-        if found is None or found[2] is None:
-            continue
-        tag, attributes = found[2].lower(), found[3] or ""
-        if found[1]:
-            if tag not in INLINE:
-                close()
-            leave({tag}, set() if tag in WALLS else {"table", "body", "html"} - {tag})
-            if tag not in INLINE:
-                block.node = node
-            continue
-        if tag == "br":
-            block.parts.append("\n")
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                close()
-            continue
-        if tag not in INLINE:
-            close()
-            leave({"p"}, WALLS)
-            if tag in HEADINGS:
-                leave(HEADINGS, WALLS)
-        if tag in ENDS:
-            leave(ENDS[tag], {"table", "ul", "ol", "dl", "select"} - ENDS[tag])
-        if tag in RAW:
-            last = re.compile(rf"</{tag}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
-            at = size if last is None else last.end()
-            continue
-        if attributes.rstrip().endswith("/") and tag in ("path", "circle", "use"):
-            continue
-        inside_article = node.path.find("/article") >= 0 or node.path.find("/main") >= 0
-        other = node.other or tag in OTHER or tag == "header" and not inside_article or tag not in ("body", "html", "article", "main") and named_other(attributes)
-        node = Node(tag, node, node.depth + 1, f"{node.path}/{tag}", other, node.link or tag == "a")
-        if tag not in INLINE:
-            block.node = node
-    close()
-    return out
+class Reader:
+    """Reads a page into blocks in page order; what stands in raw elements is left out."""
+
+    def __init__(self) -> None:
+        self.tree, self.blocks = Tree(), []
+        self.open: list[tuple[int, str, int, bool, bool]] = [(0, "", 0, False, False)]  # node, tag, path, other, link
+        self.places: dict[str, list[int]] = {}  # by tag, where in `open` elements of it are
+        self.paths: dict[tuple[int, str], int] = {}
+        self.block = Block(0, 0, "", False)
+
+    def close(self) -> None:
+        if self.block.parts:
+            self.blocks.append(self.block)
+        self.stand()
+
+    def stand(self) -> None:
+        node, tag, path, other, _ = self.open[-1]
+        self.block = Block(path, node, tag, other)
+
+    def innermost(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def leave(self, tags: set[str], walls: set[str]) -> None:
+        """Ends the innermost open element among tags and all in it, unless a wall is nearer."""
+        at = self.innermost(tags)
+        if at and at >= self.innermost(walls):
+            while len(self.open) > at:
+                node, tag, *_ = self.open.pop()
+                self.places[tag].pop()
+                self.tree.end[node] = -1
+
+    def enter(self, tag: str, attributes: str) -> None:
+        node, _, path, other, link = self.open[-1]
+        inside = bool(self.places.get("article") or self.places.get("main"))
+        other = other or tag in OTHER or tag == "header" and not inside or tag not in ("body", "html", "article", "main") and named_other(tag, attributes)
+        own = path if tag in INLINE else self.paths.setdefault((path, tag), len(self.paths) + 1)
+        t = self.tree
+        t.up.append(node)
+        t.depth.append(t.depth[node] + 1)
+        t.tag.append(tag)
+        t.begin.append(len(self.blocks))
+        t.end.append(0)
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((len(t.up) - 1, tag, own, other, link or tag == "a"))
+
+    def say(self, text: str) -> None:
+        decoded = html.unescape(text) if "&" in text else text
+        if not self.block.parts:
+            self.stand()
+        self.block.parts.append(decoded)
+        if self.open[-1][4]:
+            self.block.linked += len(decoded.strip())
+
+    def read(self, page: str) -> None:
+        at, size = 0, len(page)
+        while at < size:
+            start = page.find("<", at)
+            start = size if start < 0 else start
+            found = TOKEN.match(page, start) if start < size else None
+            end = found.end() if found else min(size, start + 1)
+            text = page[at : start if found else end]  # a lone < is text
+            if text:
+                self.say(text)
+            at = end
+            if found is None or found[2] is None:
+                continue
+            tag, attributes = found[2].lower(), found[3] or ""
+            if found[1]:
+                if tag not in INLINE:
+                    self.close()
+                self.leave({tag}, set() if tag in WALLS else {"table", "body", "html"} - {tag})
+                if tag not in INLINE:
+                    self.stand()
+            elif tag == "br":
+                self.block.parts.append("\n")
+            elif tag in VOID:
+                if tag == "hr":
+                    self.close()
+            else:
+                if tag not in INLINE:
+                    self.close()
+                    self.leave({"p"}, WALLS)
+                    if tag in HEADINGS:
+                        self.leave(HEADINGS, WALLS)
+                if tag in ENDS:
+                    self.leave(ENDS[tag], {"table", "ul", "ol", "dl", "select"} - ENDS[tag])
+                if tag in RAW:
+                    last = ENDS_OF_RAW[tag].search(page, at)
+                    at = size if last is None else last.end()
+                elif not (attributes.rstrip().endswith("/") and tag in ("path", "circle", "use")):
+                    self.enter(tag, attributes)
+                    if tag not in INLINE:
+                        self.stand()
+        self.close()
 
 
 def smooth(x: np.ndarray, width: float = 1.0) -> np.ndarray:
@@ -168,56 +201,77 @@ def smooth(x: np.ndarray, width: float = 1.0) -> np.ndarray:
     return np.convolve(x, w, "same") / np.convolve(np.ones(len(x)), w, "same") if len(x) >= len(k) else np.full(len(x), x.mean()) if len(x) else x
 
 
+def content_paths(path: np.ndarray, size: np.ndarray, marks: np.ndarray, part_of_deviation: float) -> np.ndarray:
+    """For each block whether its path is content. path: a number for each block's path; size, marks: its characters and punctuation."""
+    n = np.bincount(path)
+    ratio = [smooth((np.bincount(path, x) / np.maximum(n, 1))[path]) for x in (size, marks)]
+    fused = ratio[0] * (1 + ratio[1])
+    score = np.bincount(path, fused) / np.maximum(n, 1)
+    score[np.bincount(path, size) == 0] = 0
+    top = score.max(initial=0)
+    return (score >= min(part_of_deviation * fused.std(), top))[path] & (top > 0) & (size > 0)
+
+
+def container(tree: Tree, first: np.ndarray, last: np.ndarray, weight: np.ndarray) -> int:
+    """The innermost element whose blocks, first to last, hold MOST of the weight; ties go to the first."""
+    before = np.concatenate([[0.0], np.cumsum(weight)])
+    inside = before[last] - before[first]
+    fits = inside >= MOST * before[-1]
+    return int(np.where(fits, np.array(tree.depth), -1).argmax())
+
+
 def main_text(page: str | None, part_of_deviation: float = 0.8) -> str:
     """The article's text: white space in a block is one space, blocks are joined by one space."""
     if not page:
         return ""
-    found = [(b, t) for b in read_blocks(page) if (t := b.text())]
+    reader = Reader()
+    reader.read(page)
+    texts = [b.text() for b in reader.blocks]
+    number = np.concatenate([[0], np.cumsum([bool(t) for t in texts])]).astype(np.int64)  # of the blocks with text, those before each
+    found = [(b, t) for b, t in zip(reader.blocks, texts) if t]
     if not found:
         return ""
-    size = np.array([0 if b.node.other else len(t) for b, t in found], float)
-    marks = np.array([0 if b.node.other else len(PUNCTUATION.findall(t)) for b, t in found], float)
-    own = np.array([1 - min(1.0, b.linked / max(1, len(t))) for b, t in found])
-    by_path: dict[str, list[float]] = {}
-    for (b, _), s, m in zip(found, size, marks):
-        sums = by_path.setdefault(b.node.path, [0.0, 0.0, 0.0])
-        sums[0], sums[1], sums[2] = sums[0] + s, sums[1] + m, sums[2] + 1
-    ratio = np.array([[by_path[b.node.path][i] / by_path[b.node.path][2] for b, _ in found] for i in (0, 1)])
-    fused = smooth(ratio[0]) * (1 + smooth(ratio[1])) * own * (size > 0)
-    if not fused.max() > 0:
+    own = np.array([1 - min(1.0, b.linked / len(t)) for b, t in found])
+    other = np.array([b.other for b, _ in found])
+    size = np.array([0 if b.other else len(t) for b, t in found]) * own
+    marks = np.array([0 if b.other else len(PUNCTUATION.findall(t)) for b, t in found]) * own
+    path = np.unique(np.array([b.path for b, _ in found]), return_inverse=True)[1]
+    content = content_paths(path, size, marks, part_of_deviation)
+    if not content.any():
         return ""
-    content = [b for (b, _), f, r in zip(found, fused, ratio[0]) if f > 0 and r > 0 and f >= part_of_deviation * fused.std()]
-    # the element that holds the content: the lowest one above all of it, or a named one that holds most of it
-    held = {id(b): len(t) for b, t in found}
-    total = sum(held[id(b)] for b in content)
-    weight: dict[int, list] = {}
-    for b in content:
-        x = b.node
-        while x is not None:
-            entry = weight.setdefault(id(x), [0, x])
-            entry[0] += held[id(b)]
-            x = x.up
-    named = [x for w, x in weight.values() if x.tag in ("article", "main") and 2 * w >= total]
-    lowest = max((x for w, x in weight.values() if w >= total), key=lambda x: x.depth)
-    root = max(named, key=lambda x: x.depth) if named else lowest
-    if root.tag in HEADINGS | {"p"} and root.up is not None:
-        root = root.up
-    whole_page = root.tag in ("", "html", "body")
-    chosen = {id(b) for b in content}
-
-    def within(x: Node | None) -> bool:
-        while x is not None and x is not root:
-            x = x.up
-        return x is root
-
-    keep = []
-    for (b, t), o in zip(found, own):
-        if b.node.other or not within(b.node):
-            continue
-        short_of_links = o >= 0.5 or id(b) in chosen
-        if short_of_links and (not whole_page or id(b) in chosen or b.node.tag == "p" or b.node.tag in HEADINGS):
-            keep.append(t)
-    return " ".join(keep)
+    tree = reader.tree
+    # the blocks of an element are those from its beginning up to that of the next element outside it
+    owner = np.array([b.node for b in reader.blocks])
+    last_of = np.zeros(len(tree.up), np.int64)
+    np.maximum.at(last_of, owner, np.arange(1, len(owner) + 1))
+    for node in range(len(tree.up) - 1, 0, -1):
+        last_of[tree.up[node]] = max(last_of[tree.up[node]], last_of[node])
+    first = number[np.array(tree.begin)]
+    last = np.maximum(first, number[last_of])
+    root = container(tree, first, last, size * content)
+    # a tie: what an article, or an element around, has besides are headings
+    heading = np.array([b.tag in HEADINGS for b, _ in found])
+    extra = np.concatenate([[0], np.cumsum(~heading & ~other)])
+    while tree.up[root] >= 0 and tree.tag[tree.up[root]] not in ("", "html", "body"):
+        a, b = tree.up[root], root
+        if tree.tag[b] not in ("p", *HEADINGS, *INLINE) and tree.tag[a] not in ("article", "main") and extra[last[a]] - extra[first[a]] > extra[last[b]] - extra[first[b]]:
+            break
+        if tree.tag[b] in ("article", "main"):
+            break
+        root = a
+    place = np.arange(len(found))
+    if tree.tag[root] in ("", "html", "body", "p", *HEADINGS, *INLINE):
+        # no element of its own: from the first to the last content block, and the headings right before
+        low, high = int(content.argmax()), len(content) - int(content[::-1].argmax())
+        while low and heading[low - 1]:
+            low -= 1
+    else:
+        low, high = int(first[root]), int(last[root])
+    near = (place >= low) & (place < high)
+    known = np.zeros(path.max() + 1, bool)
+    known[path[content & near]] = True
+    keep = ~other & (own >= 0.5) & (near | content & known[path])
+    return " ".join(t for k, (_, t) in zip(keep, found) if k)
 
 
 def extract(pages: DataFrame, keys: list[str] = ["page_id", "url"]) -> DataFrame:  # noqa: B006

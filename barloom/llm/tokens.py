@@ -11,9 +11,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 #: Bytes of text that are handled at once; one longer text is handled alone.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
+#: Bytes of words that are hashed at once; a longer word is hashed on its own.
+PIECE = 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
@@ -34,7 +37,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     inverse = pow(int(_BASE), -1, 1 << 64)
@@ -71,6 +74,27 @@ class Words:
     hash: np.ndarray  #: of each word
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes. Words are taken by runs of about PIECE bytes, so that long texts need no more memory for it."""
+    out = np.empty(len(start), np.uint64)
+    power, inverse = _powers(PIECE)
+    at = 0
+    while at < len(start):
+        low = start[at]
+        to = int(np.searchsorted(end, low + PIECE, side="right"))
+        if to <= at:
+            out[at] = xxhash.xxh3_64_intdigest(data[low : end[at]].tobytes())
+            at += 1
+            continue
+        a, b = start[at:to] - low, end[at:to] - low
+        with np.errstate(over="ignore"):
+            total = np.zeros(b[-1] + 1, np.uint64)
+            np.cumsum((data[low : low + b[-1]].astype(np.uint64) + np.uint64(1)) * power[: b[-1]], out=total[1:])
+            out[at:to] = mix64((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = to
+    return out
+
+
 def find_words(texts: list[bytes], lower: bool = False) -> Words:
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     if lower:
@@ -78,15 +102,10 @@ def find_words(texts: list[bytes], lower: bool = False) -> Words:
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     text_start = np.concatenate([[0], np.cumsum(lengths)])
     space = _SPACE[data]
-    edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
+    edge = np.diff(space.view(np.int8), prepend=np.int8(1))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     first = np.searchsorted(start, text_start)
-    size = 1 << int(len(data)).bit_length()
-    power, inverse = _powers(size)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
-        code = (total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return Words(data, text_start, start, end, first, mix64(code))
+    return Words(data, text_start, start, end, first, word_hashes(data, start, end))
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
