@@ -46,7 +46,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"))
+    mixed = mixing.mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"), weight=mixing.by_length())
     return mixed.where(F.col("copies") > 0).select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).drop("__copy")
 
 
