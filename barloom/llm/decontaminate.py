@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,11 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 from .tokens import blocks, find_words, mix64, window_hashes
 
-WALKS, SAMPLES, PLACES = 4, 16, 3
-#: Steps of a walk that are read, times L. The walk has 3 L steps, but by 2 L it has reached the end
-#: on average, and what follows is the same for all sequences.
-READ = 2
-#: Items with fewer words must be equal.
-LEAST_WORDS = 8
+WALKS, SAMPLES, PLACES = 4, 16, 4
+#: Steps of a walk, times L: with so many all but a few walks have reached the end, as the paper has it.
+STEPS = 3
+#: Words of windows that are embedded at once.
+CELLS = 1 << 18
 
 _DROP = np.zeros(256, bool)
 _DROP[[b for b in range(33, 128) if not chr(b).isalnum()]] = True
@@ -57,32 +57,35 @@ def _bit(step: int, walk: int, symbols: np.ndarray) -> np.ndarray:
 
 
 def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embedding of each row of words; what follows a shorter sequence is the word 0."""
+    """CGK embedding of each row of words, a column each; what follows the end is the word 0."""
     n, length = windows.shape
     padded = np.hstack([windows, np.zeros((n, 1), np.uint64)])
     at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((READ * length, n), np.uint64)
-    for step in range(READ * length):
+    out = np.empty((STEPS * length, n), np.uint64)
+    for step in range(STEPS * length):
         out[step] = padded[rows, at]
         at = np.minimum(at + _bit(step, walk, out[step]), length)
     return out
 
 
-def keys(windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The LSH keys of each row of words; the first `size` words of a row are its sequence."""
+@lru_cache(maxsize=1024)
+def _places(size: int, walk: int) -> np.ndarray:
+    return np.random.default_rng(1000 * size + walk).integers(0, STEPS * size, (SAMPLES, PLACES))
+
+
+def keys(windows: np.ndarray) -> np.ndarray:
+    """The LSH keys of each row of words, which is one sequence; a shorter one ends with the word 0."""
+    size = windows.shape[1]
     out = np.empty((len(windows), WALKS * SAMPLES), np.uint64)
     for walk in range(WALKS):
         embedded = embed(windows, walk)
-        for size in np.unique(sizes):
-            own = np.flatnonzero(sizes == size)
-            places = np.random.default_rng(1000 * int(size) + walk).integers(0, READ * size, (SAMPLES, PLACES))
-            for k in range(SAMPLES):
-                key = np.full(len(own), np.uint64(((int(size) * WALKS + walk) * SAMPLES + k) + 1))
-                some = np.zeros(len(own), bool)
-                for p in places[k]:
-                    key = mix64(key ^ embedded[p, own])
-                    some |= embedded[p, own] != 0
-                out[own, walk * SAMPLES + k] = np.where(some, key, _NONE)  # what has read no word is no key
+        for k, places in enumerate(_places(size, walk)):
+            key = np.full(len(windows), np.uint64(((size * WALKS + walk) * SAMPLES + k) + 1))
+            some = np.zeros(len(windows), bool)
+            for p in places:
+                key = mix64(key ^ embedded[p])
+                some |= embedded[p] != 0
+            out[:, walk * SAMPLES + k] = np.where(some, key, _NONE)  # what has read no word is no key
     return out
 
 
@@ -107,37 +110,41 @@ class Items:
     tolerance: float
     built: dict = field(default_factory=dict)
 
+    def slack(self, item: int) -> int:
+        return int(self.tolerance * len(self.words[item]) + 1e-9)
+
     def build(self) -> dict:
         if self.built:
             return self.built
         exact: dict[int, dict[int, list[int]]] = {}
+        by_size: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
-            if 0 < len(w) < LEAST_WORDS:
+            if len(w) and not self.slack(i):
                 exact.setdefault(len(w), {}).setdefault(int(window_hashes(w, len(w))[0]), []).append(i)
-        long = [i for i, w in enumerate(self.words) if len(w) >= LEAST_WORDS]
-        table: dict[int, list[int]] = {}
-        pair_of, size_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if long:
-            sizes = np.array([len(self.words[i]) for i in long])
-            rows = np.zeros((len(long), sizes.max()), np.uint64)
-            for r, i in enumerate(long):
-                rows[r, : sizes[r]] = self.words[i]
-            for i, ks in zip(long, keys(rows, sizes)):
-                for k in ks[ks != 0].tolist():
-                    table.setdefault(k, []).append(i)
-            pair_of = np.concatenate([window_hashes(self.words[i], 2) for i in long])
-            size_of = np.repeat(sizes, sizes - 1)
-            order = np.lexsort((size_of, pair_of))
-            pair_of, size_of = pair_of[order], size_of[order]
-            new = np.concatenate([[True], (pair_of[1:] != pair_of[:-1]) | (size_of[1:] != size_of[:-1])])
-            pair_of, size_of = pair_of[new], size_of[new]
-        pairs, first = np.unique(pair_of, return_index=True)
+            elif len(w):
+                by_size.setdefault(len(w), []).append(i)
+        found, owner, pair_of, size_of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for size, own in by_size.items():
+            step = max(1, CELLS // size)
+            for at in range(0, len(own), step):
+                ks = keys(np.stack([self.words[i] for i in own[at : at + step]]))
+                found.append(ks.ravel())
+                owner.append(np.repeat(np.array(own[at : at + step], np.int32), ks.shape[1]))
+            pairs = np.unique(np.concatenate([window_hashes(self.words[i], 2) for i in own]))
+            pair_of.append(pairs)
+            size_of.append(np.full(len(pairs), size))
+        all_keys, all_owners = np.concatenate(found), np.concatenate(owner)
+        order = np.argsort(all_keys, kind="stable")
+        order = order[all_keys[order] != 0]
+        pairs_of, sizes = np.concatenate(pair_of), np.concatenate(size_of)
+        by_pair = np.lexsort((sizes, pairs_of))
+        pairs, first = np.unique(pairs_of[by_pair], return_index=True)
         seen = np.zeros(1 << 20, bool)
         seen[(pairs & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        # sizes of the items that hold pairs[i]: sizes[first[i]:first[i + 1]]
+        # the items of keys[i] are owners[i]; sizes of the items that hold pairs[i] are sizes[first[i]:first[i + 1]]
         self.built = {
-            "exact": exact, "short": {s: np.array(sorted(k), np.uint64) for s, k in exact.items()}, "table": table, "keys": np.array(sorted(table), np.uint64),
-            "pairs": pairs, "first": np.append(first, len(pair_of)), "sizes": size_of, "seen": seen,
+            "exact": exact, "short": {s: np.array(sorted(k), np.uint64) for s, k in exact.items()}, "keys": all_keys[order], "owners": all_owners[order],
+            "pairs": pairs, "first": np.append(first, len(pairs_of)), "sizes": sizes[by_pair], "seen": seen,
         }
         return self.built
 
@@ -171,9 +178,9 @@ def hits_in(texts: list[bytes], items: Items) -> Iterator[tuple[int, int, int, i
     place = np.repeat(maybe, many)
     entry = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(built["first"][which], many)
     size_at = built["sizes"][entry]
-    starts, sizes = [], []
+    near: dict[tuple[int, int], list[int]] = {}
     for size in np.unique(size_at):
-        own, slack = place[size_at == size], int(items.tolerance * size)
+        own, slack = place[size_at == size], int(items.tolerance * size + 1e-9)
         need = max(1, int(size) - 1 - 2 * slack)
         if len(own) < need:
             continue
@@ -183,24 +190,21 @@ def hits_in(texts: list[bytes], items: Items) -> Iterator[tuple[int, int, int, i
         low, high = np.maximum(0, last[fits] - (size - 2)), np.minimum(first[fits], n - 1)
         width = high - low + 1
         found_at = np.unique(np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width))
-        starts.append(found_at)
-        sizes.append(np.full(len(found_at), size))
-    if not starts:
-        return
-    starts, sizes = np.concatenate(starts), np.concatenate(sizes)
-    near: dict[tuple[int, int], list[int]] = {}
-    for at in range(0, len(starts), 8192):
-        part, own = starts[at : at + 8192], sizes[at : at + 8192]
-        inside = part[:, None] + np.arange(own.max())
-        end = np.minimum(part + own, found.first[text_of[part] + 1])  # a window ends with its text
-        rows = np.where(inside < end[:, None], words[np.minimum(inside, n - 1)], _NONE)
-        ks = keys(rows, own)
-        for r, c in zip(*np.nonzero(_among(ks.ravel(), built["keys"]).reshape(ks.shape))):
-            for item in built["table"][int(ks[r, c])]:
-                near.setdefault((int(text_of[part[r]]), item), []).append(int(part[r]))
+        for at in range(0, len(found_at), max(1, CELLS // int(size))):
+            part = found_at[at : at + max(1, CELLS // int(size))]
+            end = np.minimum(part + size, found.first[text_of[part] + 1])  # a window ends with its text
+            inside = part[:, None] + np.arange(size)
+            ks = keys(np.where(inside < end[:, None], words[np.minimum(inside, n - 1)], _NONE))
+            flat = ks.ravel()
+            low = np.searchsorted(built["keys"], flat)
+            met = np.flatnonzero((low < len(built["keys"])) & (built["keys"][np.minimum(low, len(built["keys"]) - 1)] == flat) & (flat != 0))
+            high = np.searchsorted(built["keys"], flat[met], side="right")
+            for k, a, b in zip(met // ks.shape[1], low[met], high):
+                for item in np.unique(built["owners"][a:b]).tolist():
+                    near.setdefault((int(text_of[part[k]]), item), []).append(int(part[k]))
     for (text, item), places in near.items():
         size = len(items.words[item])
-        slack, best = int(items.tolerance * size), None
+        slack, best = items.slack(item), None
         places = np.unique(places)
         for run in np.split(places, np.flatnonzero(np.diff(places) > size) + 1):
             a, b = max(found.first[text], run[0] - slack - 1), min(found.first[text + 1], run[-1] + size + slack + 1)
@@ -237,7 +241,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2,
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             for batch in batches:
                 ids = batch["doc_id"].tolist()
-                for first, part in blocks(batch["text"].tolist(), 1 << 21):
+                for first, part in blocks(batch["text"].tolist()):
                     hit = [(ids[first + t], sent.value.ids[i], d, w) for t, i, d, w in hits_in(part, sent.value)]
                     if hit:
                         yield pd.DataFrame(hit, columns=["doc_id", "item_id", "edits", "first_word"])

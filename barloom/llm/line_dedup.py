@@ -1,77 +1,91 @@
 """Line deduplication by a segment-partition edit join.
 
-Two lines within EDITS edits of each other share one of EDITS + 1 segments into which the shorter
-one is cut, at nearly the same place: an edit can't touch all segments. Every line is filed under
-its own segments, and probes, for each length that a shorter partner may have, the substrings that
-may stand where that partner's segments are; only starts that the edits left and right of a
-segment still allow are probed. Lines that share a key are verified by the banded bit-parallel
-edit distance.
+Lines are compared within as many edits as their length allows: one for every `chars` characters
+of the shorter one, `most` at the most (Edits). Two lines within t edits of each other share one of
+t + 1 segments into which the shorter one is cut, at nearly the same place: t edits can't touch all
+segments. Every line is filed under its own segments, and probes, for each length that a shorter
+partner may have, the substrings that may stand where that partner's segments are; only starts that
+the edits left and right of a segment still allow are probed. Lines that share a key, one of them
+filed under it, are verified by the banded bit-parallel edit distance.
 
 Lines that share a key are not expanded into all pairs: they are first compared with two of them,
 and what is linked becomes one class. Lines of different classes are then compared each with each
-if they are at most SMALL; more are cut into blocks, and pairs of blocks are compared where they
-are read, so that only links are ever written.
+if they are at most SMALL. More get finer keys: what is left of two lines without the segment that
+they share is within t edits too, so it is cut into segments in turn, and a key and one of these
+are a new key. What still shares a key with many is cut into blocks, and pairs of blocks are
+compared where they are read, so that only links are ever written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, cut, join_small
+from .common import bound_batches, cut, join_small, release, scratch
 from .components import components
 from .near_dup import mixed_keys, with_component
 
-EDITS = 2
-#: Shorter lines are compared for equality alone.
-LEAST_CHARS = 30
 SMALL = 32
 BLOCK = 64
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def line_id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+@dataclass(frozen=True)
+class Edits:
+    """The edits within which two lines are one: one for every `chars` characters of the shorter line, `most` at the most."""
 
+    chars: int = 12
+    most: int = 2
 
-def segments(length: int) -> list[tuple[int, int]]:
-    """Start and length of each segment of a line; later ones are the longer ones."""
-    short, longer = divmod(length, EDITS + 1)
-    out, at = [], 0
-    for i in range(EDITS + 1):
-        size = short + (i >= EDITS + 1 - longer)
-        out.append((at, size))
-        at += size
-    return out
+    def of(self, length: int) -> int:
+        return min(self.most, length // self.chars)
 
 
-@lru_cache(maxsize=4096)
-def probes(length: int) -> list[tuple[int, int, int]]:
-    """Start, end and seed (which length and segment it is looked for under) of each substring of a line that is a key."""
-    out = []
-    for partner in range(max(LEAST_CHARS, length - EDITS), length + 1):
-        extra = length - partner
-        for i, (start, size) in enumerate(segments(partner)):
-            low = max(0, start - i, start + extra - (EDITS - i))
-            high = min(length - size, start + i, start + extra + (EDITS - i))
-            out += [(at, at + size, partner * (EDITS + 1) + i) for at in range(low, high + 1)]
-    return out
+def lines_of(text: Column) -> Column:
+    """A text's lines without white space at their ends; none of a null text."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)))
 
 
-def line_keys(line: str) -> list[int]:
-    """Keys, without sign, under which a line is filed and looked for."""
-    try:
-        return [xxhash.xxh3_64_intdigest(line[a:b], seed) for a, b, seed in probes(len(line))]
-    except UnicodeEncodeError:
-        return [xxhash.xxh3_64_intdigest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in probes(len(line))]
+def segment_keys(text: Column, applies: Callable[[int, int], Column], most: int, *seed: Column) -> Column:
+    """Keys of a text as an array of (key, t, extra, at, size), nulls among them.
+
+    A key stands for one segment of a partner that is `extra` characters shorter and may differ by
+    t edits; it is the hash of the `size` characters from `at` on. applies(t, extra) tells whether
+    the text may have such a partner. With extra 0 and `own` the segment is the text's own.
+    """
+    out, whole = [], F.char_length(text)
+    for t in range(1, most + 1):
+        for extra in range(t + 1):
+            length = whole - extra
+            short, longer = F.floor(length / (t + 1)).cast("int"), length % (t + 1)
+            for i in range(t + 1):
+                size = short + F.when(longer >= t + 1 - i, 1).otherwise(0)  # later segments are the longer ones
+                start = short * i + F.greatest(F.lit(0), longer - (t + 1 - i))
+                for shift in range(max(-i, extra - (t - i)), min(i, extra + (t - i)) + 1):
+                    at = start + shift
+                    key = F.xxhash64(F.substring(text, at + 1, size), length, F.lit(i), *seed)
+                    found = F.struct(key.alias("key"), F.lit(t).alias("t"), F.lit(extra).alias("extra"), F.lit(not extra and not shift).alias("own"), at.alias("at"), size.alias("size"))
+                    out.append(F.when(applies(t, extra) & (at >= 0) & (at + size <= whole), found))
+    return F.array(*out)
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """key, sid, own, t, extra, at, taken and size (rows of the key) of keys of several lines, one of them filed under it; keyed: sid, found (of segment_keys)."""
+    flat = keyed.select("sid", F.explode("found").alias("f")).where(F.col("f").isNotNull())
+    # one number for all but the key, as many rows are shuffled
+    place = F.shiftleft(F.col("f.size").cast("long"), 32) + F.shiftleft(F.col("f.at").cast("long"), 5) + F.shiftleft(F.col("f.t").cast("long"), 3) + F.shiftleft(F.col("f.extra").cast("long"), 1) + F.col("f.own").cast("long")
+    packed = flat.select("sid", F.col("f.key").alias("key"), place.alias("place"))
+    own = Window.partitionBy("key")
+    some = packed.withColumns({"low": F.min("sid").over(own), "high": F.max("sid").over(own), "filed": F.max(F.col("place").bitwiseAND(F.lit(1))).over(own)}).where("low <> high and filed = 1")
+    bits = lambda low, n: F.shiftright("place", low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    told = some.select("key", "sid", (bits(0, 1) == 1).alias("own"), bits(1, 2).alias("extra"), bits(3, 2).alias("t"), bits(5, 27).alias("at"), bits(32, 31).alias("taken"))
+    return told.withColumn("size", F.count("*").over(own))
 
 
 def _common(a: str, b: str) -> int:
@@ -89,7 +103,7 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def within_edits(a: str, b: str, most: int = EDITS) -> bool:
+def within_edits(a: str, b: str, most: int = Edits.most) -> bool:
     """Whether a and b are within `most` edits: a bit-parallel column of 2 most + 1 cells moves along the diagonal.
 
     The vertical differences in the band are two bit vectors; each character of the longer text
@@ -129,92 +143,66 @@ def within_edits(a: str, b: str, most: int = EDITS) -> bool:
     return score <= most
 
 
-def split_lines(text: str | None) -> list[str]:
-    return [x.strip(SPACE) for x in text.split("\n")] if isinstance(text, str) else []
-
-
-def file_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and its lines' ids, by number of the line; null for a blank one."""
-    bound_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def confirmed(pairs: DataFrame, edits: Edits) -> DataFrame:
+    """Those rows a, b, x, y (lines and their contents) that are within their edits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = [[line_id(x) if x else None for x in split_lines(t)] for t in batch["text"].tolist()]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lines": [pd.array(x, dtype="Int64").astype(object) for x in ids]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lines array<long>")
-
-
-def key_lines(docs: DataFrame) -> DataFrame:
-    """line (its id) and key, for lines that are long enough; each line once a batch."""
-    bound_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen = {x for t in batch["text"].tolist() for x in split_lines(t) if len(x) >= LEAST_CHARS}
-            keys = [line_keys(x) for x in seen]
-            ids = np.array([line_id(x) for x in seen], np.int64)
-            flat = np.fromiter(chain.from_iterable(keys), np.uint64)
-            yield pd.DataFrame({"line": np.repeat(ids, [len(k) for k in keys]), "key": flat.view(np.int64)})
-
-    return docs.select("text").mapInPandas(run, "line long, key long")
-
-
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line and content of the wanted lines (column line), each once."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen = {x for t in batch["text"].tolist() for x in split_lines(t) if len(x) >= LEAST_CHARS}
-            yield pd.DataFrame([(line_id(x), x) for x in seen], columns=["line", "content"])
-
-    found = docs.select("text").mapInPandas(run, "line long, content string")
-    return join_small(found, wanted.withColumn("__wanted", F.lit(True)), ["line"], "inner").drop("__wanted").dropDuplicates(["line"])
-
-
-def confirmed(pairs: DataFrame) -> DataFrame:
-    """Those rows a, b, x, y (lines and their contents) within EDITS edits."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.loc[[within_edits(x, y) for x, y in zip(batch["x"], batch["y"])], ["a", "b"]]
+            yield batch.loc[[within_edits(x, y, edits.of(min(len(x), len(y)))) for x, y in zip(batch["x"], batch["y"])], ["a", "b"]]
 
     return pairs.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def across_blocks(members: DataFrame) -> DataFrame:
-    """Links a, b between lines of different classes of a large key: key, line, content, c (class)."""
+def parities(lines: list[str]) -> np.ndarray:
+    """For each line 256 parities of its characters' pairs. An edit changes four pairs at the most, and so flips four bits."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    inside = np.flatnonzero(owner[1:] == owner[:-1])
+    with np.errstate(over="ignore"):
+        bit = ((codes[inside] * np.uint64(0x9E3779B97F4A7C15) ^ codes[inside + 1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)).astype(np.int64)
+    odd = np.bincount(owner[inside] * 256 + bit, minlength=len(lines) * 256).reshape(len(lines), 256) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
+
+
+def block_links(p: list[dict], q: list[dict], edits: Edits) -> list[tuple[int, int]]:
+    """Links between lines of different classes of two blocks; pairs that differ in too many parities are left out at once."""
+    ones = np.bitwise_count(parities([x["content"] for x in p])[:, None, :] ^ parities([y["content"] for y in q])[None, :, :]).sum(2)
+    size = [np.array([len(x["content"]) for x in side]) for side in (p, q)]
+    near = (ones <= 4 * edits.most) & (np.abs(size[0][:, None] - size[1][None, :]) <= edits.most)
+    links = []
+    for i, j in zip(*np.nonzero(near)):
+        x, y = p[i], q[j]
+        if x["sid"] != y["sid"] and x["c"] != y["c"] and within_edits(x["content"], y["content"], edits.of(int(min(size[0][i], size[1][j])))):
+            links.append((x["sid"], y["sid"]))
+    return links
+
+
+def across_blocks(members: DataFrame, edits: Edits) -> DataFrame:
+    """Links a, b between lines of different classes of a large key: key, sid, content, c (class)."""
     n_blocks = F.ceil(F.count("*").over(Window.partitionBy("key")) / F.lit(BLOCK))
-    dealt = members.withColumn("n", n_blocks).withColumn("block", F.pmod(F.xxhash64("line"), F.col("n")))
-    held = cut(dealt.groupBy("key", "n", "block").agg(F.collect_list(F.struct("line", "content", "c")).alias("rows")))
+    dealt = members.withColumn("n", n_blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("n")))
+    held = cut(dealt.groupBy("key", "n", "block").agg(F.collect_list(F.struct("sid", "content", "c")).alias("rows")))
     one = held.select("key", "block", F.col("rows").alias("p"))
     two = held.select("key", F.col("block").alias("other"), F.col("rows").alias("q"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            links = []
-            for p, q in zip(batch["p"], batch["q"]):
-                for x in p:
-                    for y in q:
-                        if x["line"] != y["line"] and x["c"] != y["c"] and within_edits(x["content"], y["content"]):
-                            links.append((x["line"], y["line"]))
-            yield pd.DataFrame(links, columns=["a", "b"])
+            yield pd.DataFrame([x for p, q in zip(batch["p"], batch["q"]) for x in block_links(p, q, edits)], columns=["a", "b"])
 
     n_tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.count() // 8)  # blocks cost far more than their bytes tell
-    return one.join(two, "key").where("block <= other").repartition(n_tasks, "key", "block", "other").select("p", "q").mapInPandas(run, "a long, b long")
+    return cut(one.join(two, "key").where("block <= other").repartition(n_tasks, "key", "block", "other").select("p", "q").mapInPandas(run, "a long, b long"))
 
 
-def link_lines(docs: DataFrame) -> DataFrame | None:
-    """node and component of every line linked with another one, or None without links."""
-    keyed = key_lines(docs)
-    own = Window.partitionBy("key")
-    shared = keyed.withColumns({"low": F.min("line").over(own), "high": F.max("line").over(own)}).where("low <> high").select("key", F.col("line").alias("sid")).distinct()
-    members = cut(shared.withColumn("size", F.count("*").over(own)))
+def link_lines(lines: DataFrame, edits: Edits) -> DataFrame | None:
+    """node and component of every line linked with another one, or None without links. lines: sid and content, each line once."""
+    whole = F.char_length("content")
+    allowed = lambda length: F.least(F.lit(edits.most), F.floor(length / edits.chars))
+    keyed = lines.where(allowed(whole) > 0).select("sid", segment_keys(F.col("content"), lambda t, extra: allowed(whole - extra) == t, edits.most).alias("found"))
+    members = cut(shared_keys(keyed))
     if not members.limit(1).count():
         return None
     popular = members.groupBy("sid").agg(F.sum("size").alias("shared"))
-    texts = cut(texts_of(docs, popular.select(F.col("sid").alias("line"))))
+    texts = cut(lines.join(popular.select("sid"), "sid", "left_semi"))
     members = cut(members.join(popular, "sid"))
     found = None
 
@@ -223,46 +211,65 @@ def link_lines(docs: DataFrame) -> DataFrame | None:
         sure = cut(sure)
         if sure.limit(1).count():
             found = components(sure if found is None else sure.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        release(sure)
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         told = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for side, name in (("a", "x"), ("b", "y")):
-            told = told.join(texts.select(F.col("line").alias(side), F.col("content").alias(name)), side)
+            told = told.join(texts.select(F.col("sid").alias(side), F.col("content").alias(name)), side)
         return told
 
     for turn in range(2):
         rows = with_component(members, found)
-        rank = F.struct("shared", "sid") if turn == 0 else F.struct(F.xxhash64("sid", F.lit(turn)), F.col("sid"))
+        rank = F.struct("own", "shared", "sid") if turn == 0 else F.struct(F.col("own"), F.xxhash64("sid", F.lit(turn)), F.col("sid"))
         mixed = rows if turn == 0 else rows.join(mixed_keys(rows), "key", "left_semi")
         leaders = mixed.groupBy("key").agg(F.max_by("sid", rank).alias("leader"), F.max_by("c", rank).alias("leader_c"))
-        add(confirmed(with_texts(mixed.join(leaders, "key").where("c <> leader_c").select(F.col("sid").alias("a"), F.col("leader").alias("b")))))
-    rows = with_component(members, found)
-    mixed = cut(rows.join(mixed_keys(rows), "key", "left_semi").select("key", "sid", "size", "c"))
-    small = mixed.where(F.col("size") <= SMALL)
-    other = small.select("key", F.col("sid").alias("b"), F.col("c").alias("c_b"))
-    sure = confirmed(with_texts(small.join(other, "key").where("c <> c_b and sid < b").select(F.col("sid").alias("a"), "b")))
-    large = mixed.where(F.col("size") > SMALL).select("key", F.col("sid").alias("line"), "c").join(texts, "line")
-    add(sure.unionByName(across_blocks(large)))
+        add(confirmed(with_texts(mixed.join(leaders, "key").where("c <> leader_c").select(F.col("sid").alias("a"), F.col("leader").alias("b"))), edits))
+    def compare(members: DataFrame) -> DataFrame:
+        """Compares lines of different classes that share a small key; returns the rows of large ones."""
+        rows = with_component(members, found)
+        mixed = cut(rows.join(mixed_keys(rows), "key", "left_semi"))
+        small = mixed.where(F.col("size") <= SMALL)
+        other = small.select("key", F.col("sid").alias("b"), F.col("c").alias("c_b"), F.col("own").alias("own_b"))
+        add(confirmed(with_texts(small.join(other, "key").where("c <> c_b and sid < b and (own or own_b)").select(F.col("sid").alias("a"), "b")), edits))
+        return mixed.where(F.col("size") > SMALL)
+
+    large = compare(members)
+    if large.limit(1).count():
+        text = F.col("content")
+        rest = F.concat(F.substring(text, F.lit(1), F.col("at")), F.substring(text, F.col("at") + F.col("taken") + 1, F.char_length(text)))
+        held = large.join(texts, "sid").select("sid", "key", "t", "extra", rest.alias("rest"))
+        # a line filed under the key is a partner of its own length, and one that is longer by `extra` looks for it
+        keys = segment_keys(F.col("rest"), lambda t, extra: (F.col("t") == t) & (F.col("extra") == extra), edits.most, F.col("key"))
+        large = compare(cut(shared_keys(held.select("sid", keys.alias("found")))))
+        if large.limit(1).count():
+            add(across_blocks(large.select("key", "sid", "c").distinct().join(texts, "sid"), edits))
     return found
 
 
-def classify_lines(docs: DataFrame) -> DataFrame:
+def classify_lines(docs: DataFrame, edits: Edits = Edits()) -> DataFrame:  # noqa: B008
     """doc_id, number (of the line), class_id and kept of each line that isn't blank; row tells rows of docs apart.
 
     Needs doc_id and text; other columns are left out. Lines end at line feeds and are compared
     without white space at their ends. Blank lines have no class and are kept. Equal lines are of
-    one class, and so are lines linked by edits. Of a class the line with the least doc_id, then
-    number, is kept, a null doc_id coming last. A document without such lines, its text being
-    null or not, has one row without number and class. Of repeated rows all keep the same lines.
+    one class, and so are lines within the edits that their length allows. Of a class the line with
+    the least doc_id, then number, is kept, a null doc_id coming last. A document without such
+    lines, its text being null or not, has one row without number and class. Of repeated rows all
+    keep the same lines.
     """
-    filed = cut(file_lines(docs).withColumn("row", F.monotonically_increasing_id()))
-    each = filed.select("row", "doc_id", F.posexplode("lines").alias("number", "sid")).where(F.col("sid").isNotNull())
-    place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), F.col("number").alias("number"))
-    by_line = each.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    found = link_lines(docs)
-    placed = with_component(by_line, found)
-    classes = placed.groupBy("c").agg(F.min("first").alias("kept_at"), F.sum("n").alias("size")).where("size > 1")
-    moved = cut(placed.join(classes, "c").select("sid", "c", "kept_at"))
+    with scratch() as keep:
+        texts = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+        ids = F.transform(lines_of(F.col("text")), lambda x: F.when(x != "", F.xxhash64(x)))
+        filed = cut(texts.select("row", "doc_id", ids.alias("lines")))
+        each = filed.select("row", "doc_id", F.posexplode("lines").alias("number", "sid")).where(F.col("sid").isNotNull())
+        place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), F.col("number").alias("number"))
+        by_line = each.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        lines = docs.select(F.explode(lines_of(F.col("text"))).alias("content")).where(F.char_length("content") >= edits.chars).distinct()
+        found = link_lines(cut(lines.select(F.xxhash64("content").alias("sid"), "content")), edits)
+        placed = with_component(by_line, found)
+        classes = placed.groupBy("c").agg(F.min("first").alias("kept_at"), F.sum("n").alias("size")).where("size > 1")
+        moved = cut(placed.join(classes, "c").select("sid", "c", "kept_at"))
+        keep += [filed, moved]
     told = join_small(each, moved, ["sid"])
     blank = filed.where(~F.exists("lines", lambda x: x.isNotNull()))
     kept = F.col("kept_at").isNull() | (F.col("kept_at.doc").eqNullSafe(F.col("doc_id")) & (F.col("kept_at.number") == F.col("number")))
@@ -270,9 +277,9 @@ def classify_lines(docs: DataFrame) -> DataFrame:
     return lines.unionByName(blank.select("row", "doc_id", F.lit(None).cast("int").alias("number"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
 
 
-def dedup_report(docs: DataFrame) -> DataFrame:
+def dedup_report(docs: DataFrame, edits: Edits = Edits()) -> DataFrame:  # noqa: B008
     """doc_id, n_lines (not blank), n_dropped and dropped (numbers of the dropped lines, from 0) of each document."""
-    told = classify_lines(docs)
+    told = classify_lines(docs, edits)
     numbers = F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("number"))))
     return told.groupBy("row", "doc_id").agg(
         F.count("number").alias("n_lines"), F.count_if(~F.col("kept")).alias("n_dropped"),
