@@ -26,6 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     on until one changes nothing; their number grows with the logarithm of the number of links.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    n = edges.count()
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select("v", "m").where("v <> m")
-        before, edges = edges, cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), 2 * n)
         release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(now) == mark:
@@ -42,4 +43,6 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(now)
     stars = edges.groupBy("u").agg(F.min("v").alias("component"))
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cut(stars.select(F.col("u").alias("node"), "component").unionByName(tops.join(stars, F.col("node") == F.col("u"), "left_anti")))
+    out = cut(stars.select(F.col("u").alias("node"), "component").unionByName(tops.join(stars, F.col("node") == F.col("u"), "left_anti")), 2 * n)
+    release(edges)
+    return out

@@ -18,11 +18,14 @@ compared where they are read, so that only links are ever written.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +36,8 @@ from .near_dup import mixed_keys, with_component
 
 SMALL = 32
 BLOCK = 64
+#: Lines that a task remembers to have keyed.
+SEEN = 1 << 17
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -52,40 +57,111 @@ def lines_of(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)))
 
 
-def segment_keys(text: Column, applies: Callable[[int, int], Column], most: int, *seed: Column) -> Column:
-    """Keys of a text as an array of (key, t, extra, at, size), nulls among them.
+def line_id(line: bytes) -> int:
+    """The same as xxhash64() gives in lines' expressions."""
+    return xxhash.xxh64_intdigest(line, 42)
 
-    A key stands for one segment of a partner that is `extra` characters shorter and may differ by
-    t edits; it is the hash of the `size` characters from `at` on. applies(t, extra) tells whether
-    the text may have such a partner. With extra 0 and `own` the segment is the text's own.
-    """
-    out, whole = [], F.char_length(text)
-    for t in range(1, most + 1):
-        for extra in range(t + 1):
-            length = whole - extra
-            short, longer = F.floor(length / (t + 1)).cast("int"), length % (t + 1)
-            for i in range(t + 1):
-                size = short + F.when(longer >= t + 1 - i, 1).otherwise(0)  # later segments are the longer ones
-                start = short * i + F.greatest(F.lit(0), longer - (t + 1 - i))
-                for shift in range(max(-i, extra - (t - i)), min(i, extra + (t - i)) + 1):
-                    at = start + shift
-                    key = F.xxhash64(F.substring(text, at + 1, size), length, F.lit(i), *seed)
-                    found = F.struct(key.alias("key"), F.lit(t).alias("t"), F.lit(extra).alias("extra"), F.lit(not extra and not shift).alias("own"), at.alias("at"), size.alias("size"))
-                    out.append(F.when(applies(t, extra) & (at >= 0) & (at + size <= whole), found))
-    return F.array(*out)
+
+def segments(length: int, n: int) -> list[tuple[int, int]]:
+    """Start and size of each of n segments of a line; later ones are the longer ones."""
+    short, longer = divmod(length, n)
+    sizes = [short + (i >= n - longer) for i in range(n)]
+    return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
+
+
+@lru_cache(maxsize=1 << 14)
+def probes(length: int, t: int, extra: int) -> list[tuple[int, int, int, bool]]:
+    """Start, end, seed and whether it is an own segment, of each substring that may be a segment of a partner that is `extra` characters shorter and has t edits."""
+    out = []
+    for i, (start, size) in enumerate(segments(length - extra, t + 1)):
+        low, high = max(0, start + max(-i, extra - (t - i))), min(length - size, start + min(i, extra + (t - i)))
+        out += [(at, at + size, ((length - extra) * (t + 1) + i) * 4 + t, not extra and at == start) for at in range(low, high + 1)]
+    return out
+
+
+@lru_cache(maxsize=1 << 13)
+def line_probes(length: int, edits: Edits) -> list[tuple[int, int, int, bool, int, int]]:
+    """probes() for all lengths that a partner of the line may have, with t and extra."""
+    return [(*x, t, extra) for extra in range(edits.most + 1) if extra <= length for t in [edits.of(length - extra)] if t >= max(1, extra) for x in probes(length, t, extra)]
+
+
+def hashes(line: str, places: list[tuple], key: int = 0) -> list[int]:
+    try:
+        return [xxhash.xxh3_64_intdigest(line[p[0] : p[1]], p[2] ^ key) for p in places]
+    except UnicodeEncodeError:
+        return [xxhash.xxh3_64_intdigest(line[p[0] : p[1]].encode("utf-8", "surrogatepass"), p[2] ^ key) for p in places]
+
+
+def line_keys(line: str, edits: Edits = Edits()) -> list[int]:  # noqa: B008
+    """Keys, without sign, under which a line is filed or looked for."""
+    return hashes(line, line_probes(len(line), edits))
+
+
+#: place: twice the number of the key among the line's, and one if the line is filed under it.
+KEYED = "sid long, key long, place int"
+
+
+def _rows(sids: list[int], keys: list[list[int]], places: list[np.ndarray]) -> pd.DataFrame:
+    flat = np.fromiter(chain.from_iterable(keys), np.uint64)
+    return pd.DataFrame({"sid": np.repeat(np.array(sids, np.uint64).view(np.int64), [len(k) for k in keys]), "key": flat.view(np.int64), "place": np.concatenate([np.zeros(0, np.int32), *places])})
+
+
+def key_lines(docs: DataFrame, edits: Edits) -> DataFrame:
+    """KEYED for lines that may differ from another one. A task keys a line once, but for every SEEN lines that it has seen since."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        place_of: dict[int, np.ndarray] = {}
+        for batch in batches:
+            sids, keys, places = [], [], []
+            for t in batch["text"].tolist():
+                for x in split_lines(t):
+                    if len(x) < edits.chars:
+                        continue
+                    b = x.encode("utf-8", "surrogatepass")
+                    h = line_id(b)
+                    if h in seen:
+                        continue
+                    seen.add(h)
+                    own = line_probes(len(x), edits)
+                    if len(x) not in place_of:
+                        place_of[len(x)] = np.array([2 * i + p[3] for i, p in enumerate(own)], np.int32)
+                    sids.append(h)
+                    keys.append(hashes(x, own))
+                    places.append(place_of[len(x)])
+            if len(seen) > SEEN:
+                seen.clear()
+            yield _rows(sids, keys, places)
+
+    return docs.select("text").mapInPandas(run, KEYED)
+
+
+def finer_keys(held: DataFrame, edits: Edits) -> DataFrame:
+    """KEYED for what lines leave of themselves without the segment that they share under a key. held: sid, key, place, content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, places = [], []
+            for key, place, x in zip(batch["key"].tolist(), batch["place"].tolist(), batch["content"].tolist()):
+                a, b, _, _, t, extra = line_probes(len(x), edits)[place // 2]
+                rest = x[:a] + x[b:]
+                # a line filed under the key is a partner of its own length, and one that is longer by `extra` looks for it
+                own = probes(len(rest), t, extra)
+                keys.append(hashes(rest, own, key & ((1 << 62) - 1)))
+                places.append(np.array([2 * i + p[3] for i, p in enumerate(own)], np.int32))
+            yield _rows([x & ((1 << 64) - 1) for x in batch["sid"].tolist()], keys, places)
+
+    return held.select("sid", "key", "place", "content").mapInPandas(run, KEYED)
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """key, sid, own, t, extra, at, taken and size (rows of the key) of keys of several lines, one of them filed under it; keyed: sid, found (of segment_keys)."""
-    flat = keyed.select("sid", F.explode("found").alias("f")).where(F.col("f").isNotNull())
-    # one number for all but the key, as many rows are shuffled
-    place = F.shiftleft(F.col("f.size").cast("long"), 32) + F.shiftleft(F.col("f.at").cast("long"), 5) + F.shiftleft(F.col("f.t").cast("long"), 3) + F.shiftleft(F.col("f.extra").cast("long"), 1) + F.col("f.own").cast("long")
-    packed = flat.select("sid", F.col("f.key").alias("key"), place.alias("place"))
-    own = Window.partitionBy("key")
-    some = packed.withColumns({"low": F.min("sid").over(own), "high": F.max("sid").over(own), "filed": F.max(F.col("place").bitwiseAND(F.lit(1))).over(own)}).where("low <> high and filed = 1")
-    bits = lambda low, n: F.shiftright("place", low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-    told = some.select("key", "sid", (bits(0, 1) == 1).alias("own"), bits(1, 2).alias("extra"), bits(3, 2).alias("t"), bits(5, 27).alias("at"), bits(32, 31).alias("taken"))
-    return told.withColumn("size", F.count("*").over(own))
+    """KEYED, own and size (rows of the key) of keys of several lines, one of them filed under it."""
+    by_key = Window.partitionBy("key")
+    filed = F.col("place").bitwiseAND(F.lit(1))
+    some = keyed.withColumns({"low": F.min("sid").over(by_key), "high": F.max("sid").over(by_key), "filed": F.max(filed).over(by_key)}).where("low <> high and filed = 1")
+    once = some.select("sid", "key", "place").distinct()
+    return once.withColumns({"own": filed == 1, "size": F.count("*").over(by_key)})
 
 
 def _common(a: str, b: str) -> int:
@@ -143,6 +219,16 @@ def within_edits(a: str, b: str, most: int = Edits.most) -> bool:
     return score <= most
 
 
+def split_lines(text: str | None) -> list[str]:
+    return [x.strip(SPACE) for x in text.split("\n")] if isinstance(text, str) else []
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid and content of the wanted lines (column sid), each once."""
+    lines = docs.select(F.explode(lines_of(F.col("text"))).alias("content")).select(F.xxhash64("content").alias("sid"), "content")
+    return join_small(lines, wanted.withColumn("__wanted", F.lit(True)), ["sid"], "inner").drop("__wanted").dropDuplicates(["sid"])
+
+
 def confirmed(pairs: DataFrame, edits: Edits) -> DataFrame:
     """Those rows a, b, x, y (lines and their contents) that are within their edits."""
 
@@ -193,16 +279,13 @@ def across_blocks(members: DataFrame, edits: Edits) -> DataFrame:
     return cut(one.join(two, "key").where("block <= other").repartition(n_tasks, "key", "block", "other").select("p", "q").mapInPandas(run, "a long, b long"))
 
 
-def link_lines(lines: DataFrame, edits: Edits) -> DataFrame | None:
-    """node and component of every line linked with another one, or None without links. lines: sid and content, each line once."""
-    whole = F.char_length("content")
-    allowed = lambda length: F.least(F.lit(edits.most), F.floor(length / edits.chars))
-    keyed = lines.where(allowed(whole) > 0).select("sid", segment_keys(F.col("content"), lambda t, extra: allowed(whole - extra) == t, edits.most).alias("found"))
-    members = cut(shared_keys(keyed))
+def link_lines(docs: DataFrame, edits: Edits) -> DataFrame | None:
+    """node and component of every line of docs (text) linked with another one, or None without links."""
+    members = cut(shared_keys(key_lines(docs, edits)))
     if not members.limit(1).count():
         return None
     popular = members.groupBy("sid").agg(F.sum("size").alias("shared"))
-    texts = cut(lines.join(popular.select("sid"), "sid", "left_semi"))
+    texts = cut(texts_of(docs, popular.select("sid")))
     members = cut(members.join(popular, "sid"))
     found = None
 
@@ -236,12 +319,7 @@ def link_lines(lines: DataFrame, edits: Edits) -> DataFrame | None:
 
     large = compare(members)
     if large.limit(1).count():
-        text = F.col("content")
-        rest = F.concat(F.substring(text, F.lit(1), F.col("at")), F.substring(text, F.col("at") + F.col("taken") + 1, F.char_length(text)))
-        held = large.join(texts, "sid").select("sid", "key", "t", "extra", rest.alias("rest"))
-        # a line filed under the key is a partner of its own length, and one that is longer by `extra` looks for it
-        keys = segment_keys(F.col("rest"), lambda t, extra: (F.col("t") == t) & (F.col("extra") == extra), edits.most, F.col("key"))
-        large = compare(cut(shared_keys(held.select("sid", keys.alias("found")))))
+        large = compare(cut(shared_keys(finer_keys(large.join(texts, "sid"), edits))))
         if large.limit(1).count():
             add(across_blocks(large.select("key", "sid", "c").distinct().join(texts, "sid"), edits))
     return found
@@ -264,8 +342,7 @@ def classify_lines(docs: DataFrame, edits: Edits = Edits()) -> DataFrame:  # noq
         each = filed.select("row", "doc_id", F.posexplode("lines").alias("number", "sid")).where(F.col("sid").isNotNull())
         place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), F.col("number").alias("number"))
         by_line = each.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-        lines = docs.select(F.explode(lines_of(F.col("text"))).alias("content")).where(F.char_length("content") >= edits.chars).distinct()
-        found = link_lines(cut(lines.select(F.xxhash64("content").alias("sid"), "content")), edits)
+        found = link_lines(docs, edits)
         placed = with_component(by_line, found)
         classes = placed.groupBy("c").agg(F.min("first").alias("kept_at"), F.sum("n").alias("size")).where("size > 1")
         moved = cut(placed.join(classes, "c").select("sid", "c", "kept_at"))

@@ -85,6 +85,22 @@ def report(spark, docs, *law):
     return {r["doc_id"]: r["dropped"] for r in line_dedup.dedup_report(spark.createDataFrame(docs, "doc_id long, text string"), *law).collect()}
 
 
+def test_lines_within_edits_share_a_key():
+    rng = random.Random(4)
+    law = line_dedup.Edits()
+    for _ in range(1500):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(12, 90)))
+        b = edited(rng, a, law.of(len(a)))
+        if line_dedup.within_edits(a, b, law.of(min(len(a), len(b)))) and min(len(a), len(b)) >= 12:
+            assert set(line_dedup.line_keys(a)) & set(line_dedup.line_keys(b))
+
+
+def test_line_ids_are_those_of_expressions(spark):
+    lines = ["a line", "", "é😀 ß", "x" * 5000]
+    got = [r["h"] for r in spark.createDataFrame([(x,) for x in lines], "x string").select(F.xxhash64("x").alias("h")).collect()]
+    assert got == [int(np.uint64(line_dedup.line_id(x.encode())).astype(np.int64)) for x in lines]
+
+
 def test_line_classes(spark):
     """Lines of 1 to 60 characters, most of them near another one."""
     rng = random.Random(8)
