@@ -76,11 +76,12 @@ def scratch() -> Iterator[list[DataFrame]]:
     release(*[df for key, (df, _) in list(_PATHS.items()) if key not in before and key not in held])
 
 
-def bound_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts can be long, so Python workers get few at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession, rows: int = 500, size: int = 1 << 22) -> None:
+    """Texts can be long, so Python workers get few at a time: so many rows and, of long rows, so many bytes."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))
+        if now and not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def n_words(text: Column) -> Column:

@@ -52,19 +52,24 @@ def plain(text: bytes) -> bytes:
     return (data + np.where(high, 32, 0).astype(np.uint8))[~_DROP[data]].tobytes()
 
 
-def _bit(step: int, walk: int, symbols: np.ndarray) -> np.ndarray:
-    return (mix64(symbols ^ np.uint64(((walk + 1) << 40) + (step + 1) * 2654435761)) & np.uint64(1)).astype(np.int64)
+@lru_cache(maxsize=64)
+def _turns(walk: int, steps: int) -> np.ndarray:
+    """An odd number for each step of a walk; the top bit of its product with a word's hash tells whether the walk moves on."""
+    return np.random.default_rng(walk + 1).integers(0, 1 << 63, steps, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def embed(windows: np.ndarray, walk: int) -> np.ndarray:
     """CGK embedding of each row of words, a column each; what follows the end is the word 0."""
     n, length = windows.shape
-    padded = np.hstack([windows, np.zeros((n, 1), np.uint64)])
-    at, rows = np.zeros(n, np.int64), np.arange(n)
+    flat = np.hstack([windows, np.zeros((n, 1), np.uint64)]).ravel()
+    base = np.arange(n) * (length + 1)
+    at, last = base.copy(), base + length
     out = np.empty((STEPS * length, n), np.uint64)
-    for step in range(STEPS * length):
-        out[step] = padded[rows, at]
-        at = np.minimum(at + _bit(step, walk, out[step]), length)
+    for step, turn in enumerate(_turns(walk, 1 << (STEPS * length).bit_length())[: STEPS * length]):
+        now = out[step]
+        np.take(flat, at, out=now)
+        at += ((now * turn) >> np.uint64(63)).astype(np.int64)
+        np.minimum(at, last, out=at)
     return out
 
 
@@ -73,22 +78,31 @@ def _places(size: int, walk: int) -> np.ndarray:
     return np.random.default_rng(1000 * size + walk).integers(0, STEPS * size, (SAMPLES, PLACES))
 
 
-def keys(windows: np.ndarray) -> np.ndarray:
-    """The LSH keys of each row of words, which is one sequence; a shorter one ends with the word 0."""
-    size = windows.shape[1]
+def keys(windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The LSH keys of each row of words; the first `size` words of a row are its sequence, and word 0 fills the rest."""
     out = np.empty((len(windows), WALKS * SAMPLES), np.uint64)
+    groups = [(int(size), np.flatnonzero(sizes == size)) for size in np.unique(sizes)]
     for walk in range(WALKS):
         embedded = embed(windows, walk)
-        for k, places in enumerate(_places(size, walk)):
-            key = np.full(len(windows), np.uint64(((size * WALKS + walk) * SAMPLES + k) + 1))
-            some = np.zeros(len(windows), bool)
-            for p in places:
-                key = mix64(key ^ embedded[p])
-                some |= embedded[p] != 0
-            out[:, walk * SAMPLES + k] = np.where(some, key, _NONE)  # what has read no word is no key
+        for size, own in groups:
+            read = embedded[_places(size, walk)[:, :, None], own[None, None, :]]
+            key = np.uint64((size * WALKS + walk) * SAMPLES + 1) + np.arange(SAMPLES, dtype=np.uint64)[:, None]
+            for p in range(PLACES):
+                key = mix64(key ^ read[:, p])
+            out[own, walk * SAMPLES : (walk + 1) * SAMPLES] = np.where((read != 0).any(1), key, _NONE).T  # what has read no word is no key
     return out
 
 
+def portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of the sorted sizes that differ by a third at the most and have about CELLS words."""
+    at = 0
+    while at < len(sizes):
+        to = int(np.searchsorted(sizes, max(sizes[at] + 1, sizes[at] * 4 // 3), side="right"))
+        to = min(to, at + max(1, CELLS // int(sizes[to - 1])))
+        yield slice(at, to)
+        at = to
+
+
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Fewest word edits between item and any run of text, and where the first best run ends."""
     j = np.arange(len(text) + 1)
@@ -124,12 +138,11 @@ class Items:
             elif len(w):
                 by_size.setdefault(len(w), []).append(i)
         found, owner, pair_of, size_of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for size, own in by_size.items():
-            step = max(1, CELLS // size)
-            for at in range(0, len(own), step):
-                ks = keys(np.stack([self.words[i] for i in own[at : at + step]]))
+        for size, own in sorted(by_size.items()):
+            for part in portions(np.full(len(own), size)):
+                ks = keys(np.stack([self.words[i] for i in own[part]]), np.full(len(own[part]), size))
                 found.append(ks.ravel())
-                owner.append(np.repeat(np.array(own[at : at + step], np.int32), ks.shape[1]))
+                owner.append(np.repeat(np.array(own[part], np.int32), ks.shape[1]))
             pairs = np.unique(np.concatenate([window_hashes(self.words[i], 2) for i in own]))
             pair_of.append(pairs)
             size_of.append(np.full(len(pairs), size))
@@ -178,7 +191,7 @@ def hits_in(texts: list[bytes], items: Items) -> Iterator[tuple[int, int, int, i
     place = np.repeat(maybe, many)
     entry = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(built["first"][which], many)
     size_at = built["sizes"][entry]
-    near: dict[tuple[int, int], list[int]] = {}
+    starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for size in np.unique(size_at):
         own, slack = place[size_at == size], int(items.tolerance * size + 1e-9)
         need = max(1, int(size) - 1 - 2 * slack)
@@ -190,18 +203,22 @@ def hits_in(texts: list[bytes], items: Items) -> Iterator[tuple[int, int, int, i
         low, high = np.maximum(0, last[fits] - (size - 2)), np.minimum(first[fits], n - 1)
         width = high - low + 1
         found_at = np.unique(np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width))
-        for at in range(0, len(found_at), max(1, CELLS // int(size))):
-            part = found_at[at : at + max(1, CELLS // int(size))]
-            end = np.minimum(part + size, found.first[text_of[part] + 1])  # a window ends with its text
-            inside = part[:, None] + np.arange(size)
-            ks = keys(np.where(inside < end[:, None], words[np.minimum(inside, n - 1)], _NONE))
-            flat = ks.ravel()
-            low = np.searchsorted(built["keys"], flat)
-            met = np.flatnonzero((low < len(built["keys"])) & (built["keys"][np.minimum(low, len(built["keys"]) - 1)] == flat) & (flat != 0))
-            high = np.searchsorted(built["keys"], flat[met], side="right")
-            for k, a, b in zip(met // ks.shape[1], low[met], high):
-                for item in np.unique(built["owners"][a:b]).tolist():
-                    near.setdefault((int(text_of[part[k]]), item), []).append(int(part[k]))
+        starts.append(found_at)
+        sizes.append(np.full(len(found_at), size))
+    start, size_of = np.concatenate(starts), np.concatenate(sizes)
+    near: dict[tuple[int, int], list[int]] = {}
+    for part in portions(size_of):
+        begin, size = start[part], size_of[part]
+        inside = begin[:, None] + np.arange(size.max())
+        end = np.minimum(begin + size, found.first[text_of[begin] + 1])  # a window ends with its text
+        ks = keys(np.where(inside < end[:, None], words[np.minimum(inside, n - 1)], _NONE), size)
+        flat = ks.ravel()
+        low = np.searchsorted(built["keys"], flat)
+        met = np.flatnonzero((low < len(built["keys"])) & (built["keys"][np.minimum(low, len(built["keys"]) - 1)] == flat) & (flat != 0))
+        high = np.searchsorted(built["keys"], flat[met], side="right")
+        for k, a, b in zip((met // ks.shape[1]).tolist(), low[met].tolist(), high.tolist()):
+            for item in built["owners"][a:b].tolist():
+                near.setdefault((int(text_of[begin[k]]), item), []).append(int(begin[k]))
     for (text, item), places in near.items():
         size = len(items.words[item])
         slack, best = items.slack(item), None

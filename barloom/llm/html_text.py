@@ -4,13 +4,14 @@ A page is read into blocks: runs of text between the boundaries of block element
 path of tags from the root. For every path the characters outside links, the punctuation marks and
 the blocks are counted; characters a block and punctuation a block are the path's ratios. Each
 block takes the ratios of its path, both series are smoothed along the page and fused by
-multiplication. A path's score is the mean over its blocks, and paths that score at or above a
-threshold, a part of the deviation of the fused series, are content: all their blocks are. What
-names itself as something else (a menu, a footer, an advert, a form, a comment) counts as empty.
+multiplication, but no block gets more than its path's own ratios give. A path's score is the mean
+over its blocks, and paths that score at or above a threshold, a part of the deviation of the fused
+series, are content: all their blocks are. What names itself as something else (a menu, a footer,
+an advert, a form, a comment) counts as empty.
 
 Short blocks such as headings share no path with long ones. The innermost element around most of
 the content tells where they belong: its blocks are kept too, whatever their path, unless they are
-links or named as something else. Content outside that element is kept if its path also is inside.
+links or named as something else.
 
 Everything is linear in the page: paths and elements are numbers, an element holds one run of
 blocks, and open elements are looked up by tag.
@@ -204,8 +205,9 @@ def smooth(x: np.ndarray, width: float = 1.0) -> np.ndarray:
 def content_paths(path: np.ndarray, size: np.ndarray, marks: np.ndarray, part_of_deviation: float) -> np.ndarray:
     """For each block whether its path is content. path: a number for each block's path; size, marks: its characters and punctuation."""
     n = np.bincount(path)
-    ratio = [smooth((np.bincount(path, x) / np.maximum(n, 1))[path]) for x in (size, marks)]
-    fused = ratio[0] * (1 + ratio[1])
+    ratio = [(np.bincount(path, x) / np.maximum(n, 1))[path] for x in (size, marks)]
+    # what stands beside content gains nothing from it
+    fused = np.minimum(ratio[0] * (1 + ratio[1]), smooth(ratio[0]) * (1 + smooth(ratio[1])))
     score = np.bincount(path, fused) / np.maximum(n, 1)
     score[np.bincount(path, size) == 0] = 0
     top = score.max(initial=0)
@@ -220,7 +222,7 @@ def container(tree: Tree, first: np.ndarray, last: np.ndarray, weight: np.ndarra
     return int(np.where(fits, np.array(tree.depth), -1).argmax())
 
 
-def main_text(page: str | None, part_of_deviation: float = 0.8) -> str:
+def main_text(page: str | None, part_of_deviation: float = 1.5) -> str:
     """The article's text: white space in a block is one space, blocks are joined by one space."""
     if not page:
         return ""
@@ -268,9 +270,7 @@ def main_text(page: str | None, part_of_deviation: float = 0.8) -> str:
     else:
         low, high = int(first[root]), int(last[root])
     near = (place >= low) & (place < high)
-    known = np.zeros(path.max() + 1, bool)
-    known[path[content & near]] = True
-    keep = ~other & (own >= 0.5) & (near | content & known[path])
+    keep = ~other & (own >= 0.5) & (near | content)
     return " ".join(t for k, (_, t) in zip(keep, found) if k)
 
 

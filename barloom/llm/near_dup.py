@@ -13,9 +13,9 @@ Buckets are never expanded into all pairs. Nodes of a bucket are first compared
 the one that shares buckets with most others, then with another one, and what turns out to be
 linked becomes one component. After that only nodes of different components are compared: in
 buckets of up to FEW nodes each with each, by their sketches. A larger bucket is cut into blocks, and
-pairs of blocks are compared where they are read, by their sketches and then by 32 bits of each
-shingle, each pair of nodes in the first band that both share. Only pairs that pass are written,
-which are links but for collisions of those 32 bits.
+pairs of blocks whose sets' sizes allow a link are compared where they are read, by their sketches
+and then by 32 bits of each shingle, each pair of nodes in the first band that both share. Only
+pairs that pass are written, which are links but for collisions of those 32 bits.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, cut, join_small, release
+from .common import bound_batches, cut, join_small, release, scratch
 from .components import components
 from .tokens import blocks, find_words, mix64, window_hashes
 
@@ -135,7 +135,7 @@ def passes(ones: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, s_a: np.ndarray,
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), sid (null of an empty set), samples, bands and pack (null where no other set can be similar).
 
-    pack is the odd sketch, then four bytes of each band's key.
+    pack is the odd sketch, then the bands' keys.
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -156,9 +156,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                     own = [sets[i] for i in some]
                     keys = band_keys(signatures(own))
                     odd, samples = odd_sketches(own)
-                    short = (keys.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    for i, x, y, z in zip(some, keys, odd, short):
-                        bands[i], pack[i] = x, y.tobytes() + z.tobytes()
+                    for i, x, y in zip(some, keys, odd):
+                        bands[i], pack[i] = x, y.tobytes() + x.tobytes()
                     out.loc[some, "samples"] = samples
                 out["bands"], out["pack"] = bands, pack
                 yield out[["doc_id", "n", "sid", "samples", "bands", "pack"]]
@@ -167,10 +166,10 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches as 64-bit words, and the short keys of the bands."""
+    """Sketches as 64-bit words, and the keys of the bands."""
     raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
     cut_at = SKETCH_BITS // 8
-    return np.ascontiguousarray(raw[:, :cut_at]).view(np.uint64), np.ascontiguousarray(raw[:, cut_at:]).view(np.uint32)
+    return np.ascontiguousarray(raw[:, :cut_at]).view(np.uint64), np.ascontiguousarray(raw[:, cut_at:]).view(np.int64)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -229,17 +228,19 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs a, b of nodes of different components that share a key and may be similar.
 
-    mixed: key, sid, c. A key's nodes are dealt over blocks by a hash, and each pair of blocks is
-    one row that some task compares on its own.
+    mixed: key, sid, c. A key's nodes are parted by the size of their sets, so that only nodes of the
+    same part and of the next one can be similar, and dealt over blocks by a hash. Each pair of
+    blocks is one row that some task compares on its own.
     """
     spark = mixed.sparkSession
-    n_blocks = F.ceil(F.count("*").over(Window.partitionBy("key")) / F.lit(BLOCK))
-    dealt = mixed.withColumn("m", n_blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("m")))
-    whole = dealt.join(nodes.select("sid", "n", "samples", "pack"), "sid").join(sets.select("sid", "short"), "sid")
-    held = cut(whole.groupBy("key", "block").agg(F.collect_list(F.struct("sid", "c", "n", "samples", "pack", "short")).alias("rows")))
-    one = held.select("key", "block", F.col("rows").alias("p"))
-    two = held.select(F.col("key").alias("key_q"), F.col("block").alias("other"), F.col("rows").alias("q"))
-    met = one.join(two, (F.col("key") == F.col("key_q")) & (F.col("block") <= F.col("other")))
+    sized = mixed.join(nodes.select("sid", "n", "samples", "pack"), "sid").withColumn("part", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / SIMILAR) + 1e-9))
+    n_blocks = F.ceil(F.count("*").over(Window.partitionBy("key", "part")) / F.lit(BLOCK))
+    dealt = sized.withColumn("m", n_blocks).withColumn("block", F.concat_ws("/", "part", F.pmod(F.xxhash64("sid"), F.col("m"))))
+    whole = dealt.join(sets.select("sid", "short"), "sid")
+    held = cut(whole.groupBy("key", "part", "block").agg(F.collect_list(F.struct("sid", "c", "n", "samples", "pack", "short")).alias("rows")))
+    one = held.select("key", "block", F.explode(F.array("part", F.col("part") + 1)).alias("next"), "part", F.col("rows").alias("p"))
+    two = held.select(F.col("key").alias("key_q"), F.col("part").alias("part_q"), F.col("block").alias("other"), F.col("rows").alias("q"))
+    met = one.join(two, (F.col("key") == F.col("key_q")) & (F.col("next") == F.col("part_q"))).where((F.col("next") != F.col("part")) | (F.col("block") <= F.col("other"))).select("key", "block", "other", "p", "q")
 
     def similar(x: bytes, y: bytes, n: float) -> bool:
         if not x or not y:
@@ -252,7 +253,7 @@ def across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             names = batch.schema.names
             key = batch.column(names.index("key")).to_numpy()
-            within = (batch.column(names.index("block")).to_numpy() == batch.column(names.index("other")).to_numpy())
+            within = (batch.column(names.index("block")).to_numpy(zero_copy_only=False) == batch.column(names.index("other")).to_numpy(zero_copy_only=False))
             sides = []
             for side in "pq":
                 lists = batch.column(names.index(side))
@@ -271,7 +272,7 @@ def across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
                 ones = np.bitwise_count(odd_p[i] ^ odd_q[j]).sum(1)
                 ok = passes(ones, n_p[i].astype(float), n_q[j].astype(float), s_p[i].astype(float), s_q[j].astype(float))
                 i, j = i[ok], j[ok]
-                here = bands_p[i, (bands_p[i] == bands_q[j]).argmax(1)] == np.uint32(int(key[r]) & 0xFFFFFFFF)
+                here = bands_p[i, (bands_p[i] == bands_q[j]).argmax(1)] == key[r]
                 for x, y in zip(i[here], j[here]):
                     if similar(short_p[x], short_q[y], float(n_p[x] + n_q[y])):
                         a.append(int(sid_p[x]))
@@ -280,7 +281,7 @@ def across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, "16")  # a row here is two blocks
+    spark.conf.set(key, "4")  # a row here is two blocks
     try:
         return cut(met.repartition("key", "block", "other").mapInArrow(run, "a long, b long"))
     finally:
@@ -365,13 +366,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept. A document without doc_id is kept only if all it is linked with have none. Repeated rows
     have the same set, so that all with the least doc_id are kept. An empty table gives no rows.
     """
-    sketched = cut(sketch(docs))
+    with scratch() as keep:
+        sketched = cut(sketch(docs))
+        moved = cut(moved_sets(docs, sketched))
+        alone = cut(sketched.select("doc_id", "n", "sid"))
+        keep += [moved, alone]
+    joined = join_small(alone, moved, ["sid"])
+    component = F.when(F.col("moved"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def moved_sets(docs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """sid, component_id and moved (true) of the sets that several documents have or that are linked with another one."""
     found = link_components(docs, sketched)
     by_set = sketched.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     placed = with_component(by_set, found)
     of_component = placed.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    moved = cut(placed.join(of_component, "c").select("sid", "component_id", F.lit(True).alias("moved")))
-    alone = sketched.select("doc_id", "n", "sid")
-    joined = join_small(alone, moved, ["sid"])
-    component = F.when(F.col("moved"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return placed.join(of_component, "c").select("sid", "component_id", F.lit(True).alias("moved"))

@@ -100,7 +100,7 @@ def test_secrets(spark, docs, empty):
     assert len(rows) == len(ROWS) and all(r["base"] == [] and r["extra"] == [] for r in rows)
     assert secrets.scan(empty.select("doc_id", "text"), ratios).count() == 0
     flat = secrets.train(spark.createDataFrame([], "token string, random boolean"))
-    assert set(flat.table) == {0.0}
+    assert set(flat.tables["random"]) == {0.0}
 
 
 def test_decontamination(spark, docs, empty):

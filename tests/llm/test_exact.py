@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 from collections import defaultdict
+from html.parser import HTMLParser
 from itertools import accumulate
 
 import numpy as np
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from barloom.llm import components, convnet, decontaminate, html_text, language, line_dedup, mixing, near_dup, rules, secrets, sharding
+from barloom.llm import components, convnet, decontaminate, html_text, language, line_dedup, mixing, near_dup, rules, secrets, sharding, tokens
 from barloom.llm.tokens import find_words
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "ta") for b in ("sel", "ron", "pek", "dim", "vor", "zul")]
@@ -483,3 +485,115 @@ def test_planted_secrets_are_found_and_words_are_not(spark):
         else:
             hits += found == [planted[r["doc_id"]]]
     assert hits >= 0.95 * 300
+
+
+def test_long_texts_in_pieces_give_the_same(monkeypatch):
+    rng = random.Random(23)
+    long = text(rng, 3000) + "x" * 300 + " " + text(rng, 200)
+    model = language.ContextTrees(["x"], *(lambda g, n: (g, n[:, None].astype(float)))(*np.unique(language._grams([text(rng, 400).encode()]), return_counts=True)))
+    net = convnet.Net(np.random.default_rng(2).normal(size=(4, 256, 3)).astype(np.float32), np.zeros(3, np.float32), np.ones(3, np.float32), np.ones(3, np.float32), 0.0)
+    whole = model.tables().code_lengths([long.encode()])[0, 0], convnet.score_texts(net, [long.encode()])[0], find_words([long.encode()])
+    monkeypatch.setattr(language, "PIECE", 97)
+    monkeypatch.setattr(convnet, "CHUNKS_A_PIECE", 5)
+    monkeypatch.setattr(tokens, "PIECE", 128)
+    assert model.tables().code_lengths([long.encode()])[0, 0] == pytest.approx(whole[0])
+    assert convnet.score_texts(net, [long.encode()])[0] == pytest.approx(whole[1])
+    words = find_words([long.encode()])
+    assert (words.start == whole[2].start).all()
+    same = np.flatnonzero(words.end - words.start < 128)
+    assert (words.hash[same] == whole[2].hash[same]).all() and len(same) == len(words.hash) - 1
+
+
+class PlainPage(HTMLParser):
+    """Blocks of a page with well-formed markup but for ends of paragraphs: path, text, share outside links, named as something else."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.path, self.blocks, self.now = [], [], ["", 0]
+        self.feed(page)
+        self.flush()
+
+    def flush(self):
+        t = " ".join(self.now[0].split())
+        if t:
+            block = [x for x in self.path if x not in ("a", "b")]
+            self.blocks.append(("/".join(block), t, 1 - min(1, self.now[1] / len(t)), any(x in ("nav", "footer", "head", "ad") for x in self.path)))
+        self.now = ["", 0]
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("a", "b", "br"):
+            self.flush()
+            while "p" in self.path:
+                self.path.pop()
+        if tag not in ("br", "meta"):
+            self.path.append("ad" if dict(attrs).get("class") == "ad" else tag)
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b"):
+            self.flush()
+        tag = "ad" if tag == "div" and "ad" in self.path else tag
+        if tag in self.path:
+            while self.path.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not {"script", "style", "title"} & set(self.path):
+            self.now[0] += data
+            self.now[1] += len(data.strip()) if "a" in self.path else 0
+
+
+def plain_content(page, named=True):
+    """Texts of the blocks whose path is content."""
+    blocks = PlainPage(page).blocks
+    weight = [0 if b[3] and named else b[2] for b in blocks]
+    sums = defaultdict(lambda: [0.0, 0.0, 0])
+    for (path, t, *_), w in zip(blocks, weight):
+        for k, v in enumerate((w * len(t), w * sum(t.count(c) for c in ".,;:!?"), 1)):
+            sums[path][k] += v
+    near = [np.exp(-(k * k) / 2) for k in range(-2, 3)]
+
+    def smoothed(k):
+        x = [sums[b[0]][k] / sums[b[0]][2] for b in blocks]
+        if len(x) < 5:
+            return [sum(x) / len(x)] * len(x)
+        return [sum(w * x[i + d] for d, w in zip(range(-2, 3), near) if 0 <= i + d < len(x)) / sum(w for d, w in zip(range(-2, 3), near) if 0 <= i + d < len(x)) for i in range(len(x))]
+
+    own = lambda b, k: sums[b[0]][k] / sums[b[0]][2]
+    fused = [min(x * (1 + y), own(b, 0) * (1 + own(b, 1))) for b, x, y in zip(blocks, smoothed(0), smoothed(1))]
+    mean = sum(fused) / len(fused)
+    least = 1.5 * (sum((f - mean) ** 2 for f in fused) / len(fused)) ** 0.5
+    score = {p: sum(f for f, b in zip(fused, blocks) if b[0] == p) / s[2] for p, s in sums.items() if s[0]}
+    return [b[1] for b, w in zip(blocks, weight) if w * len(b[1]) > 0 and b[0] in score and score[b[0]] >= min(least, max(score.values()))]
+
+
+def test_tag_path_ratios_as_defined(monkeypatch):
+    """On the driver's pages: the same content by the plain version; the right text without an article element; and by ratios alone."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    pages = [x for x in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if x]
+    told = []
+    kept = html_text.content_paths
+    monkeypatch.setattr(html_text, "content_paths", lambda *x: told.append(kept(*x)) or told[-1])
+    texts = [html_text.main_text(p) for p in pages]
+    for p, content in zip(pages, told):
+        want = plain_content(p)
+        assert int(content.sum()) == len(want)
+    for p, t in zip(pages, texts):
+        article = p[p.index("<article>") : p.index("</article>")]
+        assert t == " ".join(b[1] for b in PlainPage(article).blocks)
+        assert html_text.main_text(p.replace("<article>", '<div class="entry">').replace("</article>", "</div>")) == t
+        assert html_text.main_text(p.replace("<article>", "").replace("</article>", "")) == t
+    # what names itself as something else is told by its ratios too, and nothing is if they are off
+    monkeypatch.setattr(html_text, "NAMES", re.compile("(?!)"))
+    monkeypatch.setattr(html_text, "OTHER", {"head", *html_text.RAW})
+    assert sum(html_text.main_text(p) == t for p, t in zip(pages, texts)) > 0.8 * len(pages)
+    monkeypatch.setattr(html_text, "content_paths", lambda path, size, *_: size > 0)
+    assert sum(html_text.main_text(p) == t for p, t in zip(pages, texts)) == 0
+
+
+def test_hostile_pages():
+    start = time.monotonic()
+    for page in ("<div>" * 100_000 + "One, two.", "<b>" * 50_000 + "One, two." + "</i>" * 50_000, '<a "x ' * 40_000, "<p>One, two.<div>" * 20_000, "<table><i>" * 20_000 + "</b>" * 40_000):
+        html_text.main_text(page)
+    assert time.monotonic() - start < 30
+    assert html_text.main_text('<article><p>Let <math><mi>x</mi></math> be one, and so on.</p><section id="search"><p>Search trees, they say.</p></section></article>') == "Let x be one, and so on. Search trees, they say."
+    assert html_text.main_text("<p>One, two.</p>", 3.0) == "One, two."

@@ -52,7 +52,7 @@ def test_stages(spark, tables):
 
     copies = Counter(ids["mixing"])
     assert set(copies) <= set(ids["decontamination"]) and max(copies.values()) <= 3
-    assert copies == Counter({r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame([r for r in kept["decontamination"]], docs_schema())).collect()})
+    assert copies == Counter({r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame([r for r in kept["decontamination"]], docs_schema()), weight=mixing.by_length()).collect()})
 
     shards = kept["sharding"]
     assert Counter(ids["sharding"]) == copies
@@ -94,7 +94,7 @@ def test_run_gives_the_last_stage(spark, tables):
 
 
 def test_mix_takes_what_ranks_say(spark):
-    """Against the rule in plain Python: lowest ranks that fit, then smaller documents of higher rank."""
+    """Against the rule in plain Python: lowest ranks that fit, then smaller documents of higher rank, at last one of which half fits."""
     rng = random.Random(14)
     docs = [(i, " ".join("w" for _ in range(rng.randint(1, 120))), rng.choice("ab")) for i in range(160)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
@@ -111,22 +111,29 @@ def test_mix_takes_what_ranks_say(spark):
         want.update({i: sure for i in own})
         rank = {i: (o := u[i] / (1 - u[i]) / (p / (1 - p))) / (1 + o) for i in own} if p > 0 else {}
         states.append({"rank": sorted(rank, key=rank.get), "after": 0, "most": 10**9, "wanted": target - sure * whole, "target": target})
-    for k in range(4):
+    half = False
+    while True:
+        took = False
         for s in states:
             run, last, got_words = 0, s["after"], 0
             for place, i in enumerate(s["rank"]):
                 if place < s["after"] or size[i] > s["most"]:
                     continue
-                if run + size[i] / (2 if k == 3 else 1) <= s["wanted"]:
+                if run + size[i] / (2 if half else 1) <= s["wanted"]:
                     want[i] += 1
                     last, got_words = place + 1, run + size[i]
                 elif run > s["wanted"] or run + size[i] > s["wanted"]:
                     break
                 run += size[i]
+            took = took or last > s["after"]
             s["after"], s["wanted"] = last, s["wanted"] - got_words
             s["most"] = min(s["most"], int(s["wanted"] // 1))
-        if all(s["wanted"] <= 0.0005 * s["target"] for s in states):
+        if half or all(s["wanted"] <= 0.0005 * s["target"] for s in states):
             break
+        if not took:
+            half = True
+            for s in states:
+                s["most"] = int(2 * max(0, s["wanted"]))
     assert got == want
 
 
