@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from barloom.llm import decontaminate, language, mixing, near_dup, sharding
-from barloom.llm.common import cut, join_small, table
+from barloom.llm.common import cut, join_small, release, scratch, table
 
 #: A text whose shortest code is no shorter than its bytes is of no known language.
 MOST_BITS_PER_BYTE = 8.0
@@ -90,7 +90,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's table is deleted when the next one's is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        with scratch() as keep:
+            before, docs = docs, cut(stage(spark, docs, sf_dir))
+            keep.append(docs)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
