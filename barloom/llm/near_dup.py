@@ -133,10 +133,7 @@ def passes(ones: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, s_a: np.ndarray,
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), sid (null of an empty set), samples, bands and pack (null where no other set can be similar).
-
-    pack is the odd sketch, then the bands' keys.
-    """
+    """doc_id, n (size of the set), sid (null of an empty set), samples, bands (their keys) and odd (the sketch), null where no other set can be similar."""
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -149,27 +146,25 @@ def sketch(docs: DataFrame) -> DataFrame:
                 out["sid"] = pd.array(set_ids(sets), dtype="Int64")
                 out.loc[n == 0, "sid"] = pd.NA
                 bands: list = [None] * len(part)
-                pack: list = [None] * len(part)
+                odds: list = [None] * len(part)
                 # three of four shingles in common is the least that can be similar and not equal
                 some = np.flatnonzero(n >= 3)
                 if len(some):
                     own = [sets[i] for i in some]
                     keys = band_keys(signatures(own))
-                    odd, samples = odd_sketches(own)
-                    for i, x, y in zip(some, keys, odd):
-                        bands[i], pack[i] = x, y.tobytes() + x.tobytes()
+                    sketches, samples = odd_sketches(own)
+                    for i, x, y in zip(some, keys, sketches):
+                        bands[i], odds[i] = x, y.tobytes()
                     out.loc[some, "samples"] = samples
-                out["bands"], out["pack"] = bands, pack
-                yield out[["doc_id", "n", "sid", "samples", "bands", "pack"]]
+                out["bands"], out["odd"] = bands, odds
+                yield out[["doc_id", "n", "sid", "samples", "bands", "odd"]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, sid long, samples long, bands array<long>, pack binary")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, sid long, samples long, bands array<long>, odd binary")
 
 
-def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches as 64-bit words, and the keys of the bands."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-    cut_at = SKETCH_BITS // 8
-    return np.ascontiguousarray(raw[:, :cut_at]).view(np.uint64), np.ascontiguousarray(raw[:, cut_at:]).view(np.int64)
+def unpack(column: pa.Array) -> np.ndarray:
+    """Sketches as 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -211,14 +206,14 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs a, b once each, without those whose sizes or sketches rule them out."""
     told = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for side in "ab":
-        told = told.join(nodes.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "samples", "pack")]), side)
+        told = told.join(nodes.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "samples", "odd")]), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
                 number = {k: col[k].to_numpy(zero_copy_only=False).astype(float) for k in ("n_a", "n_b", "samples_a", "samples_b")}
-                ones = np.bitwise_count(unpack(col["pack_a"])[0] ^ unpack(col["pack_b"])[0]).sum(1)
+                ones = np.bitwise_count(unpack(col["odd_a"]) ^ unpack(col["odd_b"])).sum(1)
                 keep = pa.array(passes(ones, number["n_a"], number["n_b"], number["samples_a"], number["samples_b"]))
                 yield pa.RecordBatch.from_arrays([col["a"].filter(keep), col["b"].filter(keep)], schema=PAIR)
 
@@ -233,11 +228,11 @@ def across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     blocks is one row that some task compares on its own.
     """
     spark = mixed.sparkSession
-    sized = mixed.join(nodes.select("sid", "n", "samples", "pack"), "sid").withColumn("part", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / SIMILAR) + 1e-9))
+    sized = mixed.join(nodes.select("sid", "n", "samples", "odd", "bands"), "sid").withColumn("part", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / SIMILAR) + 1e-9))
     n_blocks = F.ceil(F.count("*").over(Window.partitionBy("key", "part")) / F.lit(BLOCK))
     dealt = sized.withColumn("m", n_blocks).withColumn("block", F.concat_ws("/", "part", F.pmod(F.xxhash64("sid"), F.col("m"))))
     whole = dealt.join(sets.select("sid", "short"), "sid")
-    held = cut(whole.groupBy("key", "part", "block").agg(F.collect_list(F.struct("sid", "c", "n", "samples", "pack", "short")).alias("rows")))
+    held = cut(whole.groupBy("key", "part", "block").agg(F.collect_list(F.struct("sid", "c", "n", "samples", "odd", "bands", "short")).alias("rows")))
     one = held.select("key", "block", F.explode(F.array("part", F.col("part") + 1)).alias("next"), "part", F.col("rows").alias("p"))
     two = held.select(F.col("key").alias("key_q"), F.col("part").alias("part_q"), F.col("block").alias("other"), F.col("rows").alias("q"))
     met = one.join(two, (F.col("key") == F.col("key_q")) & (F.col("next") == F.col("part_q"))).where((F.col("next") != F.col("part")) | (F.col("block") <= F.col("other"))).select("key", "block", "other", "p", "q")
@@ -261,8 +256,9 @@ def across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
                 fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
                 short = np.empty(len(flat), object)
-                short[:] = flat.field(5).to_pylist()
-                sides.append((at, *fields, *unpack(flat.field(4)), short))
+                short[:] = flat.field(6).to_pylist()
+                bands = flat.field(5).flatten().to_numpy(zero_copy_only=False).reshape(len(flat), BANDS)
+                sides.append((at, *fields, unpack(flat.field(4)), bands, short))
             a: list[int] = []
             b: list[int] = []
             for r in range(batch.num_rows):
@@ -298,7 +294,7 @@ def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def link_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """node and component of every node linked with another one."""
-    nodes = cut(sketched.where(F.col("bands").isNotNull()).dropDuplicates(["sid"]).select("sid", "n", "samples", "pack", "bands"))
+    nodes = cut(sketched.where(F.col("bands").isNotNull()).dropDuplicates(["sid"]).select("sid", "n", "samples", "odd", "bands"))
     keyed = nodes.select("sid", F.explode("bands").alias("key"))
     members = cut(keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
     popular = members.groupBy("sid").agg(F.sum("size").alias("shared"))
