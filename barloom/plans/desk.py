@@ -22,8 +22,8 @@ THEMES = {"articles": r"(?i)(?:^|[^A-Za-zÀ-ÿ])(?:the|der|la|el)(?:$|[^A-Za-zÀ
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as residual series: a symbol for each of the first 60 vectors' ids, a day for each dimension."""
-    e = T.read(spark, sf, "embeddings").where("vec_id < 60")
-    return e.select(F.concat(F.lit("V"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("symbol"), F.posexplode("embedding").alias("t", "e")).withColumn("e", F.col("e").cast("double"))
+    e = T.read(spark, sf, "embeddings")
+    return e.select(F.concat(F.lit("V"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("symbol"), F.posexplode("embedding").alias("t", "e")).withColumn("e", F.col("e").cast("double"))
 
 
 def _returns(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,13 +55,13 @@ def divergence_z(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def basket_index(spark: SparkSession, sf: str) -> DataFrame:
-    dense = B.densify(T.bars_nation(spark, sf).drop("sector")).where(F.col("date") < F.lit("1995-11-01").cast("date"))
+    dense = B.densify(T.bars_nation(spark, sf).drop("sector"))
     rows = P.basket(dense, _sectors(spark, sf))
     return rounded(rows.select("grp", "t", F.log("close").alias("log_close"), (F.col("high") / F.col("close")).alias("top"), "n_members"))
 
 
 def leadlag_bh(spark: SparkSession, sf: str) -> DataFrame:
-    groups = T.read(spark, sf, "embeddings").where("vec_id < 60").select(F.concat(F.lit("V"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("symbol"), F.col("label").cast("string").alias("grp"))
+    groups = T.read(spark, sf, "embeddings").select(F.concat(F.lit("V"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("symbol"), F.col("label").cast("string").alias("grp"))
     rows = P.lead_lag(_vectors(spark, sf), groups)
     return rounded(rows.select("grp", "leader", "follower", "n", "slope", "t_stat", "found"), 5)
 
@@ -77,7 +77,7 @@ def sector_cohesion(spark: SparkSession, sf: str) -> DataFrame:
 def _journal(spark: SparkSession, sf: str) -> DataFrame:
     orders = T.read(spark, sf, "orders").join(T.read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(T.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     hold = F.when(F.col("o_orderpriority") == "1-URGENT", 5).when(F.col("o_orderpriority") == "2-HIGH", 10).otherwise(20)
-    return orders.where("o_orderstatus = 'P'").select(F.col("o_orderpriority").alias("rule"), F.col("n_name").alias("symbol"), F.to_date("o_orderdate").alias("signal_date"), hold.alias("hold_bars")).distinct()
+    return orders.select(F.col("o_orderpriority").alias("rule"), F.col("n_name").alias("symbol"), F.to_date("o_orderdate").alias("signal_date"), hold.alias("hold_bars")).distinct()
 
 
 def journal_mtm(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,10 +91,11 @@ def journal_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def journal_new_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    """Signals of even days against a journal of odd ones, late ones still open."""
+    """All signals against a journal of those before the split, of which the last ones are still open there."""
     j = _journal(spark, sf)
-    logged = j.where(F.dayofmonth("signal_date") % 2 == 1).withColumn("done", F.col("signal_date") < F.lit("2001-06-01").cast("date"))
-    return L.new_signals(j.where(F.dayofmonth("signal_date") % 3 == 0), logged).select("rule", "symbol", "signal_date")
+    split = F.lit(T.SPLIT).cast("date")
+    logged = j.where(F.col("signal_date") < split).withColumn("done", F.date_add("signal_date", 2 * F.col("hold_bars")) <= split)
+    return L.new_signals(j, logged).select("rule", "symbol", "signal_date")
 
 
 def ledger_first_seen(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,8 +192,8 @@ _RET = sql_bars("nation", dense=True) + f""", lr0 AS (SELECT symbol, sector, t,
 lr AS MATERIALIZED (SELECT symbol, sector, t, r FROM lr1 WHERE abs(r) < 10.0), mk AS (SELECT t, avg(r) AS m FROM lr GROUP BY t),
 bt AS (SELECT symbol, CASE WHEN count(*) >= 61 THEN regr_slope(r, m) ELSE 1.0 END AS beta FROM lr JOIN mk USING (t) GROUP BY symbol), rs AS MATERIALIZED (SELECT lr.symbol, sector, t, beta, r - beta * m AS e FROM lr JOIN mk USING (t) JOIN bt ON bt.symbol = lr.symbol),
 pc AS MATERIALIZED (SELECT a.symbol AS a, b.symbol AS b, a.sector AS sa, b.sector AS sb, count(*) AS n, CASE WHEN count(*) >= 60 THEN corr(a.e, b.e) ELSE 0.0 END AS corr FROM rs a JOIN rs b ON a.t = b.t AND a.symbol < b.symbol GROUP BY ALL)"""
-_VEC = "WITH ve AS MATERIALIZED (SELECT 'V' || lpad(CAST(vec_id AS VARCHAR), 3, '0') AS symbol, label, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS t FROM embeddings WHERE vec_id < 60)"
-_JOURNAL = sql_bars("nation", bench=True) + sql_bench("bars") + """, jn AS MATERIALIZED (SELECT DISTINCT o_orderpriority AS rule, n_name AS symbol, CAST(o_orderdate AS DATE) AS signal_date, CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 10 ELSE 20 END AS hold_bars FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P')"""
+_VEC = "WITH ve AS MATERIALIZED (SELECT 'V' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS symbol, label, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS t FROM embeddings)"
+_JOURNAL = sql_bars("nation", bench=True) + sql_bench("bars") + """, jn AS MATERIALIZED (SELECT DISTINCT o_orderpriority AS rule, n_name AS symbol, CAST(o_orderdate AS DATE) AS signal_date, CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 10 ELSE 20 END AS hold_bars FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 _MTM = _JOURNAL + """, ls AS (SELECT symbol, max(bar_idx) AS last FROM bars GROUP BY symbol), ja AS (SELECT jn.*, b.bar_idx + 1 AS e, least(ls.last, b.bar_idx + hold_bars) AS x, ls.last FROM jn ASOF LEFT JOIN al b ON b.symbol = jn.symbol AND b.date >= jn.signal_date LEFT JOIN ls ON ls.symbol = jn.symbol),
 mt AS MATERIALIZED (SELECT ja.rule, ja.symbol, ja.signal_date, ja.hold_bars, be.date AS entry_date, be.open AS entry_price, CASE WHEN be.date IS NOT NULL THEN x - e + 1 END AS bars_elapsed, bx.close / be.open - 1 AS ret, bx.bench_close / be.bench_open - 1 AS bench_ret, coalesce(e <= last AND e + hold_bars - 1 <= last, false) AS done
 FROM ja LEFT JOIN al be ON be.symbol = ja.symbol AND be.bar_idx = ja.e LEFT JOIN al bx ON bx.symbol = ja.symbol AND bx.bar_idx = ja.x AND ja.e <= ja.last)"""
@@ -215,7 +216,7 @@ go AS (SELECT *, count(*) OVER (PARTITION BY grp, t) AS n, sum(r) OVER (PARTITIO
 gr AS (SELECT gp.symbol, grp, t, r - b * others AS rel FROM gp JOIN gb ON gb.symbol = gp.symbol), gq AS (SELECT *, CASE WHEN count(rel) OVER (PARTITION BY symbol ORDER BY t ROWS 19 PRECEDING) = 20 THEN sum(rel) OVER (PARTITION BY symbol ORDER BY t ROWS 19 PRECEDING) END AS roll FROM gr),
 gz AS (SELECT *, avg(roll) OVER p AS mu, stddev_samp(roll) OVER p AS sd, count(roll) OVER p AS k, max(t) OVER (PARTITION BY symbol) AS last_t FROM gq WINDOW p AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING))
 SELECT symbol, grp, {_R('CASE WHEN k >= 126 AND sd > 0 THEN (roll - mu) / sd END')} AS z, {_R('exp(roll) - 1')} AS rel20 FROM gz WHERE t = last_t""",
-    "basket_index": sql_bars("nation", dense=True) + f""", bk AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS c FROM dense WHERE date < DATE '1995-11-01'), bp AS (SELECT *, {lag('c', 1, 't')} AS prev FROM bk),
+    "basket_index": sql_bars("nation", dense=True) + f""", bk AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS c FROM dense), bp AS (SELECT *, {lag('c', 1, 't')} AS prev FROM bk),
 bd AS (SELECT sector AS grp, t, count(*) AS n_members, avg(open / prev - 1) AS o, avg(high / prev - 1) AS h, avg(low / prev - 1) AS l, avg(c / prev - 1) AS ret FROM bp WHERE c IS NOT NULL AND prev IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
 be AS (SELECT *, 100 * exp(sum(ln(1 + ret)) OVER (PARTITION BY grp ORDER BY t)) AS close FROM bd), bf AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY grp ORDER BY t), 100.0) AS before FROM be)
 SELECT grp, CAST(t AS INT) AS t, {_R('ln(close)')} AS log_close, {_R('greatest(before * (1 + coalesce(h, 0)), before * (1 + coalesce(o, 0)), close) / close')} AS top, n_members FROM bf""",
@@ -227,7 +228,7 @@ rk AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM
 SELECT grp, leader, follower, n, {_R('slope', 5)} AS slope, {_R('t_stat', 5)} AS t_stat, coalesce(p <= c, false) AS found FROM rk, cut""",
     "journal_mtm": _MTM + f" SELECT rule, symbol, signal_date, hold_bars, entry_date, {_R('entry_price', 9)} AS entry_price, CAST(bars_elapsed AS INT) AS bars_elapsed, {_R('ret')} AS ret, {_R('bench_ret')} AS bench_ret, done FROM mt",
     "journal_summary": _MTM + f" SELECT rule, count(*) AS n, count(*) FILTER (done) AS closed, {_R('avg(ret)')} AS mean, {_R('quantile_cont(ret, 0.5)')} AS median, {_R('avg((ret > 0)::INT)')} AS hit, {_R('max(ret)')} AS best, {_R('min(ret)')} AS worst, {_R('avg(ret - bench_ret)')} AS excess FROM mt WHERE ret IS NOT NULL GROUP BY rule",
-    "journal_new_antijoin": _JOURNAL + """, lg AS (SELECT *, signal_date < DATE '2001-06-01' AS done FROM jn WHERE day(signal_date) % 2 = 1) SELECT DISTINCT rule, symbol, signal_date FROM jn WHERE day(signal_date) % 3 = 0 AND NOT EXISTS (SELECT 1 FROM lg WHERE lg.rule = jn.rule AND lg.symbol = jn.symbol AND lg.signal_date = jn.signal_date) AND NOT EXISTS (SELECT 1 FROM lg WHERE lg.rule = jn.rule AND lg.symbol = jn.symbol AND NOT lg.done)""",
+    "journal_new_antijoin": _JOURNAL + f""", lg AS (SELECT *, signal_date + CAST(2 * hold_bars AS INT) <= DATE '{T.SPLIT}' AS done FROM jn WHERE signal_date < DATE '{T.SPLIT}') SELECT DISTINCT rule, symbol, signal_date FROM jn WHERE NOT EXISTS (SELECT 1 FROM lg WHERE lg.rule = jn.rule AND lg.symbol = jn.symbol AND lg.signal_date = jn.signal_date) AND NOT EXISTS (SELECT 1 FROM lg WHERE lg.rule = jn.rule AND lg.symbol = jn.symbol AND NOT lg.done)""",
     "ledger_first_seen": f"""WITH rp AS (SELECT CAST(ts AS DATE) AS date, event_type AS section, 'U' || user_id AS symbol, round(value, 2) AS value, event_id FROM events), ag AS (SELECT section, symbol, count(DISTINCT date) AS n_days, min(ROW(date, event_id)) AS f FROM rp GROUP BY section, symbol)
 SELECT ag.section, ag.symbol, n_days, rp.date, rp.event_id, {_R('rp.value')} AS value FROM ag JOIN rp ON rp.section = ag.section AND rp.symbol = ag.symbol AND ROW(rp.date, rp.event_id) = f""",
     "scorecard_labels": _MTM + f""", lb AS (SELECT l.label, ret, ret - bench_ret AS xlocal FROM mt, LATERAL {_LAB} WHERE ret IS NOT NULL AND v)

@@ -50,7 +50,7 @@ def forward_returns(spark: SparkSession, sf: str) -> DataFrame:
 
 def local_baseline_md5(spark: SparkSession, sf: str) -> DataFrame:
     bars = T.bars_brand(spark, sf)
-    return rounded(E.hashed_baseline(rally(spark, sf, ("thrust",)), bars, 20))
+    return rounded(E.hashed_baseline(rally(spark, sf).select("symbol", "bar_idx").distinct(), bars, 20))
 
 
 def news_gap_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +88,7 @@ def base_events(spark: SparkSession, sf: str) -> DataFrame:
 def dated_event_returns(spark: SparkSession, sf: str) -> DataFrame:
     """Order days of each nation's customers as events on the nation's bars."""
     bars = T.bars_nation(spark, sf).drop("sector")
-    orders = T.read(spark, sf, "orders").where("o_totalprice > 400000").join(T.read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(T.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = T.read(spark, sf, "orders").join(T.read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(T.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     ev = orders.select(F.col("n_name").alias("symbol"), F.to_date("o_orderdate").alias("event_date"))
     found = E.dated(ev, bars, B.benchmark(bars))
     return rounded(found.select("symbol", "event_date", "date", "ret_5", "bench_5", "local_5", "ret_60"))
@@ -160,7 +160,7 @@ ORACLES = {
     "rally_events": SQL_RALLY + " SELECT rule, symbol, date, " + f"{_R("entry", 9)} AS entry, {_R('ret_126')} AS ret_126, {_R('day_ret')} AS day_ret, {_R('from_52w_high')} AS from_52w_high, beaten, " + ", ".join(f"{_R(f'{c}_{h}')} AS {c}_{h}" for h in HS for c in ("ret", "bench", "local")) + " FROM ev",
     "rally_combined": SQL_RALLY + """, cb AS (SELECT *, date - DATE '1970-01-01' AS day FROM ev WHERE beaten), cf AS (SELECT a.symbol, a.date, a.day, count(DISTINCT b.rule) AS confluence, min(a.rule) AS rule FROM cb a JOIN cb b ON b.symbol = a.symbol AND b.day BETWEEN a.day - 8 AND a.day GROUP BY ALL)""" + sql_cooldown("cf", "symbol", 30, "day", "cbk") + " SELECT symbol, date, rule, CAST(confluence AS INT) AS confluence FROM cbk",
     "forward_returns": sql_bars("flag", bench=True) + sql_bench("bars") + sql_forward("al", [5, 20], "open", 1, 0, "open", 1, 126, 0, 1) + " SELECT symbol, CAST(bar_idx AS INT) AS bar_idx, " + ", ".join(f"{_R(f'{c}_{h}')} AS {c}_{h}" for h in (5, 20) for c in ("ret", "bench", "local")) + ", n_local_5, n_local_20 FROM fw",
-    "local_baseline_md5": SQL_RALLY.replace("room AS MATERIALIZED (SELECT * FROM hits WHERE", "room AS MATERIALIZED (SELECT * FROM hits WHERE rule = 'thrust' AND") + """, cd AS (SELECT symbol, bar_idx, unnest(range(greatest(1, bar_idx - 126), least(last_at + 1 - 20 - 3, bar_idx + 126) + 1)) AS c FROM ev),
+    "local_baseline_md5": SQL_RALLY + """, cd AS (SELECT symbol, bar_idx, unnest(range(greatest(1, bar_idx - 126), least(last_at + 1 - 20 - 3, bar_idx + 126) + 1)) AS c FROM (SELECT DISTINCT symbol, bar_idx, last_at FROM ev)),
 cr AS (SELECT *, count(*) OVER (PARTITION BY symbol, bar_idx) AS n, row_number() OVER (PARTITION BY symbol, bar_idx ORDER BY md5(concat_ws('|', '1', symbol, CAST(bar_idx AS VARCHAR), '20', CAST(c AS VARCHAR)))) AS rk FROM cd WHERE abs(c - bar_idx) > 20)
 """ + f"SELECT cr.symbol, CAST(cr.bar_idx AS INT) AS bar_idx, {_R('avg(fw.ret_20)')} AS local, count(*) AS draws FROM cr JOIN fw ON fw.symbol = cr.symbol AND fw.bar_idx = cr.c WHERE n >= 5 AND rk <= 10 GROUP BY cr.symbol, cr.bar_idx",
     "news_gap_events": sql_bars("flag", bench=True, dense=True) + sql_bench("dense") + sql_forward("al", [1, 5, 10, 20], "close", 0, 0, "close", 0, 126, 2, 0, "t") + f""", g AS (SELECT *, open / ({lag('close', 1, 't')}) - 1 AS gap, {roll('avg', 'volume', 20, None, 1, 't')} AS av FROM fw), hit AS MATERIALIZED (SELECT * FROM g WHERE abs(gap) >= 0.04 AND volume >= 1.8 * av AND t + 20 < last_at + 1 AND t >= 260)""" + sql_cooldown("hit", "symbol", 5, "t") + f" SELECT symbol, date, CASE WHEN gap > 0 THEN 1 ELSE -1 END AS direction, {_R('gap')} AS gap, {_R('volume / av')} AS volume_times, {_R('ret_5')} AS ret_5, {_R('bench_5')} AS bench_5, {_R('local_5')} AS local_5, {_R('ret_20')} AS ret_20 FROM kept",
@@ -170,7 +170,7 @@ hit AS MATERIALIZED (SELECT g.*, threshold, direction FROM g, (VALUES (2.0::DOUB
     "doji_on_ma10": sql_bars("flag", bench=True) + sql_bench("bars") + sql_forward("al", [1, 5, 21], "close", 0, 0, "close", 0, 63, 1) + _DOJI + sql_cooldown("dj", "symbol", 5) + f" SELECT symbol, date, {_R('ret_1')} AS ret_1, {_R('bench_1')} AS bench_1, {_R('ret_5')} AS ret_5, {_R('ret_21')} AS ret_21, {_R('local_21')} AS local_21 FROM kept",
     "base_events": sql_bars("brand", bench=True) + sql_bench("bars") + sql_forward("al", [20, 60], *NEXT_OPEN) + f""", bb AS (SELECT *, coalesce(close < ({_MA200}) AND {_R126} < -0.08, false) AS beaten, {roll('max', 'close', 15)} AS h15, {roll('min', 'close', 15)} AS l15, {roll('avg', 'close', 15)} AS m15, ({roll('avg', 'volume', 15)}) / ({roll('avg', 'volume', 45, 30, 15)}) AS bv, {lag('close', -20)} AS c20, {lag('close', -60)} AS c60 FROM fw),
 hit AS MATERIALIZED (SELECT * FROM bb WHERE beaten AND (h15 - l15) / m15 <= 12.0 AND bar_idx + 61 < last_at + 1 AND bar_idx >= 260 AND bv IS NOT NULL)""" + sql_cooldown("hit", "symbol", 30) + f" SELECT symbol, date, {_R('bv')} AS base_volume, {_R('ret_20')} AS ret_20, {_R('ret_60')} AS ret_60, c20 > h15 AS up_20, c60 < l15 AS down_60 FROM kept WHERE entry > 0",
-    "dated_event_returns": sql_bars("nation", bench=True) + sql_bench("bars") + sql_forward("al", [5, 20, 60], "open", 0, -1, "close", 0, 126, 1) + f""", oe AS (SELECT DISTINCT n_name AS symbol, CAST(o_orderdate AS DATE) AS event_date FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 400000),
+    "dated_event_returns": sql_bars("nation", bench=True) + sql_bench("bars") + sql_forward("al", [5, 20, 60], "open", 0, -1, "close", 0, 126, 1) + f""", oe AS (SELECT DISTINCT n_name AS symbol, CAST(o_orderdate AS DATE) AS event_date FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 ja AS (SELECT oe.symbol, oe.event_date, fw.* EXCLUDE (symbol) FROM oe ASOF JOIN fw ON oe.symbol = fw.symbol AND oe.event_date < fw.date)
 SELECT symbol, event_date, date, {_R('ret_5')} AS ret_5, {_R('bench_5')} AS bench_5, {_R('local_5')} AS local_5, {_R('ret_60')} AS ret_60 FROM ja WHERE bar_idx >= 210 AND bar_idx + 60 < last_at + 1""",
 }

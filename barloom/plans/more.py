@@ -26,7 +26,7 @@ def late_entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entry_variants(spark: SparkSession, sf: str) -> DataFrame:
-    ev = rally(spark, sf).where("rule = 'thrust'").select("symbol", "bar_idx", F.col("close").alias("level"))
+    ev = rally(spark, sf).select("symbol", "bar_idx", F.col("close").alias("level")).distinct()
     return rounded(X.entry_variants(ev, T.bars_brand(spark, sf)), price=9)
 
 
@@ -53,7 +53,7 @@ SELECT symbol, CAST(n AS INT) AS n, {_R('macd', 4)} AS macd, {_R('sig', 4)} AS s
 fu AS (SELECT ev.rule, ev.symbol, ev.bar_idx, min(up.u) AS late_idx FROM ev JOIN up ON up.symbol = ev.symbol AND up.bar_idx BETWEEN ev.bar_idx + 1 AND ev.bar_idx + 10 GROUP BY ALL)
 SELECT fu.rule, fu.symbol, CAST(fu.bar_idx AS INT) AS bar_idx, CAST(late_idx AS INT) AS late_idx, {_R('o1')} AS late_entry, {_R('c20 / o1 - 1')} AS late_ret_20, {_R('c60 / o1 - 1')} AS late_ret_60 FROM fu JOIN up ON up.symbol = fu.symbol AND up.bar_idx = fu.late_idx""",
     "entry_variants": SQL_RALLY + f""", pb AS MATERIALIZED (SELECT symbol, bar_idx, close, {lag('open', -1)} AS o1, {lag('close', -20)} AS ex, min(low) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS lo FROM bars),
-pv AS (SELECT pb.symbol, pb.bar_idx, x.entry, x.price, ex FROM ev JOIN pb ON pb.symbol = ev.symbol AND pb.bar_idx = ev.bar_idx, LATERAL (VALUES ('close', pb.close), ('next_open', pb.o1), ('retest', CASE WHEN lo <= pb.close * 1.01 THEN least(pb.close * 1.01, pb.o1) END)) x(entry, price) WHERE ev.rule = 'thrust')
+pv AS (SELECT pb.symbol, pb.bar_idx, x.entry, x.price, ex FROM (SELECT DISTINCT symbol, bar_idx FROM ev) ev JOIN pb ON pb.symbol = ev.symbol AND pb.bar_idx = ev.bar_idx, LATERAL (VALUES ('close', pb.close), ('next_open', pb.o1), ('retest', CASE WHEN lo <= pb.close * 1.01 THEN least(pb.close * 1.01, pb.o1) END)) x(entry, price))
 SELECT symbol, CAST(bar_idx AS INT) AS bar_idx, entry, {_R('price', 9)} AS price, {_R('ex / price - 1')} AS ret FROM pv""",
     "price_context": sql_bars("brand") + f""", pc AS (SELECT symbol, date, bar_idx, {', '.join(f"{roll('avg', 'close', n)} AS ma{n}" for n in (20, 50, 200))}, {', '.join(f"close / ({lag('close', n)}) - 1 AS ret_{n}" for n in (21, 63, 126, 252))}, max(bar_idx) OVER (PARTITION BY symbol) AS last_at FROM bars)
 SELECT symbol, date, {', '.join(f"{_R(c, 4)} AS {c}" for c in ('ma20', 'ma50', 'ma200', 'ret_21', 'ret_63', 'ret_126', 'ret_252'))} FROM pc WHERE bar_idx = last_at""",

@@ -37,7 +37,7 @@ def hs_gates_from_pivots(spark: SparkSession, sf: str) -> DataFrame:
 
 def _plain_pivots(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly means per nation as a pivot table: highs and lows in turn."""
-    bars = T.bars_nation(spark, sf).where("close < 20000").groupBy("symbol", F.trunc("date", "month").alias("m")).agg(F.avg("close").alias("price"))
+    bars = T.bars_nation(spark, sf).groupBy("symbol", F.trunc("date", "month").alias("m")).agg(F.avg("close").alias("price"))
     w = Window.partitionBy("symbol").orderBy("m")
     rows = bars.withColumn("seq", F.row_number().over(w) - 1)
     return rows.select("symbol", F.lit(1).alias("scale"), "seq", (F.col("seq") * 10).alias("idx"), F.when(F.col("seq") % 2 == 0, F.col("price") * 1.3).otherwise(F.col("price")).alias("price"), F.when(F.col("seq") % 2 == 0, 1).otherwise(-1).alias("kind"))
@@ -63,7 +63,7 @@ QUERIES = {f.__name__: f for f in (extrema_candidates, pivots_by_scale, hs_gates
 ORACLES = {
     "extrema_candidates": sql_bars("flag") + """, x AS (SELECT symbol, bar_idx, max(high) OVER w = high AS top, min(low) OVER w = low AS bottom FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
 SELECT symbol, CAST(bar_idx AS INT) AS bar_idx, top, bottom FROM x WHERE top OR bottom""",
-    "hs_gates_from_pivots": sql_bars("nation") + f""", mo AS (SELECT symbol, date_trunc('month', date) AS m, avg(close) AS price FROM bars WHERE close < 20000 GROUP BY ALL), sq AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY m) - 1 AS seq FROM mo),
+    "hs_gates_from_pivots": sql_bars("nation") + f""", mo AS (SELECT symbol, date_trunc('month', date) AS m, avg(close) AS price FROM bars GROUP BY ALL), sq AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY m) - 1 AS seq FROM mo),
 pv AS (SELECT symbol, seq, seq * 10 AS idx, CASE WHEN seq % 2 = 0 THEN price * 1.3 ELSE price END AS price, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS kind FROM sq),
 ld AS (SELECT symbol, kind, idx AS x0, kind * price AS p0, {', '.join(f'lead(idx, {i}) OVER w AS x{i}, kind * lead(price, {i}) OVER w AS p{i}' for i in range(1, 5))} FROM pv WINDOW w AS (PARTITION BY symbol ORDER BY seq)),
 gt AS (SELECT *, (p2 - greatest(p0, p4)) / abs(p2) AS prominence, abs(p0 - p4) / ((abs(p0) + abs(p4)) / 2) AS uneven, abs(p1 - p3) / abs(p2) AS tilt, (least(p0, p4) - greatest(p1, p3)) / abs(p2) AS gap, (x2 - x0) / (x4 - x2) AS time_ratio FROM ld WHERE x4 IS NOT NULL)

@@ -65,7 +65,7 @@ def event_portfolio_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trades(spark: SparkSession, sf: str, length: int) -> DataFrame:
-    return P.with_path(T.bars_brand(spark, sf), length).join(rally(spark, sf).where("rule = 'thrust'").select("symbol", "bar_idx"), ["symbol", "bar_idx"])
+    return P.with_path(T.bars_brand(spark, sf), length).join(rally(spark, sf).select("symbol", "bar_idx").distinct(), ["symbol", "bar_idx"])
 
 
 def exit_rules_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +144,8 @@ def _rule_sql(r: P.ExitRule) -> str:
     return f"""SELECT '{r.name}' AS rule, symbol, bar_idx, coalesce(arg_min({out}, k) FILTER ({hit}), max(c) FILTER (k = {r.hold})) AS ret, coalesce(min(k) FILTER ({hit}), {r.hold}) AS bars, count(*) FILTER ({hit}) > 0 AS early FROM pp WHERE k <= {r.hold} GROUP BY symbol, bar_idx"""
 
 
-_THRUST = SQL_RALLY.replace("room AS MATERIALIZED (SELECT * FROM hits WHERE", "room AS MATERIALIZED (SELECT * FROM hits WHERE rule = 'thrust' AND")
+#: Each bar at which some rule fires, once.
+_ANY = SQL_RALLY + ", ed AS MATERIALIZED (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY symbol, bar_idx ORDER BY rule) = 1)"
 _CELLS = [(h, t, s) for h in (1, 2, 5, 10) for t in (0.0, 0.02, 0.05) for s in (0.0, 0.03)]
 
 
@@ -179,11 +180,11 @@ ob AS (SELECT series, date, 'overnight' AS leg, ov AS r FROM oa UNION ALL SELECT
     "event_portfolio_curve": sql_bars("flag", dense=True) + f""", em AS MATERIALIZED (SELECT *, close / ({lag('close', 1, 't')}) - 1 AS m, max(t) OVER (PARTITION BY symbol) AS last_at, {', '.join(f"{lag('date', -k, 't')} AS d{k}, {lag('close', -k, 't')} AS c{k}" for k in (1, 2, 3))}, {lag('open', -1, 't')} AS o1 FROM dense),
 ed AS (SELECT d1 AS date, c1 / o1 - 1 - 0.0005 AS r FROM em WHERE m < -0.5 AND t + 4 < last_at + 1 UNION ALL SELECT d2, c2 / c1 - 1 FROM em WHERE m < -0.5 AND t + 4 < last_at + 1 UNION ALL SELECT d3, c3 / c2 - 1 FROM em WHERE m < -0.5 AND t + 4 < last_at + 1)
 SELECT date, {_R('avg(r)')} AS r, count(*) AS positions FROM ed GROUP BY date HAVING avg(r) IS NOT NULL""",
-    "exit_rules_grid": _THRUST + _sql_path("ev", 60) + ", pp AS MATERIALIZED (SELECT *, max(c) OVER (PARTITION BY symbol, bar_idx ORDER BY k) AS peak FROM pa), ru AS (" + " UNION ALL ".join(_rule_sql(r) for r in P.default_rules()) + f"), rn AS (SELECT *, ret - 0.001 AS net FROM ru WHERE ret IS NOT NULL) SELECT rule, count(*) AS n, {_R('avg(net)', 5)} AS net, {_R('avg((net > 0)::INT)', 5)} AS hit, {_R('avg(bars)', 5)} AS avg_bars, {_R('avg(early::INT)', 5)} AS early_exit, {_R('sum(net) / sum(bars) * 1e4', 5)} AS per_bar_bp, {_R('sum(net) FILTER (net > 0) / nullif(-sum(net) FILTER (net < 0), 0)', 5)} AS profit_factor FROM rn GROUP BY rule",
-    "shortterm_grid": _THRUST + _sql_path("ev", 10) + ", ce AS (" + " UNION ALL ".join(_cell_sql(*c) for c in _CELLS) + f"), cn AS (SELECT *, ret - 0.0005 AS net FROM ce WHERE ret IS NOT NULL) SELECT hold, target, stop, count(*) AS n, {_R('avg(net)', 5)} AS net, {_R('avg((net > 0)::INT)', 5)} AS hit, {_R('avg(bars)', 5)} AS avg_bars FROM cn GROUP BY ALL",
+    "exit_rules_grid": _ANY + _sql_path("ed", 60) + ", pp AS MATERIALIZED (SELECT *, max(c) OVER (PARTITION BY symbol, bar_idx ORDER BY k) AS peak FROM pa), ru AS (" + " UNION ALL ".join(_rule_sql(r) for r in P.default_rules()) + f"), rn AS (SELECT *, ret - 0.001 AS net FROM ru WHERE ret IS NOT NULL) SELECT rule, count(*) AS n, {_R('avg(net)', 5)} AS net, {_R('avg((net > 0)::INT)', 5)} AS hit, {_R('avg(bars)', 5)} AS avg_bars, {_R('avg(early::INT)', 5)} AS early_exit, {_R('sum(net) / sum(bars) * 1e4', 5)} AS per_bar_bp, {_R('sum(net) FILTER (net > 0) / nullif(-sum(net) FILTER (net < 0), 0)', 5)} AS profit_factor FROM rn GROUP BY rule",
+    "shortterm_grid": _ANY + _sql_path("ed", 10) + ", ce AS (" + " UNION ALL ".join(_cell_sql(*c) for c in _CELLS) + f"), cn AS (SELECT *, ret - 0.0005 AS net FROM ce WHERE ret IS NOT NULL) SELECT hold, target, stop, count(*) AS n, {_R('avg(net)', 5)} AS net, {_R('avg((net > 0)::INT)', 5)} AS hit, {_R('avg(bars)', 5)} AS avg_bars FROM cn GROUP BY ALL",
     "tpsl_trades": _TPSL + f" SELECT symbol, date, CAST(days AS INT) AS days, reason, {_R('ret')} AS ret, {_R('hold_ret')} AS hold_ret FROM tz",
     "tpsl_grid": _TPSL + f" SELECT symbol, count(*) AS n, {_R('avg((ret > 0)::INT)', 5)} AS hit, {_R(chr(97) + 'vg((reason = ' + chr(39) + 'target' + chr(39) + ')::INT)', 5)} AS target_rate, {_R('avg((reason = ' + chr(39) + 'stop' + chr(39) + ')::INT)', 5)} AS stop_rate, {_R('avg(ret)', 5)} AS mean_ret, {_R('quantile_cont(ret, 0.5)', 5)} AS median_ret, {_R('avg(days)', 5)} AS mean_days, {_R('quantile_cont(days, 0.9)', 5)} AS p90_days, {_R('sum(ret) / sum(days) * 1e4', 5)} AS per_day_bp, {_R('sum(hold_ret) / sum(days) * 1e4', 5)} AS hold_per_day_bp, {_R('sum(ret) FILTER (ret > 0) / nullif(-sum(ret) FILTER (ret < 0), 0)', 5)} AS profit_factor FROM tz GROUP BY symbol",
-    "trade_sim_target_stop": _THRUST + _sql_path("ev", 20) + f""", ts AS (SELECT *, entry * 1.75 / entry - 1 AS tg, entry * 0.6 / entry - 1 AS sp FROM pa), tk AS (SELECT symbol, bar_idx, entry, tg, sp, count(*) AS n, coalesce(min(k) FILTER (l <= sp), 1073741824) AS ks, coalesce(min(k) FILTER (h >= tg), 1073741824) AS kt FROM ts GROUP BY ALL),
+    "trade_sim_target_stop": _ANY + _sql_path("ed", 20) + f""", ts AS (SELECT *, entry * 1.75 / entry - 1 AS tg, entry * 0.6 / entry - 1 AS sp FROM pa), tk AS (SELECT symbol, bar_idx, entry, tg, sp, count(*) AS n, coalesce(min(k) FILTER (l <= sp), 1073741824) AS ks, coalesce(min(k) FILTER (h >= tg), 1073741824) AS kt FROM ts GROUP BY ALL),
 te AS (SELECT *, CASE WHEN ks <= kt AND ks <= n THEN 'stop' WHEN kt <= n THEN 'target' ELSE 'time' END AS exit_reason FROM tk), tb AS (SELECT *, CASE exit_reason WHEN 'stop' THEN ks WHEN 'target' THEN kt ELSE n END AS bars_held FROM te),
 tf AS (SELECT b.symbol, b.bar_idx, b.entry, exit_reason, bars_held, CASE exit_reason WHEN 'stop' THEN b.sp WHEN 'target' THEN b.tg ELSE max(p.c) FILTER (p.k = b.n) END AS tr, greatest(0, max(p.h) FILTER (p.k <= bars_held)) AS mfe, greatest(0, -min(p.l) FILTER (p.k <= bars_held)) AS mae FROM tb b JOIN ts p ON p.symbol = b.symbol AND p.bar_idx = b.bar_idx GROUP BY b.symbol, b.bar_idx, b.entry, exit_reason, bars_held, b.sp, b.tg, b.n)
 SELECT symbol, CAST(bar_idx AS INT) AS bar_idx, exit_reason, CAST(bars_held AS INT) AS bars_held, {_R('tr')} AS trade_ret, {_R('mfe')} AS mfe, {_R('mae')} AS mae, {_R('CASE WHEN abs(entry - entry * 0.6) > 0.003 * entry THEN tr * entry / abs(entry - entry * 0.6) END')} AS r_multiple FROM tf""",
