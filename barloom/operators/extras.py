@@ -10,8 +10,12 @@ from pyspark.sql.window import Window
 
 from ..functions.frames import change, rolling
 
-#: Probability that a required move, in daily deviations, is reached. Fixed values.
-REACH = [(-3.0, 0.998), (-2.0, 0.975), (-1.0, 0.84), (-0.5, 0.69), (0.0, 0.5), (0.5, 0.31), (1.0, 0.16), (1.5, 0.07), (2.0, 0.025), (3.0, 0.003)]
+#: Required move, in daily deviations, and the probability that the next close reaches it. Fixed values.
+REACH = [
+    (-3.0, 0.944), (-2.5, 0.944), (-2.0, 0.944), (-1.5, 0.915), (-1.4, 0.906), (-1.3, 0.897), (-1.2, 0.887), (-1.1, 0.874), (-1.0, 0.856), (-0.9, 0.839), (-0.8, 0.814), (-0.7, 0.788), (-0.6, 0.755),
+    (-0.5, 0.726), (-0.4, 0.693), (-0.3, 0.649), (-0.2, 0.599), (-0.1, 0.562), (0.0, 0.505), (0.1, 0.431), (0.2, 0.392), (0.3, 0.339), (0.4, 0.297), (0.5, 0.260), (0.6, 0.224), (0.7, 0.194),
+    (0.8, 0.165), (0.9, 0.140), (1.0, 0.121), (1.1, 0.106), (1.2, 0.087), (1.3, 0.080), (1.4, 0.067), (1.5, 0.055), (2.0, 0.025), (2.5, 0.012), (3.0, 0.006),
+]
 
 
 def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:
@@ -22,60 +26,72 @@ def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:
     return F.when(x.isNotNull(), out.otherwise(F.lit(knots[-1][1])))
 
 
-def macd_touch(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, knots: list[tuple[float, float]] = REACH) -> DataFrame:  # noqa: B006
-    """Per symbol: MACD and signal at the last bar, the next close at which they touch, and how likely that is.
+def macd_touch(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, closeness: float = 0.05, span: int = 60, least: int = 200, alert: float = 0.7, knots: list[tuple[float, float]] = REACH) -> DataFrame:  # noqa: B006
+    """Per symbol at its last bar: MACD, its signal, the next closes at which they touch and cross, and how likely a touch is.
 
-    With the next close x, MACD is a line in x and so is its signal; they meet where
-    x = (slow's old part - fast's old part + signal) / (fast's weight - slow's weight).
+    With the next close x, MACD is a line in x and so is its signal; they meet at the cross price. A
+    touch is a MACD within `closeness` of the signal's size below it. status is insufficient_data (fewer
+    than `least` bars; all else null), above_signal, touching or apart; only apart has a required
+    move, z and probability, and alert tells whether that is high.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bar_idx")
-        c = rows["close"]
-        f, s = (c.ewm(span=n, adjust=False).mean().iloc[-1] for n in (fast, slow))
-        macd = c.ewm(span=fast, adjust=False).mean() - c.ewm(span=slow, adjust=False).mean()
-        sig = macd.ewm(span=signal, adjust=False).mean().iloc[-1]
-        a, b = 2 / (fast + 1), 2 / (slow + 1)
-        touch = (sig - (1 - a) * f + (1 - b) * s) / (a - b)
-        vol = np.log(c).diff().iloc[-60:].std()
-        return pd.DataFrame([(rows["symbol"].iloc[0], len(c), float(c.iloc[-1]), float(macd.iloc[-1]), float(sig), float(touch), None if np.isnan(vol) else float(vol))], columns=["symbol", "n", "close", "macd", "signal", "touch_price", "vol"])
-
-    out = bars.select("symbol", "bar_idx", "close").groupBy("symbol").applyInPandas(fold, "symbol string, n int, close double, macd double, signal double, touch_price double, vol double")
-    below = F.col("macd") < F.col("signal")
-    move = F.log(F.when(F.col("touch_price") > 0, F.try_divide(F.col("touch_price"), F.col("close"))))
-    z = F.try_divide(F.when(below, move).otherwise(-move), F.col("vol"))
-    return out.withColumns({"below": below, "z": z, "probability": interpolate(z, knots)})
+        c = rows.sort_values("bar_idx")["close"]
+        f, s = (c.ewm(span=n, adjust=False).mean() for n in (fast, slow))
+        sig = (f - s).ewm(span=signal, adjust=False).mean()
+        vol = c.pct_change().iloc[-span:].std() if len(c) > span else np.nan
+        return pd.DataFrame([(rows["symbol"].iloc[0], len(c), float(c.iloc[-1]), float(f.iloc[-1]), float(s.iloc[-1]), float(sig.iloc[-1]), None if np.isnan(vol) else float(vol))], columns=["symbol", "n", "close", "fast", "slow", "signal", "vol"])
+
+    out = bars.where(F.col("close").isNotNull()).select("symbol", "bar_idx", "close").groupBy("symbol").applyInPandas(fold, "symbol string, n int, close double, fast double, slow double, signal double, vol double")
+    a, b, g = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
+    enough = F.col("n") >= least
+    near = F.lit(closeness) * F.abs("signal")
+    out = out.withColumns({"macd": F.col("fast") - F.col("slow")}).withColumns({"hist": F.col("macd") - F.col("signal"), "cross_price": (F.col("signal") - (1 - a) * F.col("fast") + (1 - b) * F.col("slow")) / (a - b)})
+    out = out.withColumn("touch_price", F.col("cross_price") - near / ((1 - g) * (a - b)))
+    out = out.withColumn("status", F.when(~enough, "insufficient_data").when(F.col("hist") >= 0, "above_signal").when(F.col("hist") >= -near, "touching").otherwise("apart"))
+    out = out.withColumn("required", F.when(F.col("status") == "apart", F.col("touch_price") / F.col("close") - 1))
+    out = out.withColumn("z", F.try_divide("required", "vol")).withColumn("probability", interpolate(F.col("z"), knots))
+    told = lambda c: F.when(enough, F.col(c)).alias(c)
+    return out.select("symbol", "n", "status", *map(told, ("close", "macd", "signal", "hist", "touch_price", "cross_price")), "required", "z", "probability", (F.col("probability") >= alert).alias("alert"))
+
+
+def turns(c: np.ndarray, limit: float) -> list[int]:
+    """First and last bar, and the extremes between moves of at least `limit`. The first move is measured from the first close."""
+    n = len(c)
+    if n < 3:
+        return list(range(n))
+    found, way, edge = [0], 0, 0
+    for i in range(1, n):
+        if not way:
+            start = c[i] / c[0] - 1
+            if abs(start) >= limit:
+                way, edge = (1 if start > 0 else -1), i
+        elif way * (c[i] - c[edge]) >= 0:
+            edge = i
+        elif -way * (c[i] / c[edge] - 1) >= limit:
+            found.append(edge)
+            way, edge = -way, i
+    if way and edge not in (found[-1], n - 1):
+        found.append(edge)
+    return found if found[-1] == n - 1 else [*found, n - 1]
 
 
 def zigzag(bars: DataFrame, threshold: float = 0.1, most_legs: int = 12) -> DataFrame:
-    """Legs of each symbol's closes: turns of at least threshold; too many legs raise it by two fifths, up to five times."""
-
-    def turns(c: np.ndarray, limit: float) -> list[int]:
-        out, low, high, way = [0], 0, 0, 0
-        for i in range(1, len(c)):
-            low, high = (i if c[i] < c[low] else low), (i if c[i] > c[high] else high)
-            if way >= 0 and c[i] <= c[high] * (1 - limit):
-                if high != out[-1]:
-                    out.append(high)
-                way, low, high = -1, i, i
-            elif way <= 0 and c[i] >= c[low] * (1 + limit):
-                if low != out[-1]:
-                    out.append(low)
-                way, low, high = 1, i, i
-        last = len(c) - 1
-        edge = high if way > 0 else low
-        if way and edge not in (out[-1], last):
-            out.append(edge)
-        return out if out[-1] == last else [*out, last]
+    """Legs of each symbol's closes between turns of at least threshold.
+
+    While there are more than most_legs, the threshold is raised by two fifths, in five tries at the
+    most. A last leg of less than half the threshold belongs to the one before.
+    """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bar_idx")
-        c, limit = rows["close"].to_numpy(float), threshold
-        for _ in range(6):
+        c, limit = rows.sort_values("bar_idx")["close"].to_numpy(float), threshold
+        for _ in range(5):
             at = turns(c, limit)
             if len(at) - 1 <= most_legs:
                 break
             limit *= 1.4
+        if len(at) >= 3 and abs(c[at[-1]] / c[at[-2]] - 1) < limit / 2:
+            del at[-2]
         return pd.DataFrame([(rows["symbol"].iloc[0], k, int(a), int(b), float(c[b] / c[a] - 1), limit) for k, (a, b) in enumerate(zip(at, at[1:]))], columns=["symbol", "leg", "start_idx", "end_idx", "ret", "threshold"])
 
     return bars.select("symbol", "bar_idx", "close").groupBy("symbol").applyInPandas(fold, "symbol string, leg int, start_idx int, end_idx int, ret double, threshold double")
@@ -102,42 +118,63 @@ def entry_variants(events: DataFrame, bars: DataFrame, level: str = "level", hol
     return j.select("symbol", "bar_idx", "exit", F.explode(each).alias("x")).select("symbol", "bar_idx", "x.entry", "x.price", (F.try_divide(F.col("exit"), F.col("x.price")) - 1).alias("ret"))
 
 
-def slot_portfolio(dense: DataFrame, target: float, stop: float | None, slots: int = 20, hold: int = 250, cost: float = 0.0005, seed: int = 0, start: int = 200) -> DataFrame:
-    """date, value and positions of a portfolio with so many slots, filled by eligible stocks in a hashed order.
+def slot_portfolio(dense: DataFrame, target: float, stop: float | None, slots: int = 20, hold: int = 250, cost: float = 0.0005, seed: int = 0, start: int = 200, eligible: Column | None = None) -> DataFrame:
+    """date, r and positions of a portfolio with so many equal slots: r is the mean of the slots' returns of the day.
+
+    On each day after `start` every free slot buys, at the open and for `cost`, the next stock in the
+    day's order by a hash among those that closed the day before, were `eligible` then (a condition on
+    the day before's row), open today and are not held. A held stock is marked to market at the
+    close. It leaves at the stop, which comes first, at the target, or at the close of its hold-th
+    day; where the open is beyond stop or target on a later day than the first, it leaves at the open.
+    A held stock without a close leaves at no gain. Slots are filled from the first free one.
 
     What is bought depends on which slots are free, so this is one ordered walk over the calendar: one
-    task reads every bar of the panel, for any of them may be an exit of a held stock or an entry of
-    one chosen the day before. A chosen stock without a bar on the day gives way to the next in order.
+    task reads every bar of the panel, for any of them may be an exit or an entry.
     """
-    rows = dense.where(F.col("close").isNotNull())
-    pick = F.row_number().over(Window.partitionBy("t").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", F.col("t").cast("string")))))
-    ranked = rows.where(F.col("t") >= start).withColumn("pick", pick).select("symbol", "t", "date", "open", "high", "low", "close", "pick")
+    w = Window.partitionBy("symbol").orderBy("t")
+    held = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    rows = dense.withColumn("__may", F.lag(F.col("close").isNotNull() & held).over(w) & F.col("open").isNotNull())
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", F.col("t").cast("string")))
+    read = rows.where(F.col("t") > start).select("t", "date", "symbol", order.alias("pick"), F.coalesce("__may", F.lit(False)).alias("may"), "open", "high", "low", "close")
 
     def walk(panel: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, tuple[float, int]] = {}
-        value, out, waiting = 1.0, [], []
-        for t, day in panel.sort_values(["t", "pick"]).groupby("t"):
-            at, gains, closed = day.set_index("symbol"), 0.0, []
-            for s in waiting:
-                if s in at.index and len(held) < slots and s not in held:
-                    held[s] = (float(at.at[s, "open"]), t)
-            for s, (price, since) in held.items():
-                if s not in at.index:
+        panel = panel.sort_values(["t", "pick"])
+        book: list[list | None] = [None] * slots  # symbol, entry price, last price, day bought
+        out = []
+        ends = np.flatnonzero(np.append(panel["t"].to_numpy()[1:] != panel["t"].to_numpy()[:-1], True)) + 1
+        columns = [panel[c].to_numpy() for c in ("t", "date", "symbol", "may", "open", "high", "low", "close")]
+        for low_at, high_at in zip(np.append(0, ends[:-1]), ends):
+            t, date, symbol, may, opens, highs, lows, closes = (x[low_at:high_at] for x in columns)
+            at, now, gain = {s: i for i, s in enumerate(symbol)}, t[0], 0.0
+            owned = {x[0] for x in book if x}
+            chosen = iter([i for i in np.flatnonzero(may) if symbol[i] not in owned])
+            for k in range(slots):
+                if book[k] is None and (i := next(chosen, None)) is not None:
+                    book[k] = [symbol[i], opens[i], opens[i], now]
+                    gain -= cost
+            for k, x in enumerate(book):
+                if x is None:
+                    continue
+                i = at.get(x[0])
+                if i is None or np.isnan(closes[i]):
+                    book[k] = None
                     continue
-                r = at.loc[s]
-                up, down = price * (1 + target), price * (1 - stop) if stop is not None else -np.inf
-                done = down if r["low"] <= down else up if r["high"] >= up else r["close"] if t - since + 1 >= hold else None
-                if done is not None:
-                    gains += (done / price - 1 - cost) / slots
-                    closed.append(s)
-            for s in closed:
-                del held[s]
-            value *= 1 + gains
-            waiting = [s for s in day["symbol"] if s not in held]
-            out.append((day["date"].iloc[0], value, len(held)))
-        return pd.DataFrame(out, columns=["date", "value", "positions"])
-
-    return ranked.groupBy(F.lit("all")).applyInPandas(walk, "date date, value double, positions int")
+                up, down, later = x[1] * (1 + target), -np.inf if stop is None else x[1] * (1 - stop), now > x[3]
+                if lows[i] <= down:
+                    leave = min(opens[i], down) if later else down
+                elif highs[i] >= up:
+                    leave = max(opens[i], up) if later else up
+                else:
+                    leave = closes[i] if now - x[3] + 1 >= hold else None
+                gain += (closes[i] if leave is None else leave) / x[2] - 1
+                if leave is None:
+                    x[2] = closes[i]
+                else:
+                    book[k] = None
+            out.append((date[0], gain / slots, sum(x is not None for x in book)))
+        return pd.DataFrame(out, columns=["date", "r", "positions"])
+
+    return read.groupBy(F.lit("all")).applyInPandas(walk, "date date, r double, positions int")
 
 
 def wedge_geometry(matches: DataFrame) -> DataFrame:

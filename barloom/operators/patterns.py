@@ -493,27 +493,46 @@ def scan(bars: DataFrame, patterns: Iterable[str] | None = None, mode: str = "al
     return found
 
 
-def walk_forward(bars: DataFrame, patterns: Iterable[str] | None = None, window: int = 400, step: int = 1, most_lag: int = 15, cfg: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """Confirmed matches as they were seen at the time: every step-th bar looks back over window bars.
+def walk_forward(bars: DataFrame, patterns: Iterable[str] | None = None, window: int = 400, step: int = 1, most_lag: int = 15, cfg: Settings = Settings(), looks: int = 100) -> DataFrame:  # noqa: B008
+    """Confirmed matches as they were seen at the time: every step-th bar from the window-th on looks back over window bars.
 
-    Each look is a group of its own, so a symbol's looks spread over the cluster; a match counts when
-    its breakout is at most most_lag bars old, and once.
+    A match counts if its breakout is at most most_lag bars old, and once: later ones of its pattern
+    with a breakout within two bars and a start within ten are the same. A task makes `looks` looks
+    in a row, so that a symbol spreads over the cluster and a bar is sent to window / looks + 1 tasks.
     """
     wanted = resolve(patterns)
     last = F.max("bar_idx").over(Window.partitionBy("symbol"))
-    looks = F.sequence((F.ceil(F.greatest(F.col("bar_idx"), F.lit(window - 1)) / step) * step).cast("int"), F.least(last, F.col("bar_idx") + window - 1).cast("int"), F.lit(step))
-    lookable = F.greatest(F.ceil(F.greatest(F.col("bar_idx"), F.lit(window - 1)) / step) * step, F.lit(0)) <= F.least(last, F.col("bar_idx") + window - 1)
-    rows = bars.select("symbol", "bar_idx", "open", "high", "low", "close", "volume", F.when(lookable, looks).alias("looks")).withColumn("seen_at", F.explode("looks")).drop("looks")
+    turn = lambda t: F.floor((t - window) / F.lit(looks)).cast("int")
+    low, high = F.greatest(F.col("bar_idx"), F.lit(window)), F.least(last, F.col("bar_idx") + window - 1)
+    read = bars.select("symbol", "bar_idx", "open", "high", "low", "close", "volume", low.alias("lo"), high.alias("hi")).where("lo <= hi").withColumn("turn", F.explode(F.sequence(turn(F.col("lo")), turn(F.col("hi"))))).drop("lo", "hi")
+    names = ["symbol", "pattern", "direction", "start_idx", "breakout_idx", "seen_at", "score", "level", "target", "stop"]
+    kinds = "symbol string, pattern string, direction string, start_idx int, breakout_idx int, seen_at int, score double, level double, target double, stop double"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def look(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bar_idx")
-        shift, now = int(part["bar_idx"].iloc[0]), int(part["seen_at"].iloc[0])
-        found = [m for m in detect(part, wanted, cfg) if m["status"] == "confirmed" and m["breakout_idx"] is not None and now - (m["breakout_idx"] + shift) <= most_lag]
-        return pd.DataFrame([(part["symbol"].iloc[0], m["pattern"], m["direction"], m["breakout_idx"] + shift, now, m["score"]) for m in found], columns=["symbol", "pattern", "direction", "breakout_idx", "seen_at", "score"])
-
-    seen = rows.groupBy("symbol", "seen_at").applyInPandas(run, "symbol string, pattern string, direction string, breakout_idx int, seen_at int, score double")
-    first = Window.partitionBy("symbol", "pattern", "breakout_idx").orderBy("seen_at")
-    return seen.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+        at, begin, out = part["bar_idx"].to_numpy(), window + int(part["turn"].iloc[0]) * looks, []
+        for now in range(begin, min(begin + looks, int(at[-1]) + 1)):
+            if (now - window) % step:
+                continue
+            seen = part.iloc[np.searchsorted(at, now - window + 1) : np.searchsorted(at, now, side="right")]
+            shift = int(seen["bar_idx"].iloc[0])
+            for m in detect(seen, wanted, cfg):
+                if m["status"] == "confirmed" and m["breakout_idx"] is not None and now - (m["breakout_idx"] + shift) <= most_lag:
+                    out.append((part["symbol"].iloc[0], m["pattern"], m["direction"], m["start_idx"] + shift, m["breakout_idx"] + shift, now, m["score"], m["level"], m["target"], m["stop"]))
+        return pd.DataFrame(out, columns=names)
+
+    def once(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["seen_at", "breakout_idx", "start_idx", "score"], kind="stable")
+        known: dict[str, list[tuple[int, int]]] = {}
+        keep = []
+        for pattern, start, breakout in zip(rows["pattern"], rows["start_idx"], rows["breakout_idx"]):
+            key, held = (int(breakout), round(int(start), -1)), known.setdefault(pattern, [])
+            keep.append(not any(abs(b - key[0]) <= 2 and abs(s - key[1]) <= 10 for b, s in held))
+            if keep[-1]:
+                held.append(key)
+        return rows[np.array(keep, bool)]
+
+    return read.groupBy("symbol", "turn").applyInPandas(look, kinds).groupBy("symbol").applyInPandas(once, kinds)
 
 
 def best_current(matches: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from .tables import lag, roll, rounded, sql_bars
 
 
 def macd_touch(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(X.macd_touch(T.bars_brand(spark, sf)).select("symbol", "n", "macd", "signal", "touch_price", "below", "probability"), 4)
+    rows = X.macd_touch(T.bars_brand(spark, sf)).select("symbol", "n", "status", "macd", "signal", "touch_price", "cross_price", "required", "probability", "alert")
+    return rounded(rows, 4)
 
 
 def zigzag_legs(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,9 +32,8 @@ def entry_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def slot_portfolio(spark: SparkSession, sf: str) -> DataFrame:
-    """The value as a logarithm: the tables' prices swing past the stop on most days, and what is left soon rounds to nothing."""
     rows = X.slot_portfolio(B.densify(T.bars_brand(spark, sf)), 0.03, 0.05, 10, 40)
-    return rounded(rows.select("date", F.log("value").alias("log_value"), "positions"))
+    return rounded(rows.select("date", "r", "positions"))
 
 
 def price_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,12 +43,14 @@ def price_context(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (macd_touch, zigzag_legs, late_entry, entry_variants, slot_portfolio, price_context)}
 
 ORACLES = {
-    "macd_touch": sql_bars("brand") + f""", ct AS MATERIALIZED (SELECT symbol, bar_idx, close, count(*) OVER (PARTITION BY symbol) AS n, ln(close / ({lag('close')})) AS lr FROM bars),
+    "macd_touch": sql_bars("brand") + f""", ct AS MATERIALIZED (SELECT symbol, bar_idx, close, count(*) OVER (PARTITION BY symbol) AS n, close / ({lag('close')}) - 1 AS ch FROM bars),
 em AS (SELECT symbol, bar_idx, close AS f, close AS s, 0.0::DOUBLE AS sig FROM ct WHERE bar_idx = 0 UNION ALL SELECT c.symbol, c.bar_idx, e.f + (c.close - e.f) * (2.0::DOUBLE / 13), e.s + (c.close - e.s) * (2.0::DOUBLE / 27), e.sig + ((e.f + (c.close - e.f) * (2.0::DOUBLE / 13)) - (e.s + (c.close - e.s) * (2.0::DOUBLE / 27)) - e.sig) * 0.2::DOUBLE FROM em e JOIN ct c ON c.symbol = e.symbol AND c.bar_idx = e.bar_idx + 1),
-vo AS (SELECT symbol, stddev_samp(lr) AS vol FROM ct WHERE bar_idx >= n - 60 GROUP BY symbol),
-la AS (SELECT em.symbol, n, close, f - s AS macd, sig, (sig - (1 - 2.0::DOUBLE / 13) * f + (1 - 2.0::DOUBLE / 27) * s) / (2.0::DOUBLE / 13 - 2.0::DOUBLE / 27) AS touch, vol FROM em JOIN ct ON ct.symbol = em.symbol AND ct.bar_idx = em.bar_idx JOIN vo ON vo.symbol = em.symbol WHERE em.bar_idx = n - 1),
-lz AS (SELECT *, macd < sig AS below, CASE WHEN macd < sig THEN 1 ELSE -1 END * ln(CASE WHEN touch > 0 THEN touch / close END) / nullif(vol, 0) AS z FROM la)
-SELECT symbol, CAST(n AS INT) AS n, {_R('macd', 4)} AS macd, {_R('sig', 4)} AS signal, {_R('touch', 4)} AS touch_price, below, {_R('CASE ' + ' '.join([f'WHEN z <= {X.REACH[0][0]} THEN {X.REACH[0][1]}'] + [f'WHEN z <= {b} THEN {p} + (z - ({a})) * {(q - p) / (b - a)}' for (a, p), (b, q) in zip(X.REACH, X.REACH[1:])]) + f' WHEN z > {X.REACH[-1][0]} THEN {X.REACH[-1][1]} END', 4)} AS probability FROM lz""",
+vo AS (SELECT symbol, CASE WHEN max(n) > 60 THEN stddev_samp(ch) END AS vol FROM ct WHERE bar_idx >= n - 60 GROUP BY symbol),
+la AS (SELECT em.symbol, n, close, f - s AS macd, sig, (sig - (1 - 2.0::DOUBLE / 13) * f + (1 - 2.0::DOUBLE / 27) * s) / (2.0::DOUBLE / 13 - 2.0::DOUBLE / 27) AS crossing, vol FROM em JOIN ct ON ct.symbol = em.symbol AND ct.bar_idx = em.bar_idx JOIN vo ON vo.symbol = em.symbol WHERE em.bar_idx = n - 1),
+lb AS (SELECT *, crossing - 0.05 * abs(sig) / ((1 - 0.2) * (2.0::DOUBLE / 13 - 2.0::DOUBLE / 27)) AS touch, CASE WHEN n < 200 THEN 'insufficient_data' WHEN macd - sig >= 0 THEN 'above_signal' WHEN macd - sig >= -0.05 * abs(sig) THEN 'touching' ELSE 'apart' END AS status FROM la),
+lc AS (SELECT *, CASE WHEN status = 'apart' THEN touch / close - 1 END AS required FROM lb), lz AS (SELECT *, required / nullif(vol, 0) AS z FROM lc),
+lp AS (SELECT *, {'CASE ' + ' '.join([f'WHEN z <= {X.REACH[0][0]} THEN {X.REACH[0][1]}'] + [f'WHEN z <= {b} THEN {p} + (z - ({a})) * {(q - p) / (b - a)}' for (a, p), (b, q) in zip(X.REACH, X.REACH[1:])]) + f' WHEN z > {X.REACH[-1][0]} THEN {X.REACH[-1][1]} END'} AS probability FROM lz)
+SELECT symbol, CAST(n AS INT) AS n, status, CASE WHEN n >= 200 THEN {_R('macd', 4)} END AS macd, CASE WHEN n >= 200 THEN {_R('sig', 4)} END AS signal, CASE WHEN n >= 200 THEN {_R('touch', 4)} END AS touch_price, CASE WHEN n >= 200 THEN {_R('crossing', 4)} END AS cross_price, {_R('required', 4)} AS required, {_R('probability', 4)} AS probability, probability >= 0.7 AS alert FROM lp""",
     "late_entry": SQL_RALLY + f""", up AS MATERIALIZED (SELECT symbol, bar_idx, CASE WHEN close > ({lag('high')}) THEN bar_idx END AS u, {lag('open', -1)} AS o1, {lag('close', -20)} AS c20, {lag('close', -60)} AS c60 FROM bars),
 fu AS (SELECT ev.rule, ev.symbol, ev.bar_idx, min(up.u) AS late_idx FROM ev JOIN up ON up.symbol = ev.symbol AND up.bar_idx BETWEEN ev.bar_idx + 1 AND ev.bar_idx + 10 GROUP BY ALL)
 SELECT fu.rule, fu.symbol, CAST(fu.bar_idx AS INT) AS bar_idx, CAST(late_idx AS INT) AS late_idx, {_R('o1')} AS late_entry, {_R('c20 / o1 - 1')} AS late_ret_20, {_R('c60 / o1 - 1')} AS late_ret_60 FROM fu JOIN up ON up.symbol = fu.symbol AND up.bar_idx = fu.late_idx""",

@@ -6,6 +6,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators import extras as X
 from barloom.operators import patterns as C
@@ -18,20 +19,40 @@ def test_made_up_shapes_are_found(spark, name):
     assert name in {r["pattern"] for r in C.scan(Y.shape(spark, name)).collect()}
 
 
-def test_macd_touches_where_it_says(spark):
-    bars = Y.random_walk(spark, 3, 200)
+def test_macd_crosses_and_touches_where_it_says(spark):
+    bars = Y.random_walk(spark, 6, 260)
+    seen = set()
     for r in X.macd_touch(bars).collect():
         c = bars.where(f"symbol = '{r['symbol']}'").orderBy("bar_idx").toPandas()["close"]
-        c = pd.concat([c, pd.Series([r["touch_price"]])], ignore_index=True)
-        macd = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
-        assert macd.iloc[-1] == pytest.approx(macd.ewm(span=9, adjust=False).mean().iloc[-1], abs=1e-9)
-        assert 0 < r["probability"] < 1
+
+        def lines(x, c=c):
+            c = pd.concat([c, pd.Series([x])], ignore_index=True)
+            macd = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
+            return macd.iloc[-1], macd.ewm(span=9, adjust=False).mean().iloc[-1]
+
+        macd, signal = lines(r["cross_price"])
+        assert macd == pytest.approx(signal, abs=1e-9)
+        macd, signal = lines(r["touch_price"])
+        assert signal - macd == pytest.approx(0.05 * abs(r["signal"]), abs=1e-9)
+        seen.add(r["status"])
+        assert (r["probability"] is not None) == (r["status"] == "apart") and (r["hist"] >= 0) == (r["status"] == "above_signal")
+        if r["status"] == "apart":
+            assert r["z"] == pytest.approx((r["touch_price"] / c.iloc[-1] - 1) / c.pct_change().iloc[-60:].std())
+    assert "apart" in seen
+    assert X.macd_touch(bars.where("bar_idx < 100")).first()["status"] == "insufficient_data"
 
 
 def test_zigzag_legs_join_and_turn(spark):
     for _, legs in X.zigzag(Y.random_walk(spark, 2, 400), 0.05).toPandas().sort_values("leg").groupby("symbol"):
         assert legs["start_idx"].iloc[0] == 0 and legs["end_idx"].iloc[-1] == 399 and (legs["start_idx"].iloc[1:].to_numpy() == legs["end_idx"].iloc[:-1].to_numpy()).all()
-        assert len(legs) <= 12 and (np.diff(np.sign(legs["ret"].to_numpy())[:-1]) != 0).all()
+        assert (np.diff(np.sign(legs["ret"].to_numpy())[:-1]) != 0).all()
+
+
+def test_turns():
+    assert X.turns(np.array([100.0, 95, 104, 111, 108, 99, 103, 120, 119]), 0.1) == [0, 3, 5, 7, 8]
+    assert X.turns(np.array([100.0, 101, 102]), 0.1) == [0, 2] and X.turns(np.array([100.0, 101]), 0.1) == [0, 1]
+    # the first move counts from the first close, not from the lowest one
+    assert X.turns(np.array([100.0, 95, 104, 105]), 0.1) == [0, 3]
 
 
 def test_late_entry_and_variants(spark):
@@ -48,32 +69,47 @@ def test_late_entry_and_variants(spark):
 
 def test_slots_are_never_overfilled(spark):
     rows = X.slot_portfolio(B.densify(Y.random_walk(spark, 8, 300)), 0.05, 0.05, slots=3, hold=20, start=50).collect()
-    assert len(rows) == 250 and max(r["positions"] for r in rows) <= 3 and rows[-1]["value"] > 0
+    assert len(rows) == 249 and max(r["positions"] for r in rows) <= 3
 
 
 def test_slots_see_every_bar(spark):
-    """Against the walk in plain Python, with many more symbols than slots and days without a bar."""
+    """Against the walk in plain Python, with many more symbols than slots, days without a bar, and a condition on the day before."""
     dense = B.densify(Y.random_walk(spark, 15, 120).where("pmod(xxhash64(symbol, bar_idx), 6) > 0"))
     days: dict[int, dict[str, object]] = {}
-    for r in dense.where("close IS NOT NULL AND t >= 10").collect():
+    for r in dense.collect():
         days.setdefault(r["t"], {})[r["symbol"]] = r
-    held, value, order, want = {}, 1.0, [], []
+    book, want = [None, None], []
     for t in sorted(days):
-        for s in order:
-            if s in days[t] and len(held) < 2:
-                held[s] = (days[t][s]["open"], t)
-        gain = 0.0
-        for s, (price, since) in list(held.items()):
-            if r := days[t].get(s):
-                out = price * 0.96 if r["low"] <= price * 0.96 else price * 1.03 if r["high"] >= price * 1.03 else r["close"] if t - since >= 8 else None
-                if out is not None:
-                    gain += (out / price - 1 - 0.0005) / 2
-                    del held[s]
-        value *= 1 + gain
-        order = [s for s in sorted(days[t], key=lambda s: hashlib.md5(f"0|{s}|{t}".encode()).hexdigest()) if s not in held]
-        want.append((value, len(held)))
-    got = X.slot_portfolio(dense, 0.03, 0.04, slots=2, hold=9, start=10).orderBy("date").collect()
-    assert [r["positions"] for r in got] == [n for _, n in want] and [r["value"] for r in got] == pytest.approx([v for v, _ in want])
+        if t <= 10:
+            continue
+        gains = [0.0, 0.0]
+        owned = [x["s"] for x in book if x]
+        may = [s for s in sorted(days[t], key=lambda s: hashlib.md5(f"0|{s}|{t}".encode()).hexdigest()) if days[t - 1][s]["close"] is not None and days[t - 1][s]["close"] > 90 and days[t][s]["open"] is not None and s not in owned]
+        for k in range(2):
+            if book[k] is None and may:
+                s = may.pop(0)
+                book[k] = {"s": s, "px": days[t][s]["open"], "last": days[t][s]["open"], "since": t}
+                gains[k] -= 0.0005
+        for k, x in enumerate(book):
+            if x is None:
+                continue
+            r = days[t][x["s"]]
+            if r["close"] is None:
+                book[k] = None
+                continue
+            down, up, out = x["px"] * 0.96, x["px"] * 1.03, None
+            if r["low"] <= down:
+                out = min(r["open"], down) if t > x["since"] else down
+            elif r["high"] >= up:
+                out = max(r["open"], up) if t > x["since"] else up
+            elif t - x["since"] + 1 >= 9:
+                out = r["close"]
+            gains[k] += (r["close"] if out is None else out) / x["last"] - 1
+            x["last"] = r["close"]
+            book[k] = x if out is None else None
+        want.append((sum(gains) / 2, sum(x is not None for x in book)))
+    got = X.slot_portfolio(dense, 0.03, 0.04, slots=2, hold=9, start=10, eligible=F.col("close") > 90).orderBy("date").collect()
+    assert [r["positions"] for r in got] == [n for _, n in want] and [r["r"] for r in got] == pytest.approx([v for v, _ in want])
 
 
 def test_slot_query_reads_its_tables(spark, tmp_path):
@@ -84,7 +120,7 @@ def test_slot_query_reads_its_tables(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate date, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(k, f"Brand#{k}") for k in range(4)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     rows = more.slot_portfolio(spark, str(tmp_path)).orderBy("date").collect()
-    assert [r["date"] for r in rows] == [day + datetime.timedelta(d) for d in range(200, 230)] and max(r["positions"] for r in rows) == 4
+    assert [r["date"] for r in rows] == [day + datetime.timedelta(d) for d in range(201, 230)] and max(r["positions"] for r in rows) == 4
 
 
 def test_price_context(spark):

@@ -252,9 +252,9 @@ def test_walk_forward_looks_at_every_bar(spark, monkeypatch, tmp_path):
     from barloom.plans import shapes
 
     bars = spark.createDataFrame(shape(SHAPES["Double Top"][1])).withColumn("date", F.date_add(F.lit(DAY), F.col("bar_idx").cast("int"))).withColumn("bar_idx", F.col("bar_idx").cast("int"))
-    each = lambda **k: {(r["breakout_idx"], r["seen_at"]) for r in C.walk_forward(bars, ["Double Top"], window=100, **k).collect()}
+    each = lambda **k: {(r["breakout_idx"], r["seen_at"]) for r in C.walk_forward(bars, ["Double Top"], window=93, **k).collect()}
     seen = each()
-    assert seen and seen == each(step=1) and any(t % 5 for _, t in seen)
+    assert seen and seen == each(step=1) == each(looks=1) and any(t % 5 for _, t in seen)
     lines = [(i, 1, 1, 1, 1000.0, 1.0, DAY + dt.timedelta(i), "N") for i in range(700)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate date, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     told = {}
