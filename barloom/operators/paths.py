@@ -24,6 +24,15 @@ def with_path(bars: DataFrame, length: int, order: str = "bar_idx") -> DataFrame
     return out.where(F.col("entry") > 0).withColumn("path", F.transform("__ahead", rel)).drop("__ahead")
 
 
+def paths_of(events: DataFrame, bars: DataFrame, length: int) -> DataFrame:
+    """symbol, bar_idx, entry and path, as with_path makes them, of the bars in events alone: each is joined with the bars of its path."""
+    fields = ("open", "high", "low", "close")
+    steps = events.select("symbol", "bar_idx", F.explode(F.sequence(F.lit(1), F.lit(length))).alias("k")).withColumn("__at", F.col("bar_idx") + F.col("k"))
+    ahead = steps.join(bars.select("symbol", F.col("bar_idx").alias("__at"), *fields), ["symbol", "__at"]).groupBy("symbol", "bar_idx").agg(F.array_sort(F.collect_list(F.struct("k", *fields))).alias("__ahead"))
+    told = ahead.withColumn("entry", F.when(F.col("__ahead")[0]["k"] == 1, F.col("__ahead")[0]["open"])).where(F.col("entry") > 0)
+    return told.select("symbol", "bar_idx", "entry", F.transform("__ahead", lambda b: F.struct(b["k"].alias("k"), *[(b[f] / F.col("entry") - 1).alias(f) for f in fields])).alias("path"))
+
+
 def signed(path: Column, direction: Column) -> Column:
     """The path as a short position sees it where direction is negative."""
     flip = lambda b: F.struct(b["k"].alias("k"), (-b["open"]).alias("open"), (-b["low"]).alias("high"), (-b["high"]).alias("low"), (-b["close"]).alias("close"))

@@ -65,7 +65,7 @@ def event_portfolio_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trades(spark: SparkSession, sf: str, length: int) -> DataFrame:
-    return P.with_path(T.bars_brand(spark, sf), length).join(rally(spark, sf).select("symbol", "bar_idx").distinct(), ["symbol", "bar_idx"])
+    return P.paths_of(rally(spark, sf).select("symbol", "bar_idx").distinct(), T.bars_brand(spark, sf), length)
 
 
 def exit_rules_grid(spark: SparkSession, sf: str) -> DataFrame:
