@@ -295,7 +295,7 @@ def hashed_baseline(events: DataFrame, bars: DataFrame, h: int, draws: int = 10,
     last = bars.groupBy("symbol").agg(F.max("bar_idx").alias("__last"))
     low = F.greatest(F.lit(1), F.col("bar_idx") - how.window)
     high = F.least(F.col("__last") + 1 - h - how.margin, F.col("bar_idx") + how.window)
-    cand = events.select("symbol", "bar_idx").join(F.broadcast(last), "symbol").where(low <= high).select("symbol", "bar_idx", F.explode(F.sequence(low, high)).alias("c")).where(F.abs(F.col("c") - F.col("bar_idx")) > h)
+    cand = events.select("symbol", "bar_idx").join(last, "symbol").where(low <= high).select("symbol", "bar_idx", F.explode(F.sequence(low, high)).alias("c")).where(F.abs(F.col("c") - F.col("bar_idx")) > h)
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", F.col("bar_idx").cast("string"), F.lit(str(h)), F.col("c").cast("string")))
     own = Window.partitionBy("symbol", "bar_idx")
     drawn = cand.withColumns({"n": F.count("*").over(own), "rank": F.row_number().over(own.orderBy(order))}).where((F.col("n") >= 5) & (F.col("rank") <= draws))

@@ -22,7 +22,7 @@ def mark_to_market(journal: DataFrame, bars: DataFrame, bench: DataFrame) -> Dat
     place = as_of(journal.withColumn("event_date", F.col("signal_date")), rich.select("symbol", "date"), forward=True, strict=False).withColumnRenamed("date", "seen")
     at = place.join(rich.select("symbol", F.col("date").alias("seen"), F.col("bar_idx").alias("pos")), ["symbol", "seen"], "left")
     last = bars.groupBy("symbol").agg(F.max("bar_idx").alias("last"))
-    at = at.join(F.broadcast(last), "symbol", "left").withColumns({"e": F.col("pos") + 1, "x": F.least(F.col("last"), F.col("pos") + F.col("hold_bars"))})
+    at = at.join(last, "symbol", "left").withColumns({"e": F.col("pos") + 1, "x": F.least(F.col("last"), F.col("pos") + F.col("hold_bars"))})
     side = lambda p, k: rich.select("symbol", F.col("bar_idx").alias(k), F.col("date").alias(f"{p}_date"), F.col("open").alias(f"{p}_open"), F.col("close").alias(f"{p}_close"), F.col("b_open").alias(f"{p}_b_open"), F.col("b_close").alias(f"{p}_b_close"))
     out = at.join(side("e", "e"), ["symbol", "e"], "left").join(side("x", "x"), ["symbol", "x"], "left")
     entered = F.col("e") <= F.col("last")
@@ -67,7 +67,7 @@ def changes(now: DataFrame, before: DataFrame, keys: list[str], value: str) -> D
 
 def replace_day(log: DataFrame, rows: DataFrame, day: str = "date") -> DataFrame:
     """The log with the days of rows replaced by rows."""
-    return log.join(F.broadcast(rows.select(day).distinct()), day, "left_anti").unionByName(rows)
+    return log.join(rows.select(day).distinct(), day, "left_anti").unionByName(rows)
 
 
 # --- insiders ----------------------------------------------------------------

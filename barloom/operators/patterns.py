@@ -489,7 +489,7 @@ def scan(bars: DataFrame, patterns: Iterable[str] | None = None, mode: str = "al
     if mode == "current":
         last = bars.groupBy("symbol").agg(F.max("bar_idx").alias("__last"))
         recent = (F.col("status") == "forming") | ((F.col("status") == "confirmed") & (F.col("__last") - F.col("end_idx") <= 10))
-        return found.join(F.broadcast(last), "symbol").where(recent).drop("__last")
+        return found.join(last, "symbol").where(recent).drop("__last")
     return found
 
 

@@ -24,7 +24,7 @@ def residuals(returns: DataFrame, least: int = 61) -> DataFrame:
     market = returns.groupBy("t").agg(F.avg("r").alias("m"))
     joined = returns.join(market, "t")
     beta = joined.groupBy("symbol").agg(F.when(F.count("*") >= least, F.regr_slope("r", "m")).otherwise(1.0).alias("beta"))
-    return joined.join(F.broadcast(beta), "symbol").withColumn("e", F.col("r") - F.coalesce("beta", F.lit(1.0)) * F.col("m"))
+    return joined.join(beta, "symbol").withColumn("e", F.col("r") - F.coalesce("beta", F.lit(1.0)) * F.col("m"))
 
 
 def pair_correlations(values: DataFrame, x: str = "e", least: int = 120) -> DataFrame:
@@ -93,7 +93,7 @@ def divergence(returns: DataFrame, groups: DataFrame, window: int = 20, history:
     rows = grid.withColumns({"n": F.count("*").over(g), "others": (F.sum("r").over(g) - F.col("r"))}).where("n >= 3").withColumn("others", F.col("others") / (F.col("n") - 1))
     beta = rows.groupBy("symbol").agg(F.coalesce(F.try_divide(F.covar_samp("r", "others"), F.var_samp("others")), F.lit(1.0)).alias("b"))
     w = Window.partitionBy("symbol").orderBy("t")
-    rel = rows.join(F.broadcast(beta), "symbol").withColumn("rel", F.col("r") - F.col("b") * F.col("others"))
+    rel = rows.join(beta, "symbol").withColumn("rel", F.col("r") - F.col("b") * F.col("others"))
     frame = w.rowsBetween(-(window - 1), 0)
     rel = rel.withColumn("roll", F.when(F.count("rel").over(frame) == window, F.sum("rel").over(frame)))
     past = w.rowsBetween(-history, -1)
@@ -106,7 +106,7 @@ def basket(dense: DataFrame, groups: DataFrame, least: int = 3) -> DataFrame:
     """An equal-weight index of each group: level 100 at the start, bars relative to each member's close before."""
     w = Window.partitionBy("symbol").orderBy("t")
     held = F.last("close", ignorenulls=True).over(w.rowsBetween(-3, 0))
-    rows = dense.join(F.broadcast(groups.select("symbol", "grp")), "symbol").withColumn("c", held).withColumn("prev", F.lag("c").over(w)).where(F.col("c").isNotNull() & F.col("prev").isNotNull())
+    rows = dense.join(groups.select("symbol", "grp"), "symbol").withColumn("c", held).withColumn("prev", F.lag("c").over(w)).where(F.col("c").isNotNull() & F.col("prev").isNotNull())
     day = rows.groupBy("grp", "t", "date").agg(F.count("*").alias("n_members"), *[F.avg(F.col(f) / F.col("prev") - 1).alias(f"{f}_rel") for f in ("open", "high", "low")], F.avg(F.col("c") / F.col("prev") - 1).alias("ret")).where(F.col("n_members") >= least)
     g = Window.partitionBy("grp").orderBy("t")
     level = 100 * F.exp(F.sum(F.log1p("ret")).over(g.rowsBetween(Window.unboundedPreceding, 0)))
@@ -121,7 +121,7 @@ def lead_lag(residual: DataFrame, groups: DataFrame, q: float = 0.05) -> DataFra
     t has a robust error; with one regressor and a mean it is closed in moments of the pair.
     """
     w = Window.partitionBy("symbol").orderBy("t")
-    rows = residual.join(F.broadcast(groups.select("symbol", "grp")), "symbol").select("symbol", "grp", "t", "e", F.lag("e").over(w).alias("before"))
+    rows = residual.join(groups.select("symbol", "grp"), "symbol").select("symbol", "grp", "t", "e", F.lag("e").over(w).alias("before"))
     lead = rows.where(F.col("before").isNotNull()).select(F.col("symbol").alias("leader"), "grp", "t", F.col("before").alias("x"))
     pairs = lead.join(rows.select(F.col("symbol").alias("follower"), F.col("grp").alias("g2"), F.col("t").alias("t2"), F.col("e").alias("y")), (F.col("t") == F.col("t2")) & (F.col("grp") == F.col("g2"))).where("leader <> follower")
     s = lambda e: F.sum(F.expr(e))

@@ -6,6 +6,11 @@ the events fills all of them.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,7 +65,7 @@ def quantile_bins(rows: DataFrame, score: str, bins: int, by: list[str] | None =
     by = by or []
     at = "array(" + ", ".join(str(i / bins) for i in range(bins + 1)) + ")"
     edges = rows.groupBy(*by).agg(F.array_distinct(F.expr(f"percentile({score}, {at})")).alias("__edges"))
-    joined = rows.join(F.broadcast(edges), by) if by else rows.join(F.broadcast(edges))
+    joined = rows.join(edges, by) if by else rows.join(F.broadcast(edges))
     below = F.size(F.filter("__edges", lambda e: e < F.col(score)))
     return joined.withColumn("bin", F.when(F.col(score).isNotNull(), F.greatest(F.lit(1), below))).drop("__edges")
 
@@ -101,12 +106,35 @@ def permutation_moments(draws: DataFrame, by: list[str]) -> DataFrame:
 
 
 def bootstrap_ci(rows: DataFrame, x: str, by: list[str], reps: int = 500, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean by Poisson weights: each row counts a number of times in each replicate that its columns' hash gives."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("__row"), F.col("__rep")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]  # of the Poisson law with mean 1
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    held = rows.where(F.col(x).isNotNull()).withColumn("__row", F.xxhash64(*rows.columns)).select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("__rep")).withColumn("__w", weight)
-    means = held.groupBy(*by, "__rep").agg(F.try_divide(F.sum(F.col(x) * F.col("__w")), F.sum("__w")).alias("m"))
+    """Percentile interval of the mean by Poisson weights: a row counts a number of times in each replicate that a hash gives.
+
+    The hash is of the row's columns and its number among equal rows, so that reruns agree and equal
+    rows have weights of their own. Each batch adds its rows up to `reps` sums a group where it is.
+    """
+    law = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(19)])  # of the Poisson law with mean 1; what is beyond is less than a double tells
+    equal = Window.partitionBy(*rows.columns).orderBy(F.lit(0))
+    held = rows.where(F.col(x).isNotNull()).withColumn("__row", F.xxhash64(F.lit(seed), F.row_number().over(equal), *rows.columns)).select(*by, F.col(x).cast("double").alias("__x"), "__row")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields if f.name in by)
+    turns = np.random.default_rng(seed).integers(0, 1 << 63, reps, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.groupby(by, dropna=False, sort=False):
+                total, weight = np.zeros(reps), np.zeros(reps)
+                for at in range(0, len(part), 1024):
+                    row = part["__row"].to_numpy()[at : at + 1024].astype(np.int64).view(np.uint64)
+                    with np.errstate(over="ignore"):
+                        mixed = row[:, None] * turns[None, :]
+                        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+                    w = np.searchsorted(law, (mixed >> np.uint64(11)).astype(float) / float(1 << 53), side="right")
+                    total += part["__x"].to_numpy()[at : at + 1024] @ w
+                    weight += w.sum(0)
+                out = part[by].iloc[:1].copy()
+                out["total"], out["weight"] = [total], [weight]
+                yield out
+
+    sums = held.mapInPandas(add, f"{kinds}, total array<double>, weight array<double>").select(*by, F.posexplode(F.arrays_zip("total", "weight")).alias("rep", "s"))
+    means = sums.groupBy(*by, "rep").agg(F.try_divide(F.sum("s.total"), F.sum("s.weight")).alias("m"))
     return means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
 
 

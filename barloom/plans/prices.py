@@ -84,7 +84,7 @@ def regime_stats(spark: SparkSession, sf: str) -> DataFrame:
 def panel_context_sector(spark: SparkSession, sf: str) -> DataFrame:
     bars = T.bars_nation(spark, sf)
     sector = bars.select("symbol", "sector").distinct()
-    dense = B.densify(bars.drop("sector")).join(F.broadcast(sector), "symbol")
+    dense = B.densify(bars.drop("sector")).join(sector, "symbol")
     return rounded(I.panel_context(dense).select("symbol", "t", "basket20", "breadth50", "sector_r20", "sector_r60"))
 
 

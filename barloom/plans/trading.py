@@ -18,7 +18,7 @@ from .tables import lag, roll, rounded, sql_bars
 def _nation(spark: SparkSession, sf: str) -> DataFrame:
     bars = T.bars_nation(spark, sf)
     sector = bars.select("symbol", "sector").distinct()
-    return B.densify(bars.drop("sector"), fill=True).join(F.broadcast(sector), "symbol")
+    return B.densify(bars.drop("sector"), fill=True).join(sector, "symbol")
 
 
 def xs_momentum_groups(spark: SparkSession, sf: str) -> DataFrame:

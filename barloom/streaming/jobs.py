@@ -40,3 +40,23 @@ def cooldown(hits: DataFrame, gap: int) -> DataFrame:
         yield pd.DataFrame({"symbol": key[0], "at": pd.Series(kept, dtype="int64")})
 
     return hits.groupBy("symbol").applyInPandasWithState(keep, "symbol string, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def one_open(signals: DataFrame) -> DataFrame:
+    """signals (rule, symbol, at, hold) that come when their rule holds nothing of their symbol; the state is the time at which it is free again.
+
+    Rows of a batch are taken in order; a batch must not hold rows older than those before it.
+    """
+
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        free = state.get[0] if state.exists else None
+        kept = []
+        for at, hold in sorted((int(a), int(h)) for part in parts for a, h in zip(part["at"], part["hold"])):
+            if free is None or at >= free:
+                kept.append((*key, at, hold))
+                free = at + hold
+        if free is not None:
+            state.update((free,))
+        yield pd.DataFrame(kept, columns=["rule", "symbol", "at", "hold"])
+
+    return signals.groupBy("rule", "symbol").applyInPandasWithState(keep, "rule string, symbol string, at long, hold long", "free long", "append", GroupStateTimeout.NoTimeout)

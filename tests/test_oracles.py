@@ -7,7 +7,7 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["bars_daily", "bars_weekly", "context_126_200", "rally_combined", "doji_on_ma10", "news_gap_events", "sma_cross_study", "condition_study", "vol_managed", "tpsl_trades", "journal_mtm", "insider_clusters", "growth_rank_score", "leadlag_bh"]
+NAMES = ["bars_daily", "bars_weekly", "context_126_200", "rally_combined", "doji_on_ma10", "news_gap_events", "sma_cross_study", "condition_study", "vol_managed", "tpsl_trades", "journal_mtm", "insider_clusters", "growth_rank_score", "leadlag_bh", "macd_touch", "price_context", "pattern_events", "pattern_trades", "structure_outcomes", "hindsight_match", "rally_live", "candle_control", "journal_verdicts", "rolling_correlation"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 

@@ -34,3 +34,11 @@ def test_hourly_bars(spark, tmp_path):
     run(jobs.hourly_bars(spark.readStream.schema("symbol string, ts timestamp, price double, quantity double").parquet(str(tmp_path / "t"))), "hours", "complete")
     got = spark.table("hours").where(F.col("ts") < F.lit("2024-01-02 11:00:00")).orderBy("ts").collect()
     assert [(r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in got] == [(5.0, 7.0, 5.0, 6.0, 3.0), (9.0, 9.0, 9.0, 9.0, 1.0)]
+
+
+def test_one_open_position(spark, tmp_path):
+    rows = [("r", "A", 1, 5), ("r", "A", 3, 5), ("r", "A", 6, 2), ("q", "A", 3, 9), ("r", "B", 2, 1), ("r", "B", 3, 1), ("r", "A", 7, 1), ("r", "A", 8, 1)]
+    kinds = "rule string, symbol string, at long, hold long"
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(str(tmp_path / "s"))
+    run(jobs.one_open(spark.readStream.schema(kinds).parquet(str(tmp_path / "s"))), "open")
+    assert sorted(tuple(r)[:3] for r in spark.table("open").collect()) == [("q", "A", 3), ("r", "A", 1), ("r", "A", 6), ("r", "A", 8), ("r", "B", 2), ("r", "B", 3)]
