@@ -15,15 +15,15 @@ from pyspark.sql.types import IntegralType
 from barloom.llm import decontaminate, language, mixing, near_dup, sharding
 from barloom.llm.common import cut, join_small, release, scratch, table
 
-#: A text whose shortest code is no shorter than its bytes is of no known language.
-MOST_BITS_PER_BYTE = 8.0
+#: A text whose shortest code is longer than its bytes and SPARE_BITS is of no known language; a key or a number in a short text costs some.
+MOST_BITS_PER_BYTE, SPARE_BITS = 8.0, 64.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the labelled ones teach. Rejected: null texts, texts without a letter, and those that no model codes in fewer bits than they have."""
+    """Documents of a language that the labelled ones teach. Rejected: null texts, texts without a letter, and those that no model codes in about as few bits as they have."""
     model = language.fit(docs)
     found = language.identify(docs.select(*[F.col(c).alias(f"{c}__own") if c in ("score", "lang_pred", "bits_per_byte") else F.col(c) for c in docs.columns]), model)
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") < MOST_BITS_PER_BYTE))
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & ((F.col("bits_per_byte") - MOST_BITS_PER_BYTE) * F.octet_length("text") < SPARE_BITS))
     return kept.select(*[F.col(f"{c}__own").alias(c) if c in ("score", "lang_pred", "bits_per_byte") else F.col(c) for c in docs.columns])
 
 
