@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import convnet, decontaminate, html_text, language, line_dedup, mixing, near_dup, rules, secrets, sharding
+from . import centroids, convnet, decontaminate, html_text, language, line_dedup, mixing, near_dup, rules, secrets, sharding
 from .common import table
 
 
@@ -72,6 +73,17 @@ def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (language.crc_of_id(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_hamerly_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    if found is None:
+        return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids.tolist()]
+    return found.vectors.select(
+        "vec_id", "cluster", "distance", centroids.by_cluster([F.lit(x).cast("long") for x in found.inertia]).alias("cluster_inertia"),
+        F.lit(sum(found.inertia)).cast("long").alias("inertia"), centroids.by_cluster([F.lit(x) for x in digests]).alias("centroid_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_pass_join_lines": op2_pass_join_lines,
@@ -83,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_odd_sketch_dedup": op8_odd_sketch_dedup,
     "op9_ppm_language": op9_ppm_language,
     "op10_byte_convnet": op10_byte_convnet,
+    "op13_hamerly_centroids": op13_hamerly_centroids,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,3 +111,21 @@ r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT r.d, l.b FROM
 c AS (SELECT d, min(o) AS component_id FROM r GROUP BY d)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.d = s.doc_id""",
 }
+
+
+def _centroid_rounds(rounds: int = centroids.ROUNDS) -> str:
+    """The rounds of op13 written out, an assignment and a replacement each."""
+    near = lambda r: f"""a{r} AS MATERIALIZED (SELECT k.rid, any_value(k.vec_id) AS vec_id, any_value(k.v) AS v, min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.c[i]) * (k.v[i] - c.c[i]))), j := c.j)) AS b FROM k, c{r} c GROUP BY k.rid)"""
+    step = lambda r: f"""s{r} AS (SELECT a.b.j AS j, i, sum(a.v[i]) AS s, count(*) AS n FROM a{r} a, range(1, 65) AS g(i) GROUP BY a.b.j, i),
+c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY j) m ON m.j = c.j)"""
+    parts = [near(0)]
+    for r in range(rounds):
+        parts += [step(r), near(r + 1)]
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM k ORDER BY h, v LIMIT 8)),
+{", ".join(parts)}
+SELECT vec_id, CAST(a.b.j AS INTEGER) AS cluster, CAST(a.b.d AS BIGINT) AS distance, CAST(sum(a.b.d) OVER (PARTITION BY a.b.j) AS BIGINT) AS cluster_inertia, CAST(sum(a.b.d) OVER () AS BIGINT) AS inertia,
+sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.b.j"""
+
+
+ORACLES["op13_hamerly_centroids"] = _centroid_rounds()
