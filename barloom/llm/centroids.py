@@ -61,7 +61,7 @@ def first_centroids(kept: DataFrame, clusters: int, seed: int) -> np.ndarray:
     """The vectors whose seeded hash of the vec_id is least, in that order."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = kept.select(key.alias("key"), "v").orderBy(F.asc_nulls_last("key"), "v").limit(clusters).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64)
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
