@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, convnet, decontaminate, html_text, language, line_dedup, mixing, near_dup, rules, secrets, sharding
+from . import centroids, convnet, decontaminate, html_text, language, line_dedup, mixing, near_dup, rules, secrets, sharding, tries
 from .common import table
 
 
@@ -73,6 +73,10 @@ def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (language.crc_of_id(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_louds_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_hamerly_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
     if found is None:
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_odd_sketch_dedup": op8_odd_sketch_dedup,
     "op9_ppm_language": op9_ppm_language,
     "op10_byte_convnet": op10_byte_convnet,
+    "op11_louds_tries": op11_louds_tries,
     "op13_hamerly_centroids": op13_hamerly_centroids,
 }
 
@@ -129,3 +134,16 @@ sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rou
 
 
 ORACLES["op13_hamerly_centroids"] = _centroid_rounds()
+
+_CRC_BIT = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+_CRC = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: {_CRC_BIT})), 4294967295)"
+
+ORACLES["op11_louds_tries"] = f"""WITH own AS MATERIALIZED (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l, {_CRC} % 9 AS h FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+built AS MATERIALIZED (SELECT o.conv_id, list_concat(coalesce(b.l[1:o.h], []), o.l[o.h + 1:]) AS l FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+step AS MATERIALIZED (SELECT conv_id, len(l) AS n, d, md5(CAST(to_json(l[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(to_json(l[1:d - 1]) AS VARCHAR)) END AS p, CASE WHEN d > 0 THEN strlen(l[d].t) ELSE 0 END AS b FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM built)),
+node AS MATERIALIZED (SELECT d, k, any_value(p) AS p, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS saved, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM step GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, p AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY d, p),
+told AS MATERIALIZED (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (d, k)),
+sums AS (SELECT s.d, s.k, sum(t.saved) AS saved, count(*) FILTER (t.n_children = 0) AS leaves FROM told t JOIN step s ON s.conv_id = t.conv_id AND s.d <= t.d GROUP BY s.d, s.k)
+SELECT t.conv_id, CAST(t.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, t.n_convs, CAST(t.n_children AS BIGINT) AS n_children, CAST(sums.leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(t.ends) AS ends_sha256
+FROM told t JOIN sums USING (d, k) LEFT JOIN node u ON u.d = t.d - 1 AND u.k = t.p"""
