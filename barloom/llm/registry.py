@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, convnet, decontaminate, html_text, language, line_dedup, mixing, near_dup, rules, secrets, sharding, tries
+from . import centroids, convnet, decontaminate, html_text, language, line_dedup, mixing, near_dup, rules, secrets, sharding, substrings, tries
 from .common import table
 
 
@@ -77,6 +77,11 @@ def op11_louds_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_hamerly_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
     if found is None:
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ppm_language": op9_ppm_language,
     "op10_byte_convnet": op10_byte_convnet,
     "op11_louds_tries": op11_louds_tries,
+    "op12_fm_substrings": op12_fm_substrings,
     "op13_hamerly_centroids": op13_hamerly_centroids,
 }
 
@@ -147,3 +153,11 @@ told AS MATERIALIZED (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node
 sums AS (SELECT s.d, s.k, sum(t.saved) AS saved, count(*) FILTER (t.n_children = 0) AS leaves FROM told t JOIN step s ON s.conv_id = t.conv_id AND s.d <= t.d GROUP BY s.d, s.k)
 SELECT t.conv_id, CAST(t.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, t.n_convs, CAST(t.n_children AS BIGINT) AS n_children, CAST(sums.leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(t.ends) AS ends_sha256
 FROM told t JOIN sums USING (d, k) LEFT JOIN node u ON u.d = t.d - 1 AND u.k = t.p"""
+
+ORACLES["op12_fm_substrings"] = """WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM win JOIN least USING (h) WHERE m < doc_id),
+word AS (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
