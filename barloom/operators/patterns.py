@@ -102,14 +102,50 @@ def ramp(x: float, low: float, high: float) -> float:
 
 
 class Bars:
-    """A symbol's arrays, and the questions that patterns ask of them."""
+    """A symbol's arrays, and the questions that patterns ask of them.
+
+    A window of a longer series shares its arrays and its memo: what a shape between two bars is does
+    not change with later bars, so it is worked out in the first look that holds it.
+    """
 
     def __init__(self, rows: pd.DataFrame, cfg: Settings) -> None:
         self.open, self.high, self.low, self.close, self.volume = (rows[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume"))
-        self.n, self.cfg = len(rows), cfg
+        self.n, self.cfg, self.base, self.memo = len(rows), cfg, 0, {}
         before = np.concatenate([self.close[:1], self.close[:-1]])
-        spread = np.maximum.reduce([self.high - self.low, np.abs(self.high - before), np.abs(self.low - before)])
-        self.atr = pd.Series(spread).rolling(14, min_periods=1).mean().to_numpy()
+        self.spread = np.maximum.reduce([self.high - self.low, np.abs(self.high - before), np.abs(self.low - before)])
+        self.atr = pd.Series(self.spread).rolling(14, min_periods=1).mean().to_numpy()
+        self.whole = self
+
+    def window(self, low: int, high: int) -> "Bars":
+        """The bars from low to before high, as a series of its own."""
+        own = object.__new__(Bars)
+        for k in ("open", "high", "low", "close", "volume", "spread"):
+            setattr(own, k, getattr(self, k)[low:high])
+        own.n, own.cfg, own.base, own.memo, own.whole = high - low, self.cfg, self.base + low, self.memo, self
+        own.atr = self.atr[low:high].copy()
+        first = own.spread[:14].copy()
+        first[0] = max(own.high[0] - own.low[0], abs(own.high[0] - own.close[0]), abs(own.low[0] - own.close[0]))  # nothing is known before the window
+        own.atr[:14] = np.cumsum(first) / np.arange(1, len(first) + 1)
+        return own
+
+    def once(self, key: tuple, work: Callable[[], object]) -> object:
+        """What work() gives, kept for later looks; keys name bars by their place in the whole series."""
+        if key not in self.memo:
+            self.memo[key] = work()
+        return self.memo[key]
+
+    def extremes(self, kind: int, scale: int) -> np.ndarray:
+        """Bars that no other one within scale bars goes beyond, upward (kind 1) or downward (-1); there are more than twice scale bars."""
+        whole = self.whole
+        x = whole.high if kind > 0 else -whole.low
+        around = whole.once(("around", kind, scale), lambda: pd.Series(x).rolling(2 * scale + 1, center=True, min_periods=1).max().to_numpy())
+        own, low = x[self.base - whole.base :][: self.n], self.base - whole.base
+        top = around[low : low + self.n]
+        if self is not whole:  # at its edges a window shows less
+            top = top.copy()
+            top[:scale] = np.maximum.accumulate(own[: 2 * scale])[scale:]
+            top[self.n - scale :] = np.maximum.accumulate(own[::-1][: 2 * scale])[scale:][::-1]
+        return np.flatnonzero(own == top)
 
     def crossing(self, start: int, at: float, slope: float, side: int) -> int | None:
         """First bar from start on that closes beyond the line with value at(0) = at, on a side."""
@@ -149,9 +185,8 @@ def pivots_of(bars: Bars, scale: int) -> np.ndarray:
         return np.zeros((0, 3))
     found = []
     for kind, x in ((1, bars.high), (-1, -bars.low)):
-        around = pd.Series(x).rolling(2 * scale + 1, center=True, min_periods=1).max().to_numpy()
         last: int | None = None
-        for i in np.flatnonzero(x == around):
+        for i in bars.extremes(kind, scale).tolist():
             if last is None or i - last > scale or x[i] != x[last]:
                 last = int(i)
                 found.append((last, -kind, kind * x[i]))
@@ -291,58 +326,120 @@ def kind_of_lines(up: float, down: float, narrowing: float, flat: float) -> tupl
     return name, bias
 
 
+@dataclass(frozen=True)
+class Lines:
+    """Two lines around a run of pivots: values at its first bar, slopes, and what its bars alone tell."""
+
+    upper: float
+    up: float
+    lower: float
+    down: float
+    height: float
+    residual: float
+    size: float
+    narrowing: float
+    outside: float
+    apex: float | None  #: bars after the first one
+    name: str
+    bias: int
+
+
+def fit_lines(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A least-squares line for each row: value at 0, slope and largest residual."""
+    mx, my = x.mean(1), y.mean(1)
+    dx = x - mx[:, None]
+    slope = (dx * (y - my[:, None])).sum(1) / (dx * dx).sum(1)
+    at = my - slope * mx
+    return at, slope, np.abs(y - at[:, None] - slope[:, None] * x).max(1) if x.shape[1] > 2 else np.zeros(len(x))
+
+
+def lines_around(bars: Bars, at: np.ndarray, price: np.ndarray, first: int) -> list[Lines | None]:
+    """Lines of runs of pivots that start with the same kind; None where bars or slopes rule a pattern out."""
+    cfg, out = bars.cfg, [None] * len(at)
+    x = (at - at[:, :1]).astype(float)
+    ups, downs = (slice(0, None, 2), slice(1, None, 2))[:: 1 if first > 0 else -1]
+    (iu, su, ru), (il, sl, rl) = fit_lines(x[:, ups], price[:, ups]), fit_lines(x[:, downs], price[:, downs])
+    width, h0 = x[:, -1], iu - il
+    h1 = h0 + (su - sl) * width
+    safe = np.where(h0 > 0, h0, 1.0)
+    worst = np.maximum(ru, rl) / safe
+    for i in np.flatnonzero((width >= 10) & (h0 > 0) & (worst <= cfg.line_residual)):
+        narrowing = float(1 - h1[i] / h0[i])
+        named = kind_of_lines(su[i] * width[i] / h0[i], sl[i] * width[i] / h0[i], narrowing, cfg.line_flat)
+        apex = float((il[i] - iu[i]) / (su[i] - sl[i])) if su[i] != sl[i] else None
+        if named is None or named[0] != "Rectangle" and apex is not None and not width[i] <= apex <= (1 + cfg.line_apex) * width[i]:
+            continue
+        a, b = int(at[i, 0]), int(at[i, -1])
+        high, low, close, steps = bars.high[a : b + 1], bars.low[a : b + 1], bars.close[a : b + 1], np.arange(b - a + 1)
+        upper, lower = iu[i] + su[i] * steps, il[i] + sl[i] * steps
+        size, span = h0[i] / close.mean(), high.max() - low.min()
+        if not cfg.line_height[0] <= size <= cfg.line_height[1] or span <= 0 or h0[i] > 1.25 * span or lower[0] < low.min() - 0.5 * span or upper[0] > high.max() + 0.5 * span:
+            continue
+        half = (a + b) // 2 - a
+        if any((upper[h] - high[h]).min() > 0.3 * h0[i] or (low[h] - lower[h]).min() > 0.3 * h0[i] for h in (slice(0, half + 1), slice(half, None))):
+            continue
+        outside = float(((close > upper * 1.01) | (close < lower * 0.99)).mean())
+        if outside <= 0.10:
+            out[i] = Lines(float(iu[i]), float(su[i]), float(il[i]), float(sl[i]), float(h0[i]), float(worst[i]), float(size), narrowing, outside, apex, *named)
+    return out
+
+
+def known_lines(bars: Bars, at: np.ndarray, price: np.ndarray, kind: np.ndarray) -> list[Lines | None]:
+    """lines_around for runs of either kind, worked out for those that no look before has had."""
+    keys = [(a, k) for a, k in zip(map(bytes, at + bars.base), kind.tolist())]
+    for first in (1.0, -1.0):
+        new = np.array([k not in bars.memo and k[1] == first for k in keys], bool)
+        if new.any():
+            bars.memo.update(zip((k for k, n in zip(keys, new) if n), lines_around(bars, at[new], price[new], int(first))))
+    return [bars.memo[k] for k in keys]
+
+
 def two_lines(bars: Bars, pivots: np.ndarray, scale: int) -> list[Row]:
     """Triangles, wedges and rectangles from five to seven pivots."""
     cfg, out = bars.cfg, []
     for length in (5, 6, 7):
         at, price, kind = runs(pivots, length)
-        for a, v, k in zip(at, price, kind):
-            ups, downs = (slice(0, None, 2), slice(1, None, 2))[:: 1 if k > 0 else -1]
-            x0, x1 = a[0], a[-1]
-            width = x1 - x0
-            (iu, su, ru), (il, sl, rl) = line_through(a[ups], v[ups]), line_through(a[downs], v[downs])
-            h0, h1 = (iu + su * x0) - (il + sl * x0), (iu + su * x1) - (il + sl * x1)
-            if width < 10 or h0 <= 0:
+        for a, v, k, of in zip(at, price, kind, known_lines(bars, at, price, kind)):
+            if of is None:
                 continue
-            part = slice(x0, x1 + 1)
-            high, low, close, x = bars.high[part], bars.low[part], bars.close[part], np.arange(x0, x1 + 1)
-            upper, lower = iu + su * x, il + sl * x
-            size, span = h0 / close.mean(), high.max() - low.min()
-            if not cfg.line_height[0] <= size <= cfg.line_height[1] or span <= 0 or h0 > 1.25 * span or lower[0] < low.min() - 0.5 * span or upper[0] > high.max() + 0.5 * span or max(ru, rl) / h0 > cfg.line_residual:
-                continue
-            half = (x0 + x1) // 2 - x0
-            halves = [slice(0, half + 1), slice(half, None)]
-            if any((upper[h] - high[h]).min() > 0.3 * h0 or (low[h] - lower[h]).min() > 0.3 * h0 for h in halves):
-                continue
-            narrowing = 1 - h1 / h0
-            named = kind_of_lines(su * width / h0, sl * width / h0, narrowing, cfg.line_flat)
-            outside = float(((close > upper * 1.01) | (close < lower * 0.99)).mean())
-            apex = (il - iu) / (su - sl) if su != sl else None
-            if named is None or outside > 0.10 or named[0] != "Rectangle" and apex is not None and not x1 <= apex <= x1 + cfg.line_apex * width:
-                continue
-            name, bias = named
-            breaks = [(b, side) for b, side in ((bars.crossing(x1 + 1, iu, su, 1), 1), (bars.crossing(x1 + 1, il, sl, -1), -1)) if b is not None]
+            x0, x1, name = int(a[0]), int(a[-1]), of.name
+            width, apex = x1 - x0, None if of.apex is None else x0 + of.apex
+            breaks = [(b, side) for b, side in ((bars.crossing(x1 + 1, of.upper - of.up * x0, of.up, 1), 1), (bars.crossing(x1 + 1, of.lower - of.down * x0, of.down, -1), -1)) if b is not None]
             breakout, side = min(breaks, key=lambda b: (b[0], -b[1])) if breaks else (None, 0)
             trend = bars.trend(x0, max(width, 20))
             status, end, _ = settle(bars, x1, width, breakout, None)
             if breakout is None and name != "Rectangle" and apex is not None and bars.n - 1 > apex:
                 status = "expired"
-            if breakout is not None and bias and side != bias:
+            if breakout is not None and of.bias and side != of.bias:
                 status = "failed"
-            way = side or bias or (1 if trend >= 0 else -1)
+            way = side or of.bias or (1 if trend >= 0 else -1)
             parts = {
-                "touches": (ramp(len(a), 4, 7), 0.2), "fit": (1 - clip(max(ru, rl) / h0 / cfg.line_residual), 0.25), "convergence": (1 - clip(abs(narrowing) / 0.35) if name == "Rectangle" else ramp(narrowing, 0.15, 0.6), 0.15),
-                "containment": (1 - clip(outside / 0.10), 0.15), "volume": (bars.volume_score(x0, x1), 0.1), "trend": (ramp(trend * way, -0.05, 0.10), 0.15), "__breakout": (0, 0.15),
+                "touches": (ramp(len(a), 4, 7), 0.2), "fit": (1 - clip(of.residual / cfg.line_residual), 0.25), "convergence": (1 - clip(abs(of.narrowing) / 0.35) if name == "Rectangle" else ramp(of.narrowing, 0.15, 0.6), 0.15),
+                "containment": (1 - clip(of.outside / 0.10), 0.15), "volume": (bars.volume_score(x0, x1), 0.1), "trend": (ramp(trend * way, -0.05, 0.10), 0.15), "__breakout": (0, 0.15),
             }
-            broken, other = ((iu, su), (il, sl))[:: 1 if way > 0 else -1]
-            level = broken[0] + broken[1] * end
-            target = broken[0] + broken[1] * x0 if name.endswith("Wedge") else level + way * h0
-            told = way if status == "confirmed" or not bias else bias
+            broken, other = ((of.upper, of.up), (of.lower, of.down))[:: 1 if way > 0 else -1]
+            level = broken[0] + broken[1] * (end - x0)
+            target = broken[0] if name.endswith("Wedge") else level + way * of.height
+            told = way if status == "confirmed" or not of.bias else of.bias
             points = [(p, q, "H" if (j % 2 == 0) == (k > 0) else "L") for j, (p, q) in enumerate(zip(a, v))]
-            out.append(match(bars, scale, name, told, status, x0, end, breakout, parts, level, target, other[0] + other[1] * end, points, {"convergence": narrowing, "touches": len(a), "violations": outside, "apex": apex, "height_pct": size, "prior_trend": trend}))
+            out.append(match(bars, scale, name, told, status, x0, end, breakout, parts, level, target, other[0] + other[1] * (end - x0), points, {"convergence": of.narrowing, "touches": len(a), "violations": of.outside, "apex": apex, "height_pct": of.size, "prior_trend": trend}))
     return out
 
 
+def cup_shape(cup: np.ndarray, rim: float, cfg: Settings) -> tuple[float, int, float, float, float, float] | None:
+    """Rim, place and value of the lowest close, depth, share of the way to it, and fit of a parabola; None where that is no cup."""
+    low, length = int(cup.argmin()), len(cup) - 1
+    depth, place = (rim - cup[low]) / abs(rim), low / length
+    if cup[1:-1].max() > rim * 1.01 or not cfg.cup_depth[0] <= depth <= cfg.cup_depth[1] or not 0.2 <= place <= 0.8:
+        return None
+    x = np.linspace(-1, 1, len(cup))
+    basis = np.stack([x * x, x, np.ones_like(x)], 1)
+    bend = np.linalg.lstsq(basis, cup, rcond=None)[0]
+    rest, whole = ((cup - basis @ bend) ** 2).sum(), ((cup - cup.mean()) ** 2).sum()
+    fit = max(0.0, 1 - rest / whole) if whole > 0 else 0.0
+    return (rim, low, float(cup[low]), depth, place, fit) if bend[0] > 0 and fit >= cfg.cup_fit else None
+
+
 def cups(bars: Bars, pivots: np.ndarray, scale: int) -> list[Row]:
     """Cups with handles, and their inversions, between any two rims."""
     cfg, out, n = bars.cfg, [], bars.n
@@ -353,26 +450,20 @@ def cups(bars: Bars, pivots: np.ndarray, scale: int) -> list[Row]:
         uneven = (rims[j, 1] - rims[i, 1]) * s / np.abs(rims[i, 1]) if len(i) else np.zeros(0)
         for k in np.flatnonzero((span >= cfg.cup_bars[0]) & (span <= cfg.cup_bars[1]) & (np.abs(uneven) <= cfg.cup_rim)):
             a, b, length = int(rims[i[k], 0]), int(rims[j[k], 0]), int(span[k])
-            rim, cup = max(s * rims[i[k], 1], s * rims[j[k], 1]), c[a : b + 1]
-            low = int(cup.argmin())
-            depth, place = (rim - cup[low]) / abs(rim), low / length
-            if cup[1:-1].max() > rim * 1.01 or not cfg.cup_depth[0] <= depth <= cfg.cup_depth[1] or not 0.2 <= place <= 0.8:
+            shape = bars.once(("cup", s, a + bars.base, b + bars.base), lambda: cup_shape(c[a : b + 1], max(s * rims[i[k], 1], s * rims[j[k], 1]), cfg))  # noqa: B023
+            if shape is None:
                 continue
-            x = np.linspace(-1, 1, len(cup))
-            basis = np.stack([x * x, x, np.ones_like(x)], 1)
-            bend = np.linalg.lstsq(basis, cup, rcond=None)[0]
-            rest, whole = ((cup - basis @ bend) ** 2).sum(), ((cup - cup.mean()) ** 2).sum()
-            fit = max(0.0, 1 - rest / whole) if whole > 0 else 0.0
+            rim, low, least, depth, place, fit = shape
             most = max(cfg.handle_bars, int(length * cfg.handle_share))
             limit = min(n - 1, b + most)
-            if bend[0] <= 0 or fit < cfg.cup_fit or limit - b < cfg.handle_bars:
+            if limit - b < cfg.handle_bars:
                 continue
             beyond = np.flatnonzero(c[b + cfg.handle_bars : limit + 1] > rim * (1 + cfg.confirm))
             breakout = b + cfg.handle_bars + int(beyond[0]) if len(beyond) else None
             end_handle = limit if breakout is None else breakout
             handle = c[b:end_handle]
             dip = int(handle.argmin())
-            fall, middle = (rim - handle[dip]) / abs(rim), cup[low] + 0.5 * (rim - cup[low])
+            fall, middle = (rim - handle[dip]) / abs(rim), least + 0.5 * (rim - least)
             if fall < 0.005 or fall > min(cfg.handle_depth, depth * 0.5) or handle[dip] < middle:
                 continue
             end = n - 1 if breakout is None else breakout
@@ -449,10 +540,9 @@ def suppress(rows: list[Row], cfg: Settings) -> list[Row]:
     return sorted(kept, key=lambda r: (r["end_idx"], -r["score"]))
 
 
-def detect(rows: pd.DataFrame, wanted: list[str], cfg: Settings) -> list[Row]:
+def detect(bars: Bars, wanted: list[str]) -> list[Row]:
     """All patterns of one symbol's bars, in order, at every scale."""
-    bars = Bars(rows, cfg)
-    found: list[Row] = []
+    cfg, found = bars.cfg, []
     for scale in cfg.scales:
         pivots = pivots_of(bars, scale)
         if len(pivots) >= 3:
@@ -480,7 +570,7 @@ def scan(bars: DataFrame, patterns: Iterable[str] | None = None, mode: str = "al
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bar_idx")
-        found = detect(rows, wanted, cfg)
+        found = detect(Bars(rows, cfg), wanted)
         return pd.DataFrame([{"symbol": rows["symbol"].iloc[0], **m} for m in found], columns=[c.split()[0] for c in MATCHES.replace("array<struct<idx:int,price:double,label:string>>", "x").replace("map<string,double>", "x").split(", ")])
 
     found = bars.select("symbol", "bar_idx", "open", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(run, MATCHES)
@@ -497,8 +587,9 @@ def walk_forward(bars: DataFrame, patterns: Iterable[str] | None = None, window:
     """Confirmed matches as they were seen at the time: every step-th bar from the window-th on looks back over window bars.
 
     A match counts if its breakout is at most most_lag bars old, and once: later ones of its pattern
-    with a breakout within two bars and a start within ten are the same. A task makes `looks` looks
-    in a row, so that a symbol spreads over the cluster and a bar is sent to window / looks + 1 tasks.
+    with a breakout within two bars and a start within ten, both to the next ten, are the same. A
+    task makes `looks` looks in a row, so that a symbol spreads over the cluster and a bar is sent to
+    window / looks + 1 tasks; extremes, fitted lines and cups are carried from look to look.
     """
     wanted = resolve(patterns)
     last = F.max("bar_idx").over(Window.partitionBy("symbol"))
@@ -510,29 +601,30 @@ def walk_forward(bars: DataFrame, patterns: Iterable[str] | None = None, window:
 
     def look(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bar_idx")
-        at, begin, out = part["bar_idx"].to_numpy(), window + int(part["turn"].iloc[0]) * looks, []
-        for now in range(begin, min(begin + looks, int(at[-1]) + 1)):
+        shift, begin, out = int(part["bar_idx"].iloc[0]), window + int(part["turn"].iloc[0]) * looks, []
+        bars = Bars(part, cfg)  # bar_idx has no gaps
+        for now in range(begin, min(begin + looks, shift + bars.n)):
             if (now - window) % step:
                 continue
-            seen = part.iloc[np.searchsorted(at, now - window + 1) : np.searchsorted(at, now, side="right")]
-            shift = int(seen["bar_idx"].iloc[0])
-            for m in detect(seen, wanted, cfg):
-                if m["status"] == "confirmed" and m["breakout_idx"] is not None and now - (m["breakout_idx"] + shift) <= most_lag:
-                    out.append((part["symbol"].iloc[0], m["pattern"], m["direction"], m["start_idx"] + shift, m["breakout_idx"] + shift, now, m["score"], m["level"], m["target"], m["stop"]))
+            seen = bars.window(max(0, now - window + 1 - shift), now + 1 - shift)
+            at = seen.base + shift
+            for m in detect(seen, wanted):
+                if m["status"] == "confirmed" and m["breakout_idx"] is not None and now - (m["breakout_idx"] + at) <= most_lag:
+                    out.append((part["symbol"].iloc[0], m["pattern"], m["direction"], m["start_idx"] + at, m["breakout_idx"] + at, now, m["score"], m["level"], m["target"], m["stop"]))
         return pd.DataFrame(out, columns=names)
 
     def once(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["seen_at", "breakout_idx", "start_idx", "score"], kind="stable")
-        known: dict[str, list[tuple[int, int]]] = {}
+        taken: set[tuple[str, int, int]] = set()  # starts by tens and breakouts to which a later match would be the same
         keep = []
-        for pattern, start, breakout in zip(rows["pattern"], rows["start_idx"], rows["breakout_idx"]):
-            key, held = (int(breakout), round(int(start), -1)), known.setdefault(pattern, [])
-            keep.append(not any(abs(b - key[0]) <= 2 and abs(s - key[1]) <= 10 for b, s in held))
+        rows = rows.sort_values(["seen_at", "breakout_idx", "start_idx", "score"], kind="stable")
+        for pattern, start, breakout in zip(rows["pattern"], (rows["start_idx"] / 10).round().astype(int), rows["breakout_idx"]):
+            keep.append((pattern, start, breakout) not in taken)
             if keep[-1]:
-                held.append(key)
+                taken |= {(pattern, start + d, breakout + e) for d in (-1, 0, 1) for e in (-2, -1, 0, 1, 2)}
         return rows[np.array(keep, bool)]
 
-    return read.groupBy("symbol", "turn").applyInPandas(look, kinds).groupBy("symbol").applyInPandas(once, kinds)
+    tasks = max(4 * bars.sparkSession.sparkContext.defaultParallelism, int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    return read.repartition(tasks, "symbol", "turn").groupBy("symbol", "turn").applyInPandas(look, kinds).groupBy("symbol").applyInPandas(once, kinds)
 
 
 def best_current(matches: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,28 +11,89 @@ from pyspark.sql.window import Window
 from .stats import benjamini_hochberg
 
 
-def log_returns(dense: DataFrame, lookback: int = 756, guard: float = 0.58) -> DataFrame:
-    """symbol, t, r over the last lookback days; gaps of up to three days are bridged, moves beyond the guard dropped."""
-    last = dense.agg(F.max("t")).first()[0] or 0
-    w = Window.partitionBy("symbol").orderBy("t")
+def log_returns(dense: DataFrame, lookback: int | None = 756, guard: float = 0.58, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, symbol, t, r over the last lookback days of each `by`; gaps of up to three days are bridged, moves beyond the guard dropped."""
+    w = Window.partitionBy(*by, "symbol").orderBy("t")
     held = F.last("close", ignorenulls=True).over(w.rowsBetween(-3, 0))
-    rows = dense.where(F.col("t") >= last - lookback).withColumn("c", held).withColumn("r", F.log(F.try_divide(F.col("c"), F.lag("c").over(w))))
-    return rows.select("symbol", "t", F.when(F.abs("r") < guard, F.col("r")).alias("r")).where(F.col("r").isNotNull())
+    rows = dense
+    if lookback is not None:
+        if by:
+            last = dense.groupBy(*by).agg((F.max("t") - lookback).alias("__from"))
+            rows = rows.join(F.broadcast(last), by).where("t >= __from")  # a row a model year
+        else:
+            rows = rows.where(F.col("t") >= (dense.agg(F.max("t")).first()[0] or 0) - lookback)
+    rows = rows.withColumn("c", held).withColumn("r", F.log(F.try_divide(F.col("c"), F.lag("c").over(w))))
+    return rows.select(*by, "symbol", "t", F.when(F.abs("r") < guard, F.col("r")).alias("r")).where(F.col("r").isNotNull())
+
+
+def residuals(returns: DataFrame, least: int = 61, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, symbol, t, r, beta and e, the return less beta times the market's mean return."""
+    market = returns.groupBy(*by, "t").agg(F.avg("r").alias("m"))
+    joined = returns.join(market, [*by, "t"])
+    beta = joined.groupBy(*by, "symbol").agg(F.when(F.count("*") >= least, F.regr_slope("r", "m")).otherwise(1.0).alias("beta"))
+    return joined.join(beta, [*by, "symbol"]).withColumn("e", F.col("r") - F.coalesce("beta", F.lit(1.0)) * F.col("m"))
 
 
-def residuals(returns: DataFrame, least: int = 61) -> DataFrame:
-    """symbol, t, r, beta and e, the return less beta times the market's mean return."""
-    market = returns.groupBy("t").agg(F.avg("r").alias("m"))
-    joined = returns.join(market, "t")
-    beta = joined.groupBy("symbol").agg(F.when(F.count("*") >= least, F.regr_slope("r", "m")).otherwise(1.0).alias("beta"))
-    return joined.join(beta, "symbol").withColumn("e", F.col("r") - F.coalesce("beta", F.lit(1.0)) * F.col("m"))
+#: Symbols of a block of the correlation matrix.
+BLOCK = 256
 
 
-def pair_correlations(values: DataFrame, x: str = "e", least: int = 120) -> DataFrame:
-    """a, b, n and corr for a < b, from one join on days; pairs with fewer common days count as 0."""
-    left = values.select(F.col("symbol").alias("a"), "t", F.col(x).alias("x"))
-    right = values.select(F.col("symbol").alias("b"), "t", F.col(x).alias("y"))
-    return left.join(right, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr("x", "y")).otherwise(0.0).alias("corr"))
+def correlation_blocks(values: DataFrame, x: str = "e", by: list[str] = [], block: int = BLOCK) -> DataFrame:  # noqa: B006
+    """by, a, others, n, corr: correlations of a symbol with those of one block, over the days that both have.
+
+    Series are cut into blocks of symbols; each pair of blocks is one task's matrix products, so a
+    day's values are sent once a block and never joined with each other. Each pair of symbols comes once.
+    """
+    blocks = max(1, -(-values.select("symbol").distinct().count() // block))
+    own = F.pmod(F.xxhash64("symbol"), F.lit(blocks))
+    series = values.where(F.col(x).isNotNull()).groupBy(*by, "symbol").agg(F.collect_list(F.struct(F.col("t").cast("int").alias("t"), F.col(x).cast("double").alias("x"))).alias("s")).withColumn("__own", own)
+    met = series.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = met.select(*by, "symbol", "__own", F.col("s.t").alias("t"), F.col("s.x").alias("x"), F.least("__own", "__other").alias("__low"), F.greatest("__own", "__other").alias("__high"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields if f.name in by)
+
+    def products(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("symbol")
+        low, high = rows["__low"].iloc[0], rows["__high"].iloc[0]
+        days = np.unique(np.concatenate(rows["t"].to_numpy()))
+        value, there = np.zeros((len(rows), len(days))), np.zeros((len(rows), len(days)))
+        for i, (t, v) in enumerate(zip(rows["t"], rows["x"])):
+            at = np.searchsorted(days, t)
+            value[i, at], there[i, at] = v - v.mean(), 1.0
+        name, block_of = rows["symbol"].to_numpy(), rows["__own"].to_numpy()
+        a, b = np.flatnonzero(block_of == low), np.flatnonzero(block_of == high)
+        n = there[a] @ there[b].T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sa, sb = value[a] @ there[b].T, there[a] @ value[b].T
+            va = (value[a] ** 2) @ there[b].T - sa * sa / n
+            vb = there[a] @ (value[b] ** 2).T - sb * sb / n
+            r = (value[a] @ value[b].T - sa * sb / n) / np.sqrt(va * vb)
+        out = []
+        for i, k in enumerate(a):
+            with_ = np.arange(i + 1, len(b)) if low == high else np.arange(len(b))
+            with_ = with_[n[i, with_] > 0]
+            if len(with_):
+                out.append((*(rows[c].iloc[0] for c in by), name[k], name[b[with_]].tolist(), n[i, with_].astype(int).tolist(), [None if np.isnan(v) else float(v) for v in r[i, with_]]))
+        return pd.DataFrame(out, columns=[*by, "a", "others", "n", "corr"])
+
+    return met.groupBy(*by, "__low", "__high").applyInPandas(products, ", ".join(filter(None, [kinds, "a string, others array<string>, n array<bigint>, corr array<double>"])))
+
+
+def pair_correlations(values: DataFrame, x: str = "e", least: int = 120, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, a, b, n and corr for a < b; pairs with fewer common days count as 0."""
+    rows = correlation_blocks(values, x, by).select(*by, "a", F.explode(F.arrays_zip("others", "n", "corr")).alias("p"))
+    return rows.select(*by, F.least("a", "p.others").alias("a"), F.greatest("a", "p.others").alias("b"), F.col("p.n").alias("n"), F.when(F.col("p.n") >= least, F.col("p.corr")).otherwise(0.0).alias("corr"))
+
+
+def pair_stability(values: DataFrame, x: str = "e", least: int = 60) -> DataFrame:
+    """a, b, n, corr over all days and over the first and the second half of them, and whether the halves agree: the same sign, and no further apart than half of the larger one."""
+    days = values.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    mid = ((days["a"] or 0) + (days["b"] or 0)) // 2
+    halves = F.array(F.lit("all"), F.when(F.col("t") <= mid, "first").otherwise("second"))
+    pairs = pair_correlations(values.select("*", F.explode(halves).alias("half")), x, least, ["half"])
+    at = lambda h, c: F.max(F.when(F.col("half") == h, F.col(c)))
+    wide = pairs.groupBy("a", "b").agg(at("all", "n").alias("n"), *[at(h, "corr").alias(c) for h, c in (("all", "corr"), ("first", "corr_first"), ("second", "corr_second"))])
+    apart, most = F.abs(F.col("corr_first") - F.col("corr_second")), F.greatest(F.abs("corr_first"), F.abs("corr_second"))
+    return wide.withColumn("stable", F.coalesce((F.signum("corr_first") == F.signum("corr_second")) & (apart <= most / 2), F.lit(False)))
 
 
 def nearest(pairs: DataFrame, k: int = 5) -> DataFrame:
@@ -41,48 +103,76 @@ def nearest(pairs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def ward(distance: np.ndarray, k: int) -> np.ndarray:
-    """Labels 1 to k of Ward's clustering of a distance matrix, by the Lance-Williams recurrence on squared distances."""
+    """Labels 1 to k of Ward's clustering of a distance matrix.
+
+    Chains of nearest neighbours find the merges in the square of the number of rows; sorted by
+    height they are those of the greedy order, and all but the last k - 1 are carried out.
+    """
     n = len(distance)
     d = distance.astype(float) ** 2
     np.fill_diagonal(d, np.inf)
-    size, alive, members = np.ones(n), np.ones(n, bool), [[i] for i in range(n)]
-    for _ in range(max(0, n - max(1, k))):
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+    size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    while alive.sum() > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        a = chain[-1]
+        b = int(d[a].argmin())
+        if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+            b = chain[-2]
+        if len(chain) < 2 or b != chain[-2]:
+            chain.append(b)
+            continue
+        del chain[-2:]
+        i, j = min(a, b), max(a, b)
+        merges.append((d[i, j], i, j))
         other = alive.copy()
         other[[i, j]] = False
-        total = size[i] + size[j] + size[other]
-        merged = ((size[i] + size[other]) * d[i, other] + (size[j] + size[other]) * d[j, other] - size[other] * d[i, j]) / total
-        d[i, other] = d[other, i] = merged
+        joined = ((size[i] + size[other]) * d[i, other] + (size[j] + size[other]) * d[j, other] - size[other] * d[i, j]) / (size[i] + size[j] + size[other])
+        d[i, other] = d[other, i] = joined
         d[j, :] = d[:, j] = np.inf
         size[i], alive[j] = size[i] + size[j], False
-        members[i] += members[j]
-    labels = np.zeros(n, int)
-    for label, i in enumerate(sorted(np.flatnonzero(alive), key=lambda i: min(members[i])), 1):
-        labels[members[i]] = label
-    return labels
+    root = np.arange(n)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
 
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: n - max(1, k)]:
+        x, y = top(i), top(j)
+        root[max(x, y)] = min(x, y)
+    return np.unique([top(i) for i in range(n)], return_inverse=True)[1] + 1 if n else np.zeros(0, int)
 
-def build_groups(returns: DataFrame, per_group: int = 8, least_groups: int = 5, most_symbols: int = 5000) -> DataFrame:
-    """symbol, grp, beta, vol and group_corr.
 
-    Correlations are made in the cluster; the matrix of symbols, of a size checked first, is
-    clustered on the driver.
+def build_groups(returns: DataFrame, per_group: int = 8, least_groups: int = 5, most_symbols: int = 5000, by: list[str] = [], least: int = 120) -> DataFrame:  # noqa: B006
+    """by, symbol, grp, beta, vol and group_corr, for each value of `by` on its own.
+
+    Correlations are made by blocks; the matrix of one `by`, of a size checked first, is clustered in
+    one task. Symbols that share no day with another are groups of their own or fall in with the rest.
     """
-    e = residuals(returns)
-    stats = e.groupBy("symbol").agg(F.first("beta").alias("beta"), (F.stddev_samp("e") * 252**0.5).alias("vol")).orderBy("symbol").collect()
-    if len(stats) > most_symbols:
-        raise ValueError(f"{len(stats)} symbols; at most {most_symbols} are clustered at once")
-    place = {r["symbol"]: i for i, r in enumerate(stats)}
-    corr = np.eye(len(stats))
-    for r in pair_correlations(e).collect():
-        corr[place[r["a"]], place[r["b"]]] = corr[place[r["b"]], place[r["a"]]] = r["corr"] or 0.0
-    labels = ward(np.sqrt(np.clip(2 * (1 - corr), 0, None)), max(least_groups, round(len(stats) / per_group)))
-    rows = []
-    for s, g in zip(stats, labels):
-        i = place[s["symbol"]]
-        peers = [j for j in np.flatnonzero(labels == g) if j != i]
-        rows.append((s["symbol"], int(g), float(s["beta"] if s["beta"] is not None else 1.0), s["vol"], float(corr[i, peers].mean()) if peers else None))
-    return returns.sparkSession.createDataFrame(rows, "symbol string, grp int, beta double, vol double, group_corr double")
+    keys = by or ["__all"]
+    e = residuals(returns if by else returns.withColumn("__all", F.lit(0)), by=keys)
+    stats = e.groupBy(*keys, "symbol").agg(F.first("beta").alias("beta"), (F.stddev_samp("e") * 252**0.5).alias("vol"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields if f.name in keys)
+
+    def cluster(pairs: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        of = of.sort_values("symbol", ignore_index=True)
+        if len(of) > most_symbols:
+            raise ValueError(f"{len(of)} symbols; at most {most_symbols} are clustered at once")
+        place, corr = {s: i for i, s in enumerate(of["symbol"])}, np.eye(len(of))
+        for a, others, n, r in zip(pairs["a"], pairs["others"], pairs["n"], pairs["corr"]):
+            at = [place[o] for o in others]
+            corr[place[a], at] = corr[at, place[a]] = np.where(np.asarray(n) >= least, np.nan_to_num(np.asarray(r, float)), 0.0)
+        labels = ward(np.sqrt(np.clip(2 * (1 - corr), 0, None)), max(least_groups, round(len(of) / per_group)))
+        mates = labels[:, None] == labels[None, :]
+        np.fill_diagonal(mates, False)
+        n = mates.sum(1)
+        of["grp"], of["beta"] = labels, of["beta"].fillna(1.0)
+        of["group_corr"] = np.where(n > 0, (corr * mates).sum(1) / np.maximum(n, 1), np.nan)
+        return of[[*keys, "symbol", "grp", "beta", "vol", "group_corr"]]
+
+    found = correlation_blocks(e, by=keys).groupBy(*keys).cogroup(stats.groupBy(*keys)).applyInPandas(cluster, f"{kinds}, symbol string, grp int, beta double, vol double, group_corr double")
+    return found.select(*by, "symbol", "grp", "beta", "vol", F.when(~F.isnan("group_corr"), F.col("group_corr")).alias("group_corr"))
 
 
 def divergence(returns: DataFrame, groups: DataFrame, window: int = 20, history: int = 252, least: int = 126) -> DataFrame:
@@ -102,17 +192,20 @@ def divergence(returns: DataFrame, groups: DataFrame, window: int = 20, history:
     return rel.where("t = __last").select("symbol", "grp", z.alias("z"), F.expm1("roll").alias("rel20"))
 
 
-def basket(dense: DataFrame, groups: DataFrame, least: int = 3) -> DataFrame:
-    """An equal-weight index of each group: level 100 at the start, bars relative to each member's close before."""
-    w = Window.partitionBy("symbol").orderBy("t")
+def basket(dense: DataFrame, groups: DataFrame, least: int = 3, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """An equal-weight index of each group: level 100 at the start, bars relative to each member's close before, volume a million times its mean ratio to the median of 60 days."""
+    keys = [*by, "grp"]
+    w = Window.partitionBy(*by, "symbol").orderBy("t")
     held = F.last("close", ignorenulls=True).over(w.rowsBetween(-3, 0))
-    rows = dense.join(groups.select("symbol", "grp"), "symbol").withColumn("c", held).withColumn("prev", F.lag("c").over(w)).where(F.col("c").isNotNull() & F.col("prev").isNotNull())
-    day = rows.groupBy("grp", "t", "date").agg(F.count("*").alias("n_members"), *[F.avg(F.col(f) / F.col("prev") - 1).alias(f"{f}_rel") for f in ("open", "high", "low")], F.avg(F.col("c") / F.col("prev") - 1).alias("ret")).where(F.col("n_members") >= least)
-    g = Window.partitionBy("grp").orderBy("t")
+    usual = F.when(F.count("volume").over(w.rowsBetween(-60, -1)) >= 20, F.percentile("volume", F.lit(0.5)).over(w.rowsBetween(-60, -1)))
+    rows = dense.join(groups.select(*keys, "symbol"), [*by, "symbol"]).withColumn("c", held).withColumns({"prev": F.lag("c").over(w), "usual": usual}).where(F.col("c").isNotNull() & F.col("prev").isNotNull())
+    loud = F.coalesce(F.avg(F.when(F.col("usual") > 0, F.col("volume") / F.col("usual"))), F.lit(1.0)) * 1e6
+    day = rows.groupBy(*keys, "t", "date").agg(F.count("*").alias("n_members"), *[F.avg(F.col(f) / F.col("prev") - 1).alias(f"{f}_rel") for f in ("open", "high", "low")], F.avg(F.col("c") / F.col("prev") - 1).alias("ret"), loud.alias("volume")).where(F.col("n_members") >= least)
+    g = Window.partitionBy(*keys).orderBy("t")
     level = 100 * F.exp(F.sum(F.log1p("ret")).over(g.rowsBetween(Window.unboundedPreceding, 0)))
     day = day.withColumn("close", level).withColumn("before", F.coalesce(F.lag("close").over(g), F.lit(100.0)))
     priced = day.withColumns({f: F.col("before") * (1 + F.coalesce(F.col(f"{f}_rel"), F.lit(0.0))) for f in ("open", "high", "low")})
-    return priced.select("grp", "t", "date", "open", F.greatest("open", "high", "close").alias("high"), F.least("open", "low", "close").alias("low"), "close", "n_members")
+    return priced.select(*keys, "t", "date", "open", F.greatest("open", "high", "close").alias("high"), F.least("open", "low", "close").alias("low"), "close", "volume", "n_members")
 
 
 def lead_lag(residual: DataFrame, groups: DataFrame, q: float = 0.05) -> DataFrame:

@@ -60,6 +60,35 @@ def with_trades(events: DataFrame, bars: DataFrame, max_hold: int = 60) -> DataF
     return P.simulate_trade(events.join(path, ["symbol", "signal_idx"]).withColumn("direction", F.col("dir")), max_hold).drop("path")
 
 
+def walk_forward_matches(seen: DataFrame) -> DataFrame:
+    """What patterns.walk_forward gives as matches: confirmed, broken out at the bar that saw them, with nothing left to wait for."""
+    return seen.select("symbol", "pattern", "direction", F.lit("confirmed").alias("status"), F.lit(0).alias("scale"), "start_idx", F.col("seen_at").alias("end_idx"), F.col("seen_at").alias("breakout_idx"), "score", "level", "target", "stop", F.lit(None).cast("array<struct<idx:int,price:double,label:string>>").alias("key_points"))
+
+
+def pattern_verdicts(events: DataFrame, bars: DataFrame, h: int = 20, least: int = 100, reps: int = 500) -> DataFrame:
+    """pattern, n, mean excess and its bootstrap interval, the p of the mean return among random entries in the same stocks, profit factor, mean R and the verdict.
+
+    events are pattern_events with trades. The random entries of a stock are all its bars; their mean
+    and variance make the law of the mean of one draw an event, so p needs no replicates.
+    """
+    from .stats import bootstrap_ci
+
+    w = Window.partitionBy("symbol").orderBy("bar_idx")
+    later = bars.select("symbol", (F.try_divide(F.lead("close", h).over(w), F.lead("open").over(w)) - 1).alias("r")).groupBy("symbol").agg(F.avg("r").alias("m"), F.var_pop("r").alias("v"))
+    rows = events.where(F.col(f"ret_{h}").isNotNull()).join(later, "symbol", "left")
+    told = rows.groupBy("pattern").agg(
+        F.count("*").alias("n"), F.avg(f"xlocal_{h}").alias("excess"), profit_factor(F.col("trade_ret")).alias("profit_factor"), F.avg("r_multiple").alias("avg_r"),
+        F.try_divide(F.sum(F.col(f"ret_{h}") - F.col("dir") * F.col("m")), F.sqrt(F.sum("v"))).alias("z"),
+    )
+    spans = bootstrap_ci(rows.select("pattern", "symbol", "signal_idx", F.col(f"xlocal_{h}").alias("x")), "x", ["pattern"], reps)
+    # one-sided normal tail by a rational approximation of the error function
+    a = F.abs("z") / 2**0.5
+    k = 1 / (1 + 0.3275911 * a)
+    tail = k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * F.exp(-a * a) / 2
+    p = F.when(F.col("z") >= 0, tail).otherwise(1 - tail)
+    return told.withColumn("p", p).drop("z").join(spans, "pattern", "left").withColumn("verdict", research_verdict(least))
+
+
 def structure_table(rows: DataFrame) -> DataFrame:
     """How many complete shapes of each pattern, and of ALL, were confirmed, failed or expired."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
