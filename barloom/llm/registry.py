@@ -31,7 +31,7 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios = secrets.train(secrets.random_samples(spark).unionByName(secrets.ordinary_samples(docs)))
+    ratios = secrets.train(secrets.random_samples(spark).unionByName(secrets.ordinary_samples(docs)).unionByName(secrets.identifier_samples(spark)))
     found = secrets.scan(docs, ratios)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
