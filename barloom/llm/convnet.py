@@ -173,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: in
 
     Rows are chosen by a hash of doc_id before their texts are looked up in docs (doc_id, text), so
     the labels sent to where the texts are number about `sample`. Training reads whole texts; rows
-    are taken in the order of the hash while their texts together have sample_bytes or less. These
-    bounds hold for training alone. As either label is drawn at its own rate, the output's offset
+    are taken in the order of the hash while their texts together have sample_bytes or less, longer
+    ones than a sixteenth of that being passed over. These bounds hold for training alone. As either label is drawn at its own rate, the output's offset
     is moved to the share that label 1 has among all labels. Rows with a null doc_id, text or label
     are left out, the highest label of a doc_id counts, and without any label the net answers 0.5.
     """
@@ -186,10 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: in
     share = F.when(F.col("label") == 1, min(1.0, sample / 2 / sizes.get(1, 1))).otherwise(min(1.0, sample / 2 / sizes.get(0, 1)))
     chosen = cut(rows.where(u < share).withColumn("u", u))
     found = cut(join_small(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner"))
-    told = sorted((r["u"], str(r["doc_id"]), r["n"]) for r in found.select("u", "doc_id", F.octet_length("text").alias("n")).collect())
+    fits = F.octet_length("text") <= sample_bytes // 16
+    told = sorted((r["u"], str(r["doc_id"]), r["n"]) for r in found.where(fits).select("u", "doc_id", F.octet_length("text").alias("n")).collect())
     held = np.cumsum([n for *_, n in told])
-    most = told[int(np.searchsorted(held, sample_bytes, side="right")) - 1][0] if len(told) and held[0] <= sample_bytes else -1.0
-    got = found.where(F.col("u") <= most).toPandas().sort_values(["u", "doc_id", "text"])
+    most = told[int(np.searchsorted(held, sample_bytes, side="right")) - 1][0] if len(told) else -1.0
+    got = found.where(fits & (F.col("u") <= most)).toPandas().sort_values(["u", "doc_id", "text"])
     release(chosen, found)
     y = got["label"].to_numpy(np.float64)
     net = train([t.encode("utf-8", "surrogatepass") for t in got["text"]], y, **training)

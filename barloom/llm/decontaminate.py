@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, cut
 from .tokens import blocks, find_words, mix64, window_hashes
 
 WALKS, SAMPLES, PLACES = 4, 16, 4
@@ -237,7 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2,
 
     docs needs doc_id and text, benchmark item_id and text. The benchmark is the set of queries: it
     is sent to all documents in blocks of about block_bytes of text, each checked in size before, so
-    that a larger benchmark costs more passes and not more memory. first_word counts the document's
+    that a larger benchmark costs more passes and not more memory: one block is held at a time. first_word counts the document's
     words that hold a letter or digit. Null texts and items, and those without such words, hit
     nothing; equal items hit alike; repeated documents give repeated rows.
     """
@@ -263,6 +263,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2,
                     if hit:
                         yield pd.DataFrame(hit, columns=["doc_id", "item_id", "edits", "first_word"])
 
-        part = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, item_id {item_kind}, edits int, first_word long")
+        # one block after the other: its hits are written, and then it leaves the executors
+        part = cut(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, item_id {item_kind}, edits int, first_word long"))
+        sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out

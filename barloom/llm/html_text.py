@@ -1,7 +1,7 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks: runs of text between the boundaries of block elements, each with its
-path of tags from the root. For every path the characters outside links, the punctuation marks and
+path of tags from the root, in which containers that differ in class differ. For every path the characters outside links, the punctuation marks and
 the blocks are counted; characters a block and punctuation a block are the path's ratios. Each
 block takes the ratios of its path, both series are smoothed along the page and fused by
 multiplication, but no block gets more than its path's own ratios give. A path's score is the mean
@@ -10,8 +10,9 @@ series, are content: all their blocks are. What names itself as something else (
 an advert, a form, a comment) counts as empty.
 
 Short blocks such as headings share no path with long ones. The innermost element around most of
-the content tells where they belong: its blocks are kept too, whatever their path, unless they are
-links or named as something else.
+the content tells where they belong: its blocks are kept too, whatever their path and their links,
+unless they are named as something else. Outside it, blocks of content paths that are mostly links
+are left out.
 
 Everything is linear in the page: paths and elements are numbers, an element holds one run of
 blocks, and open elements are looked up by tag.
@@ -40,7 +41,16 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 OTHER = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "fieldset", "dialog", "template", "noscript", "svg", "canvas", "object", "audio", "video", "menu", "map", *RAW}
 #: Words of a class, id or role that name something besides the article. Fixed values.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|byline-links|captcha|comment|comments|commentlist|consent|cookie|cookies|disclaimer|discussion|disqus|footer|form|gdpr|header|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|paywall|popup|privacy|promo|promoted|promotion|recommended|related|replies|reply|respond|responses|search|share|sharing|sidebar|sidebox|signup|skip|social|sponsor|sponsored|subscribe|subscription|tags|toc|toolbar|tooltip|topbar|widget|widgets|contentinfo|complementary|alert)(?:$|[\s_-]|\d)"
+    r"ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|captcha|comment|comments|commentlist|consent|cookie|cookies|disclaimer|discussion|disqus|footer|form|gdpr|"
+    r"header|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|paywall|popup|privacy|promo|promoted|promotion|recommended|"
+    r"related|replies|reply|respond|responses|search|share|sharing|sidebar|sidebox|signup|skip|social|sponsor|sponsored|subscribe|subscription|tags|toc|toolbar|tooltip|topbar|widget|widgets|"
+    r"contentinfo|complementary|alert"
+)
+#: Words beside them that say where or how large the thing is. Fixed values.
+PLACES = frozenset(
+    """site page main global top bottom left right upper lower primary secondary outer inner wrap wrapper container content box block area section bar slot item items list link links button buttons icon icons group row
+    col column panel unit zone region holder body title text post posts article entry user users web mobile desktop small large big sticky fixed float js is has no byline form input field nav menu"""
+    .split()
 )
 #: Elements whose id is an anchor into the text and names nothing. Fixed values.
 ANCHORS = {"section", "p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "figure", "table", "blockquote"}
@@ -51,6 +61,8 @@ ENDS = {
 }
 #: Elements past which an end tag or an implied end doesn't reach. Fixed values.
 WALLS = {"table", "ul", "ol", "dl", "article", "section", "main", "div", "body", "html", "td", "th", "li", "blockquote", "form", "nav", "aside", "footer", "header"}
+#: Elements that hold others; what is in ones of different classes has different paths. Fixed values.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "blockquote", "center", "details", "figure"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 #: Every repetition is possessive, so that no page is read twice; a quote that isn't closed runs to the page's end.
@@ -88,17 +100,30 @@ class Tree:
     end: list[int] = field(default_factory=lambda: [0])
 
 
+def names_other(value: str) -> bool:
+    """Whether a word of a class, id or role is made of NAMES and, besides, only of PLACES and numbers: cookie-banner is, search-algorithms isn't."""
+    for word in value.split():
+        parts = [p for p in re.split(r"[_-]|\d+", word) if p]
+        if any(map(NAMES.fullmatch, parts)) and all(NAMES.fullmatch(p) or p in PLACES for p in parts):
+            return True
+    return False
+
+
 def named_other(tag: str, attributes: str) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if (name in ("class", "role") or name == "id" and tag not in ANCHORS) and NAMES.search(value):
+        if (name in ("class", "role") or name == "id" and tag not in ANCHORS) and names_other(value):
             return True
     return False
 
 
+def class_of(attributes: str) -> str:
+    return next(("".join(values).lower() for name, *values in ATTRIBUTE.findall(attributes) if name.lower() == "class"), "")
+
+
 class Reader:
     """Reads a page into blocks in page order; what stands in raw elements is left out."""
 
@@ -134,7 +159,8 @@ class Reader:
         node, _, path, other, link = self.open[-1]
         inside = bool(self.places.get("article") or self.places.get("main"))
         other = other or tag in OTHER or tag == "header" and not inside or tag not in ("body", "html", "article", "main") and named_other(tag, attributes)
-        own = path if tag in INLINE else self.paths.setdefault((path, tag), len(self.paths) + 1)
+        label = f"{tag}.{class_of(attributes)}" if tag in CONTAINERS and "class" in attributes else tag
+        own = path if tag in INLINE else self.paths.setdefault((path, label), len(self.paths) + 1)
         t = self.tree
         t.up.append(node)
         t.depth.append(t.depth[node] + 1)
@@ -270,7 +296,7 @@ def main_text(page: str | None, part_of_deviation: float = 1.5) -> str:
     else:
         low, high = int(first[root]), int(last[root])
     near = (place >= low) & (place < high)
-    keep = ~other & (own >= 0.5) & (near | content)
+    keep = ~other & (near | content & (own >= 0.5))
     return " ".join(t for k, (_, t) in zip(keep, found) if k)
 
 

@@ -123,14 +123,15 @@ def measure(docs: DataFrame, keys: list[str]) -> DataFrame:
     return docs.select(*keys, "text").mapInPandas(run, schema)
 
 
-def posterior(votes: np.ndarray, n: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def posterior(votes: np.ndarray, n: np.ndarray, rounds: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each pattern the probability of a good document; each class's rates of votes against, by rule; each class's share.
 
     There is one class of good documents, and for each rule one of documents that are bad in its
     way: bad documents differ, and with one class for all of them a text that only one rule
     objects to would look better the more rules there are. Rules are independent within a class,
     and abstaining is independent of it. Beta priors say that a rule seldom objects to good
-    documents and mostly to its own kind of bad ones, which also keeps the classes in place.
+    documents and mostly to its own kind of bad ones, which also keeps the classes in place. Rounds
+    go on until no probability moves by 1e-9; if that takes more than `rounds`, it is an error.
     """
     n_rules = votes.shape[1]
     against, heard = (votes < 0).astype(float), (votes != 0).astype(float)
@@ -150,8 +151,8 @@ def posterior(votes: np.ndarray, n: np.ndarray, rounds: int = 300) -> tuple[np.n
         new /= new.sum(1, keepdims=True)
         moved, of = np.abs(new - of).max(initial=0), new
         if moved < 1e-9:
-            break
-    return of[:, 0], rate, share
+            return of[:, 0], rate, share
+    raise RuntimeError(f"the posterior still moves after {rounds} rounds")
 
 
 def judge(measured: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
