@@ -56,45 +56,56 @@ def macd_touch(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9,
 
 
 def turns(c: np.ndarray, limit: float) -> list[int]:
-    """First and last bar, and the extremes between moves of at least `limit`. The first move is measured from the first close."""
-    n = len(c)
-    if n < 3:
-        return list(range(n))
-    found, way, edge = [0], 0, 0
-    for i in range(1, n):
-        if not way:
-            start = c[i] / c[0] - 1
-            if abs(start) >= limit:
-                way, edge = (1 if start > 0 else -1), i
-        elif way * (c[i] - c[edge]) >= 0:
-            edge = i
-        elif -way * (c[i] / c[edge] - 1) >= limit:
-            found.append(edge)
-            way, edge = -way, i
-    if way and edge not in (found[-1], n - 1):
-        found.append(edge)
-    return found if found[-1] == n - 1 else [*found, n - 1]
+    """First and last bar, and the extremes between moves of at least `limit`. The first move is measured from the first close.
 
+    From each confirmed move the next extreme is looked up at once: the running extreme of what is
+    left tells where a counter-move first reaches the limit, and the last bar at that extreme turns.
+    """
+    last = len(c) - 1
+    if last < 2:
+        return list(range(len(c)))
+    found, begun = [0], np.flatnonzero(np.abs(c / c[0] - 1) >= limit)
+    if len(begun):
+        at, side = int(begun[0]), np.sign(c[begun[0]] - c[0])
+        while True:
+            left = c[at:]
+            edge = np.maximum.accumulate(left) if side > 0 else np.minimum.accumulate(left)
+            back = np.flatnonzero(side * (1 - left / edge) >= limit)
+            until = int(back[0]) if len(back) else len(left) - 1
+            turn = at + int(np.flatnonzero(left[: until + 1] == edge[until])[-1])
+            if not len(back):
+                return [*found, last] if turn in (found[-1], last) else [*found, turn, last]
+            found.append(turn)
+            at, side = at + until, -side
+    return [*found, last]
+
+
+def legs(series: DataFrame, by: list[str], threshold: float | str = 0.1, most_legs: int = 12, tries: int = 5) -> DataFrame:
+    """by, leg, start_idx, end_idx, ret and threshold: legs of the closes of each `by` between turns of at least threshold, a number or a column.
+
+    Of thresholds that rise by two fifths the first one counts that gives no more than most_legs, or
+    the last. A last leg of less than half of it belongs to the one before.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields if f.name in by)
+    rows = series.select(*by, "bar_idx", "close", (F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))).alias("__limit"))
 
-def zigzag(bars: DataFrame, threshold: float = 0.1, most_legs: int = 12) -> DataFrame:
-    """Legs of each symbol's closes between turns of at least threshold.
+    def find(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("bar_idx")
+        c, place = part["close"].to_numpy(float), part["bar_idx"].to_numpy()
+        told = [(t, turns(c, t)) for t in part["__limit"].iloc[0] * 1.4 ** np.arange(tries)]
+        limit, at = next((x for x in told if len(x[1]) <= most_legs + 1), told[-1])
+        stub = len(at) > 2 and abs(c[at[-1]] / c[at[-2]] - 1) < limit / 2
+        ends = np.array(at[:-2] + at[-1:] if stub else at)
+        a, b = ends[:-1], ends[1:]
+        own = {k: part[k].iloc[0] for k in by}
+        return pd.DataFrame({**own, "leg": np.arange(len(a)), "start_idx": place[a], "end_idx": place[b], "ret": c[b] / c[a] - 1, "threshold": limit}, index=range(len(a)))
 
-    While there are more than most_legs, the threshold is raised by two fifths, in five tries at the
-    most. A last leg of less than half the threshold belongs to the one before.
-    """
+    return rows.groupBy(*by).applyInPandas(find, f"{kinds}, leg int, start_idx int, end_idx int, ret double, threshold double")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        c, limit = rows.sort_values("bar_idx")["close"].to_numpy(float), threshold
-        for _ in range(5):
-            at = turns(c, limit)
-            if len(at) - 1 <= most_legs:
-                break
-            limit *= 1.4
-        if len(at) >= 3 and abs(c[at[-1]] / c[at[-2]] - 1) < limit / 2:
-            del at[-2]
-        return pd.DataFrame([(rows["symbol"].iloc[0], k, int(a), int(b), float(c[b] / c[a] - 1), limit) for k, (a, b) in enumerate(zip(at, at[1:]))], columns=["symbol", "leg", "start_idx", "end_idx", "ret", "threshold"])
 
-    return bars.select("symbol", "bar_idx", "close").groupBy("symbol").applyInPandas(fold, "symbol string, leg int, start_idx int, end_idx int, ret double, threshold double")
+def zigzag(bars: DataFrame, threshold: float = 0.1, most_legs: int = 12) -> DataFrame:
+    """Legs of each symbol's closes; see `legs`."""
+    return legs(bars, ["symbol"], threshold, most_legs)
 
 
 def late_entry(events: DataFrame, bars: DataFrame, within: int = 10, horizons: tuple[int, ...] = (20, 60)) -> DataFrame:
@@ -118,6 +129,40 @@ def entry_variants(events: DataFrame, bars: DataFrame, level: str = "level", hol
     return j.select("symbol", "bar_idx", "exit", F.explode(each).alias("x")).select("symbol", "bar_idx", "x.entry", "x.price", (F.try_divide(F.col("exit"), F.col("x.price")) - 1).alias("ret"))
 
 
+def slot_trades(dense: DataFrame, target: float, stop: float | None, hold: int, start: int, may: Column) -> DataFrame:
+    """symbol, t, exit_t, entry, exit: the trade that begins at the open of every day after start on which `may` holds, by the rule record's order: stop, target, time.
+
+    All days of a symbol are walked at once, one bar of their trades after the other. A trade that the
+    series ends first has no exit and an exit_t beyond it.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t", ignore_index=True)
+        o, h, low, c = (rows[k].to_numpy(float) for k in ("open", "high", "low", "close"))
+        first = np.flatnonzero(rows["__may"].to_numpy(bool) & (rows["t"].to_numpy() > start))
+        price, n = o[first], len(o)
+        up, down = price * (1 + target), np.full(len(first), -np.inf) if stop is None else price * (1 - stop)
+        ends, out, held, live = np.full(len(first), -1), np.full(len(first), np.nan), price.copy(), np.arange(len(first))
+        for k in range(hold):
+            live = live[first[live] + k < n]
+            if not len(live):
+                break
+            at = first[live] + k
+            missing = np.isnan(c[at])  # leaves at the price before
+            hit_stop, hit_target, timed = low[at] <= down[live], h[at] >= up[live], np.full(len(live), k == hold - 1)
+            worse, better = (np.minimum(o[at], down[live]), np.maximum(o[at], up[live])) if k else (down[live], up[live])
+            leave = np.select([missing, hit_stop, hit_target, timed], [held[live], worse, better, c[at]], np.nan)
+            gone = ~np.isnan(leave)
+            ends[live[gone]], out[live[gone]] = at[gone], leave[gone]
+            held[live] = np.where(missing, held[live], c[at])
+            live = live[~gone]
+        t = rows["t"].to_numpy()
+        return pd.DataFrame({"symbol": rows["symbol"].iloc[0], "t": t[first], "exit_t": np.where(ends >= 0, t[ends], np.iinfo(np.int32).max).astype(np.int64), "entry": price, "exit": out}, index=range(len(first)))
+
+    rows = dense.select("symbol", "t", "open", "high", "low", "close", may.alias("__may"))
+    return rows.groupBy("symbol").applyInPandas(run, "symbol string, t long, exit_t long, entry double, exit double")
+
+
 def slot_portfolio(dense: DataFrame, target: float, stop: float | None, slots: int = 20, hold: int = 250, cost: float = 0.0005, seed: int = 0, start: int = 200, eligible: Column | None = None) -> DataFrame:
     """date, r and positions of a portfolio with so many equal slots: r is the mean of the slots' returns of the day.
 
@@ -126,55 +171,41 @@ def slot_portfolio(dense: DataFrame, target: float, stop: float | None, slots: i
     the day before's row), open today and are not held. A held stock is marked to market at the
     close. It leaves at the stop, which comes first, at the target, or at the close of its hold-th
     day; where the open is beyond stop or target on a later day than the first, it leaves at the open.
-    A held stock without a close leaves at no gain. Slots are filled from the first free one.
+    A held stock without a close leaves at no gain.
 
-    What is bought depends on which slots are free, so this is one ordered walk over the calendar: one
-    task reads every bar of the panel, for any of them may be an exit or an entry.
+    What a trade earns depends on its first day alone, so all trades that might be are worked out by
+    symbol. Which are made depends on the slots that are free: one ordered walk over the days, that
+    reads for each the first 2 * slots in its order, as no more than slots of them can be held. The
+    trades made are then marked to market by day in parallel.
     """
     w = Window.partitionBy("symbol").orderBy("t")
-    held = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
-    rows = dense.withColumn("__may", F.lag(F.col("close").isNotNull() & held).over(w) & F.col("open").isNotNull())
+    fit = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    rows = dense.withColumn("__may", F.coalesce(F.lag(F.col("close").isNotNull() & fit).over(w) & F.col("open").isNotNull(), F.lit(False)))
+    trades = slot_trades(rows, target, stop, hold, start, F.col("__may"))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", F.col("t").cast("string")))
-    read = rows.where(F.col("t") > start).select("t", "date", "symbol", order.alias("pick"), F.coalesce("__may", F.lit(False)).alias("may"), "open", "high", "low", "close")
-
-    def walk(panel: pd.DataFrame) -> pd.DataFrame:
-        panel = panel.sort_values(["t", "pick"])
-        book: list[list | None] = [None] * slots  # symbol, entry price, last price, day bought
-        out = []
-        ends = np.flatnonzero(np.append(panel["t"].to_numpy()[1:] != panel["t"].to_numpy()[:-1], True)) + 1
-        columns = [panel[c].to_numpy() for c in ("t", "date", "symbol", "may", "open", "high", "low", "close")]
-        for low_at, high_at in zip(np.append(0, ends[:-1]), ends):
-            t, date, symbol, may, opens, highs, lows, closes = (x[low_at:high_at] for x in columns)
-            at, now, gain = {s: i for i, s in enumerate(symbol)}, t[0], 0.0
-            owned = {x[0] for x in book if x}
-            chosen = iter([i for i in np.flatnonzero(may) if symbol[i] not in owned])
-            for k in range(slots):
-                if book[k] is None and (i := next(chosen, None)) is not None:
-                    book[k] = [symbol[i], opens[i], opens[i], now]
-                    gain -= cost
-            for k, x in enumerate(book):
-                if x is None:
-                    continue
-                i = at.get(x[0])
-                if i is None or np.isnan(closes[i]):
-                    book[k] = None
-                    continue
-                up, down, later = x[1] * (1 + target), -np.inf if stop is None else x[1] * (1 - stop), now > x[3]
-                if lows[i] <= down:
-                    leave = min(opens[i], down) if later else down
-                elif highs[i] >= up:
-                    leave = max(opens[i], up) if later else up
-                else:
-                    leave = closes[i] if now - x[3] + 1 >= hold else None
-                gain += (closes[i] if leave is None else leave) / x[2] - 1
-                if leave is None:
-                    x[2] = closes[i]
-                else:
-                    book[k] = None
-            out.append((date[0], gain / slots, sum(x is not None for x in book)))
-        return pd.DataFrame(out, columns=["date", "r", "positions"])
-
-    return read.groupBy(F.lit("all")).applyInPandas(walk, "date date, r double, positions int")
+    line = Window.partitionBy("t").orderBy("pick")
+    offered = trades.withColumn("pick", order).withColumn("__r", F.row_number().over(line)).where(F.col("__r") <= 2 * slots)
+
+    def walk(offers: pd.DataFrame) -> pd.DataFrame:
+        free_at: dict[str, int] = {}  # of what is held: the day it leaves
+        made = []
+        for t, today in offers.sort_values(["t", "pick"]).groupby("t", sort=True):
+            free_at = {s: e for s, e in free_at.items() if e >= t}
+            wanted = today[~today["symbol"].isin(free_at)].head(slots - len(free_at))
+            free_at.update(zip(wanted["symbol"], wanted["exit_t"]))
+            made.append(wanted[["symbol", "t", "exit_t", "entry", "exit"]])
+        return pd.concat(made) if made else offers[["symbol", "t", "exit_t", "entry", "exit"]]
+
+    made = offered.select("symbol", "t", "exit_t", "entry", "exit", "pick").groupBy(F.lit("all")).applyInPandas(walk, "symbol string, t long, exit_t long, entry double, exit double")
+    calendar = dense.select(F.col("t").cast("long").alias("t"), "date").distinct().where(F.col("t") > start)
+    last = F.least(F.col("exit_t"), F.col("t") + hold - 1)
+    days = made.select("symbol", "entry", "exit", "exit_t", F.col("t").alias("since"), F.explode(F.sequence(F.col("t"), last)).alias("t"))
+    priced = days.join(dense.select("symbol", F.col("t").cast("long").alias("t"), "close", F.lag("close").over(w).alias("before")), ["symbol", "t"])
+    base = F.when(F.col("t") == F.col("since"), F.col("entry")).otherwise(F.col("before"))
+    worth = F.when(F.col("t") == F.col("exit_t"), F.col("exit")).otherwise(F.col("close"))
+    gain = worth / base - 1 - F.when(F.col("t") == F.col("since"), cost).otherwise(0.0)
+    daily = priced.groupBy("t").agg(F.sum(gain).alias("gain"), F.count_if(F.col("t") < F.col("exit_t")).alias("positions"))
+    return calendar.join(daily, "t", "left").select("date", (F.coalesce("gain", F.lit(0.0)) / slots).alias("r"), F.coalesce("positions", F.lit(0)).cast("int").alias("positions"))
 
 
 def wedge_geometry(matches: DataFrame) -> DataFrame:
