@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.frames import change, rolling, shift
+from ..functions.scores import t_stat
 from . import indicators as I
 
 
@@ -256,6 +257,20 @@ def doji_events(bars: DataFrame, bench: DataFrame, horizons: list[int] = [1, 5,
     return cooldown(hits, ["symbol"], gap).drop("__room")
 
 
+def doji_sensitivity(bars: DataFrame, bench: DataFrame, bodies: list[float] = [0.05, 0.10, 0.20], tolerance: float = 0.0025, horizons: list[int] = [1, 5, 21], least: int = 5) -> DataFrame:  # noqa: B006
+    """body, position (inside the range, or on the line as well): results of dojis at the last horizon and after a bar, for each size of body."""
+    h = max(horizons)
+    parts = None
+    for body in bodies:
+        ev = doji_events(bars, bench, horizons, body=body)
+        on_line = F.abs(F.col("ma10") - (F.col("open") + F.col("close")) / 2) <= tolerance * F.col("close")
+        where = F.explode(F.filter(F.array(F.lit("inside"), F.when(on_line, "line")), lambda x: x.isNotNull()))
+        rows = ev.select(F.lit(body).alias("body"), where.alias("position"), "ret_1", F.col(f"ret_{h}").alias("ret"), (F.col(f"ret_{h}") - F.col(f"local_{h}")).alias("xlocal"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    hit = lambda c: F.avg((F.col(c) > 0).cast("int"))
+    return parts.groupBy("body", "position").agg(F.count("*").alias("n"), F.avg("ret").alias("ret"), hit("ret").alias("hit"), F.avg("xlocal").alias("xlocal"), t_stat(F.col("xlocal")).alias("t"), F.avg("ret_1").alias("ret_1"), hit("ret_1").alias("hit_1")).where(F.col("n") >= least)
+
+
 def every_bar(bars: DataFrame, bench: DataFrame, horizons: list[int] = [1, 5, 21]) -> DataFrame:  # noqa: B006
     """The control population: each bar with its context, its returns and whether it is a doji on the mean."""
     rich = with_forward(align_benchmark(I.with_trend_before(bars), bench), horizons, CANDLE)

@@ -51,6 +51,16 @@ def by_period(events: DataFrame, by: list[str], split: str, cost: float = COST,
     return out.where(F.col("n") >= least).withColumn("t", t).drop("nx", "sx", "sxx")
 
 
+def event_table(events: DataFrame, by: list[str], split: str, cost: float = COST, means: list[str] = [], least: int = 1) -> DataFrame:  # noqa: B006
+    """period, by and h: events, symbols, means of columns of the event, net result, hit rate, excesses and t, of narrow events in all, train and test."""
+    rows = events.select("*", F.explode(periods(F.col("date"), split)).alias("period")).where(F.col("ret").isNotNull())
+    out = rows.groupBy("period", *by, "h").agg(
+        F.count("*").alias("n"), F.countDistinct("symbol").alias("n_symbols"), *[F.avg(m).alias(f"avg_{m}") for m in means], (F.avg("ret") - cost).alias("net"), F.avg((F.col("ret") > cost).cast("int")).alias("hit"),
+        F.avg("xbench").alias("xbench"), F.avg("xlocal").alias("xlocal"), t_stat(F.col("xlocal")).alias("t"),
+    )
+    return out.where(F.col("n") >= least)
+
+
 def verdicts(table: DataFrame, by: str = "rule", h: int = 20, t_min: float = 2.0, excess: float = 0.01) -> DataFrame:
     """Whether a group's excess holds in train and in test."""
     at = lambda p, c: F.max(F.when(F.col("period") == p, F.col(c)))

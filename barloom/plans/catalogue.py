@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clusters, desk, happenings, more, narratives, prices, reports, shapes, studies, trading
+from . import briefings, clusters, desk, happenings, more, narratives, prices, reports, shapes, studies, trading
 
-_PARTS = (prices, happenings, studies, trading, shapes, desk, more, reports, clusters, narratives)
+_PARTS = (prices, happenings, studies, trading, shapes, desk, more, reports, clusters, narratives, briefings)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 

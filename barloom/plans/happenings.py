@@ -151,6 +151,9 @@ SQL_RALLY = sql_bars("brand", bench=True) + sql_bench("bars") + sql_forward("al"
 #: And its narrow form, `nv`.
 SQL_NARROW = SQL_RALLY + ", nv AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT rule, symbol, date, bar_idx, beaten, ret_126, volume_ratio, day_ret, year, {h} AS h, ret_{h} AS ret, ret_{h} - bench_{h} AS xbench, ret_{h} - local_{h} AS xlocal FROM ev" for h in HS) + ")"
 
+#: The bases of base_events, `kept`.
+BASES = f""", bb AS (SELECT *, coalesce(close < ({_MA200}) AND {_R126} < -0.08, false) AS beaten, {roll('max', 'close', 15)} AS h15, {roll('min', 'close', 15)} AS l15, {roll('avg', 'close', 15)} AS m15, ({roll('avg', 'volume', 15)}) / ({roll('avg', 'volume', 45, 30, 15)}) AS bv, {lag('close', -20)} AS c20, {lag('close', -60)} AS c60 FROM fw),
+hit AS MATERIALIZED (SELECT * FROM bb WHERE beaten AND (h15 - l15) / m15 <= 12.0 AND bar_idx + 61 < last_at + 1 AND bar_idx >= 260 AND bv IS NOT NULL)""" + sql_cooldown("hit", "symbol", 30)
 _DOJI = f""", m0 AS (SELECT *, {roll('avg', 'close', 10)} AS ma10 FROM fw), dj AS MATERIALIZED (SELECT * FROM m0 WHERE high - low > 0 AND high - low >= 0.01 * close AND abs(close - open) <= 0.1 * (high - low) AND ma10 BETWEEN low AND high AND bar_idx + 21 < last_at + 1 AND bar_idx >= 55)"""
 _RUNS = """, mk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, close <= ma AS f FROM mm),
 rs AS (SELECT *, CASE WHEN f THEN rn - coalesce(max(CASE WHEN NOT coalesce(f, false) THEN rn END) OVER (PARTITION BY symbol ORDER BY date), 0) ELSE 0 END AS run FROM mk)"""
@@ -168,8 +171,7 @@ cr AS (SELECT *, count(*) OVER (PARTITION BY symbol, bar_idx) AS n, row_number()
 hit AS MATERIALIZED (SELECT g.*, threshold, direction FROM g, (VALUES (2.0::DOUBLE), (2.5), (3.0)) th(threshold), (VALUES (1), (-1)) dr(direction) WHERE z * -direction >= threshold AND open IS NOT NULL AND nopen IS NOT NULL AND t + 11 < last_at + 1)""" + sql_cooldown("hit", "symbol, threshold, direction", 3, "t").replace("JOIN kept_k k ON k.symbol = x.symbol AND k.threshold", "JOIN kept_k k ON k.symbol = x.symbol AND k.threshold") + f" SELECT symbol, date, CAST(threshold AS DOUBLE) AS threshold, direction, {_R('z')} AS z, {_R('move')} AS move, {_R('ret_1')} AS ret_1, {_R('ret_10')} AS ret_10, {_R('bench_10')} AS bench_10, {_R('local_10')} AS local_10 FROM kept",
     "ma200_cross_events": sql_bars("brand", bench=True) + sql_bench("bars") + sql_forward("al", [20, 60], *NEXT_OPEN) + f", mm AS (SELECT *, {_MA200} AS ma, close / ({lag('close')}) - 1 AS day_ret FROM fw)" + _RUNS + f", cc AS (SELECT *, {lag('run')} AS before FROM rs), hit AS MATERIALIZED (SELECT * FROM cc WHERE close > ma AND before >= 5 AND bar_idx + 61 < last_at + 1)" + sql_cooldown("hit", "symbol", 20) + f" SELECT symbol, date, CAST(before AS INT) AS bars_below, {_R("entry", 9)} AS entry, {_R('day_ret')} AS day_ret, {_R('ret_20')} AS ret_20, {_R('ret_60')} AS ret_60, {_R('local_60')} AS local_60 FROM kept WHERE entry > 0",
     "doji_on_ma10": sql_bars("flag", bench=True) + sql_bench("bars") + sql_forward("al", [1, 5, 21], "close", 0, 0, "close", 0, 63, 1) + _DOJI + sql_cooldown("dj", "symbol", 5) + f" SELECT symbol, date, {_R('ret_1')} AS ret_1, {_R('bench_1')} AS bench_1, {_R('ret_5')} AS ret_5, {_R('ret_21')} AS ret_21, {_R('local_21')} AS local_21 FROM kept",
-    "base_events": sql_bars("brand", bench=True) + sql_bench("bars") + sql_forward("al", [20, 60], *NEXT_OPEN) + f""", bb AS (SELECT *, coalesce(close < ({_MA200}) AND {_R126} < -0.08, false) AS beaten, {roll('max', 'close', 15)} AS h15, {roll('min', 'close', 15)} AS l15, {roll('avg', 'close', 15)} AS m15, ({roll('avg', 'volume', 15)}) / ({roll('avg', 'volume', 45, 30, 15)}) AS bv, {lag('close', -20)} AS c20, {lag('close', -60)} AS c60 FROM fw),
-hit AS MATERIALIZED (SELECT * FROM bb WHERE beaten AND (h15 - l15) / m15 <= 12.0 AND bar_idx + 61 < last_at + 1 AND bar_idx >= 260 AND bv IS NOT NULL)""" + sql_cooldown("hit", "symbol", 30) + f" SELECT symbol, date, {_R('bv')} AS base_volume, {_R('ret_20')} AS ret_20, {_R('ret_60')} AS ret_60, c20 > h15 AS up_20, c60 < l15 AS down_60 FROM kept WHERE entry > 0",
+    "base_events": sql_bars("brand", bench=True) + sql_bench("bars") + sql_forward("al", [20, 60], *NEXT_OPEN) + BASES + f" SELECT symbol, date, {_R('bv')} AS base_volume, {_R('ret_20')} AS ret_20, {_R('ret_60')} AS ret_60, c20 > h15 AS up_20, c60 < l15 AS down_60 FROM kept WHERE entry > 0",
     "dated_event_returns": sql_bars("nation", bench=True) + sql_bench("bars") + sql_forward("al", [5, 20, 60], "open", 0, -1, "close", 0, 126, 1) + f""", oe AS (SELECT DISTINCT n_name AS symbol, CAST(o_orderdate AS DATE) AS event_date FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 ja AS (SELECT oe.symbol, oe.event_date, fw.* EXCLUDE (symbol) FROM oe ASOF JOIN fw ON oe.symbol = fw.symbol AND oe.event_date < fw.date)
 SELECT symbol, event_date, date, {_R('ret_5')} AS ret_5, {_R('bench_5')} AS bench_5, {_R('local_5')} AS local_5, {_R('ret_60')} AS ret_60 FROM ja WHERE bar_idx >= 210 AND bar_idx + 60 < last_at + 1""",

@@ -38,7 +38,7 @@ def slot_portfolio(spark: SparkSession, sf: str) -> DataFrame:
 
 def price_context(spark: SparkSession, sf: str) -> DataFrame:
     rows = X.price_context(T.bars_brand(spark, sf)).withColumn("worst_days", F.concat_ws(",", F.transform("worst_days", lambda d: d.cast("string"))))
-    return rounded(rows.drop("high_day", "low_day"), 4, close=9, high_52w=9, low_52w=9)
+    return rounded(rows, 4, close=9, high_52w=9, low_52w=9)
 
 
 QUERIES = {f.__name__: f for f in (macd_touch, zigzag_legs, late_entry, entry_variants, slot_portfolio, price_context)}
@@ -58,7 +58,7 @@ SELECT fu.rule, fu.symbol, CAST(fu.bar_idx AS INT) AS bar_idx, CAST(late_idx AS
     "entry_variants": SQL_RALLY + f""", pb AS MATERIALIZED (SELECT symbol, bar_idx, close, {lag('open', -1)} AS o1, {lag('close', -20)} AS ex, min(low) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS lo FROM bars),
 pv AS (SELECT pb.symbol, pb.bar_idx, x.entry, x.price, ex FROM (SELECT DISTINCT symbol, bar_idx FROM ev) ev JOIN pb ON pb.symbol = ev.symbol AND pb.bar_idx = ev.bar_idx, LATERAL (VALUES ('close', pb.close), ('next_open', pb.o1), ('retest', CASE WHEN lo <= pb.close * 1.01 THEN least(pb.close * 1.01, pb.o1) END)) x(entry, price))
 SELECT symbol, CAST(bar_idx AS INT) AS bar_idx, entry, {_R('price', 9)} AS price, {_R('ex / price - 1')} AS ret FROM pv""",
-    "price_context": sql_bars("brand") + f""", pc AS (SELECT symbol, date, bar_idx, {', '.join(f"{roll('avg', 'close', n)} AS ma{n}" for n in (20, 50, 200))}, {', '.join(f"close / ({lag('close', n)}) - 1 AS ret_{n}" for n in (21, 63, 126, 252))}, close, max(high) OVER y AS high_52w, min(low) OVER y AS low_52w, close / ({lag('close')}) - 1 AS r1, max(bar_idx) OVER (PARTITION BY symbol) AS last_at FROM bars WINDOW y AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)),
+    "price_context": sql_bars("brand") + f""", pc AS (SELECT symbol, date, bar_idx, {', '.join(f"{roll('avg', 'close', n)} AS ma{n}" for n in (20, 50, 200))}, {', '.join(f"close / ({lag('close', n)}) - 1 AS ret_{n}" for n in (21, 63, 126, 252))}, close, max(high) OVER y AS high_52w, min(low) OVER y AS low_52w, arg_max(date, high) OVER y AS high_day, arg_min(date, low) OVER y AS low_day, close / ({lag('close')}) - 1 AS r1, max(bar_idx) OVER (PARTITION BY symbol) AS last_at FROM bars WINDOW y AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)),
 pw AS (SELECT symbol, string_agg(CAST(date AS VARCHAR), ',' ORDER BY r1, date) AS worst_days FROM (SELECT * FROM pc WHERE bar_idx > last_at - 63 AND r1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY r1, date) <= 5) GROUP BY symbol)
-SELECT symbol, date, worst_days, {', '.join(f"{_R(c, 9 if c in ('close', 'high_52w', 'low_52w') else 4)} AS {c}" for c in ('close', 'high_52w', 'low_52w', 'ma20', 'ma50', 'ma200', 'ret_21', 'ret_63', 'ret_126', 'ret_252'))} FROM pc JOIN pw USING (symbol) WHERE bar_idx = last_at""",
+SELECT symbol, date, worst_days, high_day, low_day, {', '.join(f"{_R(c, 9 if c in ('close', 'high_52w', 'low_52w') else 4)} AS {c}" for c in ('close', 'high_52w', 'low_52w', 'ma20', 'ma50', 'ma200', 'ret_21', 'ret_63', 'ret_126', 'ret_252'))} FROM pc JOIN pw USING (symbol) WHERE bar_idx = last_at""",
 }

@@ -14,7 +14,7 @@ from ..operators import verdicts as V
 from ..sources import bars as B
 from . import tables as T
 from .desk import _MTM, _journal
-from .happenings import _R, SQL_NARROW, SQL_RALLY, rally, rally_narrow, sql_bench, sql_forward
+from .happenings import _R, BASES, NEXT_OPEN, SQL_NARROW, SQL_RALLY, rally, rally_narrow, sql_bench, sql_forward
 from .studies import _BY_PERIOD
 from .tables import SPLIT, lag, roll, rounded, sql_bars
 
@@ -86,20 +86,20 @@ def cost_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def base_directions(spark: SparkSession, sf: str) -> DataFrame:
-    """Bases as base_events finds them, by volume bucket."""
-    from .happenings import base_events
-
-    return rounded(V.base_directions(base_events(spark, sf).withColumns({"up_60": F.col("up_20"), "down_20": F.col("down_60")}), [0.8, 1.0, 1.3], SPLIT).drop("up_60", "down_20"))
+    """Bases of any width after a fall by volume bucket, at both horizons."""
+    bars = T.bars_brand(spark, sf)
+    wide = F.coalesce(F.col("beaten") & (F.col("base_range") <= 12.0), F.lit(False))
+    return rounded(V.base_directions(E.bases(bars, B.benchmark(bars), state=wide), [0.8, 1.0, 1.3], SPLIT))
 
 
 def newsday_live(spark: SparkSession, sf: str) -> DataFrame:
     """Over a year of bars and without the fall, as these tables have few such days."""
     rows = V.newsday_live(T.bars_brand(spark, sf), 0.04, 1.5, 250, None, 260)
-    return rounded(rows.drop("news_close", "last_close"))
+    return rounded(rows, news_close=9, last_close=9)
 
 
 def rally_live(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(V.rally_live(T.bars_brand(spark, sf), max_age=120).drop("close", "last"))
+    return rounded(V.rally_live(T.bars_brand(spark, sf), max_age=120), close=9, last=9)
 
 
 def early_rally(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,11 +186,11 @@ _MATCH = """, mt AS MATERIALIZED (SELECT symbol, rule AS pattern, CASE WHEN rule
 _PE = SQL_RALLY + _MATCH + sql_forward("al", PH, "open", 1, 0, "open", 1, 126, 0, 1, name="fp") + """, pe AS MATERIALIZED (SELECT mt.symbol, mt.pattern, mt.dir, greatest(breakout_idx, complete) AS signal_idx, fp.date, fp.entry, greatest(breakout_idx, complete) - breakout_idx AS delay, (fp.entry / level - 1) * dir AS gap, volume_ratio AS bv, target, stop, year(fp.date) AS year,
 dir * ret_5 AS r5, dir * ret_20 AS r20, dir * (ret_5 - bench_5) AS b5, dir * (ret_20 - bench_20) AS b20, dir * (ret_5 - local_5) AS l5, dir * (ret_20 - local_20) AS l20 FROM mt JOIN fp ON fp.symbol = mt.symbol AND fp.bar_idx = greatest(breakout_idx, complete) WHERE status = 'confirmed' AND fp.entry IS NOT NULL)"""
 _WELCH = "CASE WHEN count(a) >= 3 AND count(b) >= 3 THEN (avg(a) - avg(b)) / nullif(sqrt(var_samp(a) / count(a) + var_samp(b) / count(b)), 0) END"
-_LIVE = SQL_RALLY + f""", lc AS (SELECT h.*, last_at - bar_idx AS bars_ago FROM hits h), lw AS (SELECT symbol, bar_idx, close / ({lag('close', 10)}) - 1 AS ret_10, close / ({roll('avg', 'close', 50)}) - 1 AS d50, close / ({roll('avg', 'close', 200)}) - 1 AS d200 FROM bars)"""
+_LIVE = SQL_RALLY + f""", lc AS (SELECT h.*, last_at - bar_idx AS bars_ago FROM hits h), lw AS (SELECT symbol, bar_idx, close / ({lag('close', 10)}) - 1 AS ret_10, close / ({roll('avg', 'close', 50)}) - 1 AS d50, close / ({roll('avg', 'close', 200)}) - 1 AS d200, last_value(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lastc FROM bars)"""
 
 
 def _live(age: int) -> str:
-    return _LIVE + f""", lv AS MATERIALIZED (SELECT lc.symbol, rule, date AS signal_date, CAST(bars_ago AS INT) AS bars_ago, day_ret, lw.ret_10, ret_126 AS ret_6m, from_52w_high, d50, d200, volume_ratio, beaten FROM lc JOIN lw ON lw.symbol = lc.symbol AND lw.bar_idx = lc.bar_idx WHERE bars_ago < {age} AND last_at + 1 >= 300 QUALIFY row_number() OVER (PARTITION BY lc.symbol, rule ORDER BY bars_ago) = 1)"""
+    return _LIVE + f""", lv AS MATERIALIZED (SELECT lc.symbol, rule, lc.close, lw.lastc, date AS signal_date, CAST(bars_ago AS INT) AS bars_ago, day_ret, lw.ret_10, ret_126 AS ret_6m, from_52w_high, d50, d200, volume_ratio, beaten FROM lc JOIN lw ON lw.symbol = lc.symbol AND lw.bar_idx = lc.bar_idx WHERE bars_ago < {age} AND last_at + 1 >= 300 QUALIFY row_number() OVER (PARTITION BY lc.symbol, rule ORDER BY bars_ago) = 1)"""
 
 
 _COND = {"loud": "bv >= 1.5", "quiet": "NOT coalesce(bv >= 1.5, false)", "same_bar": "delay <= 0", "delayed": "delay > 0", "extended": "gap > 0.03", "near_level": "NOT coalesce(gap > 0.03, false)"}
@@ -225,10 +225,12 @@ SELECT hindsight_events, matched, seen_events, {_R('matched / hindsight_events')
 SELECT rule, h, n, {_R('m - w')} AS low, {_R('m + w')} AS high, CASE WHEN n < 100 THEN 'insufficient data' WHEN m - w > 0 AND abs(m) > w THEN 'edge' WHEN m + w < 0 THEN 'worse than random' WHEN pf > 1.1 AND r > 0.05 THEN 'unproven' ELSE 'no edge' END AS verdict FROM rv""",
     "period_agreement": SQL_NARROW + _BY_PERIOD + ", pw AS (SELECT rule, h, " + ", ".join(f"max({c}) FILTER (period = '{p}') AS {p}_{c}" for p in ("all", "train", "test") for c in ("n", "xlocal")) + " FROM bt GROUP BY rule, h), pv AS (SELECT *, CASE WHEN " + " AND ".join(f"{p}_n >= 30 AND {p}_xlocal >= 0.005" for p in ("all", "train", "test")) + " THEN 'up' WHEN " + " AND ".join(f"{p}_n >= 30 AND {p}_xlocal <= -0.005" for p in ("all", "train", "test")) + " THEN 'down' ELSE 'none' END AS direction FROM pw) SELECT rule, h, " + ", ".join(f"CAST({p}_n AS BIGINT) AS {p}_n, {_R(f'{p}_xlocal')} AS {p}_xlocal" for p in ("all", "train", "test")) + ", direction, direction <> 'none' AS passed FROM pv",
     "cost_sensitivity": SQL_NARROW + f", cc AS (SELECT rule, cost, ret - cost AS net, xlocal - cost AS x FROM nv, (VALUES (0.0::DOUBLE), (0.0005), (0.001), (0.002)) c(cost) WHERE h = 20 AND ret IS NOT NULL) SELECT cost, rule, count(*) AS n, {_R('avg(net)')} AS net_ret, {_R('avg((net > 0)::INT)')} AS hit, {_R('avg(x)')} AS excess, {_R('sum(net) FILTER (net > 0) / nullif(-sum(net) FILTER (net < 0), 0)')} AS profit_factor FROM cc GROUP BY ALL",
+    "base_directions": sql_bars("brand", bench=True) + sql_bench("bars") + sql_forward("al", [20, 60], *NEXT_OPEN) + BASES + f""", bd AS (SELECT CAST((bv > 0.8)::INT + (bv > 1.0)::INT + (bv > 1.3)::INT AS INT) AS bucket, CASE WHEN date < DATE '{SPLIT}' THEN 'train' ELSE 'test' END AS period, ret_20, ret_60, c20 > h15 AS u20, c20 < l15 AS d20, c60 > h15 AS u60, c60 < l15 AS d60 FROM kept WHERE entry > 0)
+SELECT bucket, period, count(*) AS n, {', '.join(f"{_R(f'avg(u{h}::INT)')} AS up_{h}, {_R(f'avg(d{h}::INT)')} AS down_{h}, {_R(f'avg(ret_{h}) - 0.001')} AS net_{h}" for h in (20, 60))} FROM bd GROUP BY ALL""",
     "newsday_live": sql_bars("brand") + f""", nl AS (SELECT *, open / ({lag('close')}) - 1 AS gap, volume / ({roll('avg', 'volume', 20, None, 1)}) AS vr, close / ({lag('close')}) - 1 AS day_return, close / ({lag('close', 126)}) - 1 AS ret_6m, close / ({roll('avg', 'close', 200)}) - 1 AS dist, count(*) OVER (PARTITION BY symbol) AS n, last_value(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last_close FROM bars),
 nh AS (SELECT * FROM nl WHERE abs(gap) >= 0.04 AND vr >= 1.5 AND dist < 0 AND n - 1 - bar_idx < 250 AND n >= 260 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) = 1)
-SELECT symbol, date AS news_date, CAST(n - 1 - bar_idx AS INT) AS bars_ago, {_R('gap')} AS gap, {_R('day_return')} AS day_return, {_R('vr')} AS volume_ratio, {_R('ret_6m')} AS ret_6m, {_R('dist')} AS dist_ma200, {_R('last_close / close - 1')} AS since_news, CAST(260 - (n - 1 - bar_idx) AS INT) AS bars_left FROM nh""",
-    "rally_live": _live(120) + f" SELECT symbol, rule, signal_date, bars_ago, {_R('day_ret')} AS day_ret, {_R('ret_10')} AS ret_10, {_R('ret_6m')} AS ret_6m, {_R('from_52w_high')} AS from_52w_high, {_R('d50')} AS dist_ma50, {_R('d200')} AS dist_ma200, {_R('volume_ratio')} AS volume_ratio, d200 < 0 AS below_ma200, beaten FROM lv",
+SELECT symbol, date AS news_date, CAST(n - 1 - bar_idx AS INT) AS bars_ago, {_R('gap')} AS gap, {_R('day_return')} AS day_return, {_R('vr')} AS volume_ratio, {_R('ret_6m')} AS ret_6m, {_R('dist')} AS dist_ma200, {_R('close', 9)} AS news_close, {_R('last_close', 9)} AS last_close, {_R('last_close / close - 1')} AS since_news, CAST(260 - (n - 1 - bar_idx) AS INT) AS bars_left FROM nh""",
+    "rally_live": _live(120) + f" SELECT symbol, rule, {_R('close', 9)} AS close, {_R('lastc', 9)} AS last, signal_date, bars_ago, {_R('day_ret')} AS day_ret, {_R('ret_10')} AS ret_10, {_R('ret_6m')} AS ret_6m, {_R('from_52w_high')} AS from_52w_high, {_R('d50')} AS dist_ma50, {_R('d200')} AS dist_ma200, {_R('volume_ratio')} AS volume_ratio, d200 < 0 AS below_ma200, beaten FROM lv",
     "early_rally": _live(250) + f""", eb AS (SELECT * FROM lv WHERE beaten), ea AS (SELECT symbol, string_agg(rule, ', ' ORDER BY bars_ago, rule) AS rules, CAST(count(*) AS INT) AS n_rules FROM eb GROUP BY symbol), en AS (SELECT * FROM eb QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bars_ago, rule) = 1)
 SELECT ea.symbol, rules, n_rules, signal_date, bars_ago, {_R('ret_10')} AS ret_10, {_R('d200')} AS dist_ma200 FROM ea JOIN en ON en.symbol = ea.symbol""",
     "candle_control": sql_bars("flag") + f""", r0 AS (SELECT *, {roll('avg', 'close', 10)} AS ma10, {roll('avg', 'close', 50)} AS ma50, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, close < ({lag('close')}) AS dn, close / ({lag('close', 63)}) - 1 AS ret_q, close / ({lag('close', 126)}) - 1 AS ret_h, close / ({roll('max', 'close', 252, 20)}) - 1 AS from_high, ({lag('close', -5)}) / close - 1 AS r FROM bars),
