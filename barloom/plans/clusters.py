@@ -11,7 +11,9 @@ from ..operators import events as E
 from ..operators import groups as G
 from ..operators import indicators as I
 from ..operators import patterns as C
+from ..operators import decisions as D
 from ..operators import peers as P
+from ..operators import scan as N
 from ..operators import verdicts as V
 from ..sources import bars as B
 from . import tables as T
@@ -176,8 +178,40 @@ def group_context(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.context_today(baskets, groups, bars))
 
 
+# --- the whole universe ----------------------------------------------------
+
+
+def cohesion_change(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(N.cohesion_change(P.residuals(_returns(spark, sf)), _sectors(spark, sf)))
+
+
+def shock_spillover(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(N.shock_spillover(P.residuals(_returns(spark, sf)), _sectors(spark, sf)))
+
+
+def stray_study(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether nations that strayed from their region came back, over every 20th day."""
+    return rounded(N.stray_study(N.strayed(_returns(spark, sf), _sectors(spark, sf)), least=10, least_side=1))
+
+
+def sector_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(N.rolling_sector_correlation(P.residuals(_returns(spark, sf)), _sectors(spark, sf)), 5)
+
+
+def volume_context_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Rally events by the volume of their day and of the ten days before."""
+    rows = D.volume_at(T.bars_brand(spark, sf)).select("symbol", "bar_idx", "day_bucket", "climax_bucket")
+    ev = rally_narrow(spark, sf).where("h = 20 AND ret IS NOT NULL").join(rows, ["symbol", "bar_idx"])
+    each = ev.select("ret", "xlocal", F.explode(F.array(F.struct(F.lit("day").alias("kind"), F.col("day_bucket").alias("bucket")), F.struct(F.lit("climax").alias("kind"), F.col("climax_bucket").alias("bucket")))).alias("b"))
+    return rounded(each.groupBy("b.kind", "b.bucket").agg(F.count("*").alias("n"), F.avg("ret").alias("ret"), F.avg("xlocal").alias("xlocal")))
+
+
+def stock_states(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(D.stock_state(T.bars_brand(spark, sf)), last_close=9)
+
+
 QUERIES = {f.__name__: f for f in (
-    yearly_groups, pair_stability, divergence_at_events, group_confirmation, group_findings, filter_table, scan_events, scan_trades, scan_structures, scan_volume_buckets, scan_conditions, scan_verdicts,
+    cohesion_change, shock_spillover, stray_study, sector_correlation, volume_context_buckets, stock_states, yearly_groups, pair_stability, divergence_at_events, group_confirmation, group_findings, filter_table, scan_events, scan_trades, scan_structures, scan_volume_buckets, scan_conditions, scan_verdicts,
     walk_forward_events, walk_forward_match, group_wedge_events, group_context,
 )}
 
@@ -193,6 +227,26 @@ def _cells() -> str:
 
 
 ORACLES = {
+    "cohesion_change": _RET + f""", se AS (SELECT rs.*, s.sector AS grp FROM rs JOIN (SELECT DISTINCT symbol, sector FROM dense) s USING (symbol)), cp AS (SELECT a.grp, corr(a.e, b.e) AS c, CASE WHEN count(*) FILTER (a.t > (SELECT max(t) FROM rs) - 63) >= 2 THEN corr(a.e, b.e) FILTER (a.t > (SELECT max(t) FROM rs) - 63) END AS r FROM se a JOIN se b ON a.grp = b.grp AND a.t = b.t AND a.symbol < b.symbol GROUP BY a.grp, a.symbol, b.symbol)
+SELECT grp, {_R('avg(c)')} AS full, {_R('avg(r)')} AS recent, {_R('avg(r) - avg(c)')} AS delta FROM cp GROUP BY grp""",
+    "shock_spillover": _RET + f""", se AS MATERIALIZED (SELECT rs.symbol, rs.t, rs.e, s.sector AS grp, stddev_samp(e) OVER (PARTITION BY rs.symbol) AS sd FROM rs JOIN (SELECT DISTINCT symbol, sector FROM dense) s USING (symbol)), gm AS (SELECT grp, count(DISTINCT symbol) AS m FROM se GROUP BY grp),
+sv AS (SELECT symbol, grp, t, e, sign(e) AS sg FROM se WHERE abs(e) > 2.5 * sd AND t + 5 <= (SELECT max(t) FROM rs)),
+sx AS (SELECT sv.symbol, sv.t, any_value(sg) AS sg, any_value(m) AS m, avg(o.e) FILTER (o.t = sv.t) AS d0, avg(o.e) FILTER (o.t = sv.t + 1) AS d1, coalesce(sum(o.e) FILTER (o.t BETWEEN sv.t + 2 AND sv.t + 5), 0.0) AS d2 FROM sv JOIN gm USING (grp) LEFT JOIN se o ON o.grp = sv.grp AND o.symbol <> sv.symbol AND o.t BETWEEN sv.t AND sv.t + 5 GROUP BY sv.symbol, sv.t),
+sl AS (SELECT s.span, s.v FROM sx, LATERAL (VALUES ('day', sg * d0), ('next', sg * d1), ('later', sg * d2 / (m - 1))) s(span, v))
+SELECT span, count(v) AS n, {_R('avg(v)')} AS mean, {_R('avg(v) / (stddev_pop(v) / sqrt(count(v)))')} AS t FROM sl GROUP BY span""",
+    "stray_study": _RET + f""", gd AS (SELECT s.symbol, s.sector AS grp, d.t, coalesce(lr.r, 0.0) AS r FROM (SELECT DISTINCT symbol, sector FROM dense) s CROSS JOIN (SELECT DISTINCT t FROM lr) d LEFT JOIN lr ON lr.symbol = s.symbol AND lr.t = d.t),
+go AS (SELECT *, count(*) OVER (PARTITION BY grp, t) AS n, sum(r) OVER (PARTITION BY grp, t) - r AS o FROM gd), gp AS (SELECT *, o / (n - 1) AS others FROM go WHERE n >= 3), gb AS (SELECT symbol, coalesce(covar_samp(r, others) / nullif(var_samp(others), 0), 1.0) AS b FROM gp GROUP BY symbol),
+gq AS (SELECT gp.symbol, gp.t, r - b * others AS rel FROM gp JOIN gb ON gb.symbol = gp.symbol), gr AS (SELECT *, row_number() OVER w - 1 AS day, CASE WHEN count(rel) OVER k = 20 THEN sum(rel) OVER k END AS roll, CASE WHEN count(rel) OVER f = 20 THEN sum(rel) OVER f END AS ahead FROM gq WINDOW w AS (PARTITION BY symbol ORDER BY t), k AS (PARTITION BY symbol ORDER BY t ROWS 19 PRECEDING), f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
+gz AS (SELECT *, CASE WHEN count(roll) OVER p >= 126 AND stddev_samp(roll) OVER p > 0 THEN (roll - avg(roll) OVER p) / stddev_samp(roll) OVER p END AS z FROM gr WINDOW p AS (PARTITION BY symbol ORDER BY t ROWS 251 PRECEDING)),
+gh AS (SELECT *, rank() OVER (PARTITION BY t ORDER BY z) + (count(*) OVER (PARTITION BY t, z) - 1) / 2 AS rz, rank() OVER (PARTITION BY t ORDER BY ahead) + (count(*) OVER (PARTITION BY t, ahead) - 1) / 2 AS ra FROM gz WHERE day >= 260 AND (day - 260) % 20 = 0 AND z IS NOT NULL AND ahead IS NOT NULL),
+gi AS (SELECT 'ic' AS what, corr(rz, ra) AS v FROM gh GROUP BY t HAVING count(*) > 10 UNION ALL SELECT 'up', avg(ahead) FROM gh WHERE z > 2 GROUP BY t UNION ALL SELECT 'down', avg(ahead) FROM gh WHERE z < -2 GROUP BY t)
+SELECT what, count(v) AS n, {_R('avg(v)')} AS mean, {_R('avg(v) / nullif(stddev_samp(v) / sqrt(count(v)), 0)')} AS t FROM gi GROUP BY what""",
+    "sector_correlation": _RET + f""", sm AS (SELECT sector AS grp, t, avg(e) AS v FROM rs GROUP BY ALL), sp AS (SELECT a.grp AS a, b.grp AS b, a.t, count(*) OVER w AS n, corr(a.v, b.v) OVER w AS c FROM sm a JOIN sm b ON a.t = b.t AND a.grp < b.grp WINDOW w AS (PARTITION BY a.grp, b.grp ORDER BY a.t ROWS 62 PRECEDING))
+SELECT a, b, CAST(t AS INT) AS t, {_R('c', 5)} AS corr FROM sp WHERE n >= 63 AND c IS NOT NULL""",
+    "volume_context_buckets": SQL_NARROW + f""", va AS (SELECT symbol, bar_idx, volume / nullif(CASE WHEN count(volume) OVER d >= 15 THEN avg(volume) OVER d END, 0) AS vd, volume / nullif(CASE WHEN count(volume) OVER c >= 40 THEN avg(volume) OVER c END, 0) AS vc FROM bars WINDOW d AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), c AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+vb AS (SELECT symbol, bar_idx, vd, max(vc) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS 9 PRECEDING) AS vc FROM va), vk AS (SELECT nv.ret, nv.xlocal, k.kind, k.bucket FROM nv JOIN vb USING (symbol, bar_idx), LATERAL (VALUES ('day', CASE WHEN vd IS NULL OR vd <= 0 THEN NULL WHEN vd <= 0.8 THEN '< 0.8x' WHEN vd <= 1.2 THEN '0.8-1.2x' WHEN vd <= 2 THEN '1.2-2x' WHEN vd <= 3 THEN '2-3x' ELSE '> 3x' END), ('climax', CASE WHEN vc IS NULL OR vc <= 0 THEN NULL WHEN vc <= 1.5 THEN '< 1.5x' WHEN vc <= 3 THEN '1.5-3x' WHEN vc <= 5 THEN '3-5x' ELSE '> 5x' END)) k(kind, bucket) WHERE h = 20 AND ret IS NOT NULL)
+SELECT kind, bucket, count(*) AS n, {_R('avg(ret)')} AS ret, {_R('avg(xlocal)')} AS xlocal FROM vk GROUP BY kind, bucket""",
+    "stock_states": sql_bars("brand") + f""", ss AS (SELECT symbol, close, close / ({lag('close', 126)}) - 1 AS r, avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 199 PRECEDING) AS m, bar_idx = max(bar_idx) OVER (PARTITION BY symbol) AS is_last FROM bars) SELECT symbol, {_R('close', 9)} AS last_close, {_R('r')} AS ret_6m, {_R('close / m - 1')} AS dist_ma200, coalesce(close < m AND r < -0.08, false) AS beaten_down FROM ss WHERE is_last""",
     "pair_stability": _RET + f""", md AS (SELECT (min(t) + max(t)) // 2 AS m FROM rs), hv AS (SELECT symbol, t, e, t <= m AS early FROM rs, md),
 hp AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, CASE WHEN count(*) >= 60 THEN corr(a.e, b.e) ELSE 0 END AS c, count(*) FILTER (a.early) AS n1, CASE WHEN count(*) FILTER (a.early) >= 60 THEN corr(a.e, b.e) FILTER (a.early) ELSE 0 END AS c1, count(*) FILTER (NOT a.early) AS n2, CASE WHEN count(*) FILTER (NOT a.early) >= 60 THEN corr(a.e, b.e) FILTER (NOT a.early) ELSE 0 END AS c2 FROM hv a JOIN hv b ON a.t = b.t AND a.symbol < b.symbol GROUP BY ALL)
 SELECT a, b, n, {_R('c')} AS corr, {_R('CASE WHEN n1 > 0 THEN c1 END')} AS corr_first, {_R('CASE WHEN n2 > 0 THEN c2 END')} AS corr_second, coalesce(n1 > 0 AND n2 > 0 AND sign(c1) = sign(c2) AND abs(c1 - c2) <= greatest(abs(c1), abs(c2)) / 2, false) AS stable FROM hp""",
