@@ -69,11 +69,13 @@ def release(*cuts: DataFrame | None) -> None:
 
 @contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
-    """Deletes the tables that are cut inside when it ends, but for those put on the list it gives."""
-    before, keep = set(_PATHS), []
-    yield keep
-    held = {id(df) for df in keep}
-    release(*[df for key, (df, _) in list(_PATHS.items()) if key not in before and key not in held])
+    """Deletes the tables that are cut inside when it ends, but for those put on the list it gives; all of them if it fails."""
+    before, keep, held = set(_PATHS), [], set()
+    try:
+        yield keep
+        held = {id(df) for df in keep}
+    finally:
+        release(*[df for key, (df, _) in list(_PATHS.items()) if key not in before and key not in held])
 
 
 def bound_batches(spark: SparkSession, rows: int = 500, size: int = 1 << 22) -> None:

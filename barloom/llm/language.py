@@ -7,8 +7,9 @@ less its first byte, down to no context and then to 1/256. The counts are frozen
 is scored, so the probability of a byte after a context is one number, and a text's code length
 under a language is an exact sum over its bytes.
 
-The trees of all languages share their nodes. They are tables of transitions, walked for all
-bytes of a batch at once.
+The trees of a few languages share their nodes. They are tables of transitions, walked for all
+bytes of a batch at once. Languages are taken FAMILY at a time, so that with many of them no table
+has a column for each language and a row for each gram that any of them has.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, cut, release
 from .tokens import blocks
 
 ORDER = 4  #: bytes of the longest context, and the byte it predicts
 UNKNOWN = "und"
+#: Languages whose trees share their nodes.
+FAMILY = 4
 #: Bytes of a text that are coded at once; longer texts are walked in pieces, whose code lengths add up.
 PIECE = 1 << 18
 #: Entries up to which transitions are a table by context and byte; more are looked up in a sorted list.
@@ -73,7 +76,34 @@ class ContextTrees:
         return _BUILT[self.key]
 
 
-_BUILT: dict[str, "Tables"] = {}
+@dataclass
+class Languages:
+    """The trees of all languages, a family after the other."""
+
+    parts: list[ContextTrees]
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for p in self.parts for x in p.langs]
+
+    def tables(self) -> "Families":
+        if self.key not in _BUILT:
+            _BUILT.clear()  # a worker that is used again holds the tables of one model
+            _BUILT[self.key] = Families([Tables(p) for p in self.parts])
+        return _BUILT[self.key]
+
+
+@dataclass
+class Families:
+    tables: list["Tables"]
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each text under each language."""
+        return np.hstack([t.code_lengths(texts) for t in self.tables])
+
+
+_BUILT: dict[str, "Tables | Families"] = {}
 
 
 class Tables:
@@ -168,7 +198,7 @@ class Tables:
         return out
 
 
-def fit(labelled: DataFrame, sample_docs: int = 2000, seed: str = "ppm") -> ContextTrees:
+def fit(labelled: DataFrame, sample_docs: int = 2000, seed: str = "ppm") -> Languages:
     """Trees from about `sample_docs` whole documents a language, chosen by a hash of doc_id.
 
     labelled: doc_id, text, lang; rows with a null among text and lang are left out. Every language
@@ -179,20 +209,25 @@ def fit(labelled: DataFrame, sample_docs: int = 2000, seed: str = "ppm") -> Cont
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
     sizes = rows.groupBy("lang").count().collect()
     if not sizes:
-        return ContextTrees([], np.zeros(0, np.int64), np.zeros((0, 0)))
+        return Languages([])
     share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in sizes], "lang string, share double")
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "text")  # a row a language
     grams = sample.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = grams.toPandas()
-    langs = sorted(found["lang"].unique().tolist())
-    gram, at = np.unique(found["gram"].to_numpy(np.int64), return_inverse=True)
-    counts = np.zeros((len(gram), len(langs)))
-    np.add.at(counts, (at, np.searchsorted(np.array(langs, object), found["lang"].to_numpy(object))), found["n"].to_numpy(float))
-    return ContextTrees(langs, gram, counts)
-
-
-def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
+    grams = cut(grams)
+    langs, parts = sorted(r["lang"] for r in sizes), []
+    for i in range(0, len(langs), FAMILY):
+        own = langs[i : i + FAMILY]
+        found = grams.where(F.col("lang").isin(own)).toPandas()
+        gram, at = np.unique(found["gram"].to_numpy(np.int64), return_inverse=True)
+        counts = np.zeros((len(gram), len(own)))
+        np.add.at(counts, (at, np.searchsorted(np.array(own, object), found["lang"].to_numpy(object))), found["n"].to_numpy(float))
+        parts.append(ContextTrees(own, gram, counts))
+    release(grams)
+    return Languages(parts)
+
+
+def identify(docs: DataFrame, model: Languages) -> DataFrame:
     """docs with lang_pred, score and bits_per_byte.
 
     Needs text; other columns stay. lang_pred is the language with the shortest code (the first by
