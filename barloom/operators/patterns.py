@@ -540,8 +540,12 @@ def suppress(rows: list[Row], cfg: Settings) -> list[Row]:
     return sorted(kept, key=lambda r: (r["end_idx"], -r["score"]))
 
 
-def detect(bars: Bars, wanted: list[str]) -> list[Row]:
+def detect(rows: pd.DataFrame, wanted: list[str], cfg: Settings) -> list[Row]:
     """All patterns of one symbol's bars, in order, at every scale."""
+    return detect_in(Bars(rows, cfg), wanted)
+
+
+def detect_in(bars: Bars, wanted: list[str]) -> list[Row]:
     cfg, found = bars.cfg, []
     for scale in cfg.scales:
         pivots = pivots_of(bars, scale)
@@ -570,7 +574,7 @@ def scan(bars: DataFrame, patterns: Iterable[str] | None = None, mode: str = "al
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bar_idx")
-        found = detect(Bars(rows, cfg), wanted)
+        found = detect(rows, wanted, cfg)
         return pd.DataFrame([{"symbol": rows["symbol"].iloc[0], **m} for m in found], columns=[c.split()[0] for c in MATCHES.replace("array<struct<idx:int,price:double,label:string>>", "x").replace("map<string,double>", "x").split(", ")])
 
     found = bars.select("symbol", "bar_idx", "open", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(run, MATCHES)
@@ -608,7 +612,7 @@ def walk_forward(bars: DataFrame, patterns: Iterable[str] | None = None, window:
                 continue
             seen = bars.window(max(0, now - window + 1 - shift), now + 1 - shift)
             at = seen.base + shift
-            for m in detect(seen, wanted):
+            for m in detect_in(seen, wanted):
                 if m["status"] == "confirmed" and m["breakout_idx"] is not None and now - (m["breakout_idx"] + at) <= most_lag:
                     out.append((part["symbol"].iloc[0], m["pattern"], m["direction"], m["start_idx"] + at, m["breakout_idx"] + at, now, m["score"], m["level"], m["target"], m["stop"]))
         return pd.DataFrame(out, columns=names)

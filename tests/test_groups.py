@@ -184,7 +184,7 @@ def test_looks_carry_what_they_know(spark):
         part = part.sort_values("bar_idx").reset_index(drop=True)
         whole = C.Bars(part, cfg)
         for now in range(200, 420, 3):
-            seen = C.detect(whole.window(now - 199, now + 1), wanted)
-            alone = C.detect(C.Bars(part.iloc[now - 199 : now + 1].reset_index(drop=True), cfg), wanted)
+            seen = C.detect_in(whole.window(now - 199, now + 1), wanted)
+            alone = C.detect(part.iloc[now - 199 : now + 1].reset_index(drop=True), wanted, cfg)
             key = lambda m: (m["pattern"], m["status"], m["scale"], m["start_idx"], m["end_idx"], m["breakout_idx"], round(m["score"], 9), round(m["level"], 7), round(m["target"], 7), round(m["stop"], 7))
             assert [key(m) for m in seen] == [key(m) for m in alone]
