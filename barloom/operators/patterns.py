@@ -650,3 +650,21 @@ def head_gates(pivots: DataFrame, cfg: Settings = Settings()) -> DataFrame:  # n
     })
     ok = (c("prominence") >= cfg.hs_prominence) & (c("uneven") <= cfg.hs_shoulders) & (c("tilt") <= cfg.hs_neckline) & (c("gap") >= cfg.hs_gap) & c("time_ratio").between(1 / cfg.hs_time, cfg.hs_time)
     return s.where(ok).select("symbol", "scale", "kind", F.col("x0").alias("start_idx"), F.col("x4").alias("end_idx"), "prominence", "uneven", "tilt", "time_ratio")
+
+
+def level_gates(pivots: DataFrame, cfg: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """Runs of three or five pivots that pass the gates of double and triple tops and bottoms, as window expressions over a pivot table."""
+    w = Window.partitionBy("symbol", "scale").orderBy("seq")
+    s = pivots.withColumns({**{f"p{i}": F.col("kind") * (F.lead("price", i).over(w) if i else F.col("price")) for i in range(5)}, **{f"x{i}": F.lead("idx", i).over(w) if i else F.col("idx") for i in range(5)}})
+    found = None
+    for count in (2, 3):
+        peaks, troughs, at = [f"p{2 * k}" for k in range(count)], [f"p{2 * k + 1}" for k in range(count - 1)], [f"x{2 * k}" for k in range(count)]
+        mean = sum((F.col(c) for c in peaks[1:]), F.col(peaks[0])) / count
+        most, low = (f(*troughs) if len(troughs) > 1 else F.col(troughs[0]) for f in (F.greatest, F.least))
+        gaps = [F.col(b) - F.col(a) for a, b in zip(at, at[1:])]
+        ref = F.abs(mean)
+        rows = s.where(F.col(at[-1]).isNotNull()).withColumns({"spread": (F.greatest(*peaks) - F.least(*peaks)) / ref, "depth": (mean - most) / ref, "min_gap": F.least(*gaps) if len(gaps) > 1 else gaps[0], "__even": (most - low) / ref})
+        ok = (F.col("spread") <= cfg.level_tolerance) & (F.col("depth") >= cfg.level_depth) & (F.col("min_gap") >= cfg.level_gap) & (F.col("__even") <= cfg.level_tolerance)
+        part = rows.where(ok).select("symbol", "scale", "kind", F.lit(count).alias("peaks"), F.col("x0").alias("start_idx"), F.col(at[-1]).alias("end_idx"), "spread", "depth", "min_gap")
+        found = part if found is None else found.unionByName(part)
+    return found

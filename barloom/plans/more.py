@@ -44,6 +44,16 @@ def price_context(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (macd_touch, zigzag_legs, late_entry, entry_variants, slot_portfolio, price_context)}
 
 ORACLES = {
+    "zigzag_legs": sql_bars("flag") + f""", th AS (SELECT k, 0.5::DOUBLE * 1.4::DOUBLE ** k AS lim FROM range(5) AS r(k)), ln AS (SELECT symbol, max(bar_idx) AS last FROM bars GROUP BY symbol),
+zz AS (SELECT symbol, k, lim, bar_idx AS i, 0 AS way, bar_idx AS edge, close AS ep, close AS c0, CAST(NULL AS BIGINT) AS pv FROM bars, th WHERE bar_idx = 0 UNION ALL
+SELECT z.symbol, z.k, z.lim, b.bar_idx, CASE WHEN way = 0 THEN CASE WHEN abs(b.close / c0 - 1) >= lim THEN sign(b.close - c0)::INT ELSE 0 END WHEN way * (b.close - ep) < 0 AND -way * (b.close / ep - 1) >= lim THEN -way ELSE way END,
+CASE WHEN (way = 0 AND abs(b.close / c0 - 1) >= lim) OR (way <> 0 AND (way * (b.close - ep) >= 0 OR -way * (b.close / ep - 1) >= lim)) THEN b.bar_idx ELSE edge END, CASE WHEN (way = 0 AND abs(b.close / c0 - 1) >= lim) OR (way <> 0 AND (way * (b.close - ep) >= 0 OR -way * (b.close / ep - 1) >= lim)) THEN b.close ELSE ep END, c0,
+CASE WHEN way <> 0 AND way * (b.close - ep) < 0 AND -way * (b.close / ep - 1) >= lim THEN edge END FROM zz z JOIN bars b ON b.symbol = z.symbol AND b.bar_idx = z.i + 1),
+zp AS MATERIALIZED (SELECT DISTINCT symbol, k, lim, p FROM (SELECT symbol, k, lim, pv AS p FROM zz WHERE pv IS NOT NULL UNION ALL SELECT symbol, k, lim, 0 FROM zz WHERE i = 0 UNION ALL SELECT z.symbol, k, lim, edge FROM zz z JOIN ln ON ln.symbol = z.symbol AND z.i = ln.last WHERE way <> 0 UNION ALL SELECT z.symbol, k, lim, last FROM zz z JOIN ln ON ln.symbol = z.symbol WHERE z.i = 0)),
+zc AS (SELECT symbol, k, count(*) - 1 AS legs FROM zp GROUP BY ALL), zk AS (SELECT symbol, coalesce(min(k) FILTER (legs <= 12), 4) AS k FROM zc GROUP BY symbol),
+zq AS (SELECT zp.*, b.close, row_number() OVER w AS n, count(*) OVER (PARTITION BY zp.symbol) AS m, lead(b.close) OVER w AS nc FROM zp JOIN zk USING (symbol, k) JOIN bars b ON b.symbol = zp.symbol AND b.bar_idx = zp.p WINDOW w AS (PARTITION BY zp.symbol ORDER BY p)),
+zr AS (SELECT * FROM zq WHERE NOT (n = m - 1 AND m >= 3 AND abs(nc / close - 1) < lim / 2)), zl AS (SELECT symbol, row_number() OVER w - 1 AS leg, p AS start_idx, lead(p) OVER w AS end_idx, lead(close) OVER w / close - 1 AS ret, lim FROM zr WINDOW w AS (PARTITION BY symbol ORDER BY p))
+SELECT symbol, CAST(leg AS INT) AS leg, CAST(start_idx AS INT) AS start_idx, CAST(end_idx AS INT) AS end_idx, {_R('ret')} AS ret, {_R('lim')} AS threshold FROM zl WHERE end_idx IS NOT NULL""",
     "macd_touch": sql_bars("brand") + f""", ct AS MATERIALIZED (SELECT symbol, bar_idx, close, count(*) OVER (PARTITION BY symbol) AS n, close / ({lag('close')}) - 1 AS ch FROM bars),
 em AS (SELECT symbol, bar_idx, close AS f, close AS s, 0.0::DOUBLE AS sig FROM ct WHERE bar_idx = 0 UNION ALL SELECT c.symbol, c.bar_idx, e.f + (c.close - e.f) * (2.0::DOUBLE / 13), e.s + (c.close - e.s) * (2.0::DOUBLE / 27), e.sig + ((e.f + (c.close - e.f) * (2.0::DOUBLE / 13)) - (e.s + (c.close - e.s) * (2.0::DOUBLE / 27)) - e.sig) * 0.2::DOUBLE FROM em e JOIN ct c ON c.symbol = e.symbol AND c.bar_idx = e.bar_idx + 1),
 vo AS (SELECT symbol, CASE WHEN max(n) > 60 THEN stddev_samp(ch) END AS vol FROM ct WHERE bar_idx >= n - 60 GROUP BY symbol),
