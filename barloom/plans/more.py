@@ -44,6 +44,17 @@ def price_context(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (macd_touch, zigzag_legs, late_entry, entry_variants, slot_portfolio, price_context)}
 
 ORACLES = {
+    "slot_portfolio": sql_bars("brand", dense=True) + f""", mm AS MATERIALIZED (SELECT symbol, t, date, open, high, low, close, lag(close) OVER (PARTITION BY symbol ORDER BY t) AS before FROM dense),
+offer AS MATERIALIZED (SELECT symbol, t, open AS entry, md5(concat_ws('|', '0', symbol, CAST(t AS VARCHAR))) AS pick FROM mm WHERE t > 200 AND before IS NOT NULL AND open IS NOT NULL),
+way AS (SELECT o.symbol, o.t, m.t - o.t AS k, CASE WHEN m.close IS NULL THEN m.before WHEN m.low <= entry * (1 - 0.05::DOUBLE) THEN CASE WHEN m.t = o.t THEN entry * (1 - 0.05::DOUBLE) ELSE least(m.open, entry * (1 - 0.05::DOUBLE)) END WHEN m.high >= entry * (1 + 0.03::DOUBLE) THEN CASE WHEN m.t = o.t THEN entry * (1 + 0.03::DOUBLE) ELSE greatest(m.open, entry * (1 + 0.03::DOUBLE)) END WHEN m.t - o.t = 39 THEN m.close END AS x FROM offer o JOIN mm m ON m.symbol = o.symbol AND m.t BETWEEN o.t AND o.t + 39),
+leave AS (SELECT symbol, t, min(k) AS k, arg_min(x, k) AS x FROM way WHERE x IS NOT NULL GROUP BY symbol, t),
+day AS MATERIALIZED (SELECT o.t, list(struct_pack(s := o.symbol, e := CASE WHEN l.k IS NULL THEN 2147483647 ELSE o.t + l.k END, p := entry, x := l.x) ORDER BY pick) AS offers FROM offer o LEFT JOIN leave l ON l.symbol = o.symbol AND l.t = o.t GROUP BY o.t),
+cal AS MATERIALIZED (SELECT DISTINCT t, date FROM dense WHERE t > 200),
+walk AS (SELECT CAST(200 AS BIGINT) AS t, list_filter(offers, lambda o: false) AS held, list_filter(offers, lambda o: false) AS made FROM day WHERE t = (SELECT min(t) FROM day) UNION ALL
+SELECT t, list_concat(h, w), w FROM (SELECT t, h, list_filter(coalesce(offers, []), lambda o: NOT list_contains(hs, o.s))[1:10 - len(h)] AS w FROM (SELECT t, h, offers, list_transform(h, lambda y: y.s) AS hs FROM (SELECT c.t, d.offers, list_filter(k.held, lambda y: y.e >= k.t + 1) AS h FROM walk k JOIN cal c ON c.t = k.t + 1 LEFT JOIN day d ON d.t = c.t)))),
+made AS (SELECT t AS since, m.s AS symbol, m.e AS e, m.p AS entry, m.x AS x FROM (SELECT t, unnest(made) AS m FROM walk)),
+gain AS (SELECT d.t, sum(CASE WHEN d.t = e THEN x ELSE d.close END / CASE WHEN d.t = since THEN entry ELSE d.before END - 1 - CASE WHEN d.t = since THEN 0.0005 ELSE 0 END) AS g, count(*) FILTER (d.t < e) AS n FROM made JOIN mm d ON d.symbol = made.symbol AND d.t BETWEEN since AND least(e, since + 39) GROUP BY d.t)
+SELECT date, {_R('coalesce(g, 0) / 10')} AS r, CAST(coalesce(n, 0) AS INT) AS positions FROM cal LEFT JOIN gain USING (t)""",
     "zigzag_legs": sql_bars("flag") + f""", th AS (SELECT k, 0.5::DOUBLE * 1.4::DOUBLE ** k AS lim FROM range(5) AS r(k)), ln AS (SELECT symbol, max(bar_idx) AS last FROM bars GROUP BY symbol),
 zz AS (SELECT symbol, k, lim, bar_idx AS i, 0 AS way, bar_idx AS edge, close AS ep, close AS c0, CAST(NULL AS BIGINT) AS pv FROM bars, th WHERE bar_idx = 0 UNION ALL
 SELECT z.symbol, z.k, z.lim, b.bar_idx, CASE WHEN way = 0 THEN CASE WHEN abs(b.close / c0 - 1) >= lim THEN sign(b.close - c0)::INT ELSE 0 END WHEN way * (b.close - ep) < 0 AND -way * (b.close / ep - 1) >= lim THEN -way ELSE way END,
