@@ -158,7 +158,16 @@ _DOJI = f""", m0 AS (SELECT *, {roll('avg', 'close', 10)} AS ma10 FROM fw), dj A
 _RUNS = """, mk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, close <= ma AS f FROM mm),
 rs AS (SELECT *, CASE WHEN f THEN rn - coalesce(max(CASE WHEN NOT coalesce(f, false) THEN rn END) OVER (PARTITION BY symbol ORDER BY date), 0) ELSE 0 END AS run FROM mk)"""
 
+_TURNS = f""", dx AS (SELECT symbol, bar_idx, close - ({lag('close')}) AS step FROM bars), wk AS (SELECT symbol, bar_idx, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM dx WHERE bar_idx = 0
+UNION ALL SELECT d.symbol, d.bar_idx, wk.up * (1 - 1.0::DOUBLE / 14) + greatest(step, 0) / 14, wk.down * (1 - 1.0::DOUBLE / 14) + greatest(-step, 0) / 14 FROM wk JOIN dx d ON d.symbol = wk.symbol AND d.bar_idx = wk.bar_idx + 1),
+ri AS (SELECT symbol, bar_idx, CASE WHEN down <> 0 THEN 100 - 100 / (1 + up / down) END AS rsi FROM wk), rj AS (SELECT *, {lag('rsi', 1, 'bar_idx')} AS rsi_1, {roll('min', 'rsi', 20, None, 1, 'bar_idx')} AS rsi20 FROM ri),
+hb AS (SELECT symbol, bar_idx AS t, close, arg_min(bar_idx, (low, bar_idx)) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 120 PRECEDING AND 11 PRECEDING) AS base FROM bars), tp AS (SELECT symbol, bar_idx, low, {roll('max', 'close', 252, None, 0, 'bar_idx')} AS top FROM bars),
+hc AS (SELECT hb.*, tp.low AS bl FROM hb JOIN tp ON tp.symbol = hb.symbol AND tp.bar_idx = hb.base WHERE t >= 260 AND tp.low <= 0.85 * tp.top AND t - 3 > base + 5), hp AS (SELECT hc.symbol, t, hc.close AS c, bl, arg_min(b.bar_idx, (-b.high, b.bar_idx)) AS peak, max(b.high) AS level FROM hc JOIN bars b ON b.symbol = hc.symbol AND b.bar_idx BETWEEN base + 5 AND t - 4 GROUP BY hc.symbol, t, hc.close, bl),
+hh AS (SELECT hp.symbol, t FROM hp JOIN bars b ON b.symbol = hp.symbol AND b.bar_idx BETWEEN peak + 1 AND t - 1 GROUP BY hp.symbol, t, c, bl, level HAVING min(b.low) > 1.02 * bl AND max(b.close) <= level AND c > level),
+hits AS MATERIALIZED (SELECT rich.*, 'rsi_turn' AS rule FROM rich JOIN rj ON rj.symbol = rich.symbol AND rj.bar_idx = rich.bar_idx WHERE rich.bar_idx >= 260 AND rsi > 50 AND rsi_1 <= 50 AND rsi20 < 35 UNION ALL SELECT rich.*, 'higher_high' FROM rich JOIN hh ON hh.symbol = rich.symbol AND hh.t = rich.bar_idx)"""
+
 ORACLES = {
+    "rally_turn_rules": sql_bars("brand", bench=True) + sql_bench("bars") + sql_forward("al", HS, *NEXT_OPEN) + _RICH + _TURNS + ", room AS MATERIALIZED (SELECT * FROM hits WHERE bar_idx + 21 < last_at + 1)" + sql_cooldown("room", "symbol, rule", 20) + f" SELECT rule, symbol, date, {_R('ret_5')} AS ret_5, {_R('ret_20')} AS ret_20 FROM kept WHERE entry > 0",
     "rally_rule_hits": sql_bars("brand") + _HITS.replace("{table}", "bars") + " SELECT symbol, date, rule FROM hits",
     "rally_events": SQL_RALLY + " SELECT rule, symbol, date, " + f"{_R("entry", 9)} AS entry, {_R('ret_126')} AS ret_126, {_R('day_ret')} AS day_ret, {_R('from_52w_high')} AS from_52w_high, beaten, " + ", ".join(f"{_R(f'{c}_{h}')} AS {c}_{h}" for h in HS for c in ("ret", "bench", "local")) + " FROM ev",
     "rally_combined": SQL_RALLY + """, cb AS (SELECT *, date - DATE '1970-01-01' AS day FROM ev WHERE beaten), cf AS (SELECT a.symbol, a.date, a.day, count(DISTINCT b.rule) AS confluence, min(a.rule) AS rule FROM cb a JOIN cb b ON b.symbol = a.symbol AND b.day BETWEEN a.day - 8 AND a.day GROUP BY ALL)""" + sql_cooldown("cf", "symbol", 30, "day", "cbk") + " SELECT symbol, date, rule, CAST(confluence AS INT) AS confluence FROM cbk",
