@@ -233,9 +233,13 @@ def across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = sized.withColumn("m", n_blocks).withColumn("block", F.concat_ws("/", "part", F.pmod(F.xxhash64("sid"), F.col("m"))))
     whole = dealt.join(sets.select("sid", "short"), "sid")
     held = cut(whole.groupBy("key", "part", "block").agg(F.collect_list(F.struct("sid", "c", "n", "samples", "odd", "bands", "short")).alias("rows")))
-    one = held.select("key", "block", F.explode(F.array("part", F.col("part") + 1)).alias("next"), "part", F.col("rows").alias("p"))
-    two = held.select(F.col("key").alias("key_q"), F.col("part").alias("part_q"), F.col("block").alias("other"), F.col("rows").alias("q"))
-    met = one.join(two, (F.col("key") == F.col("key_q")) & (F.col("next") == F.col("part_q"))).where((F.col("next") != F.col("part")) | (F.col("block") <= F.col("other"))).select("key", "block", "other", "p", "q")
+    # which blocks meet is told by their names; then each content is sent to its pairs, the second one by the pairs' own partitioning
+    ids = held.select("key", "part", "block")
+    one = ids.select("key", "block", "part", F.explode(F.array("part", F.col("part") + 1)).alias("next"))
+    two = ids.select(F.col("key").alias("key_q"), F.col("part").alias("part_q"), F.col("block").alias("other"))
+    pairs = one.join(two, (F.col("key") == F.col("key_q")) & (F.col("next") == F.col("part_q"))).where((F.col("next") != F.col("part")) | (F.col("block") <= F.col("other"))).select("key", "block", "other")
+    met = pairs.join(held.select("key", "block", F.col("rows").alias("p")), ["key", "block"]).join(held.select("key", F.col("block").alias("other"), F.col("rows").alias("q")), ["key", "other"])
+    met = met.select("key", "block", "other", "p", "q")
 
     def similar(x: bytes, y: bytes, n: float) -> bool:
         if not x or not y:
@@ -279,7 +283,7 @@ def across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, "4")  # a row here is two blocks
     try:
-        return cut(met.repartition("key", "block", "other").mapInArrow(run, "a long, b long"))
+        return cut(met.mapInArrow(run, "a long, b long"))
     finally:
         spark.conf.set(key, before)
         release(held)
