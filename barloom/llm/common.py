@@ -99,8 +99,9 @@ def unit_hash(seed: int, *parts: Column) -> Column:
 def join_small(left: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 32) -> DataFrame:
     """left joined with a table of a row a key, null keys being equal.
 
-    A counted size decides: up to BROADCAST_ROWS rows small is broadcast; beyond, the rows of a
-    key are dealt over salts, and small is repeated once a salt.
+    A counted size decides: up to BROADCAST_ROWS rows small is broadcast; beyond, both are shuffled:
+    the rows of a key are dealt over salts, and small is repeated once a salt. Spark's estimate of
+    small knows neither the repeats nor what compression hides, so it must not choose to broadcast.
     """
     hidden = [f"__k{i}" for i in range(len(keys))]
     renamed = small.select(*[F.col(k).alias(h) for k, h in zip(keys, hidden)], *[c for c in small.columns if c not in keys])
@@ -108,6 +109,7 @@ def join_small(left: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     if renamed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         right = F.broadcast(renamed)
         return left.join(right, match(left, right), how).drop(*hidden)
-    a = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in keys]), F.lit(salts)))
-    b = renamed.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    # rows that are equal in all columns are told apart by the partition that they come from
+    a = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in keys], F.spark_partition_id()), F.lit(salts)))
+    b = renamed.withColumn("__salt_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).hint("merge")
     return a.join(b, [a["__salt"] == b["__salt_r"], *match(a, b)], how).drop("__salt", "__salt_r", *hidden)
