@@ -315,7 +315,7 @@ def link_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
         who = cut(holders.join(need, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("k")))
         if who.limit(1).count():
             ids = who.where("k > 0").select("doc_id").distinct()
-            texts = join_small(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), ids, ["doc_id"], "inner").select("text")
+            texts = join_small(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), ids, ["doc_id"], "inner", salts=1).select("text")
             if who.where("k = 0").limit(1).count():  # sets that only documents without an id have
                 texts = texts.unionByName(docs.where(F.col("doc_id").isNull()).select("text"))
             more = cut(full_sets(texts).join(who.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
