@@ -74,7 +74,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs less the rows whose key is among the doc_ids of dropped; dropped ones are broadcast only if few."""
     told = cut(dropped.select(F.col("doc_id").alias("__key")).distinct().withColumn("__gone", F.lit(True)))
-    return join_small(docs.withColumn("__key", row_key(docs)), told, ["__key"]).where(F.col("__gone").isNull()).select(*docs.columns)
+    return join_small(docs.withColumn("__key", row_key(docs)), told, ["__key"], salts=1).where(F.col("__gone").isNull()).select(*docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
