@@ -39,7 +39,7 @@ def pair_correlations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def peer_top5(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.nearest(P.pair_correlations(_vectors(spark, sf), least=10)))
+    return rounded(P.nearest(_vectors(spark, sf), least=10))
 
 
 def peer_groups_ward(spark: SparkSession, sf: str) -> DataFrame:
