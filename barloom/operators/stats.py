@@ -211,6 +211,24 @@ def performance(returns: DataFrame, by: list[str], per_year: float, r: str = "r"
     )
 
 
+def step_up(tests: DataFrame, p: str, q: float) -> float:
+    """The threshold at or below which p-values are found at a false discovery rate q; below 0 if none is.
+
+    Counts lead to it from above: of k values within q times some share of n, only those within q k / n
+    can be found. The last k is the largest rank whose p-value is within q times itself over n, so
+    nothing is sorted; only p-values up to q are kept meanwhile.
+    """
+    n = tests.count()
+    few = tests.where(F.col(p) <= q).select(p).persist()
+    try:
+        k, now = n, few.count()
+        while 0 < now < k:
+            k, now = now, few.where(F.col(p) <= q * now / n).count()
+        return q * now / n if now else -1.0
+    finally:
+        few.unpersist()
+
+
 def benjamini_hochberg(tests: DataFrame, p: str, q: float) -> DataFrame:
     """tests with `found`: whether the p-value is at or below the largest one that is within q times its rank over n."""
     ranked = tests.withColumns({"__rank": F.row_number().over(Window.orderBy(p)), "__n": F.count("*").over(Window.partitionBy())})

@@ -1,4 +1,4 @@
-"""Nearest peers by blocks against all pairs."""
+"""Nearest peers and leads and lags by blocks against plain joins of days."""
 
 import numpy as np
 import pytest
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.operators import peers as P
+from barloom.operators import stats as S
 
 
 @pytest.fixture
@@ -29,3 +30,55 @@ def test_nearest_by_blocks_are_those_of_all_pairs(series, monkeypatch, block):
     told = sorted((r.symbol, r["rank"], r.peer, None if r.corr is None else round(r.corr, 9)) for r in met.collect())
     assert told == sorted((r.symbol, r["rank"], r.peer, r.corr) for r in want.collect())
     assert len(told) == 120
+
+
+def plain_lead_lag(m, groups, q=0.05):
+    """By numpy, a pair at a time: m[name] is {t: e}."""
+    out = {}
+    for a in m:
+        ts = sorted(m[a])
+        before = {t: m[a][s] for s, t in zip(ts, ts[1:])}
+        for b in m:
+            both = sorted(set(before) & set(m[b]))
+            if a == b or groups[a] != groups[b] or not both:
+                continue
+            x, y = np.array([before[t] for t in both]), np.array([m[b][t] for t in both])
+            u, v = x - x.mean(), y - y.mean()
+            if (u * u).sum() < 1e-12:
+                out[a, b] = (len(both), None, None)
+                continue
+            slope = (u * v).sum() / (u * u).sum()
+            error = np.sqrt((u**2 * (v - slope * u) ** 2).sum())
+            out[a, b] = (len(both), slope, slope * (u * u).sum() / error if error > 0 else None)
+    p = {k: 1.0 if t is None else float(P._p_value(np.array([t]))[0]) for k, (_, _, t) in out.items()}
+    order = sorted(p.values())
+    line = max([x for i, x in enumerate(order, 1) if x <= q * i / len(order)], default=-1)
+    return {k: (*out[k], p[k] <= line) for k in out}
+
+
+@pytest.mark.parametrize("block,q", [(4, 0.3), (64, 0.05)])
+def test_leads_by_blocks_are_those_of_single_pairs(spark, series, monkeypatch, block, q):
+    monkeypatch.setattr(P, "STRIP", 3)
+    m, groups = {}, {f"S{i:02d}": str(i % 2) for i in range(30)}
+    for r in series.collect():
+        m.setdefault(r.symbol, {})[r.t] = r.e
+    m["S04"] = {t + 1: 0.8 * x + 0.1 * m["S04"].get(t + 1, 0.0) for t, x in m["S02"].items()}  # S02 leads S04
+    df = spark.createDataFrame([(s, t, float(x)) for s, d in m.items() for t, x in d.items()], "symbol string, t int, e double")
+    met = P.lead_lag(df, spark.createDataFrame(list(groups.items()), "symbol string, grp string"), q, block)
+    assert "CartesianProduct" not in met._jdf.queryExecution().toString() and "row_number" not in met._jdf.queryExecution().toString()
+    told = {(r.leader, r.follower): (r.n, r.slope, r.t_stat, r.found) for r in met.collect()}
+    want = plain_lead_lag(m, groups, q)
+    assert told.keys() == want.keys() and told["S02", "S04"][3]
+    for k, (n, slope, t, found) in want.items():
+        assert told[k][0] == n and told[k][3] == found, k
+        for x, y in ((told[k][1], slope), (told[k][2], t)):
+            assert (x is None) == (y is None) and (y is None or abs(x - y) < 1e-6 * max(1, abs(y))), k
+
+
+def test_the_threshold_is_that_of_ranks(spark):
+    rng = np.random.default_rng(2)
+    for ps in (list(rng.random(200) ** 3), [0.5, 0.9], [0.01, 0.01, 0.03, 0.9], [0.0, 0.9], []):
+        tests = spark.createDataFrame([(float(x),) for x in ps], "p double")
+        line = max([x for i, x in enumerate(sorted(ps), 1) if x <= 0.05 * i / len(ps)], default=-1)
+        got = S.step_up(tests, "p", 0.05)
+        assert [x <= got for x in ps] == [x <= line for x in ps]
