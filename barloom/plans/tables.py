@@ -20,8 +20,9 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bars(trades: DataFrame, symbol: str, keep: list[str] | None = None) -> DataFrame:
+    """Bars of a symbol column. A query reads them many times over, and they are a row a symbol and day however many the trades, so they are persisted: trades are read once."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return B.from_trades(trades, F.col(symbol), F.col("l_shipdate"), price, F.col("l_quantity"), TRADE_ORDER, [F.col(k) for k in keep or []])
+    return B.from_trades(trades, F.col(symbol), F.col("l_shipdate"), price, F.col("l_quantity"), TRADE_ORDER, [F.col(k) for k in keep or []]).persist()
 
 
 def bars_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
