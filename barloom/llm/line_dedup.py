@@ -36,6 +36,11 @@ from .near_dup import mixed_keys, with_component
 
 SMALL = 32
 BLOCK = 64
+#: What is worth a task: rows without texts, rows with texts, characters of pairs to compare, pairs of blocks.
+ROWS = 20_000
+TEXTS = 2_000
+CHARS = 1 << 20
+PAIRS = 64
 #: Lines that a task remembers to have keyed.
 SEEN = 1 << 17
 SPACE = " \t\n\x0b\x0c\r"
@@ -275,21 +280,36 @@ def across_blocks(members: DataFrame, edits: Edits) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([x for p, q in zip(batch["p"], batch["q"]) for x in block_links(p, q, edits)], columns=["a", "b"])
 
-    n_tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.count() // 8)  # blocks cost far more than their bytes tell
-    return cut(one.join(two, "key").where("block <= other").repartition(n_tasks, "key", "block", "other").select("p", "q").mapInPandas(run, "a long, b long"))
+    # blocks cost far more than their bytes tell
+    n_held, n_pairs = held.agg(F.count("*"), F.sum(F.col("n") + 1) / 2).first()
+    n_tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_held // 8)
+    dealt = one.join(two, "key").where("block <= other").repartition(n_tasks, "key", "block", "other")
+    return cut(in_tasks(dealt.select("p", "q"), int(n_pairs or 0), PAIRS).mapInPandas(run, "a long, b long"))
+
+
+def in_tasks(rows: DataFrame, n: int, worth: int = ROWS) -> DataFrame:
+    """The same rows, of which there are about n, in no more partitions than are worth a task: a task without work costs as much as thousands of rows."""
+    return rows.coalesce(1 + n // worth)
 
 
 def link_lines(docs: DataFrame, edits: Edits) -> DataFrame | None:
     """node and component of every line of docs (text) linked with another one, or None without links."""
     members = cut(shared_keys(key_lines(docs, edits)))
-    if not members.limit(1).count():
+    n_rows = members.count()
+    if not n_rows:
         return None
-    popular = members.groupBy("sid").agg(F.sum("size").alias("shared"))
-    texts = cut(texts_of(docs, popular.select("sid")))
-    members = cut(members.join(popular, "sid"))
+    popular = cut(in_tasks(members.groupBy("sid").agg(F.sum("size").alias("shared")), n_rows))
+    n_lines = popular.count()
+    texts = cut(in_tasks(texts_of(docs, popular.select("sid")), n_lines, TEXTS))
+    chars = (texts.agg(F.sum(F.length("content"))).first()[0] or 0) / n_lines
+    members = cut(in_tasks(members.join(popular, "sid"), n_rows))
     found = None
 
-    def add(sure: DataFrame) -> None:
+    def add(pairs: DataFrame, n_pairs: int) -> None:
+        """Compares at most n_pairs pairs a, b."""
+        add_sure(confirmed(in_tasks(with_texts(pairs), int(n_pairs * chars), CHARS), edits))
+
+    def add_sure(sure: DataFrame) -> None:
         nonlocal found
         sure = cut(sure)
         if sure.limit(1).count():
@@ -307,21 +327,26 @@ def link_lines(docs: DataFrame, edits: Edits) -> DataFrame | None:
         rank = F.struct("own", "shared", "sid") if turn == 0 else F.struct(F.col("own"), F.xxhash64("sid", F.lit(turn)), F.col("sid"))
         mixed = rows if turn == 0 else rows.join(mixed_keys(rows), "key", "left_semi")
         leaders = mixed.groupBy("key").agg(F.max_by("sid", rank).alias("leader"), F.max_by("c", rank).alias("leader_c"))
-        add(confirmed(with_texts(mixed.join(leaders, "key").where("c <> leader_c").select(F.col("sid").alias("a"), F.col("leader").alias("b"))), edits))
-    def compare(members: DataFrame) -> DataFrame:
-        """Compares lines of different classes that share a small key; returns the rows of large ones."""
+        add(mixed.join(leaders, "key").where("c <> leader_c").select(F.col("sid").alias("a"), F.col("leader").alias("b")), n_rows)
+
+    def compare(members: DataFrame, n: int) -> tuple[DataFrame, int]:
+        """Compares lines of different classes that share a small key; returns the rows of large ones and their number. n: about the rows of members."""
         rows = with_component(members, found)
-        mixed = cut(rows.join(mixed_keys(rows), "key", "left_semi"))
-        small = mixed.where(F.col("size") <= SMALL)
+        mixed = cut(in_tasks(rows.join(mixed_keys(rows), "key", "left_semi"), n))
+        is_small = F.col("size") <= SMALL
+        n_large, twice = mixed.agg(F.count_if(~is_small), F.coalesce(F.sum(F.when(is_small, F.col("size") - 1)), F.lit(0))).first()
+        small = mixed.where(is_small)
         other = small.select("key", F.col("sid").alias("b"), F.col("c").alias("c_b"), F.col("own").alias("own_b"))
-        add(confirmed(with_texts(small.join(other, "key").where("c <> c_b and sid < b and (own or own_b)").select(F.col("sid").alias("a"), "b")), edits))
-        return mixed.where(F.col("size") > SMALL)
-
-    large = compare(members)
-    if large.limit(1).count():
-        large = compare(cut(shared_keys(finer_keys(large.join(texts, "sid"), edits))))
-        if large.limit(1).count():
-            add(across_blocks(large.select("key", "sid", "c").distinct().join(texts, "sid"), edits))
+        if twice:
+            add(small.join(other, "key").where("c <> c_b and sid < b and (own or own_b)").select(F.col("sid").alias("a"), "b"), twice // 2)
+        return mixed.where(~is_small), n_large
+
+    large, n_large = compare(members, n_rows)
+    if n_large:
+        finer = shared_keys(finer_keys(in_tasks(large.join(texts, "sid"), n_large, TEXTS), edits))
+        large, n_large = compare(cut(in_tasks(finer, 4 * n_large)), 4 * n_large)
+        if n_large:
+            add_sure(across_blocks(in_tasks(large.select("key", "sid", "c").distinct().join(texts, "sid"), n_large, TEXTS), edits))
     return found
 
 
@@ -342,10 +367,11 @@ def classify_lines(docs: DataFrame, edits: Edits = Edits()) -> DataFrame:  # noq
         each = filed.select("row", "doc_id", F.posexplode("lines").alias("number", "sid")).where(F.col("sid").isNotNull())
         place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), F.col("number").alias("number"))
         by_line = each.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        n = filed.agg(F.sum(F.size("lines"))).first()[0] or 0
         found = link_lines(docs, edits)
         placed = with_component(by_line, found)
         classes = placed.groupBy("c").agg(F.min("first").alias("kept_at"), F.sum("n").alias("size")).where("size > 1")
-        moved = cut(placed.join(classes, "c").select("sid", "c", "kept_at"))
+        moved = cut(in_tasks(placed.join(classes, "c").select("sid", "c", "kept_at"), n))
         keep += [filed, moved]
     told = join_small(each, moved, ["sid"])
     blank = filed.where(~F.exists("lines", lambda x: x.isNotNull()))
