@@ -7,10 +7,11 @@ the events fills all of them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -211,22 +212,50 @@ def performance(returns: DataFrame, by: list[str], per_year: float, r: str = "r"
     )
 
 
-def step_up(tests: DataFrame, p: str, q: float) -> float:
+#: Counts of p-values: number of lines below them, and how many there are.
+BINS = "place bigint, number bigint"
+
+
+def in_bins(parts: Iterable[np.ndarray], lines: np.ndarray) -> pa.RecordBatch:
+    """p-values of all parts counted by the lines, in ascending order, that are below them."""
+    number = np.zeros(len(lines) + 1, np.int64)
+    for p in parts:
+        some = p[p <= lines[-1]]
+        number += np.bincount(np.searchsorted(lines, some), minlength=len(number))
+        number[-1] += len(p) - len(some)
+    place = np.flatnonzero(number)
+    return pa.RecordBatch.from_arrays([pa.array(place), pa.array(number[place])], ["place", "number"])
+
+
+def line_by_counts(counts: Callable[[np.ndarray], DataFrame], n: int, q: float, steps: int = 1024) -> float:
     """The threshold at or below which p-values are found at a false discovery rate q; below 0 if none is.
 
-    Counts lead to it from above: of k values within q times some share of n, only those within q k / n
-    can be found. The last k is the largest rank whose p-value is within q times itself over n, so
-    nothing is sorted; only p-values up to q are kept meanwhile.
+    counts(lines) gives BINS of all p-values, and n is their expected number. The threshold is q k / n for the
+    largest k with k values at or below it. Between two neighbours of some k there can be such a one only if
+    the count at the upper one is above the lower one, and it is no larger than that count. So each round
+    narrows the highest gap that can have it; no value is sorted or kept.
     """
-    n = tests.count()
-    few = tests.where(F.col(p) <= q).select(p).persist()
-    try:
-        k, now = n, few.count()
-        while 0 < now < k:
-            k, now = now, few.where(F.col(p) <= q * now / n).count()
-        return q * now / n if now else -1.0
-    finally:
-        few.unpersist()
+    low, floor, high = 0, 0, n  # low is such a k, if not the largest; none is above high; the gap begins after floor
+    while low < high:
+        each, thin = np.arange(low + 1, min(high, low + steps) + 1), np.geomspace(1, high - low, steps).astype(np.int64)
+        k = np.unique(np.concatenate([each, low + thin, floor + np.linspace(1, high - floor, steps).astype(np.int64), [high]]))
+        bins = dict(counts(q * k / n).groupBy("place").agg(F.sum("number")).collect())
+        if (told := sum(bins.values())) != n:
+            n, low, floor, high = told, 0, 0, told
+            continue
+        within, before = np.cumsum([bins.get(i, 0) for i in range(len(k))]), np.append(low, k[:-1])
+        low = int(max(k[within >= k], default=low))
+        i = max(np.flatnonzero(within > before), default=None)
+        if i is None or within[i] >= k[i]:
+            break
+        floor, high = max(low, int(before[i])), int(within[i])
+    return q * low / n if low else -1.0
+
+
+def step_up(tests: DataFrame, p: str, q: float) -> float:
+    """The threshold at or below which p-values are found at a false discovery rate q; below 0 if none is."""
+    values = tests.select(F.coalesce(F.col(p).cast("double"), F.lit(np.nan)).alias(p))
+    return line_by_counts(lambda lines: values.mapInArrow(lambda batches: [in_bins((b.column(0).to_numpy() for b in batches), lines)], BINS), tests.count(), q)
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, q: float) -> DataFrame:

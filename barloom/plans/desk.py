@@ -62,8 +62,7 @@ def basket_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def leadlag_bh(spark: SparkSession, sf: str) -> DataFrame:
     groups = T.read(spark, sf, "embeddings").select(F.concat(F.lit("V"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("symbol"), F.col("label").cast("string").alias("grp"))
-    rows = P.lead_lag(_vectors(spark, sf), groups)
-    return rounded(rows.select("grp", "leader", "follower", "n", "slope", "t_stat", "found"), 5)
+    return P.lead_lag(_vectors(spark, sf), groups, digits=5).select("grp", "leader", "follower", "n", "slope", "t_stat", "found")
 
 
 def sector_cohesion(spark: SparkSession, sf: str) -> DataFrame:

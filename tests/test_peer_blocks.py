@@ -82,3 +82,43 @@ def test_the_threshold_is_that_of_ranks(spark):
         line = max([x for i, x in enumerate(sorted(ps), 1) if x <= 0.05 * i / len(ps)], default=-1)
         got = S.step_up(tests, "p", 0.05)
         assert [x <= got for x in ps] == [x <= line for x in ps]
+
+
+@pytest.mark.parametrize("steps", [2, 7, 1024])
+def test_the_threshold_is_found_in_a_few_counts(spark, steps):
+    rng = np.random.default_rng(3)
+    for ps in (rng.random(300) ** 6, rng.random(300), np.round(rng.random(300) ** 3, 2), np.zeros(0)):
+        rounds = []
+
+        def counts(lines):
+            rounds.append(len(lines))
+            batch = S.in_bins([ps[:100], ps[100:]], lines)
+            return spark.createDataFrame(list(zip(*(c.to_pylist() for c in batch.columns))), S.BINS)
+
+        line = max([x for i, x in enumerate(sorted(ps), 1) if x <= 0.3 * i / len(ps)], default=-1)
+        got = S.line_by_counts(counts, len(ps) + 5, 0.3, steps)  # told a wrong number at first
+        assert ((ps <= got) == (ps <= line)).all()
+        assert steps < 1024 or len(rounds) <= 2
+
+
+def test_leads_of_whole_series_are_rounded_in_tasks_and_need_a_group(spark):
+    rng = np.random.default_rng(7)
+    m = {f"S{i:02d}": dict(enumerate(rng.normal(size=15))) for i in range(24)}
+    m["S05"] = {t: 1.0 for t in range(15)}  # no variance
+    groups = {s: None if i % 4 == 3 else str(i % 2) for i, s in enumerate(m)}
+    df = spark.createDataFrame([(s, t, float(x)) for s, d in m.items() for t, x in d.items()], "symbol string, t int, e double")
+    met = P.lead_lag(df, spark.createDataFrame(list(groups.items()), "symbol string, grp string"), 0.3, 5, 5)
+    told = {(r.leader, r.follower): (r.n, r.slope, r.t_stat, r.found) for r in met.collect()}
+    m = {s: d for s, d in m.items() if groups[s] is not None}  # a null equals no null
+    want = plain_lead_lag(m, groups, 0.3)
+    assert told.keys() == want.keys() and len(want) == 12 * 11 + 6 * 5
+    for k, (n, slope, t, found) in want.items():
+        assert told[k][0] == n and told[k][3] == found, k
+        for x, y in ((told[k][1], slope), (told[k][2], t)):
+            assert (x is None) == (y is None) and (y is None or x == round(x, 5) and abs(x - y) < 6e-6), k
+
+
+def test_a_series_is_sent_to_few_pairs_of_blocks():
+    assert [P._few_blocks(n, 50_000) for n in (0, 900, 5000, 10_000, 600_000, 1_200_000)] == [1, 1, 5, 10, 12, 24]
+    v = np.array([0.000005, -0.015625, 1e300, -0.0, np.nan, 123456.123455])
+    assert str(P._round(v, 5).tolist()) == str([0.00001, -0.01563, 1e300, 0.0, np.nan, 123456.12346])
