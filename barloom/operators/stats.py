@@ -227,7 +227,7 @@ def in_bins(parts: Iterable[np.ndarray], lines: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(place), pa.array(number[place])], ["place", "number"])
 
 
-def line_by_counts(counts: Callable[[np.ndarray], DataFrame], n: int, q: float, steps: int = 1024) -> float:
+def line_by_counts(counts: Callable[[np.ndarray], DataFrame], n: int, q: float, steps: int = 4096) -> float:
     """The threshold at or below which p-values are found at a false discovery rate q; below 0 if none is.
 
     counts(lines) gives BINS of all p-values, and n is their expected number. The threshold is q k / n for the
